@@ -42,16 +42,17 @@ def range_blocks(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks
 
 
 def running_totals(
-    blocked: DataFrame, key: Sequence[str], value: str, total: str = "run_sum", low: str = "run_min"
+    blocked: DataFrame, key: Sequence[str], value: str, total: str = "run_sum", low: str = "low_before"
 ) -> DataFrame:
-    """Per key, in order: the running sum of `value` and the lowest running sum so far.
+    """Per key, in order: the running sum of `value` and the lowest earlier running sum (NULL at first).
 
     Scan inside each block, then one carry row per (key, block) that continues a
     key. That carry frame has at most one row per block, so it is broadcast.
     """
     inner = Window.partitionBy("block", *key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
     scanned = blocked.withColumn("_sum", F.sum(F.col(value).cast("bigint")).over(inner)).withColumn(
-        "_min", F.min("_sum").over(inner)
+        "_min", F.min("_sum").over(earlier)
     )
     per_block = scanned.groupBy("block", *key).agg(
         F.max_by("_sum", "pos").alias("_bsum"), F.min("_sum").alias("_bmin")

@@ -84,13 +84,14 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix `body` with the views it names, in dependency order."""
     known = {**VIEWS, **(extra or {})}
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def need(sql: str) -> None:
         for name in re.findall(r"\b[dx]_\w+\b", sql):
-            if name in known and name not in ordered:
+            if name in known and name not in seen:
+                seen.add(name)
                 need(known[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     need(body)
     if not ordered:
