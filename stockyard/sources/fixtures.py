@@ -86,7 +86,7 @@ class Fixtures:
 
     @cached_property
     def sales(self) -> DataFrame:
-        start = F.expr("make_timestamp_ntz(cast(sale_id div 100 AS INT), cast(sale_id % 100 AS INT), 1, 0, 0, 0)")
+        start = F.expr("try_make_timestamp_ntz(cast(sale_id div 100 AS INT), cast(sale_id % 100 AS INT), 1, 0, 0, 0)")
         as_of = ts(SALES_AS_OF)
         return (
             self.orders.select("sale_id")
@@ -145,7 +145,7 @@ class Fixtures:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        start = F.expr("make_timestamp_ntz(cast(sale_id div 100 AS INT), cast(sale_id % 100 AS INT), 1, 0, 0, 0)")
+        start = F.expr("try_make_timestamp_ntz(cast(sale_id div 100 AS INT), cast(sale_id % 100 AS INT), 1, 0, 0, 0)")
         return self.sale_products.select(
             "id", F.col("id").alias("sale_product_id"), F.col("total_qty").alias("available_qty"),
             start.alias("last_synced_at"),
