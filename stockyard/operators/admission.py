@@ -13,6 +13,9 @@ from stockyard.operators.limits import limit_chain
 from stockyard.operators.outbox import order_created_payload
 from stockyard.operators.replay import replay
 from stockyard.operators.rules import dq_order_requests
+from stockyard.shipping import ship_by_value
+
+ship_by_value(__name__)
 
 PRODUCT = ["sale_id", "product_id"]
 

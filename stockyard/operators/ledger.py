@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from stockyard.operators.blocks import range_blocks, running_totals
 from stockyard.operators.replay import replay
+from stockyard.shipping import ship_by_value
+
+ship_by_value(__name__)
 
 
 def stock_ledger(

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.operators.replay import replay
+from stockyard.shipping import ship_by_value
+
+ship_by_value(__name__)
 
 # Fixed values: (limit, window in ms) of each route's limiter.
 PRESETS = {

@@ -27,6 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from stockyard.operators.blocks import range_blocks
 from stockyard.schemas import struct
 from stockyard.session import pin
+from stockyard.shipping import ship_by_value
+
+ship_by_value(__name__)
 
 # A fold: step(state, row) -> output tuple; state is a JSON-serialisable list, [] when new.
 Step = Callable[[list, tuple], tuple]

@@ -300,4 +300,6 @@ def apply_payment_outcomes(
         "sale_products": give_back_reserved(sale_products, failed),
         "outbox": events,
         "counters": move_counters(counters, moved, release_creates),
+        "settled": result.withColumnRenamed("id", "order_id").withColumnRenamed("_status", "status"),
+        "moves": failed.select("order_id", "sale_product_id", "quantity"),
     }
