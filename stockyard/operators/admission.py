@@ -13,6 +13,7 @@ from stockyard.operators.limits import limit_chain
 from stockyard.operators.outbox import order_created_payload
 from stockyard.operators.replay import replay
 from stockyard.operators.rules import dq_order_requests
+from stockyard.session import pin
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -156,14 +157,14 @@ def admit_with_releases(
 def materialize_orders(admitted: DataFrame, sale_products: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     """Orders, items, ORDER_CREATED events and reserved stock of admitted requests.
 
-    All four come from one frame with ids derived from the request, so writing
-    them again yields the same rows.
+    All four come from one pinned frame with ids derived from the request, so
+    they agree, and writing them again yields the same rows.
     """
     offered = sale_products.select(
         F.col("id").alias("sale_product_id"), "sale_id", "product_id", F.col("sale_price").alias("unit_price")
     )
     named = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    lines = (
+    lines = pin(
         admitted.join(offered, PRODUCT)
         .join(named, "product_id")
         .withColumn("order_id", F.md5(F.concat(F.lit("order:"), F.col("request_id").cast("string"))))
@@ -179,7 +180,13 @@ def materialize_orders(admitted: DataFrame, sale_products: DataFrame, products:
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
     )
-    items = lines.select("order_id", "product_id", F.col("quantity").cast("int").alias("quantity"), "unit_price")
+    items = lines.select(
+        F.concat(F.lit("item:"), "order_id").alias("id"),
+        "order_id",
+        "product_id",
+        F.col("quantity").cast("int").alias("quantity"),
+        "unit_price",
+    )
     events = lines.select(
         F.lit("ORDER_CREATED").alias("event_type"),
         order_created_payload().alias("payload"),
@@ -216,14 +223,19 @@ def admission_funnel(
     reused for another user or product than its first request is reported as
     KEY_CONFLICT and does not compete.
     """
-    limited = limit_chain(requests, "ms", "request_id", presets=presets, blocks=blocks).select(
-        F.col("id").alias("request_id"), "stopped_by"
+    other = [c for c in requests.columns if c not in ("request_id", "user_id", "ms")]
+    log = limit_chain(requests, "ms", "request_id", presets=presets, blocks=blocks, carry=other).withColumnRenamed(
+        "id", "request_id"
+    )
+    out = ["request_id", "user_id", "ts", *PRODUCT, "quantity", "idempotency_key", "outcome", "items_remaining"]
+    none = F.lit(None).cast("int").alias("items_remaining")
+    checked = dq_order_requests(log).withColumn(
+        "outcome",
+        F.coalesce(F.concat(F.lit("RATE_LIMITED_"), F.upper("stopped_by")), F.col("error_code")),
     )
-    log = requests.join(limited, "request_id")
-    log = log.withColumn("_limit", F.when(F.col("stopped_by").isNotNull(),
-                                          F.concat(F.lit("RATE_LIMITED_"), F.upper("stopped_by"))))
-    checked = dq_order_requests(log)
-    passed = checked.filter("_limit IS NULL AND error_code IS NULL").withColumn(
+    turned_away = checked.filter("outcome IS NOT NULL").withColumn("items_remaining", none)
+
+    passed = checked.filter("outcome IS NULL").withColumn(
         "_key", F.coalesce("idempotency_key", F.concat(F.lit("request:"), F.col("request_id").cast("string")))
     )
     target = F.struct("user_id", *PRODUCT)
@@ -240,27 +252,18 @@ def admission_funnel(
         .when(F.col("gate").isNotNull(), F.col("gate"))
         .when(F.col("_held"), "ALREADY_PURCHASED")
     )
-    gated = gated.withColumn("_stop", stop)
-    competing = gated.filter("_stop IS NULL").select("request_id", "user_id", "ts", *PRODUCT)
-    stocked = admit_requests(competing, sale_products, blocks=blocks).select("request_id", "outcome", "items_remaining")
-    settled = gated.join(stocked, "request_id", "left")
-    owner_of_key = settled.filter("outcome = 'ADMITTED'").select(
-        "_key", F.col("request_id").alias("_order_request"), F.struct("ts", "request_id").alias("_at")
+    # Read by the stock stage, by the key owners and for the stopped requests.
+    gated = pin(gated.withColumn("outcome", stop).select(*out[:-1], "_key"))
+    competing = admit_requests(gated.filter("outcome IS NULL").drop("outcome"), sale_products, blocks=blocks)
+    settled = gated.filter("outcome IS NOT NULL").withColumn("items_remaining", none).unionByName(competing)
+    owner_of_key = competing.filter("outcome = 'ADMITTED'").select(
+        "_key", F.struct("ts", "request_id").alias("_at")
     )
-    repeat = (F.col("_at") < F.struct("ts", "request_id")) & F.col("_order_request").isNotNull()
-    decided = (
-        settled.join(owner_of_key, "_key", "left")
-        .select(
-            "request_id",
-            F.when(repeat, "DUPLICATE").otherwise(F.coalesce("_stop", "outcome")).alias("_decided"),
-            "items_remaining",
-        )
-    )
-    return (
-        checked.join(decided, "request_id", "left")
-        .withColumn("outcome", F.coalesce("_limit", "error_code", "_decided"))
-        .select("request_id", "user_id", "ts", *PRODUCT, "quantity", "idempotency_key", "outcome", "items_remaining")
+    repeat = F.coalesce(F.col("_at") < F.struct("ts", "request_id"), F.lit(False))
+    decided = settled.join(owner_of_key, "_key", "left").withColumn(
+        "outcome", F.when(repeat, "DUPLICATE").otherwise(F.col("outcome"))
     )
+    return turned_away.select(*out).unionByName(decided.select(*out))
 
 
 def funnel_counts(funnel: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ before two plans read it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.session import pin
@@ -46,16 +47,26 @@ def running_totals(
 ) -> DataFrame:
     """Per key, in order: the running sum of `value` and the lowest earlier running sum (NULL at first).
 
-    Scan inside each block, then one carry row per (key, block) that continues a
-    key. That carry frame has at most one row per block, so it is broadcast.
+    Scan inside each block, then add a carry to each block that continues a key.
+    Such a key is the first one of some block, so carries are computed from the
+    rows of those keys alone. Both the list of first keys and the carries have
+    at most one row per block and are broadcast.
     """
+
+    def like(prefix: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in key])
+
     inner = Window.partitionBy("block", *key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
-    scanned = blocked.withColumn("_sum", F.sum(F.col(value).cast("bigint")).over(inner)).withColumn(
-        "_min", F.min("_sum").over(earlier)
-    )
-    per_block = scanned.groupBy("block", *key).agg(
-        F.max_by("_sum", "pos").alias("_bsum"), F.min("_sum").alias("_bmin")
+
+    def scan(df: DataFrame) -> DataFrame:
+        return df.withColumn("_sum", F.sum(F.col(value).cast("bigint")).over(inner))
+
+    firsts = blocked.filter("pos = 0").select(*[F.col(c).alias(f"_f_{c}") for c in key]).distinct()
+    per_block = (
+        scan(blocked.select("block", "pos", value, *key).join(F.broadcast(firsts), like("_f_"), "left_semi"))
+        .groupBy("block", *key)
+        .agg(F.max_by("_sum", "pos").alias("_bsum"), F.min("_sum").alias("_bmin"))
     )
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -63,9 +74,15 @@ def running_totals(
         .withColumn("_abs_min", F.coalesce("_sum_before", F.lit(0)) + F.col("_bmin"))
         .withColumn("_min_before", F.min("_abs_min").over(before))
         .filter(F.col("_sum_before").isNotNull())
-        .select("block", *key, "_sum_before", "_min_before")
+        .select(
+            F.col("block").alias("_c_block"), *[F.col(c).alias(f"_c_{c}") for c in key], "_sum_before", "_min_before"
+        )
+    )
+    joined = (
+        scan(blocked)
+        .withColumn("_min", F.min("_sum").over(earlier))
+        .join(F.broadcast(carry), (F.col("block") == F.col("_c_block")) & like("_c_"), "left")
     )
-    joined = scanned.join(F.broadcast(carry), ["block", *key], "left")
     offset = F.coalesce("_sum_before", F.lit(0))
     return joined.select(
         *[c for c in blocked.columns],

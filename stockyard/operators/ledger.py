@@ -33,11 +33,14 @@ def stock_ledger(
     releases are ignored, or make a counter when `release_creates`.
     With units="quantity" whole quantities move and a reserve needs all of them.
     """
-    opened = events.join(totals.select(*key, "total_qty"), list(key), "left")
+    opening = totals.select(*key, "total_qty")
     if units == "quantity":
-        return _by_quantity(opened, key, release_creates, blocks)
-    one = opened.withColumn("_unit", F.signum("delta").cast("int"))
+        return _by_quantity(events.join(opening, list(key), "left"), key, release_creates, blocks)
+    one = events.select(*key, "ts", "id", "delta", F.signum("delta").cast("int").alias("_unit"))
     summed = running_totals(range_blocks(one, key, ["ts", "id"], blocks), key, "_unit")
+    if release_creates:
+        released = F.when(F.col("_unit") > 0, 1).otherwise(0)
+        summed = running_totals(summed.withColumn("_released", released), key, "_released", "_releases", "_unused")
     start = F.coalesce("total_qty", F.lit(0))
     now = start + F.col("run_sum")
     lowest_before = F.least(F.lit(0), start, start + F.col("low_before"))
@@ -45,12 +48,10 @@ def stock_ledger(
     refused = (F.col("_unit") < 0) & (level_before <= 0)
     has_counter = F.col("total_qty").isNotNull()
     if release_creates:
-        released = F.when(F.col("_unit") > 0, 1).otherwise(0)
-        summed = running_totals(summed.withColumn("_released", released), key, "_released", "_releases", "_unused")
         has_counter = has_counter | (F.col("_releases") > 0)
     level = F.when(has_counter, F.when(refused, level_before).otherwise(level_before + F.col("_unit")))
     reason = F.when(F.col("_unit") < 0, F.when(~has_counter, "SALE_NOT_FOUND").when(refused, "OUT_OF_STOCK"))
-    return summed.select(
+    return summed.join(opening, list(key), "left").select(
         *key,
         "ts",
         "id",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.operators.replay import replay
+from stockyard.session import pin
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -49,7 +50,9 @@ def window_step(state: list, row: tuple) -> tuple:
     return True, n + 1, 0, max(0, limit - n - 1)
 
 
-def limit_rows(df: DataFrame, key: Sequence[str], ms: str, id_: str, blocks: int | None = None) -> DataFrame:
+def limit_rows(
+    df: DataFrame, key: Sequence[str], ms: str, id_: str, blocks: int | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Replay with per-row `limit` and `window_ms` columns (routes that share one key)."""
     calls = df.select(
         *key,
@@ -57,8 +60,9 @@ def limit_rows(df: DataFrame, key: Sequence[str], ms: str, id_: str, blocks: int
         id_,
         F.col("limit").cast("int").alias("limit"),
         F.col("window_ms").cast("bigint").alias("window_ms"),
+        *carry,
     )
-    return replay(calls, key, [ms, id_], [ms, "limit", "window_ms"], window_step, _VERDICT, blocks)
+    return replay(calls, key, [ms, id_], [ms, "limit", "window_ms"], window_step, _VERDICT, blocks, carry)
 
 
 def limit_sliding(
@@ -69,30 +73,36 @@ def limit_sliding(
     limit: int,
     window_ms: int,
     blocks: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One (limit, window) for all rows: key, ms, id and the verdict columns."""
+    """One (limit, window) for all rows: key, ms, id, carried columns and the verdict columns.
+
+    The limit is bound into the step, so only key, time and id travel.
+    """
     key_col = F.col(key) if isinstance(key, str) else key
-    calls = df.select(
-        key_col.alias("key"), ms, id_, F.lit(limit).alias("limit"), F.lit(window_ms).cast("bigint").alias("window_ms")
-    )
-    return limit_rows(calls, ["key"], ms, id_, blocks).drop("limit", "window_ms")
 
+    def step(state: list, row: tuple) -> tuple:
+        return window_step(state, (row[0], limit, window_ms))
+
+    calls = df.select(key_col.alias("key"), F.col(ms).cast("bigint").alias(ms), id_, *carry)
+    return replay(calls, ["key"], [ms, id_], [ms], step, _VERDICT, blocks, carry)
 
-def limit_user(df, ms, id_, user="user_id", ip=None, preset=PRESETS["user"], blocks=None) -> DataFrame:
+
+def limit_user(df, ms, id_, user="user_id", ip=None, preset=PRESETS["user"], blocks=None, carry=()) -> DataFrame:
     """Per user, or per address for calls without a user."""
     key = F.col(user).cast("string")
     if ip:
         key = F.coalesce(key, F.col(ip))
-    return limit_sliding(df, key, ms, id_, *preset, blocks=blocks)
+    return limit_sliding(df, key, ms, id_, *preset, blocks=blocks, carry=carry)
 
 
-def limit_buy(df, ms, id_, user="user_id", ip=None, preset=PRESETS["buy"], blocks=None) -> DataFrame:
-    return limit_user(df, ms, id_, user, ip, preset, blocks)
+def limit_buy(df, ms, id_, user="user_id", ip=None, preset=PRESETS["buy"], blocks=None, carry=()) -> DataFrame:
+    return limit_user(df, ms, id_, user, ip, preset, blocks, carry)
 
 
-def limit_global(df, ms, id_, preset=PRESETS["global"], blocks=None) -> DataFrame:
+def limit_global(df, ms, id_, preset=PRESETS["global"], blocks=None, carry=()) -> DataFrame:
     """One key for all calls; range blocks still spread it over the cluster."""
-    return limit_sliding(df, F.lit("orders"), ms, id_, *preset, blocks=blocks)
+    return limit_sliding(df, F.lit("orders"), ms, id_, *preset, blocks=blocks, carry=carry)
 
 
 def limit_auth(df, ms, id_, ip="ip", preset=PRESETS["auth"], blocks=None) -> DataFrame:
@@ -106,24 +116,39 @@ def limit_chain(
     user: str = "user_id",
     presets: dict | None = None,
     blocks: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """global -> user -> buy; a call meets the next limiter only if the last one let it pass.
 
     Adds `stopped_by` (NULL when all three let it pass) and `retry_after_s`.
+    Columns travel with the calls, so the stages need no joins. The first two
+    results are pinned: the next stage reads them to find its ranges, to lay
+    out its blocks, and for the calls that stopped there.
     """
     rates = {**PRESETS, **(presets or {})}
-    calls = df.select(F.col(user).alias("user_id"), F.col(ms).alias("ms"), F.col(id_).alias("id"))
-    first = limit_global(calls, "ms", "id", rates["global"], blocks)
-    survivors = calls.join(first.filter("allowed").select("id"), "id", "left_semi")
-    second = limit_user(survivors, "ms", "id", preset=rates["user"], blocks=blocks)
-    third_in = survivors.join(second.filter("allowed").select("id"), "id", "left_semi")
-    third = limit_buy(third_in, "ms", "id", preset=rates["buy"], blocks=blocks)
-
-    def stops(verdicts: DataFrame, name: str) -> DataFrame:
-        return verdicts.filter(~F.col("allowed")).select("id", F.lit(name).alias("stopped_by"), "retry_after_s")
-
-    stopped = stops(first, "global").unionByName(stops(second, "user")).unionByName(stops(third, "buy"))
-    return calls.join(stopped, "id", "left")
+    columns = ["user_id", "ms", "id", *carry]
+    calls = df.select(F.col(user).alias("user_id"), F.col(ms).alias("ms"), F.col(id_).alias("id"), *carry)
+    first = pin(limit_global(calls, "ms", "id", rates["global"], blocks, ["user_id", *carry]))
+    passed = first.filter("allowed").select(*columns)
+    second = pin(
+        limit_user(passed, "ms", "id", preset=rates["user"], blocks=blocks, carry=["user_id", *carry])
+    )
+    passed = second.filter("allowed").select(*columns)
+    third = limit_buy(passed, "ms", "id", preset=rates["buy"], blocks=blocks, carry=["user_id", *carry])
+
+    def result(verdicts: DataFrame, name: str) -> DataFrame:
+        stopped = ~F.col("allowed")
+        return verdicts.select(
+            *columns,
+            F.when(stopped, name).alias("stopped_by"),
+            F.when(stopped, F.col("retry_after_s")).alias("retry_after_s"),
+        )
+
+    return (
+        result(first.filter("NOT allowed"), "global")
+        .unionByName(result(second.filter("NOT allowed"), "user"))
+        .unionByName(result(third, "buy"))
+    )
 
 
 def attempt_pressure(df: DataFrame, key: str, ms: str, window_ms: int) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from stockyard.functions.scalars import clamp_page, image_url
 from stockyard.operators.blocks import range_blocks
 from stockyard.operators.nesting import MAX_ITEMS, nest
+from stockyard.operators.sizing import left_join_many
+from stockyard.session import pin
 
 # Largest offset + limit that is answered by a top-k on the driver side.
 TOP_K_ROWS = 50_000
@@ -119,7 +121,7 @@ def sale_detail_rows(
     available_qty is the counter, 0 where it is missing, and NULL unless the sale is ACTIVE.
     """
     lines = sale_lines(sale_products, products).join(counters, "sale_product_id", "left")
-    joined = sales.withColumnRenamed("id", "sale_id").join(lines, "sale_id", "left")
+    joined = left_join_many(sales.withColumnRenamed("id", "sale_id"), lines, ["sale_id"])
     live = F.when(
         (F.col("status") == "ACTIVE") & F.col("sale_product_id").isNotNull(),
         F.coalesce("live_qty", F.lit(0)),
@@ -160,6 +162,38 @@ def _listed(orders: DataFrame, order_items: DataFrame, products: DataFrame) -> D
     return orders.join(known.select(F.col("order_id").alias("id")), "id", "left_semi")
 
 
+def _page_of_listed(
+    orders: DataFrame, order_items: DataFrame, products: DataFrame, parents: Sequence[tuple], offset: int, limit: int
+) -> DataFrame:
+    """A page, newest first, of the orders that have all `parents` and a listed item.
+
+    `parents` are (frame, key) pairs to join. Orders are in page order before
+    the joins, so twice the rows needed are taken from the orders alone and only
+    these are joined, as the broadcast side. When too many of them drop out, all
+    orders are joined instead.
+    """
+
+    def joined(df: DataFrame, small: bool) -> DataFrame:
+        for parent, key in parents:
+            df = parent.join(F.broadcast(df) if small else df, key)
+        return df
+
+    needed = offset + limit
+    taken = 2 * needed + 100
+    if taken <= TOP_K_ROWS:
+        first = pin(orders.orderBy(*newest_first()).limit(taken))
+        ids = first.select(F.col("id").alias("order_id"))
+        items = order_items.select("order_id", "product_id").join(F.broadcast(ids), "order_id", "left_semi")
+        known = items.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+        whole = joined(first, True).join(
+            known.select(F.col("order_id").alias("id")).distinct(), "id", "left_semi"
+        )
+        whole = pin(whole)
+        if whole.count() >= needed or first.count() < taken:
+            return page(whole, newest_first(), offset, limit)
+    return page(_listed(joined(orders, False), order_items, products), newest_first(), offset, limit)
+
+
 def list_user_orders(
     orders: DataFrame,
     sales: DataFrame,
@@ -175,13 +209,13 @@ def list_user_orders(
     Without `user_id` the same page of every user is returned.
     """
     _, n, offset = clamp_page(page_no, limit)
-    named = orders.join(sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name")), "sale_id")
-    header = _listed(named, order_items, products).select(
-        "id", "user_id", "sale_id", "status", "total_amount", "created_at", "updated_at", "sale_name"
-    )
+    named = sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name"))
+    columns = ["id", "user_id", "sale_id", "status", "total_amount", "created_at", "updated_at", "sale_name"]
     if user_id is not None:
-        chosen = page(header.filter(F.col("user_id") == user_id), newest_first(), offset, n)
+        own = orders.filter(F.col("user_id") == user_id)
+        chosen = _page_of_listed(own, order_items, products, [(named, "sale_id")], offset, n).select(*columns)
     else:
+        header = _listed(orders.join(named, "sale_id"), order_items, products).select(*columns)
         # rank <= literal lets Spark cut each group before it is shuffled
         rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest_first()))
         chosen = (
@@ -210,12 +244,16 @@ def list_admin_orders(
     people = users.select(
         F.col("id").alias("user_id"), F.col("email").alias("user_email"), F.col("full_name").alias("user_name")
     )
-    wanted = where_all(orders, status_is(status)).join(
-        sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name")), "sale_id"
+    named = sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name"))
+    chosen = _page_of_listed(
+        where_all(orders, status_is(status)),
+        order_items,
+        products,
+        [(named, "sale_id"), (people, "user_id")],
+        (page_no - 1) * limit,
+        limit,
     )
-    wanted = wanted.join(people.select("user_id"), "user_id", "left_semi")
-    chosen = page(_listed(wanted, order_items, products), newest_first(), (page_no - 1) * limit, limit)
-    header = chosen.join(people, "user_id").select(
+    header = chosen.select(
         "id", "status", "total_amount", "created_at", "updated_at", "user_email", "user_name", "sale_name"
     )
     return _with_items(

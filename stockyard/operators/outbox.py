@@ -64,7 +64,8 @@ def append_events(outbox: DataFrame, events: DataFrame, batch_id: str, created_a
     """The log with a batch of events (event_type, payload, event_key) added, unpublished.
 
     Ids come from the batch, type and event key, so a rerun of the batch makes
-    the same ids; events already in the log are not added again.
+    the same ids; events already in the log are not added again. Only log rows
+    of the same `created_at` can be such events, so no others are compared.
     """
     fresh = events.select(
         F.md5(F.concat_ws(":", F.lit(batch_id), "event_type", F.col("event_key").cast("string"))).alias("id"),
@@ -74,7 +75,8 @@ def append_events(outbox: DataFrame, events: DataFrame, batch_id: str, created_a
         created_at.alias("created_at"),
     )
     log = outbox.withColumn("id", F.col("id").cast("string"))
-    return log.unionByName(fresh.join(log.select("id"), "id", "left_anti"))
+    same_time = log.filter(F.col("created_at") == created_at)
+    return log.unionByName(fresh.join(same_time.select("id"), "id", "left_anti"))
 
 
 def routed(outbox: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import stuck_order_payload
 from stockyard.operators.reports import join_order_line_to_sale_product
+from stockyard.operators.sizing import broadcast_if_small
 from stockyard.operators.transitions import give_back_reserved, move_counters
 from stockyard.schemas import LIVE_ORDER_STATUSES
+from stockyard.session import pin
 
 STUCK_AFTER = "INTERVAL 15 MINUTES"
 STALE_AFTER = "INTERVAL 10 MINUTES"
@@ -60,8 +62,10 @@ def inventory_discrepancies(
 
 
 def repair_counters(counters: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counters with an issue are moved to the expected level."""
-    fixed = issues.select("sale_product_id", F.col("expected_qty").cast("int").alias("_fixed"))
+    """Counters with an issue are moved to the expected level; `issues` is counted to choose the join."""
+    fixed = broadcast_if_small(
+        issues.select("sale_product_id", F.col("expected_qty").cast("int").alias("_fixed"))
+    )
     return counters.join(fixed, "sale_product_id", "left").select(
         "sale_product_id", F.coalesce("_fixed", "live_qty").alias("live_qty")
     )
@@ -74,9 +78,14 @@ def stuck_pending_orders(orders, order_items, sale_products, as_of: Column) -> D
 
 
 def fail_stuck_orders(orders, order_items, sale_products, counters, as_of: Column) -> dict[str, DataFrame]:
-    """Stuck orders fail; their units go back to reserved_qty and to existing counters, one event per line."""
-    lines = stuck_pending_orders(orders, order_items, sale_products, as_of)
-    failed = lines.select(F.col("order_id").alias("id"), F.lit(True).alias("_stuck")).distinct()
+    """Stuck orders fail; their units go back to reserved_qty and to existing counters, one event per line.
+
+    The stuck lines are pinned, since every result frame comes from them.
+    """
+    lines = pin(stuck_pending_orders(orders, order_items, sale_products, as_of))
+    failed = broadcast_if_small(
+        lines.select(F.col("order_id").alias("id"), F.lit(True).alias("_stuck")).distinct()
+    )
     hit = F.col("_stuck").isNotNull()
     updated = (
         orders.join(failed, "id", "left")
@@ -84,11 +93,10 @@ def fail_stuck_orders(orders, order_items, sale_products, counters, as_of: Colum
         .withColumn("status", F.when(hit, "FAILED").otherwise(F.col("status")))
         .drop("_stuck")
     )
-    twin = F.row_number().over(Window.partitionBy("order_id", "product_id").orderBy("quantity"))
-    events = lines.withColumn("_twin", twin).select(
+    events = lines.select(
         F.lit("PAYMENT_FAILED").alias("event_type"),
         stuck_order_payload().alias("payload"),
-        F.concat_ws(":", "order_id", "product_id", "_twin").alias("event_key"),
+        F.col("item_id").cast("string").alias("event_key"),
     )
     return {
         "orders": updated,
@@ -102,10 +110,12 @@ def fail_stuck_orders(orders, order_items, sale_products, counters, as_of: Colum
 def sync_inventory(sales, sale_products, inventory, counters, as_of: Column) -> DataFrame:
     """Inventory rows of ACTIVE sales take the level of their counter, where there is one."""
     active = sales.filter("status = 'ACTIVE'").select(F.col("id").alias("sale_id"))
-    level = (
-        sale_products.join(active, "sale_id", "left_semi")
-        .select(F.col("id").alias("sale_product_id"))
-        .join(counters.withColumnRenamed("live_qty", "_live"), "sale_product_id")
+    level = broadcast_if_small(
+        pin(
+            sale_products.join(active, "sale_id", "left_semi")
+            .select(F.col("id").alias("sale_product_id"))
+            .join(counters.withColumnRenamed("live_qty", "_live"), "sale_product_id")
+        )
     )
     return (
         inventory.join(level, "sale_product_id", "left")
@@ -129,8 +139,10 @@ def reconcile_run(
     `summary` is one row: stuck_fixed, discrepancies, stale_events, has_issues.
     """
     repaired = fail_stuck_orders(orders, order_items, sale_products, counters, as_of)
-    issues = inventory_discrepancies(
-        sales, repaired["sale_products"], products, repaired["orders"], order_items, repaired["counters"]
+    issues = pin(
+        inventory_discrepancies(
+            sales, repaired["sale_products"], products, repaired["orders"], order_items, repaired["counters"]
+        )
     )
     counters_now = repair_counters(repaired["counters"], issues)
     stale = stale_outbox(outbox, outbox_as_of if outbox_as_of is not None else as_of)

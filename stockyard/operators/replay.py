@@ -1,15 +1,16 @@
 """Ordered replay of per-key state that a window expression cannot express.
 
 Rows are laid out by `range_blocks`. One small fold runs over each block in
-order. Only the key that crosses a border needs the state its left neighbour
-ended with, so blocks are first folded from an empty state, and those blocks
+order. Only a key that crosses a border needs the state its left neighbour ended
+with. So the rows of such keys are first folded from an empty state, and blocks
 whose true entry state turns out different are folded again until nothing
-changes. The first block of a key starts from the right state, so every round
-settles at least one more block and the fixpoint is the sequential result.
-Blocks that hold several keys never take part in the rounds.
+changes. The first block of a key starts right, so every round settles at least
+one more block and the fixpoint is the sequential result. Blocks that hold
+several keys never take part in the rounds, and a key's chain settles early
+where its state no longer depends on how it began.
 
-States travel as table rows, never through the driver; the driver sees one
-digest per block.
+The driver sees the border keys and one digest per block. States are handed to
+the blocks as a broadcast while their measured size is small, else as rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,75 +33,74 @@ from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
 
-# A fold: step(state, row) -> output tuple; state is a JSON-serialisable list, [] when new.
+# A fold: step(state, args) -> output tuple; state is a JSON-serialisable list, [] when new.
 Step = Callable[[list, tuple], tuple]
 
-_ENDS = struct("block INT, first_key STRING, last_key STRING, digest STRING, state STRING")
+# States of all blocks together, as text, that may be broadcast.
+BROADCAST_STATE_BYTES = 64 << 20
 
+_ENDS = struct("block INT, digest STRING, state STRING")
+_EMPTY = "[]"
 
-def _key_of(values: Sequence) -> str:
-    return json.dumps(values, default=str)
 
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
 
-def _ends_of_blocks(step: Step, n_key: int, columns: list[str]):
-    """Per block: first and last key and the state the last key ends with."""
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = key = first = None
-        state: list = []
-        done = []
+def _batches(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    types = to_arrow_schema(schema).types
+    return pa.RecordBatch.from_arrays(
+        [pa.array(col, type=t) for col, t in zip(zip(*rows), types)], names=schema.fieldNames()
+    )
 
-        def close():
-            text = json.dumps(state)
-            done.append((block, _key_of(first), _key_of(key), hashlib.md5(text.encode()).hexdigest(), text))
 
+def _end_states(step: Step, n_args: int, columns: list[str], entries):
+    """Per block of rows of one key: the state after its last row."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = entries.value if entries is not None else {}
+        block, state, done = None, [], []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                b, entry, row_key = row[0], row[1], row[2 : 2 + n_key]
-                if b != block:
+                if row[0] != block:
                     if block is not None:
-                        close()
-                    block, key, first, state = b, row_key, row_key, []
-                elif row_key != key:
-                    key, state = row_key, []
-                if entry is not None:
-                    state = json.loads(entry)
+                        done.append((block, state))
+                    block, state = row[0], json.loads(given.get(row[0], _EMPTY))
+                if row[1] is not None:
+                    state = json.loads(row[1])
                 else:
-                    step(state, row[2 + n_key :])
+                    step(state, row[2 : 2 + n_args])
         if block is not None:
-            close()
+            done.append((block, state))
         if done:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(col, type=t) for col, t in zip(zip(*done), to_arrow_schema(_ENDS).types)],
-                names=_ENDS.fieldNames(),
-            )
+            texts = [(b, json.dumps(s)) for b, s in done]
+            yield _batches([(b, _digest(t), t) for b, t in texts], _ENDS)
 
     return fold
 
 
-def _all_rows(step: Step, n_key: int, columns: list[str], passed: list[int], schema: T.StructType):
+def _all_rows(step: Step, n_key: int, n_args: int, columns: list[str], passed: list[int], schema, entries):
     """Per event row: the kept input columns and what the fold says of it."""
-    types = to_arrow_schema(schema).types
-    names = schema.fieldNames()
+    args_at = 2 + n_key
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = entries.value if entries is not None else {}
         block = key = None
         state: list = []
         for batch in batches:
             out = []
             for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                row_key = row[2 : 2 + n_key]
-                if row[0] != block or row_key != key:
-                    block, key, state = row[0], row_key, []
+                row_key = row[2:args_at]
+                if row[0] != block:
+                    block, key, state = row[0], row_key, json.loads(given.get(row[0], _EMPTY))
+                elif row_key != key:
+                    key, state = row_key, []
                 if row[1] is not None:
                     state = json.loads(row[1])
                     continue
-                said = step(state, row[2 + n_key :])
-                out.append(tuple(row[i] for i in passed) + said)
+                out.append(tuple(row[i] for i in passed) + step(state, row[args_at : args_at + n_args]))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(col, type=t) for col, t in zip(zip(*out), types)], names=names
-                )
+                yield _batches(out, schema)
 
     return fold
 
@@ -112,77 +113,96 @@ def replay(
     step: Step,
     output: str,
     blocks: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Fold `step` over the rows of each key in `order`.
 
-    `args` are the columns handed to `step`. The result has key, order and args
-    columns plus those of the DDL text `output`. Order columns must make rows
-    unique within a key, and key and order columns must be plain values.
+    `args` are the columns handed to `step`, `carry` further ones to keep. The
+    result has all these and the columns of the DDL text `output`. Order columns
+    must make rows unique within a key.
     """
-    kept = list(dict.fromkeys([*key, *order, *args]))
-    blocked = range_blocks(df.select(*kept), key, order, blocks)
+    kept = list(dict.fromkeys([*key, *order, *args, *carry]))
+    blocked = range_blocks(df.select(*kept), key, order, blocks).withColumn("entry", F.lit(None).cast("string"))
     spark = df.sparkSession
-
     out_schema = T.StructType([*df.select(*kept).schema.fields, *struct(output).fields])
     columns = ["block", "entry", *key, *args, *[c for c in kept if c not in key and c not in args]]
     passed = [columns.index(c) for c in kept]
-    n_key, n_args = len(key), len(args)
-
-    def bounded(state, row):
-        return step(state, row[:n_args])
 
-    ends_fold = _ends_of_blocks(bounded, n_key, columns)
-    rows_fold = _all_rows(bounded, n_key, columns, passed, out_schema)
-    rows = blocked.withColumn("entry", F.lit(None).cast("string"))
+    def final(rows: DataFrame, entries=None) -> DataFrame:
+        fold = _all_rows(step, len(key), len(args), columns, passed, out_schema, entries)
+        return rows.mapInArrow(fold, out_schema)
 
     if blocked.rdd.getNumPartitions() == 1:
-        return rows.mapInArrow(rows_fold, out_schema)
-
-    def with_entries(events: DataFrame, entries: DataFrame) -> DataFrame:
-        """Events of each block, led by one row that carries the entry state."""
-        lead = events.filter(F.col("pos") == 0).drop("entry").join(entries, "block").withColumn("pos", F.lit(-1))
-        return (
-            events.unionByName(lead.select(*events.columns))
-            .repartition("block")
-            .sortWithinPartitions("block", "pos")
-        )
-
-    ends = pin(rows.mapInArrow(ends_fold, _ENDS))
-    # One short row per block reaches the driver.
-    info = {r.block: r for r in ends.drop("state").collect()}
-    order_of_blocks = sorted(info)
-    left_of = {
-        b: a for a, b in zip(order_of_blocks, order_of_blocks[1:]) if info[a].last_key == info[b].first_key
+        return final(blocked)
+
+    # One row of border keys per block.
+    whole_key = F.struct(*key)
+    borders = {
+        r.block: (r.first, r.last)
+        for r in blocked.groupBy("block")
+        .agg(F.min_by(whole_key, "pos").alias("first"), F.max_by(whole_key, "pos").alias("last"))
+        .collect()
     }
+    in_order = sorted(borders)
+    left_of = {b: a for a, b in zip(in_order, in_order[1:]) if borders[a][1] == borders[b][0]}
     if not left_of:
-        return rows.mapInArrow(rows_fold, out_schema)
-
-    link = spark.createDataFrame([(a, b) for b, a in left_of.items()], "left_block INT, block INT")
+        return final(blocked)
+
+    tails = sorted(set(left_of.values()))
+    spanning = [b for b in tails if b in left_of and borders[b][0] == borders[b][1]]
+    tail_keys = spark.createDataFrame(
+        [(b, *borders[b][1]) for b in tails],
+        T.StructType(
+            [
+                T.StructField("_block", T.IntegerType()),
+                *[T.StructField(f"_{c}", blocked.schema[c].dataType) for c in key],
+            ]
+        ),
+    )
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key],
+        F.col("block") == F.col("_block"),
+    )
+    # At most one row per block, so broadcasting keeps the blocks in place.
+    crossing = blocked.join(F.broadcast(tail_keys), same, "left_semi")
+    link = F.create_map(*[F.lit(x) for b, a in left_of.items() for x in (a, b)])
+
+    def end_fold(rows: DataFrame, entries=None) -> DataFrame:
+        plain = ["block", "entry", *args]
+        return rows.select(*plain).mapInArrow(_end_states(step, len(args), plain, entries), _ENDS)
+
+    def with_entry_rows(rows: DataFrame, ends: DataFrame, wanted: list[int]) -> DataFrame:
+        """Rows of the blocks, led in each by one row with the entry state."""
+        entry = ends.select(
+            F.try_element_at(link, F.col("block")).alias("block"), F.col("state").alias("entry")
+        ).filter(F.col("block").isin(wanted))
+        lead = rows.filter("pos = 0").drop("entry").join(entry, "block").withColumn("pos", F.lit(-1))
+        return (
+            rows.unionByName(lead.select(*rows.columns)).repartition("block").sortWithinPartitions("block", "pos")
+        )
 
-    def entries_from(ends_now: DataFrame) -> DataFrame:
-        return ends_now.select(F.col("block").alias("left_block"), F.col("state").alias("entry")).join(
-            F.broadcast(link), "left_block"
-        ).drop("left_block")
+    def small_states(ends: DataFrame):
+        """The entry states by block, when all of them together are small."""
+        size = ends.agg(F.coalesce(F.sum(F.length("state")), F.lit(0))).first()[0]
+        if size > BROADCAST_STATE_BYTES:
+            return None
+        held = {r.block: r.state for r in ends.select("block", "state").collect()}
+        return spark.sparkContext.broadcast({b: held[a] for b, a in left_of.items()})
 
-    digest = {b: info[b].digest for b in info}
-    empty = hashlib.md5(b"[]").hexdigest()
-    used = {b: empty for b in info}
+    ends = pin(end_fold(crossing))
+    used = {b: _digest(_EMPTY) for b in spanning}
     while True:
-        spanning = [
-            b
-            for b, a in left_of.items()
-            if info[b].first_key == info[b].last_key and used[b] != digest[a]
-        ]
-        if not spanning:
-            break
-        todo = spark.createDataFrame([(b,) for b in spanning], "block INT")
-        redo = with_entries(
-            rows.join(F.broadcast(todo), "block", "left_semi"),
-            entries_from(ends).join(F.broadcast(todo), "block", "left_semi"),
-        ).mapInArrow(ends_fold, _ENDS)
-        for b in spanning:
-            used[b] = digest[left_of[b]]
-        ends = pin(ends.join(F.broadcast(todo), "block", "left_anti").unionByName(redo))
         digest = {r.block: r.digest for r in ends.select("block", "digest").collect()}
-
-    return with_entries(rows, entries_from(ends)).mapInArrow(rows_fold, out_schema)
+        todo = [b for b in spanning if used[b] != digest[left_of[b]]]
+        states = small_states(ends)
+        if not todo:
+            break
+        rows = blocked.filter(F.col("block").isin(todo))
+        redone = end_fold(rows, states) if states else end_fold(with_entry_rows(rows, ends, todo))
+        used.update({b: digest[left_of[b]] for b in todo})
+        ends = pin(ends.filter(~F.col("block").isin(todo)).unionByName(redone))
+
+    if states:
+        return final(blocked, states)
+    return final(with_entry_rows(blocked, ends, list(left_of)))

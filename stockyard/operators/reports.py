@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stockyard.functions.scalars import millis_between, round_half_up
 from stockyard.operators.listings import order_lines, where_all
 from stockyard.operators.nesting import MAX_ITEMS, nest
+from stockyard.operators.sizing import left_join_many
 from stockyard.schemas import LIVE_ORDER_STATUSES, ORDER_STATUSES, SALE_STATUSES
 
 
@@ -34,11 +35,9 @@ def join_order_star(orders, users, sales, order_items, products) -> DataFrame:
 def join_sale_products_outer(sales, sale_products, products) -> DataFrame:
     """sales with their sale products and product names; every sale is kept."""
     named = _rename(products, product_id="id", product_name="name")
-    return (
-        _rename(sales, sale_id="id", sale_name="name", status="status")
-        .join(sale_products.withColumnRenamed("id", "sale_product_id"), "sale_id", "left")
-        .join(named, "product_id", "left")
-    )
+    heads = _rename(sales, sale_id="id", sale_name="name", status="status")
+    lines = sale_products.withColumnRenamed("id", "sale_product_id")
+    return left_join_many(heads, lines, ["sale_id"]).join(named, "product_id", "left")
 
 
 def order_lines_by_sale_product(orders: DataFrame, order_items: DataFrame, *aggregates: Column) -> DataFrame:
@@ -80,7 +79,7 @@ def join_order_line_to_sale_product(orders, order_items, sale_products) -> DataF
     )
     keys = sale_products.select(F.col("id").alias("sale_product_id"), "sale_id", "product_id")
     return (
-        order_items.select("order_id", "product_id", "quantity")
+        order_items.select(F.col("id").alias("item_id"), "order_id", "product_id", "quantity")
         .join(heads, "order_id")
         .join(keys, ["sale_id", "product_id"])
     )
@@ -150,7 +149,7 @@ def anti_unknown_reference(
 
 def status_counts(df: DataFrame, statuses: Sequence[str]) -> DataFrame:
     """Rows per status; listed statuses without rows count 0, unlisted ones are kept."""
-    listed = df.sparkSession.createDataFrame([(s,) for s in statuses], "status STRING")
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, statuses))).alias("status"))
     found = df.groupBy("status").agg(F.count("*").alias("n"))
     return listed.join(found, "status", "full").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 

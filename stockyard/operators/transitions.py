@@ -1,6 +1,8 @@
 """State changes as table transforms: current frames and input in, new frames out.
 
-Callers write the results. `as_of` is always explicit.
+Callers write the results. `as_of` is always explicit. The list of changes that
+several result frames share is pinned once; while it is short it is broadcast,
+so that a few changes do not shuffle a large table.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import parse_float, trim_all
 from stockyard.operators.outbox import payment_failed_payload, payment_success_payload
+from stockyard.operators.sizing import broadcast_if_small
+from stockyard.session import pin
 
 
 def upsert(
@@ -59,8 +63,9 @@ def _lines_of(sale_products: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def _opened_counters(lines: DataFrame, counters: DataFrame) -> DataFrame:
-    fresh = lines.select(F.col("id").alias("sale_product_id"), F.col("total_qty").alias("live_qty"))
-    return counters.join(fresh, "sale_product_id", "left_anti").unionByName(fresh)
+    fresh = pin(lines.select(F.col("id").alias("sale_product_id"), F.col("total_qty").alias("live_qty")))
+    ids = broadcast_if_small(fresh.select("sale_product_id"))
+    return counters.join(ids, "sale_product_id", "left_anti").unionByName(fresh)
 
 
 def activate_sales(sales, sale_products, counters, as_of: Column) -> dict[str, DataFrame]:
@@ -75,11 +80,13 @@ def activate_sales(sales, sale_products, counters, as_of: Column) -> dict[str, D
 def settle_ended_sales(sales, sale_products, inventory, counters, as_of: Column) -> dict[str, DataFrame]:
     """Due ACTIVE sales become ENDED; their counters are written back to the tables and dropped."""
     due = sales_due_to_end(sales, as_of)
-    left = (
-        _lines_of(sale_products, due)
-        .select(F.col("id").alias("sale_product_id"))
-        .join(counters, "sale_product_id")
-        .withColumnRenamed("live_qty", "_left")
+    left = broadcast_if_small(
+        pin(
+            _lines_of(sale_products, due)
+            .select(F.col("id").alias("sale_product_id"))
+            .join(counters, "sale_product_id")
+            .withColumnRenamed("live_qty", "_left")
+        )
     )
     settled = (
         sale_products.join(left.withColumnRenamed("sale_product_id", "id"), "id", "left")
@@ -229,8 +236,13 @@ def deactivate_products(products: DataFrame, requests: DataFrame) -> dict[str, D
 
 
 def move_counters(counters: DataFrame, moves: DataFrame, create: bool = False) -> DataFrame:
-    """Add `n` per sale_product_id; a missing counter is left missing, or made when `create`."""
+    """Add `n` per sale_product_id; a missing counter is left missing, or made when `create`.
+
+    `moves` should be pinned; it is counted to choose the join.
+    """
     summed = moves.groupBy("sale_product_id").agg(F.sum("n").alias("_n"))
+    if not create:
+        summed = broadcast_if_small(summed)
     joined = counters.join(summed, "sale_product_id", "full" if create else "left")
     level = F.coalesce("live_qty", F.lit(0)) + F.coalesce("_n", F.lit(0))
     return joined.select("sale_product_id", level.cast("int").alias("live_qty"))
@@ -240,8 +252,11 @@ def give_back_reserved(sale_products: DataFrame, failed: DataFrame) -> DataFrame
     """Lower reserved_qty by the failed quantities, not below zero.
 
     All moves are decrements, so one clamped sum equals clamping one by one.
+    `failed` should be pinned; it is counted to choose the join.
     """
-    freed = failed.groupBy(F.col("sale_product_id").alias("id")).agg(F.sum("quantity").alias("_q"))
+    freed = broadcast_if_small(
+        failed.groupBy(F.col("sale_product_id").alias("id")).agg(F.sum("quantity").alias("_q"))
+    )
     return (
         sale_products.join(freed, "id", "left")
         .withColumn(
@@ -274,9 +289,11 @@ def apply_payment_outcomes(
         F.min_by(F.struct("success", "transaction_id", "reason"), "delivery_id").alias("_o")
     ).select("order_id", "_o.*")
     pending = orders.filter("status = 'PENDING'").select(F.col("id").alias("order_id"))
-    settled = messages.join(first, "order_id").join(pending, "order_id", "left_semi")
-    result = settled.select(
-        F.col("order_id").alias("id"), F.when(F.col("success"), "CONFIRMED").otherwise("FAILED").alias("_status")
+    settled = pin(messages.join(first, "order_id").join(pending, "order_id", "left_semi"))
+    result = broadcast_if_small(
+        settled.select(
+            F.col("order_id").alias("id"), F.when(F.col("success"), "CONFIRMED").otherwise("FAILED").alias("_status")
+        )
     )
     updated = (
         orders.join(result, "id", "left")

@@ -466,7 +466,7 @@ def repair_counters(v):
     return C.repair_counters(v.live_counters, _issues(v))
 
 
-_STUCK = f"""SELECT o.id AS order_id, o.user_id, o.total_amount, i.product_id, i.quantity, sp.id AS sale_product_id
+_STUCK = f"""SELECT i.id AS item_id, o.id AS order_id, o.user_id, o.total_amount, i.product_id, i.quantity, sp.id AS sale_product_id
              FROM d_orders o JOIN d_order_items i ON i.order_id = o.id
              JOIN d_sale_products sp ON sp.product_id = i.product_id AND sp.sale_id = o.sale_id
              WHERE o.status = 'PENDING' AND o.created_at < {SQL_AS_OF} - INTERVAL 15 MINUTE"""
@@ -485,7 +485,7 @@ def _failed(v):
     return C.fail_stuck_orders(v.orders, v.order_items, v.sale_products, v.live_counters, _at())
 
 
-@query("stuck_pending_orders", "SELECT * FROM x_stuck", _STUCK_VIEWS)
+@query("stuck_pending_orders", "SELECT * EXCLUDE (item_id) FROM x_stuck", _STUCK_VIEWS)
 def stuck_pending_orders(v):
     return C.stuck_pending_orders(v.orders, v.order_items, v.sale_products, _at()).select(
         "order_id", "user_id", "total_amount", "product_id", "quantity", "sale_product_id"
@@ -513,8 +513,7 @@ def fail_stuck_orders_stock(v):
 
 @query(
     "fail_stuck_orders_events",
-    """SELECT 'PAYMENT_FAILED' AS event_type, order_id || ':' || product_id || ':'
-              || row_number() OVER (PARTITION BY order_id, product_id ORDER BY quantity) AS event_key,
+    """SELECT 'PAYMENT_FAILED' AS event_type, item_id AS event_key,
               '{"orderId":' || order_id || ',"userId":' || user_id
               || ',"reason":"Payment processing timed out. Please try again.","amount":"' || total_amount
               || '","productName":"Your order"}' AS payload FROM x_stuck""",

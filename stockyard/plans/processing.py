@@ -550,7 +550,7 @@ def _materialized(v):
 def materialize_orders(v):
     frames = _materialized(v)
     events = frames["outbox"].select(F.col("event_key").alias("id"), "payload")
-    items = frames["order_items"].withColumnRenamed("order_id", "id")
+    items = frames["order_items"].drop("id").withColumnRenamed("order_id", "id")
     return frames["orders"].join(items, "id").join(events, "id")
 
 

@@ -29,7 +29,7 @@ VIEWS = {
                o_orderdate AS created_at, o_orderdate AS updated_at
         FROM orders""",
     "d_order_items": """
-        SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
+        SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
                CAST(l_extendedprice AS DECIMAL(10,2)) AS unit_price
         FROM lineitem""",
     "d_sales": f"""

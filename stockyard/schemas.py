@@ -57,7 +57,7 @@ TABLES = {
         "id BIGINT, user_id BIGINT, sale_id BIGINT, idempotency_key STRING, status STRING, "
         "total_amount MONEY, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
     ),
-    "order_items": struct("order_id BIGINT, product_id BIGINT, quantity INT, unit_price MONEY"),
+    "order_items": struct("id STRING, order_id BIGINT, product_id BIGINT, quantity INT, unit_price MONEY"),
     "outbox": struct(
         "id BIGINT, event_type STRING, payload STRING, published BOOLEAN, created_at TIMESTAMP_NTZ"
     ),

@@ -78,6 +78,9 @@ class Fixtures:
     @cached_property
     def order_items(self) -> DataFrame:
         return self.raw("lineitem").select(
+            F.concat_ws(
+                "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+            ).alias("id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),

@@ -141,7 +141,7 @@ def test_boundaries_are_strict(spark):
         ],
         TABLES["orders"],
     )
-    items = spark.createDataFrame([(i, 1, 2, Decimal("1.00")) for i in (0, 1)], TABLES["order_items"])
+    items = spark.createDataFrame([(f"i{i}", i, 1, 2, Decimal("1.00")) for i in (0, 1)], TABLES["order_items"])
     sp = spark.createDataFrame([(9, 1, 1, Decimal("1.00"), 5, 1)], TABLES["sale_products"])
     counters = spark.createDataFrame([(9, 3)], "sale_product_id BIGINT, live_qty INT")
     assert [r.order_id for r in reconcile.stuck_pending_orders(orders, items, sp, ts(NOW)).collect()] == [1]
@@ -173,7 +173,7 @@ def reconcile_state(spark):
             TABLES["orders"],
         ),
         "order_items": spark.createDataFrame(
-            [(i, i % 3, 1 + i, Decimal("5.00")) for i in range(4)], TABLES["order_items"]
+            [(f"i{i}", i, i % 3, 1 + i, Decimal("5.00")) for i in range(4)], TABLES["order_items"]
         ),
         "inventory": spark.createDataFrame([(p, 10 + p, 9, start) for p in range(4)], TABLES["inventory"]),
         "counters": spark.createDataFrame([(10, 2), (11, 8), (12, 9)], "sale_product_id BIGINT, live_qty INT"),
@@ -296,5 +296,5 @@ def test_typed_scan(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
     tables = load(spark, str(tmp_path))
     assert {t: df.schema for t, df in tables.items()} == dict(TABLES)
-    loose = spark.createDataFrame([("1", "2", "3", "4.5")], "order_id STRING, product_id STRING, quantity STRING, unit_price STRING")
+    loose = spark.createDataFrame([("i", "1", "2", "3", "4.5")], "id STRING, order_id STRING, product_id STRING, quantity STRING, unit_price STRING")
     assert conform(loose, "order_items").first().unit_price == Decimal("4.50")
