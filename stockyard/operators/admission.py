@@ -11,9 +11,9 @@ from stockyard.functions.scalars import to_money
 from stockyard.operators.blocks import row_numbers
 from stockyard.operators.limits import limit_chain
 from stockyard.operators.outbox import order_created_payload
-from stockyard.operators.replay import replay
+from stockyard.operators.replay import replay, row_by_row
 from stockyard.operators.rules import dq_order_requests
-from stockyard.session import pin
+from stockyard.session import store
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -148,7 +148,7 @@ def admit_with_releases(
         list(key),
         ["ts", "id"],
         ["total_qty", "kind", "user_id"],
-        _purchase_step,
+        row_by_row(_purchase_step),
         "outcome STRING, items_remaining INT",
         blocks,
     ).drop("total_qty")
@@ -164,7 +164,7 @@ def materialize_orders(admitted: DataFrame, sale_products: DataFrame, products:
         F.col("id").alias("sale_product_id"), "sale_id", "product_id", F.col("sale_price").alias("unit_price")
     )
     named = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    lines = pin(
+    lines = store(
         admitted.join(offered, PRODUCT)
         .join(named, "product_id")
         .withColumn("order_id", F.md5(F.concat(F.lit("order:"), F.col("request_id").cast("string"))))
@@ -253,7 +253,7 @@ def admission_funnel(
         .when(F.col("_held"), "ALREADY_PURCHASED")
     )
     # Read by the stock stage, by the key owners and for the stopped requests.
-    gated = pin(gated.withColumn("outcome", stop).select(*out[:-1], "_key"))
+    gated = store(gated.withColumn("outcome", stop).select(*out[:-1], "_key"))
     competing = admit_requests(gated.filter("outcome IS NULL").drop("outcome"), sale_products, blocks=blocks)
     settled = gated.filter("outcome IS NOT NULL").withColumn("items_remaining", none).unionByName(competing)
     owner_of_key = competing.filter("outcome = 'ADMITTED'").select(

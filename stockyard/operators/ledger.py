@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators.blocks import range_blocks, running_totals
-from stockyard.operators.replay import replay
+from stockyard.operators.replay import replay, row_by_row
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -79,7 +79,7 @@ def _by_quantity(opened, key, release_creates, blocks) -> DataFrame:
         return state[0], True, None
 
     rows = replay(
-        opened, key, ["ts", "id"], ["total_qty", "delta"], step, "level INT, success BOOLEAN, reason STRING", blocks
+        opened, key, ["ts", "id"], ["total_qty", "delta"], row_by_row(step), "level INT, success BOOLEAN, reason STRING", blocks
     )
     return rows.select(*key, "ts", "id", "delta", "level", "success", "reason")
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockyard.operators.replay import replay
-from stockyard.session import pin
+from stockyard.operators.replay import Run, replay, row_by_row
+from stockyard.session import store
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -50,6 +51,56 @@ def window_step(state: list, row: tuple) -> tuple:
     return True, n + 1, 0, max(0, limit - n - 1)
 
 
+def window_run(limit: int, window_ms: int) -> Run:
+    """`window_step` over many rows at once, for one limit and window.
+
+    Keys are laid end to end on one time axis, more than a window apart. A full
+    key admits its next call at the first one a window after the call admitted
+    `limit` admissions earlier, so only admitted calls are stepped through.
+    """
+    by_row = row_by_row(lambda state, row: window_step(state, (row[0], limit, window_ms)))
+
+    def run(state: list, args: list, starts: np.ndarray) -> tuple[list, list]:
+        ms = args[0].to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.asarray(state, dtype=np.int64)
+        zero = int(min(ms.min(), held.min())) if state else int(ms.min())
+        apart = int(ms.max()) - zero + window_ms + 1
+        if limit <= 0 or apart * len(starts) >= 1 << 62:
+            return by_row(state, args, starts)
+        c, n = len(held), len(ms)
+        place = np.zeros(n, dtype=np.int64)
+        place[starts[1:]] = apart
+        t = np.concatenate((held - zero, ms - zero + np.cumsum(place)))
+        free_at = np.searchsorted(t, t + window_ms, "left").tolist()
+        admitted = list(range(c))
+        first = 0
+        for lo, hi in zip((starts + c).tolist(), [*(starts[1:] + c).tolist(), c + n]):
+            if lo > c:
+                first = len(admitted)
+            i = lo
+            while i < hi:
+                oldest = len(admitted) - limit
+                if oldest >= first and free_at[admitted[oldest]] > i:
+                    i = free_at[admitted[oldest]]
+                    continue
+                admitted.append(i)
+                i += 1
+        inside = np.asarray(admitted, dtype=np.int64)
+        flag = np.zeros(c + n, dtype=bool)
+        flag[inside] = True
+        inside_t, now = t[inside], t[c:]
+        expired = np.searchsorted(inside_t, now - window_ms, "right")
+        count = np.cumsum(flag)[c:] - expired
+        allowed = flag[c:]
+        retry = np.zeros(n, dtype=np.int64)
+        retry[~allowed] = -((now[~allowed] - window_ms - inside_t[expired[~allowed]]) // 1000)
+        live = inside_t[max(first, len(admitted) - limit) :]
+        live = live[live > now[-1] - window_ms] - now[-1] + ms[-1]
+        return [allowed, count, retry, np.maximum(0, limit - count)], live.tolist()
+
+    return run
+
+
 def limit_rows(
     df: DataFrame, key: Sequence[str], ms: str, id_: str, blocks: int | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -62,7 +113,7 @@ def limit_rows(
         F.col("window_ms").cast("bigint").alias("window_ms"),
         *carry,
     )
-    return replay(calls, key, [ms, id_], [ms, "limit", "window_ms"], window_step, _VERDICT, blocks, carry)
+    return replay(calls, key, [ms, id_], [ms, "limit", "window_ms"], row_by_row(window_step), _VERDICT, blocks, carry)
 
 
 def limit_sliding(
@@ -75,17 +126,10 @@ def limit_sliding(
     blocks: int | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One (limit, window) for all rows: key, ms, id, carried columns and the verdict columns.
-
-    The limit is bound into the step, so only key, time and id travel.
-    """
+    """One (limit, window) for all rows: key, ms, id, carried columns and the verdict columns."""
     key_col = F.col(key) if isinstance(key, str) else key
-
-    def step(state: list, row: tuple) -> tuple:
-        return window_step(state, (row[0], limit, window_ms))
-
     calls = df.select(key_col.alias("key"), F.col(ms).cast("bigint").alias(ms), id_, *carry)
-    return replay(calls, ["key"], [ms, id_], [ms], step, _VERDICT, blocks, carry)
+    return replay(calls, ["key"], [ms, id_], [ms], window_run(limit, window_ms), _VERDICT, blocks, carry)
 
 
 def limit_user(df, ms, id_, user="user_id", ip=None, preset=PRESETS["user"], blocks=None, carry=()) -> DataFrame:
@@ -128,9 +172,9 @@ def limit_chain(
     rates = {**PRESETS, **(presets or {})}
     columns = ["user_id", "ms", "id", *carry]
     calls = df.select(F.col(user).alias("user_id"), F.col(ms).alias("ms"), F.col(id_).alias("id"), *carry)
-    first = pin(limit_global(calls, "ms", "id", rates["global"], blocks, ["user_id", *carry]))
+    first = store(limit_global(calls, "ms", "id", rates["global"], blocks, ["user_id", *carry]))
     passed = first.filter("allowed").select(*columns)
-    second = pin(
+    second = store(
         limit_user(passed, "ms", "id", preset=rates["user"], blocks=blocks, carry=["user_id", *carry])
     )
     passed = second.filter("allowed").select(*columns)

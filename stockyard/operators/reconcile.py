@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import stuck_order_payload
 from stockyard.operators.reports import join_order_line_to_sale_product
-from stockyard.operators.sizing import broadcast_if_small
+from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.operators.transitions import give_back_reserved, move_counters
 from stockyard.schemas import LIVE_ORDER_STATUSES
-from stockyard.session import pin
+from stockyard.session import store
 
 STUCK_AFTER = "INTERVAL 15 MINUTES"
 STALE_AFTER = "INTERVAL 10 MINUTES"
@@ -61,11 +61,10 @@ def inventory_discrepancies(
     )
 
 
-def repair_counters(counters: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counters with an issue are moved to the expected level; `issues` is counted to choose the join."""
-    fixed = broadcast_if_small(
-        issues.select("sale_product_id", F.col("expected_qty").cast("int").alias("_fixed"))
-    )
+def repair_counters(counters: DataFrame, issues: DataFrame, few: bool = False) -> DataFrame:
+    """Counters with an issue are moved to the expected level."""
+    fixed = issues.select("sale_product_id", F.col("expected_qty").cast("int").alias("_fixed"))
+    fixed = broadcast_when(few, fixed)
     return counters.join(fixed, "sale_product_id", "left").select(
         "sale_product_id", F.coalesce("_fixed", "live_qty").alias("live_qty")
     )
@@ -82,13 +81,12 @@ def fail_stuck_orders(orders, order_items, sale_products, counters, as_of: Colum
 
     The stuck lines are pinned, since every result frame comes from them.
     """
-    lines = pin(stuck_pending_orders(orders, order_items, sale_products, as_of))
-    failed = broadcast_if_small(
-        lines.select(F.col("order_id").alias("id"), F.lit(True).alias("_stuck")).distinct()
-    )
+    lines = store(stuck_pending_orders(orders, order_items, sale_products, as_of))
+    few = is_small(lines)
+    failed = lines.select(F.col("order_id").alias("id"), F.lit(True).alias("_stuck")).distinct()
     hit = F.col("_stuck").isNotNull()
     updated = (
-        orders.join(failed, "id", "left")
+        orders.join(broadcast_when(few, failed), "id", "left")
         .withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at")))
         .withColumn("status", F.when(hit, "FAILED").otherwise(F.col("status")))
         .drop("_stuck")
@@ -100,9 +98,11 @@ def fail_stuck_orders(orders, order_items, sale_products, counters, as_of: Colum
     )
     return {
         "orders": updated,
-        "sale_products": give_back_reserved(sale_products, lines),
+        "sale_products": give_back_reserved(sale_products, lines, few),
         "outbox": events,
-        "counters": move_counters(counters, lines.select("sale_product_id", F.col("quantity").alias("n"))),
+        "counters": move_counters(
+            counters, lines.select("sale_product_id", F.col("quantity").alias("n")), few=few
+        ),
         "fixed": lines.select("order_id"),
     }
 
@@ -110,12 +110,10 @@ def fail_stuck_orders(orders, order_items, sale_products, counters, as_of: Colum
 def sync_inventory(sales, sale_products, inventory, counters, as_of: Column) -> DataFrame:
     """Inventory rows of ACTIVE sales take the level of their counter, where there is one."""
     active = sales.filter("status = 'ACTIVE'").select(F.col("id").alias("sale_id"))
-    level = broadcast_if_small(
-        pin(
-            sale_products.join(active, "sale_id", "left_semi")
-            .select(F.col("id").alias("sale_product_id"))
-            .join(counters.withColumnRenamed("live_qty", "_live"), "sale_product_id")
-        )
+    level = (
+        sale_products.join(active, "sale_id", "left_semi")
+        .select(F.col("id").alias("sale_product_id"))
+        .join(counters.withColumnRenamed("live_qty", "_live"), "sale_product_id")
     )
     return (
         inventory.join(level, "sale_product_id", "left")
@@ -139,12 +137,12 @@ def reconcile_run(
     `summary` is one row: stuck_fixed, discrepancies, stale_events, has_issues.
     """
     repaired = fail_stuck_orders(orders, order_items, sale_products, counters, as_of)
-    issues = pin(
+    issues = store(
         inventory_discrepancies(
             sales, repaired["sale_products"], products, repaired["orders"], order_items, repaired["counters"]
         )
     )
-    counters_now = repair_counters(repaired["counters"], issues)
+    counters_now = repair_counters(repaired["counters"], issues, is_small(issues))
     stale = stale_outbox(outbox, outbox_as_of if outbox_as_of is not None else as_of)
     counted = [
         repaired["fixed"].agg(F.count("*").alias("stuck_fixed")),

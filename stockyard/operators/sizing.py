@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast when the frame, counted now, has few rows.
+def is_small(pinned: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Whether a pinned frame of narrow rows is short enough to broadcast; counts it now."""
+    return pinned.limit(max_rows + 1).count() <= max_rows
 
-    Meant for pinned or otherwise cheap frames of narrow rows: a short list of
-    changes then meets a large table without shuffling the table.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def broadcast_when(small: bool, df: DataFrame) -> DataFrame:
+    """A short list of changes meets a large table without shuffling the table."""
+    return F.broadcast(df) if small else df
 
 
 def left_join_many(one: DataFrame, many: DataFrame, key: Sequence[str]) -> DataFrame:

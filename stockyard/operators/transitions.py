@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import parse_float, trim_all
 from stockyard.operators.outbox import payment_failed_payload, payment_success_payload
-from stockyard.operators.sizing import broadcast_if_small
-from stockyard.session import pin
+from stockyard.operators.sizing import broadcast_when, is_small
+from stockyard.session import store
 
 
 def upsert(
@@ -63,8 +63,8 @@ def _lines_of(sale_products: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def _opened_counters(lines: DataFrame, counters: DataFrame) -> DataFrame:
-    fresh = pin(lines.select(F.col("id").alias("sale_product_id"), F.col("total_qty").alias("live_qty")))
-    ids = broadcast_if_small(fresh.select("sale_product_id"))
+    fresh = store(lines.select(F.col("id").alias("sale_product_id"), F.col("total_qty").alias("live_qty")))
+    ids = broadcast_when(is_small(fresh), fresh.select("sale_product_id"))
     return counters.join(ids, "sale_product_id", "left_anti").unionByName(fresh)
 
 
@@ -80,14 +80,13 @@ def activate_sales(sales, sale_products, counters, as_of: Column) -> dict[str, D
 def settle_ended_sales(sales, sale_products, inventory, counters, as_of: Column) -> dict[str, DataFrame]:
     """Due ACTIVE sales become ENDED; their counters are written back to the tables and dropped."""
     due = sales_due_to_end(sales, as_of)
-    left = broadcast_if_small(
-        pin(
-            _lines_of(sale_products, due)
-            .select(F.col("id").alias("sale_product_id"))
-            .join(counters, "sale_product_id")
-            .withColumnRenamed("live_qty", "_left")
-        )
+    left = store(
+        _lines_of(sale_products, due)
+        .select(F.col("id").alias("sale_product_id"))
+        .join(counters, "sale_product_id")
+        .withColumnRenamed("live_qty", "_left")
     )
+    left = broadcast_when(is_small(left), left)
     settled = (
         sale_products.join(left.withColumnRenamed("sale_product_id", "id"), "id", "left")
         .withColumn(
@@ -235,28 +234,26 @@ def deactivate_products(products: DataFrame, requests: DataFrame) -> dict[str, D
     }
 
 
-def move_counters(counters: DataFrame, moves: DataFrame, create: bool = False) -> DataFrame:
+def move_counters(counters: DataFrame, moves: DataFrame, create: bool = False, few: bool = False) -> DataFrame:
     """Add `n` per sale_product_id; a missing counter is left missing, or made when `create`.
 
-    `moves` should be pinned; it is counted to choose the join.
+    `few` says that the moves were counted and are few enough to broadcast.
     """
     summed = moves.groupBy("sale_product_id").agg(F.sum("n").alias("_n"))
-    if not create:
-        summed = broadcast_if_small(summed)
+    summed = broadcast_when(few and not create, summed)
     joined = counters.join(summed, "sale_product_id", "full" if create else "left")
     level = F.coalesce("live_qty", F.lit(0)) + F.coalesce("_n", F.lit(0))
     return joined.select("sale_product_id", level.cast("int").alias("live_qty"))
 
 
-def give_back_reserved(sale_products: DataFrame, failed: DataFrame) -> DataFrame:
+def give_back_reserved(sale_products: DataFrame, failed: DataFrame, few: bool = False) -> DataFrame:
     """Lower reserved_qty by the failed quantities, not below zero.
 
     All moves are decrements, so one clamped sum equals clamping one by one.
-    `failed` should be pinned; it is counted to choose the join.
+    `few` says that the failed lines were counted and are few enough to broadcast.
     """
-    freed = broadcast_if_small(
-        failed.groupBy(F.col("sale_product_id").alias("id")).agg(F.sum("quantity").alias("_q"))
-    )
+    freed = failed.groupBy(F.col("sale_product_id").alias("id")).agg(F.sum("quantity").alias("_q"))
+    freed = broadcast_when(few, freed)
     return (
         sale_products.join(freed, "id", "left")
         .withColumn(
@@ -289,14 +286,13 @@ def apply_payment_outcomes(
         F.min_by(F.struct("success", "transaction_id", "reason"), "delivery_id").alias("_o")
     ).select("order_id", "_o.*")
     pending = orders.filter("status = 'PENDING'").select(F.col("id").alias("order_id"))
-    settled = pin(messages.join(first, "order_id").join(pending, "order_id", "left_semi"))
-    result = broadcast_if_small(
-        settled.select(
-            F.col("order_id").alias("id"), F.when(F.col("success"), "CONFIRMED").otherwise("FAILED").alias("_status")
-        )
+    settled = store(messages.join(first, "order_id").join(pending, "order_id", "left_semi"))
+    few = is_small(settled)
+    result = settled.select(
+        F.col("order_id").alias("id"), F.when(F.col("success"), "CONFIRMED").otherwise("FAILED").alias("_status")
     )
     updated = (
-        orders.join(result, "id", "left")
+        orders.join(broadcast_when(few, result), "id", "left")
         .withColumn("updated_at", F.when(F.col("_status").isNotNull(), as_of).otherwise(F.col("updated_at")))
         .withColumn("status", F.coalesce("_status", "status"))
         .drop("_status")
@@ -314,9 +310,9 @@ def apply_payment_outcomes(
     )
     return {
         "orders": updated,
-        "sale_products": give_back_reserved(sale_products, failed),
+        "sale_products": give_back_reserved(sale_products, failed, few),
         "outbox": events,
-        "counters": move_counters(counters, moved, release_creates),
+        "counters": move_counters(counters, moved, release_creates, few),
         "settled": result.withColumnRenamed("id", "order_id").withColumnRenamed("_status", "status"),
         "moves": failed.select("order_id", "sale_product_id", "quantity"),
     }

@@ -51,7 +51,18 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write rows that several results share to the shared folder and read them from there.
+
+    Unlike a checkpoint this is columnar, so readers prune columns, and its size
+    is known to the planner.
+    """
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so later reads see one set of rows."""
+    """Cut the lineage with a reliable checkpoint that keeps partitions and their order."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

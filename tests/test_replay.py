@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stockyard.operators import admission, ledger, limits
+from stockyard.operators import admission, ledger, limits, replay
 from stockyard.operators.blocks import range_blocks, row_numbers, running_totals
 
 
@@ -45,14 +45,44 @@ def test_limiter_blocks(spark, limit, window, blocks):
     assert verdicts(got) == limiter_twin(calls, limit, window)
 
 
-def test_limiter_single_key_never_forgets_phase(spark):
+@pytest.mark.parametrize("state_bytes", [-1, 1 << 20])
+def test_limiter_single_key_never_forgets_phase(spark, monkeypatch, state_bytes):
     """A saturated key with even spacing: no block border is a fresh start."""
+    monkeypatch.setattr(replay, "BROADCAST_STATE_BYTES", state_bytes)
+    monkeypatch.setattr(replay, "WALK_BLOCKS", 3)
     calls = [("k", 3 * i, i) for i in range(600)]
     df = spark.createDataFrame(calls, "user STRING, ms BIGINT, id BIGINT")
-    got = limits.limit_global(df, "ms", "id", preset=(2, 100), blocks=6)
+    got = limits.limit_global(df, "ms", "id", preset=(2, 100), blocks=9)
     assert verdicts(got) == limiter_twin(calls, 2, 100)
 
 
+def test_states_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(replay, "BROADCAST_STATE_BYTES", -1)
+    calls = hot_calls(random.Random(8), 1200) + [(None, i % 300, 5000 + i) for i in range(400)]
+    df = spark.createDataFrame(calls, "user BIGINT, ms BIGINT, id BIGINT")
+    got = limits.limit_sliding(df, "user", "ms", "id", 3, 60, 7)
+    assert verdicts(got) == limiter_twin(calls, 3, 60)
+
+
+def test_vector_form_equals_row_form():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for _ in range(400):
+        limit, window = rng.randrange(0, 6), rng.randrange(1, 60)
+        keys = [sorted(rng.randrange(200) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 5))]
+        held = sorted(keys[0][0] - rng.randrange(0, window) for _ in range(rng.randrange(0, limit + 1)))
+        held = held[:limit]
+        starts = np.cumsum([0, *map(len, keys[:-1])])
+        args = [pa.array([t for k in keys for t in k], pa.int64())]
+        step = replay.row_by_row(lambda s, r: limits.window_step(s, (r[0], limit, window)))
+        want, want_state = step(list(held), args, starts)
+        got, state = limits.window_run(limit, window)(list(held), args, starts)
+        assert [list(map(int, c)) for c in got] == [list(map(int, c)) for c in want]
+        assert state == want_state
+
+
 def test_limiter_one_instant(spark):
     calls = [("k", 5, i) for i in range(300)] + [("k", 2000, 300)]
     df = spark.createDataFrame(calls, "user STRING, ms BIGINT, id BIGINT")
