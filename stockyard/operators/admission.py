@@ -110,48 +110,53 @@ def admit_requests(
 
 
 def _purchase_step(state: list, row: tuple) -> tuple:
-    """State: [level, {live user: 1}]."""
-    total, kind, user = row
+    """State: [level, {live user: units held}]."""
+    total, kind, user, units = row
     if not state:
         state.extend([total, {}])
     level, live = state
     who = str(user)
     if kind == "release":
         if who in live:
-            del live[who]
-            state[0] = level + 1
+            state[0] = level + live.pop(who)
             return "RELEASED", state[0]
         return "IGNORED", level
     if who in live:
         return "ALREADY_PURCHASED", level
     if level is None:
         return "SALE_NOT_FOUND", None
-    if level <= 0:
+    if level < units:
         return "OUT_OF_STOCK", level
-    live[who] = 1
-    state[0] = level - 1
+    live[who] = units
+    state[0] = level - units
     return "ADMITTED", state[0]
 
 
 def admit_with_releases(
-    log: DataFrame, totals: DataFrame, key: Sequence[str] = PRODUCT, blocks: int | None = None
+    log: DataFrame,
+    totals: DataFrame,
+    key: Sequence[str] = PRODUCT,
+    units: str = "per_order",
+    blocks: int | None = None,
 ) -> DataFrame:
     """Admission where a declined payment gives the unit back and lets the user buy again.
 
     `log` has key, ts, id, kind ('request' or 'release') and user_id. Whether a
     repeat counts depends on earlier outcomes, so this is a keyed replay; a key's
-    state is its level and its live buyers, at most its stock.
+    state is its level and its live buyers, at most its stock. A purchase takes
+    one unit, or its `quantity` with units="quantity".
     """
-    opened = log.join(totals.select(*key, "total_qty"), list(key), "left")
+    taken = F.lit(1) if units == "per_order" else F.col("quantity").cast("int")
+    opened = log.join(totals.select(*key, "total_qty"), list(key), "left").withColumn("units", taken)
     return replay(
         opened,
         list(key),
         ["ts", "id"],
-        ["total_qty", "kind", "user_id"],
+        ["total_qty", "kind", "user_id", "units"],
         row_by_row(_purchase_step),
         "outcome STRING, items_remaining INT",
         blocks,
-    ).drop("total_qty")
+    ).drop("total_qty", "units")
 
 
 def materialize_orders(admitted: DataFrame, sale_products: DataFrame, products: DataFrame) -> dict[str, DataFrame]:

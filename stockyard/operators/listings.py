@@ -229,6 +229,16 @@ def list_user_orders(
     )
 
 
+def order_detail(
+    orders: DataFrame, sales: DataFrame, order_items: DataFrame, products: DataFrame, max_items: int = MAX_ITEMS
+) -> DataFrame:
+    """Orders with sale name, idempotency key and items; filter `orders` by id and owner to choose."""
+    named = sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name"))
+    fields = ["product_id", "product_name", "quantity", "unit_price"]
+    nested = nest(order_lines(order_items, products), ["order_id"], fields, "product_id", "items", max_items)
+    return orders.join(named, "sale_id").join(nested.withColumnRenamed("order_id", "id"), "id")
+
+
 def list_admin_orders(
     orders: DataFrame,
     users: DataFrame,

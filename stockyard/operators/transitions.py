@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.functions.scalars import parse_float, trim_all
+from stockyard.functions.scalars import iso_text, millis_between, parse_float, trim_all
 from stockyard.operators.outbox import payment_failed_payload, payment_success_payload
 from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.session import store
@@ -69,9 +69,22 @@ def _opened_counters(lines: DataFrame, counters: DataFrame) -> DataFrame:
 
 
 def activate_sales(sales, sale_products, counters, as_of: Column) -> dict[str, DataFrame]:
-    """Due SCHEDULED sales with products become ACTIVE and their counters are set to the stock."""
+    """Due SCHEDULED sales with products become ACTIVE and their counters are set to the stock.
+
+    `cache` holds the entry of each started sale and how long it is kept: until
+    an hour after the end.
+    """
     due = sales_due_to_start(sales, sale_products, as_of)
+    seconds_left = F.floor(millis_between(F.col("end_time"), as_of) / 1000)
+    cache = due.select(
+        "id",
+        "name",
+        F.lit("ACTIVE").alias("status"),
+        iso_text(F.col("end_time")).alias("end_time"),
+        (seconds_left + 3600).cast("bigint").alias("ttl_s"),
+    )
     return {
+        "cache": cache,
         "sales": _with_status(sales, due, "ACTIVE"),
         "counters": _opened_counters(_lines_of(sale_products, due), counters),
     }

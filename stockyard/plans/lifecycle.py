@@ -70,6 +70,17 @@ def activate_sales_counters(v):
     return _activated(v)["counters"]
 
 
+@query(
+    "activate_sales_cache",
+    f"""SELECT id, name, 'ACTIVE' AS status, strftime(end_time, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS end_time,
+              (epoch_us(end_time) - epoch_us({SQL_TICK})) // 1000000 + 3600 AS ttl_s
+        FROM d_sales WHERE id IN (SELECT id FROM x_starting)""",
+    _DUE,
+)
+def activate_sales_cache(v):
+    return _activated(v)["cache"]
+
+
 @query(
     "settle_ended_sales",
     """SELECT sp.id, sp.total_qty, CASE WHEN l.id IS NOT NULL THEN greatest(0, sp.total_qty - l.live_qty)

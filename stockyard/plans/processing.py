@@ -458,6 +458,19 @@ def _few_buyers(v):
     return v.order_requests.withColumn("user_id", F.col("user_id") % 10)
 
 
+def _log_with_releases(v):
+    """Each request, and for every other one a release 36 hours later."""
+    tries = _few_buyers(v).filter("quantity <= 5")
+    later = F.expr("ts + INTERVAL 36 HOURS").alias("ts")
+    id_ = F.col("request_id") * 2
+
+    def rows(df, at, number, kind):
+        return df.select(*A.PRODUCT, at, number.alias("id"), F.lit(kind).alias("kind"), "user_id", "quantity")
+
+    released = tries.filter("request_id % 2 = 0")
+    return rows(tries, F.col("ts"), id_, "request").unionByName(rows(released, later, id_ + 1, "release"))
+
+
 def _allocation(v):
     return v.order_requests.filter("product_id % 11 != 0").select(*A.PRODUCT, "total_qty").distinct()
 
@@ -485,19 +498,42 @@ def admit_requests(v):
     ),
 )
 def admit_with_releases(v):
-    tries = _few_buyers(v).filter("quantity <= 5")
-    log = tries.select(
-        *A.PRODUCT, "ts", (F.col("request_id") * 2).alias("id"), F.lit("request").alias("kind"), "user_id"
-    ).unionByName(
-        tries.filter("request_id % 2 = 0").select(
-            *A.PRODUCT,
-            F.expr("ts + INTERVAL 36 HOURS").alias("ts"),
-            (F.col("request_id") * 2 + 1).alias("id"),
-            F.lit("release").alias("kind"),
-            "user_id",
-        )
-    )
-    return A.admit_with_releases(log, _allocation(v))
+    return A.admit_with_releases(_log_with_releases(v), _allocation(v))
+
+
+@query(
+    "admit_with_releases_by_quantity",
+    """SELECT l.sale_id, l.product_id, l.user_id, l.kind, l.ts, l.id, a.outcome, a.level AS items_remaining
+       FROM x_log l JOIN x_adm a ON a.id = l.id""",
+    {
+        "x_log": f"""SELECT *, row_number() OVER (PARTITION BY sale_id, product_id ORDER BY ts, id) AS rn FROM (
+            SELECT sale_id, product_id, ts, id * 2 AS id, kind, user_id, quantity, total_qty * 5 AS total_qty
+            FROM ({_REQUESTS}) UNION ALL
+            SELECT sale_id, product_id, ts + INTERVAL 36 HOUR, id * 2 + 1, 'release', user_id, quantity, total_qty * 5
+            FROM ({_REQUESTS}) WHERE id % 2 = 0)""",
+        "x_adm": """
+            SELECT DISTINCT sale_id, product_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id,
+                   CAST(total_qty AS INTEGER) AS level, MAP {CAST(-1 AS BIGINT): CAST(0 AS INTEGER)} AS live,
+                   CAST('' AS VARCHAR) AS outcome
+            FROM x_log
+            UNION ALL
+            SELECT sale_id, product_id, rn, id,
+                   CAST(CASE outcome WHEN 'ADMITTED' THEN level - quantity WHEN 'RELEASED' THEN level + held
+                        ELSE level END AS INTEGER),
+                   CASE outcome WHEN 'ADMITTED' THEN map_concat(live, MAP {user_id: quantity})
+                        WHEN 'RELEASED' THEN map_concat(live, MAP {user_id: CAST(0 AS INTEGER)}) ELSE live END,
+                   outcome
+            FROM (SELECT *, CASE WHEN kind = 'release' THEN CASE WHEN held > 0 THEN 'RELEASED' ELSE 'IGNORED' END
+                         WHEN held > 0 THEN 'ALREADY_PURCHASED' WHEN level IS NULL THEN 'SALE_NOT_FOUND'
+                         WHEN level < quantity THEN 'OUT_OF_STOCK' ELSE 'ADMITTED' END AS outcome
+                  FROM (SELECT l.*, p.level, p.live, coalesce(p.live[l.user_id], 0) AS held
+                        FROM x_adm p JOIN x_log l
+                          ON l.sale_id = p.sale_id AND l.product_id = p.product_id AND l.rn = p.rn + 1))""",
+    },
+)
+def admit_with_releases_by_quantity(v):
+    stock = _allocation(v).withColumn("total_qty", F.col("total_qty") * 5)
+    return A.admit_with_releases(_log_with_releases(v), stock, units="quantity")
 
 
 _OFFER = """SELECT sale_id * 1000 + x.product_id AS id, x.sale_id, x.product_id,

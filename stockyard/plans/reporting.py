@@ -137,6 +137,21 @@ def list_user_orders(v):
     return _flat(pages, "items", ["product_id", "product_name", "quantity", "unit_price"]).drop("part")
 
 
+@query(
+    "order_detail",
+    _ORDER_DOCS.format(
+        chosen="SELECT o.*, s.name AS sale_name FROM d_orders o JOIN d_sales s ON s.id = o.sale_id",
+        head="o.id, o.user_id, o.sale_id, o.idempotency_key, o.status, o.total_amount, o.created_at, o.updated_at, "
+        "o.sale_name",
+        item="i.product_id, p.name, i.quantity, i.unit_price",
+        sort="i.product_id, p.name, i.quantity, i.unit_price",
+    ),
+)
+def order_detail(v):
+    docs = L.order_detail(v.orders, v.sales, v.order_items, v.products)
+    return _flat(docs, "items", ["product_id", "product_name", "quantity", "unit_price"]).drop("part")
+
+
 @query(
     "list_admin_orders",
     _ORDER_DOCS.format(
