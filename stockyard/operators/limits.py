@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockyard.operators.blocks import range_blocks, running_totals
 from stockyard.operators.replay import Run, replay, row_by_row
 from stockyard.session import store
 from stockyard.shipping import ship_by_value
@@ -195,19 +196,23 @@ def limit_chain(
     )
 
 
-def attempt_pressure(df: DataFrame, key: str, ms: str, window_ms: int) -> DataFrame:
+def attempt_pressure(df: DataFrame, key: str, ms: str, window_ms: int, blocks: int | None = None) -> DataFrame:
     """Attempts per key in (ms - window, ms] at each instant with an attempt.
 
-    Attempts are first counted per (key, ms). Each instant is then copied into
-    its own and the next window-long bucket, so a window partition holds at most
-    two windows of distinct milliseconds however many rows there are.
+    Attempts are first counted per (key, ms). Each count arrives at its instant
+    and leaves a window later, leaving before arriving; the running sum of both
+    is the count in the window. A RANGE frame would add up the whole window anew
+    at every row.
     """
-    instants = df.groupBy(F.col(key).alias("key"), F.col(ms).alias("ms")).agg(F.count("*").alias("attempts"))
-    own = F.floor(F.col("ms") / F.lit(window_ms)).cast("bigint")
-    copies = instants.withColumn("own", own).withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
-    trailing = Window.partitionBy("key", "bucket").orderBy("ms").rangeBetween(-(window_ms - 1), 0)
-    return (
-        copies.withColumn("in_window", F.sum("attempts").over(trailing))
-        .filter("bucket = own")
-        .select("key", "ms", "attempts", "in_window")
+    instants = df.groupBy(F.col(key).alias("key"), F.col(ms).cast("bigint").alias("ms")).agg(
+        F.count("*").alias("attempts")
+    )
+    moves = F.array(
+        F.struct(F.col("ms").alias("at"), F.lit(1).alias("arrives"), F.col("attempts").alias("move")),
+        F.struct((F.col("ms") + window_ms).alias("at"), F.lit(0).alias("arrives"), (-F.col("attempts")).alias("move")),
+    )
+    steps = instants.select("key", F.inline(moves))
+    summed = running_totals(range_blocks(steps, ["key"], ["at", "arrives"], blocks), ["key"], "move", "in_window")
+    return summed.filter("arrives = 1").select(
+        "key", F.col("at").alias("ms"), F.col("move").alias("attempts"), "in_window"
     )

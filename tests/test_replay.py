@@ -147,7 +147,9 @@ def test_chain(spark):
 def test_pressure_counts_ties(spark):
     calls = hot_calls(random.Random(4), 800, 3, 300)
     df = spark.createDataFrame(calls, "user BIGINT, ms BIGINT, id BIGINT")
-    got = {(r.key, r.ms): r.in_window for r in limits.attempt_pressure(df, "user", "ms", 37).collect()}
+    rows = limits.attempt_pressure(df, "user", "ms", 37, blocks=4).collect()
+    got = {(r.key, r.ms): r.in_window for r in rows}
+    assert len(got) == len(rows) and sum(r.attempts for r in rows) == len(calls)
     for k, ms, _ in calls:
         assert got[k, ms] == sum(1 for q, t, _ in calls if q == k and ms - 37 < t <= ms)
 
