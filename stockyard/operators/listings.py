@@ -12,7 +12,7 @@ from stockyard.functions.scalars import clamp_page, image_url
 from stockyard.operators.blocks import range_blocks
 from stockyard.operators.nesting import MAX_ITEMS, nest
 from stockyard.operators.sizing import left_join_many
-from stockyard.session import pin
+from stockyard.session import pin, store
 
 # Largest offset + limit that is answered by a top-k on the driver side.
 TOP_K_ROWS = 50_000
@@ -101,12 +101,15 @@ def list_sales_catalog(
     """A page of sales, latest start first, each with its products (NULL when none).
 
     The page is cut before the joins, so only its sales are joined and nested.
+    Its lines are stored, which tells the planner how few they are: the products
+    are then filtered by a broadcast instead of shuffled.
     """
     _, n, offset = clamp_page(page_no, limit)
     chosen = page(where_all(sales, status_is(status)), newest_first("start_time"), offset, n)
-    lines = sale_products.join(chosen.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
+    lines = store(sale_products.join(chosen.select(F.col("id").alias("sale_id")), "sale_id", "left_semi"))
+    near = products.join(lines.select(F.col("product_id").alias("id")), "id", "left_semi")
     nested = nest(
-        sale_lines(lines, products), ["sale_id"], SALE_PRODUCT_FIELDS, "sale_product_id", "products", max_items
+        sale_lines(lines, near), ["sale_id"], SALE_PRODUCT_FIELDS, "sale_product_id", "products", max_items
     )
     return chosen.join(nested.withColumnRenamed("sale_id", "id"), "id", "left").select(
         "id", "name", "start_time", "end_time", "status", "created_at", "part", "products"
@@ -150,8 +153,13 @@ def order_lines(order_items: DataFrame, products: DataFrame) -> DataFrame:
     return order_items.join(named, "product_id")
 
 
-def _with_items(chosen: DataFrame, order_items: DataFrame, products: DataFrame, fields, max_items) -> DataFrame:
-    lines = order_items.join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+def _with_items(
+    chosen: DataFrame, order_items: DataFrame, products: DataFrame, fields, max_items, one_page: bool
+) -> DataFrame:
+    """Orders with their items. The items of one page are stored, so the planner knows how few they are."""
+    lines = order_items.drop("id").join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    if one_page:
+        lines = store(lines)
     nested = nest(order_lines(lines, products), ["order_id"], fields, "product_id", "items", max_items)
     return chosen.join(nested.withColumnRenamed("order_id", "id"), "id")
 
@@ -225,7 +233,12 @@ def list_user_orders(
             .drop("_rank")
         )
     return _with_items(
-        chosen, order_items, products, ["product_id", "product_name", "quantity", "unit_price"], max_items
+        chosen,
+        order_items,
+        products,
+        ["product_id", "product_name", "quantity", "unit_price"],
+        max_items,
+        user_id is not None,
     )
 
 
@@ -267,5 +280,5 @@ def list_admin_orders(
         "id", "status", "total_amount", "created_at", "updated_at", "user_email", "user_name", "sale_name"
     )
     return _with_items(
-        header, order_items, products, ["product_name", "quantity", "unit_price"], max_items
+        header, order_items, products, ["product_name", "quantity", "unit_price"], max_items, True
     )

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockyard.operators.sizing import broadcast_when, is_small
+from stockyard.session import store
+
 MAX_ITEMS = 10_000
 
 
@@ -21,22 +24,26 @@ def nest(
     """One row per group with a sorted array of structs, all details kept.
 
     A group of more than `max_items` details becomes several rows, numbered by
-    `part`, with its details dealt out by a hash of `spread_by`.
+    `part`, with its details dealt out by a hash of `spread_by`. Large groups
+    are looked up first, from counts, so that the details are shuffled once.
     """
-    large = (
+    large = store(
         details.groupBy(*by)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > max_items)
         .select(*by, F.ceil(F.col("_n") / max_items).alias("_parts"))
     )
+    items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
+    if large.isEmpty():
+        return details.groupBy(*by).agg(items).select(*by, F.lit(0).alias("part"), name)
     slot = F.conv(F.substring(F.md5(F.col(spread_by).cast("string")), 1, 8), 16, 10).cast("bigint")
     part = F.when(F.col("_parts") > 1, slot % F.col("_parts")).otherwise(F.lit(0)).cast("int")
     return (
-        details.join(large, list(by), "left")
+        details.join(broadcast_when(is_small(large), large), list(by), "left")
         .withColumn("part", part)
         .repartition(*by, "part")
         .groupBy(*by, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+        .agg(items)
     )
 
 
