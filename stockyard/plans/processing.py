@@ -166,7 +166,7 @@ _RAW_SIGNUPS = """SELECT id, created_at AS ts,
     """SELECT id, email_key, trim(full_name) AS full_name,
               CASE WHEN own IS NULL AND (rn > 1 OR taken) THEN 'EMAIL_TAKEN' ELSE own END AS error_code
        FROM (SELECT *, row_number() OVER (PARTITION BY email_key, own IS NULL ORDER BY ts, id) AS rn,
-                    email_key IN (SELECT email FROM d_users WHERE id % 2 = 1) AS taken
+                    email_key IN (SELECT email FROM d_users) AS taken
              FROM (SELECT *, trim(lower(email)) AS email_key,
                      CASE WHEN email = '' OR full_name IS NULL THEN 'MISSING_FIELDS'
                           WHEN length(password) < 6 THEN 'SHORT_PASSWORD' END AS own FROM x_raw))""",
@@ -174,7 +174,7 @@ _RAW_SIGNUPS = """SELECT id, created_at AS ts,
 )
 def dq_registrations(v):
     raw = _spark_sql(v, _RAW_SIGNUPS.replace("FROM d_users", "FROM {u}"), u=v.users)
-    return Q.dq_registrations(raw, v.users.filter("id % 2 = 1")).select("id", "email_key", "full_name", "error_code")
+    return Q.dq_registrations(raw, v.users).select("id", "email_key", "full_name", "error_code")
 
 
 _RAW_UPLOADS = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png'
@@ -625,7 +625,7 @@ _FUNNEL_VIEWS = {
         FROM x_ok o JOIN x_weeks w ON w.id = o.sale_id
         LEFT JOIN x_offer f ON f.sale_id = o.sale_id AND f.product_id = o.product_id
         LEFT JOIN (SELECT DISTINCT user_id % 10 AS user_id, sale_id, product_id FROM d_stock_log
-                   WHERE event_type = 'signup' AND id % 5 = 0) h
+                   WHERE event_type = 'signup') h
           ON h.user_id = o.user_id AND h.sale_id = o.sale_id AND h.product_id = o.product_id""",
     **admission_sql(_COMPETE),
     "x_funnel": """
@@ -661,7 +661,7 @@ def _funnel(v):
             F.concat_ws("-", F.col("user_id").cast("string"), F.col("product_id").cast("string")),
         ).alias("idempotency_key"),
     )
-    prior = v._stock_log.filter("event_type = 'signup' AND id % 5 = 0").withColumn("user_id", F.col("user_id") % 10)
+    prior = v._stock_log.filter("event_type = 'signup'").withColumn("user_id", F.col("user_id") % 10)
     return A.admission_funnel(requests, sales, _offer(v), prior, FUNNEL_RATES)
 
 

@@ -190,6 +190,13 @@ def test_ledger(spark, units, creates):
     assert all(r.level is None or r.level >= 0 for r in rows)
 
 
+@pytest.mark.parametrize("ts", ["0", "id % 1000"])
+def test_hot_key_is_cut_into_even_blocks(spark, ts):
+    df = spark.range(60_000).selectExpr("IF(id % 10 < 9, 1, id) AS k", f"{ts} AS ts", "id")
+    sizes = [r["count"] for r in range_blocks(df, ["k"], ["ts", "id"], 8).groupBy("block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 60_000 / 8
+
+
 def test_running_totals_and_ranks(spark):
     rng = random.Random(2)
     rows = [(0 if rng.random() < 0.6 else rng.randrange(5), rng.randrange(3), i, rng.randrange(-4, 5))
