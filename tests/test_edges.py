@@ -298,3 +298,39 @@ def test_typed_scan(spark, tmp_path):
     assert {t: df.schema for t, df in tables.items()} == dict(TABLES)
     loose = spark.createDataFrame([("i", "1", "2", "3", "4.5")], "id STRING, order_id STRING, product_id STRING, quantity STRING, unit_price STRING")
     assert conform(loose, "order_items").first().unit_price == Decimal("4.50")
+
+
+def test_ordered_operators_on_no_rows(spark):
+    from stockyard.operators import admission, ledger, limits
+
+    calls = spark.createDataFrame([], "user_id BIGINT, ms BIGINT, id BIGINT")
+    assert limits.limit_chain(calls, "ms", "id").count() == 0
+    assert limits.limit_buy(calls, "ms", "id", blocks=3).count() == 0
+    assert limits.attempt_pressure(calls, "user_id", "ms", 10).count() == 0
+    events = spark.createDataFrame([], "k BIGINT, ts BIGINT, id BIGINT, delta INT")
+    totals = spark.createDataFrame([], "k BIGINT, total_qty INT")
+    for units in ("per_order", "quantity"):
+        assert ledger.stock_ledger(events, totals, ["k"], units).count() == 0
+    log = spark.createDataFrame([], "sale_id BIGINT, product_id BIGINT, user_id BIGINT, ts BIGINT, request_id BIGINT")
+    stock = spark.createDataFrame([], "sale_id BIGINT, product_id BIGINT, total_qty INT")
+    assert admission.admit_requests(log, stock).count() == 0
+
+
+def test_admin_page_when_most_orders_have_no_items(spark):
+    """More than the over-fetched rows drop out, so the full join answers."""
+    start = at("2024-01-01 00:00:00")
+    orders = spark.range(2000).selectExpr(
+        "id", "1L AS user_id", "1L AS sale_id", "'k' AS idempotency_key", "'PENDING' AS status",
+        "CAST(1 AS DECIMAL(10,2)) AS total_amount", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id AS INT)) AS created_at",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS updated_at",
+    )
+    users = spark.createDataFrame([(1, "e", "n", "user", True, start)], TABLES["users"])
+    sales = spark.createDataFrame([(1, "s", start, start, "ACTIVE", start)], TABLES["sales"])
+    products = spark.createDataFrame([(1, "p", None, Decimal("1.00"), None, True, start)], TABLES["products"])
+    items = spark.createDataFrame([(f"i{i}", i, 1, 1, Decimal("1.00")) for i in range(30)], TABLES["order_items"])
+    got = listings.list_admin_orders(orders, users, sales, items, products, page_no=2, limit=20)
+    assert sorted(r.id for r in got.collect()) == list(range(10))
+    own = listings.list_user_orders(orders, sales, items, products, user_id=1, page_no=1, limit=7)
+    assert sorted(r.id for r in own.collect()) == list(range(23, 30))
+    detail = listings.order_detail(orders.filter("id = 3 AND user_id = 1"), sales, items, products).collect()
+    assert [x.product_name for x in detail[0]["items"]] == ["p"]
