@@ -8,11 +8,13 @@ so that a few changes do not shuffle a large table.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import iso_text, millis_between, parse_float, trim_all
+from stockyard.operators.frames import Frames
 from stockyard.operators.outbox import payment_failed_payload, payment_success_payload
 from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.session import store
@@ -68,7 +70,7 @@ def _opened_counters(lines: DataFrame, counters: DataFrame) -> DataFrame:
     return counters.join(ids, "sale_product_id", "left_anti").unionByName(fresh)
 
 
-def activate_sales(sales, sale_products, counters, as_of: Column) -> dict[str, DataFrame]:
+def activate_sales(sales, sale_products, counters, as_of: Column) -> Frames:
     """Due SCHEDULED sales with products become ACTIVE and their counters are set to the stock.
 
     `cache` holds the entry of each started sale and how long it is kept: until
@@ -76,69 +78,73 @@ def activate_sales(sales, sale_products, counters, as_of: Column) -> dict[str, D
     """
     due = sales_due_to_start(sales, sale_products, as_of)
     seconds_left = F.floor(millis_between(F.col("end_time"), as_of) / 1000)
-    cache = due.select(
-        "id",
-        "name",
-        F.lit("ACTIVE").alias("status"),
-        iso_text(F.col("end_time")).alias("end_time"),
-        (seconds_left + 3600).cast("bigint").alias("ttl_s"),
+    return Frames(
+        sales=lambda: _with_status(sales, due, "ACTIVE"),
+        counters=lambda: _opened_counters(_lines_of(sale_products, due), counters),
+        cache=lambda: due.select(
+            "id",
+            "name",
+            F.lit("ACTIVE").alias("status"),
+            iso_text(F.col("end_time")).alias("end_time"),
+            (seconds_left + 3600).cast("bigint").alias("ttl_s"),
+        ),
     )
-    return {
-        "cache": cache,
-        "sales": _with_status(sales, due, "ACTIVE"),
-        "counters": _opened_counters(_lines_of(sale_products, due), counters),
-    }
 
 
-def settle_ended_sales(sales, sale_products, inventory, counters, as_of: Column) -> dict[str, DataFrame]:
+def settle_ended_sales(sales, sale_products, inventory, counters, as_of: Column) -> Frames:
     """Due ACTIVE sales become ENDED; their counters are written back to the tables and dropped."""
     due = sales_due_to_end(sales, as_of)
-    left = store(
-        _lines_of(sale_products, due)
-        .select(F.col("id").alias("sale_product_id"))
-        .join(counters, "sale_product_id")
-        .withColumnRenamed("live_qty", "_left")
-    )
-    left = broadcast_when(is_small(left), left)
-    settled = (
-        sale_products.join(left.withColumnRenamed("sale_product_id", "id"), "id", "left")
-        .withColumn(
-            "reserved_qty",
-            F.when(F.col("_left").isNotNull(), F.greatest(F.lit(0), F.col("total_qty") - F.col("_left"))).otherwise(
-                F.col("reserved_qty")
-            ),
+
+    @cache
+    def left() -> DataFrame:
+        last = store(
+            _lines_of(sale_products, due)
+            .select(F.col("id").alias("sale_product_id"))
+            .join(counters, "sale_product_id")
+            .withColumnRenamed("live_qty", "_left")
         )
-        .drop("_left")
-    )
-    synced = (
-        inventory.join(left, "sale_product_id", "left")
-        .withColumn(
-            "available_qty",
-            F.when(F.col("_left").isNotNull(), F.greatest(F.lit(0), F.col("_left"))).otherwise(F.col("available_qty")),
+        return broadcast_when(is_small(last), last)
+
+    counted = F.col("_left").isNotNull()
+
+    def settled() -> DataFrame:
+        taken = F.greatest(F.lit(0), F.col("total_qty") - F.col("_left"))
+        return (
+            sale_products.join(left().withColumnRenamed("sale_product_id", "id"), "id", "left")
+            .withColumn("reserved_qty", F.when(counted, taken).otherwise(F.col("reserved_qty")))
+            .drop("_left")
+        )
+
+    def synced() -> DataFrame:
+        level = F.greatest(F.lit(0), F.col("_left"))
+        return (
+            inventory.join(left(), "sale_product_id", "left")
+            .withColumn("available_qty", F.when(counted, level).otherwise(F.col("available_qty")))
+            .withColumn("last_synced_at", F.when(counted, as_of).otherwise(F.col("last_synced_at")))
+            .drop("_left")
         )
-        .withColumn("last_synced_at", F.when(F.col("_left").isNotNull(), as_of).otherwise(F.col("last_synced_at")))
-        .drop("_left")
+
+    return Frames(
+        sales=lambda: _with_status(sales, due, "ENDED"),
+        sale_products=settled,
+        inventory=synced,
+        counters=lambda: counters.join(left().select("sale_product_id"), "sale_product_id", "left_anti"),
     )
-    return {
-        "sales": _with_status(sales, due, "ENDED"),
-        "sale_products": settled,
-        "inventory": synced,
-        "counters": counters.join(left.select("sale_product_id"), "sale_product_id", "left_anti"),
-    }
 
 
-def advance_sales(sales, sale_products, inventory, counters, as_of: Column) -> dict[str, DataFrame]:
+def advance_sales(sales, sale_products, inventory, counters, as_of: Column) -> Frames:
     """One scheduler tick; both selections read the state before it.
 
     A SCHEDULED sale that has already lapsed thus starts in this tick and ends in the next.
     """
     starting = sales_due_to_start(sales, sale_products, as_of)
     ended = settle_ended_sales(sales, sale_products, inventory, counters, as_of)
-    return {
-        **ended,
-        "sales": _with_status(ended["sales"], starting, "ACTIVE"),
-        "counters": _opened_counters(_lines_of(sale_products, starting), ended["counters"]),
-    }
+    return Frames(
+        sales=lambda: _with_status(ended["sales"], starting, "ACTIVE"),
+        sale_products=lambda: ended["sale_products"],
+        inventory=lambda: ended["inventory"],
+        counters=lambda: _opened_counters(_lines_of(sale_products, starting), ended["counters"]),
+    )
 
 
 def feed_sale_status(before: DataFrame, after: DataFrame) -> DataFrame:
