@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -221,13 +221,13 @@ def replay(
     )
     # At most one row per block, so broadcasting keeps the blocks in place.
     crossing = blocked.join(F.broadcast(tail_keys), same, "left_semi")
-    link = F.create_map(*[F.lit(x) for b, a in left_of.items() for x in (a, b)])
 
-    def with_entry_rows(rows: DataFrame, ends: DataFrame, wanted: list[int]) -> DataFrame:
+    def with_entry_rows(rows: DataFrame, ends: DataFrame, wanted: Iterable[int]) -> DataFrame:
         """Rows of the blocks, each wanted one led by a row with its entry state."""
-        entry = ends.select(
-            F.try_element_at(link, F.col("block")).alias("block"), F.col("state").alias("entry")
-        ).filter(F.col("block").isin(wanted))
+        link = spark.createDataFrame([(left_of[b], b) for b in wanted], "left INT, block INT")
+        entry = ends.select(F.col("block").alias("left"), F.col("state").alias("entry")).join(
+            F.broadcast(link), "left"
+        ).select("block", "entry")
         lead = rows.filter("pos = 0").drop("entry").join(entry, "block").withColumn("pos", F.lit(-1))
         return rows.unionByName(lead.select(*rows.columns))
 
@@ -246,20 +246,17 @@ def replay(
     def fold_again(ends: DataFrame, walks: list[list[int]]) -> DataFrame:
         """New end states of the blocks; each walk is a run of neighbours for one task."""
         states = small_states(ends)
-        todo = [b for w in walks for b in w]
-        rows = blocked.filter(F.col("block").isin(todo))
+        todo = F.broadcast(
+            spark.createDataFrame([(b, w[0]) for w in walks for b in w], "block INT, walk INT")
+        )
+        rows = blocked.join(todo, "block")
         if not states:
             rows = with_entry_rows(rows, ends, [w[0] for w in walks])
         follows = {b: left_of[b] for w in walks for b in w[1:]}
         if follows or not states:
-            walk_of = F.create_map(*[F.lit(x) for w in walks for b in w for x in (b, w[0])])
-            rows = (
-                rows.withColumn("walk", F.try_element_at(walk_of, F.col("block")))
-                .repartition("walk")
-                .sortWithinPartitions("walk", "block", "pos")
-            )
+            rows = rows.repartition("walk").sortWithinPartitions("walk", "block", "pos")
         again = end_fold(rows, states, follows)
-        return pin(ends.filter(~F.col("block").isin(todo)).unionByName(again))
+        return pin(ends.join(todo, "block", "left_anti").unionByName(again))
 
     right_of = {a: b for b, a in left_of.items()}
     ends = pin(end_fold(crossing))
@@ -295,5 +292,5 @@ def replay(
     states = small_states(ends)
     if states:
         return final(blocked, states)
-    rows = with_entry_rows(blocked, ends, list(left_of)).repartition("block").sortWithinPartitions("block", "pos")
+    rows = with_entry_rows(blocked, ends, left_of).repartition("block").sortWithinPartitions("block", "pos")
     return final(rows)

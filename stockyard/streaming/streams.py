@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import routed
 from stockyard.operators.transitions import advance_sales, apply_payment_outcomes, feed_sale_status
+from stockyard.session import store
 from stockyard.streaming.processors import DEADLINE_OUT, LEVEL_OUT, LIMIT_OUT, Deadline, SlidingWindow, StockLevel
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -127,6 +128,7 @@ def payment_stream(
     once = messages.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["order_id"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = store(batch, "payment-batch")  # read several times below
         own = batch.select("order_id")
         mine = orders.join(own.withColumnRenamed("order_id", "id"), "id", "left_semi")
         answers = outcomes.join(own, "order_id", "left_semi")
