@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from stockyard.operators import admission, ledger, limits, replay
 from stockyard.operators.blocks import range_blocks, row_numbers, running_totals
