@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose
 the tables and the local cores. Each query is planned and run to the end once
-per round, all rows are produced, and the better of two rounds counts.
+per round, all rows are produced, and the best of three rounds counts.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ HEADLINES = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    rounds = int(os.environ.get("BENCH_ROUNDS", "2"))
+    rounds = int(os.environ.get("BENCH_ROUNDS", "3"))
     names = sys.argv[1:] or HEADLINES
     spark = local_session(cpus, "stockyard-bench")
     spark.sparkContext.setLogLevel("OFF")
