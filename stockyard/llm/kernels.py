@@ -148,6 +148,16 @@ class HashTable:
             left = self.slots[at] != todo
             todo, at = todo[left], (at[left] + 1) & (len(self.slots) - 1)
 
+    def parts(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Plain arrays, which can be broadcast."""
+        return self.bits, self.slots, self.keys
+
+    @classmethod
+    def of(cls, bits: int, slots: np.ndarray, keys: np.ndarray) -> HashTable:
+        table = cls.__new__(cls)
+        table.bits, table.slots, table.keys = bits, slots, keys
+        return table
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm import exact, language, pieces
+from stockyard.llm import exact, language, mixing, near, neighbours, pages, pieces, ppm, toxicity
 from stockyard.llm.registry import QUERIES, SQL, fold, query, table
+from stockyard.session import store
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -19,6 +20,30 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def trains(folds: int):
+    """Rows to learn from: all but fold 0; rows without an id are never held out."""
+    return (fold(folds=folds) != 0) | fold(folds=folds).isNull()
+
+
+def held_out(folds: int):
+    return F.coalesce(fold(folds=folds) == 0, F.lit(False)).alias("held_out")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(trains(5)))
+    scored = docs.select("doc_id", held_out(5), toxicity.score(model, spark).alias("t"))
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "t.score",
+        (F.col("t.score") >= 0.5).cast("int").alias("predicted"),
+        "t.similarity",
+        "t.neighbours",
+    )
+
+
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -46,9 +71,48 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.members(table(spark, folder, "documents"), keep="largest")
 
 
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model, words = ppm.fit(docs.where(trains(10)))
+    scored = ppm.score(docs, model, words)
+    return scored.select("doc_id", held_out(10), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    measured = mixing.measure(docs).select(F.struct(F.col("id").alias("doc_id")).alias("doc"), "id", "source", "size", "block")
+    measured = store(measured, "mix-sizes")
+    rows = mixing.assign(measured, mixing.plan(measured))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.size("shards")).alias("taken"),
+        "shards",
+    )
+
+
+@query("op9_near_dedup")
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.members(table(spark, folder, "documents"), width=4, percent=80)
+
+
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = language.fit(docs.where((fold() != 0) | fold().isNull()))
-    named = docs.select("doc_id", (fold() == 0).alias("held_out"), language.identify(model, spark).alias("l"))
+    model = language.fit(docs.where(trains(5)))
+    named = docs.select("doc_id", held_out(5), language.identify(model, spark).alias("l"))
     return named.select("doc_id", "held_out", "l.lang_pred", "l.score", "l.ambiguous", "l.runner_up")
