@@ -38,8 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays; of its repeated rows, one."""
-    rows = store(exact.members(docs), "exact-members")
+    """Of documents with equal texts the one with the largest id stays; of its repeated rows, one."""
+    rows = store(exact.members(docs, keep="largest"), "exact-members")
     rest = _without(docs, rows.where((F.col("doc_id") != F.col("keep_id")) | F.col("keep_id").isNull()))
     # Without an id a document stays only if nothing with an id has its text.
     rest = rest.withColumn("_text", F.sha2(exact.normalised().cast("binary"), 256))

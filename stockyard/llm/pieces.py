@@ -5,7 +5,10 @@ they form and then from left to right, merges the best pair and puts the two new
 pairs on the agenda, until no pair forms a piece. Symbols without a piece fall back
 to bytes. If no piece of the vocabulary has a space mark after another character,
 no merge crosses such a place, nor a character that occurs in no longer piece; texts
-are cut there into units and each distinct unit is merged once per worker.
+are cut there into units and each distinct unit is merged once per worker. The agendas
+of all new units of a batch are arrays: every step takes the first pair of each unit's
+agenda, merges it and looks up the new pairs, for all units at once. Long units have a
+heap each.
 
 In each Arrow batch the units met for the first time are also encoded and decoded by
 the sentencepiece library, and `agreed` tells whether all units of a text came out
@@ -23,19 +26,23 @@ import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stockyard.llm.kernels import HashTable
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
 
 SPACE = "▁"
 #: Distinct units that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Longer units are not remembered.
 UNIT_CHARS = 40
+#: Bits of a symbol's code: pieces and all characters of Unicode.
+CODE_BITS = 21
 
 RESULT = "struct<ids: array<int>, n_tokens: bigint, ids_sha256: string, decoded: string, decoded_sha256: string, agreed: boolean>"
 
@@ -69,8 +76,77 @@ class Pieces:
             self.units = re.compile(f"[{self.apart}]|{SPACE}*[^{SPACE}{self.apart}]+|{SPACE}+").findall
         else:
             self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, str] = {}  # unit to its ids, joined by commas
+        self.odd: dict[str, str] = {}  # units whose ids do not spell them, and what they spell
         self.differing: set[str] = set()
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Symbols as codes, and the table of pairs of codes that form a piece.
+
+        A piece has its id as code; other characters get codes when they are met.
+        """
+        self.code_of_character = np.full(0x110000, -1, np.int64)
+        self.spelled = [str(i) for i in range(len(self.pieces))]
+        self.texts = [p.replace(SPACE, " ") for p in self.pieces]
+        order = {score: rank for rank, score in enumerate(sorted(set(self.scores.values())))}
+        keys, merged, ranks = [], [], []
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = self._code(piece[:cut]), self._code(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << CODE_BITS | right)
+                    merged.append(i)
+                    ranks.append(order[self.scores[piece]])
+        self.pairs = HashTable(np.array(keys, np.uint64))
+        self.merged, self.ranks = np.array(merged, np.int64), np.array(ranks, np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.code_of_character[ord(piece)] = i
+
+    def _code(self, symbol: str) -> int | None:
+        if symbol in self.ids:
+            return self.ids[symbol]
+        if len(symbol) > 1:
+            return None
+        code = int(self.code_of_character[ord(symbol)])
+        if code < 0:
+            code = len(self.spelled)
+            self.code_of_character[ord(symbol)] = code
+            raw = symbol.encode("utf-8", "surrogatepass")
+            ids = [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
+            self.spelled.append(",".join(map(str, ids)))
+            self.texts.append(self.spell(ids))
+        return code
+
+    def merge_all(self, units: list[str]) -> tuple[list[str], list[str]]:
+        """The ids of many units, joined by commas, and what these spell: one step merges the first pair of every agenda."""
+        out, spelled = [""] * len(units), [""] * len(units)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        for c in np.unique(points[self.code_of_character[points] < 0]):
+            self._code(chr(c))
+        codes = self.code_of_character[points]
+        rows = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        never = np.int64(1 << 62)
+        while len(codes):
+            first = np.full(len(codes), never)
+            at = self.pairs.find((codes[:-1] << CODE_BITS | codes[1:]).astype(np.uint64))
+            able = np.flatnonzero((at >= 0) & (rows[:-1] == rows[1:]))
+            first[able] = (self.ranks[at[able]] << 32) | able
+            heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            best = np.minimum.reduceat(first, heads)
+            done = best == never
+            left = (best[~done] & 0xFFFFFFFF).astype(np.int64)
+            ends = np.append(heads[1:], len(codes))
+            ended = codes.tolist() if done.any() else []
+            for row, a, b in zip(rows[heads[done]].tolist(), heads[done].tolist(), ends[done].tolist(), strict=True):
+                out[row] = ",".join([self.spelled[c] for c in ended[a:b]])
+                spelled[row] = "".join([self.texts[c] for c in ended[a:b]])
+            keep = np.repeat(~done, ends - heads)
+            codes[left] = self.merged[at[left]]
+            keep[left + 1] = False
+            codes, rows = codes[keep], rows[keep]
+        return out, spelled
 
     def merge(self, unit: str) -> list[int]:
         """The ids of a unit, by its agenda of adjacent pairs."""
@@ -137,32 +213,46 @@ class Pieces:
         """Merge units not yet known and hold them against the library, all in one call."""
         if len(self.known) + len(units) > REMEMBERED:
             self.known.clear()
-        found = [self.merge(u) for u in units]
+        short = [u for u in units if len(u) <= UNIT_CHARS]
+        joined, spelled = self.merge_all(short)
+        for unit in units:
+            if len(unit) > UNIT_CHARS:
+                ids = self.merge(unit)
+                short.append(unit)
+                joined.append(",".join(map(str, ids)))
+                spelled.append(self.spell(ids))
+        found = dict(zip(short, joined, strict=True))
         # The library puts a space mark in front; what it gives for a character apart is dropped again.
         lead = self.apart[:1]
-        asked = [u[1:] if u[0] == SPACE else lead + u if lead else None for u in units]
-        skip = [0 if u[0] == SPACE else 1 + len(self.merge(lead)) if lead else 0 for u in units]
-        given = iter(self.library.encode([a for a in asked if a], num_threads=1))
-        for unit, ids, ask, drop in zip(units, found, asked, skip, strict=True):
-            if ask and next(given)[drop:] != ids:
-                self.differing.add(unit)
-            text = self.spell(ids)
-            if text != unit.replace(SPACE, " ") and "�" not in unit:
+        drop = 1 + len(self.merge(lead)) if lead else 0
+        asked = [u for u in units if len(u) > 1 and (u[0] == SPACE or lead)]
+        given = self.library.encode([u[1:] if u[0] == SPACE else lead + u for u in asked], num_threads=1)
+        for unit, ids in zip(asked, given, strict=True):
+            ids = ids if unit[0] == SPACE else ids[drop:]
+            if ",".join(map(str, ids)) != found[unit]:
                 self.differing.add(unit)
-            self.known[unit] = (",".join(map(str, ids)), text)
+        self.odd.update((u, text) for u, text in zip(short, spelled, strict=True) if text != u.replace(SPACE, " "))
+        self.known.update(found)
 
     def encode_batch(self, texts: list[str | None], with_ids: bool) -> Iterator[tuple]:
-        cut = [self.units((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn(list({u for units in cut for u in units if len(u) <= UNIT_CHARS} - self.known.keys()))
-        for units in cut:
-            long = {u for u in units if u not in self.known}
-            if long:
-                self.learn(list(long))
-            pairs = [self.known[u] for u in units]
-            for u in long:
-                self.known.pop(u, None)
-            csv = ",".join([p[0] for p in pairs])
-            decoded = "".join([p[1] for p in pairs])
+        marked = [(SPACE + t).replace(" ", SPACE) if t else "" for t in texts]
+        cut = [self.units(m) if m else [] for m in marked]
+        new = {u for units in cut for u in units if u not in self.known}
+        if new:
+            self.learn([u for u in new if len(u) <= UNIT_CHARS])
+        for mark, units in zip(marked, cut, strict=True):
+            rest = {u for u in units if u not in self.known}
+            if rest:
+                self.learn(list(rest))
+            csv = ",".join([self.known[u] for u in units])
+            for u in rest:
+                if len(u) > UNIT_CHARS:
+                    self.known.pop(u, None)
+            # Every unit's ids spell it again, or it is among the odd ones.
+            if self.odd and not self.odd.keys().isdisjoint(units):
+                decoded = "".join([self.odd.get(u, u.replace(SPACE, " ")) for u in units])
+            else:
+                decoded = mark.replace(SPACE, " ")
             decoded = decoded[1:] if decoded.startswith(" ") else decoded
             yield (
                 [int(i) for i in csv.split(",")] if with_ids and csv else ([] if with_ids else None),
