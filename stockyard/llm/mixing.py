@@ -118,7 +118,7 @@ def _fill(rows: DataFrame, size: str, amount: str, *order: Column | str) -> Data
         {"got": F.lit(False), "over": F.lit(False), "first_over": F.lit(False), "left": F.col(amount).cast("double")}
     )
     for turn in range(FILL_ROUNDS):
-        free = ~F.col("got") & ~F.col("over") & ((F.col(size) <= F.col("left")) | F.lit(turn == 0))
+        free = ~F.col("got") & ~F.col("over") & ((F.col(size) <= F.col("left")) | F.lit(turn == 0)) & (F.col(amount) > 0)
         rows = rows.withColumn("sum", F.sum(F.when(free, F.col(size)).otherwise(0)).over(running))
         fits = free & (F.col("sum") <= F.col("left"))
         crosses = free & (F.col("sum") > F.col("left")) & (F.col("sum") - F.col(size) <= F.col("left"))
