@@ -39,14 +39,19 @@ def status_is(status: str | None, column: str = "status") -> Column | None:
     return F.col(column) == status.upper() if status else None
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset+limit in `order` (end it with a unique column).
+def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int, position: str | None = None) -> DataFrame:
+    """Rows offset .. offset+limit in `order` (end it with a unique column), in that order.
 
+    `position` names a column for a row's place in the whole listing, from 1.
     Shallow pages are a top-k. A deep page would gather everything before it, so
     it is cut out of a range-partitioned sort by position instead.
     """
     if offset + limit <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
+        rows = df.orderBy(*order).offset(offset).limit(limit)
+        if position is None:
+            return rows
+        place = F.row_number().over(Window.orderBy(*order)).cast("bigint") + offset  # one page of rows
+        return rows.withColumn(position, place)
     blocked = range_blocks(df, [], list(order))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -55,8 +60,8 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
         .select("block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     at = F.col("_start") + F.col("pos")
-    inside = blocked.join(F.broadcast(starts), "block").filter((at >= offset) & (at < offset + limit))
-    return inside.select(*df.columns)
+    inside = blocked.join(F.broadcast(starts), "block").filter((at >= offset) & (at < offset + limit)).orderBy(at)
+    return inside.select(*df.columns, *([(at + 1).alias(position)] if position else []))
 
 
 def newest_first(time: str = "created_at", key: str = "id") -> list[Column]:
@@ -78,7 +83,8 @@ def list_active_products(products: DataFrame, base_url: str, page_no=1, limit=10
     active = products.filter("is_active").select(
         "id", "name", "description", "base_price", "image_key", "is_active", "created_at"
     )
-    return page(active, newest_first(), offset, n).withColumn("image_url", image_url(F.col("image_key"), base_url))
+    rows = page(active, newest_first(), offset, n, "position")
+    return rows.withColumn("image_url", image_url(F.col("image_key"), base_url))
 
 
 def sale_lines(sale_products: DataFrame, products: DataFrame) -> DataFrame:
@@ -100,20 +106,19 @@ def list_sales_catalog(
 ) -> DataFrame:
     """A page of sales, latest start first, each with its products (NULL when none).
 
-    The page is cut before the joins, so only its sales are joined and nested.
+    A sale with more than `max_items` products is several rows, numbered by `part`;
+    `position` is the sale's place in the listing. The page is cut before the joins, so only its sales are joined and nested.
     Its lines are stored, which tells the planner how few they are: the products
     are then filtered by a broadcast instead of shuffled.
     """
     _, n, offset = clamp_page(page_no, limit)
-    chosen = page(where_all(sales, status_is(status)), newest_first("start_time"), offset, n)
+    chosen = page(where_all(sales, status_is(status)), newest_first("start_time"), offset, n, "position")
     lines = store(sale_products.join(chosen.select(F.col("id").alias("sale_id")), "sale_id", "left_semi"))
     near = products.join(lines.select(F.col("product_id").alias("id")), "id", "left_semi")
-    nested = nest(
-        sale_lines(lines, near), ["sale_id"], SALE_PRODUCT_FIELDS, "sale_product_id", "products", max_items
-    )
-    return chosen.join(nested.withColumnRenamed("sale_id", "id"), "id", "left").select(
-        "id", "name", "start_time", "end_time", "status", "created_at", "part", "products"
-    )
+    nested = nest(sale_lines(lines, near), ["sale_id"], SALE_PRODUCT_FIELDS, "products", max_items, lines)
+    columns = ["position", "id", "name", "start_time", "end_time", "status", "created_at", "part", "products"]
+    listed = chosen.join(nested.withColumnRenamed("sale_id", "id"), "id", "left").select(*columns)
+    return listed.orderBy("position", "part")
 
 
 def sale_detail_rows(
@@ -142,9 +147,7 @@ def sale_detail_live(
     """The chosen sales as documents; filter `sales` to choose."""
     chosen = sale_products.join(sales.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
     rows = sale_detail_rows(sales, chosen, products, counters).filter("sale_product_id IS NOT NULL")
-    nested = nest(
-        rows, ["sale_id"], [*SALE_PRODUCT_FIELDS, "available_qty"], "sale_product_id", "products", max_items
-    )
+    nested = nest(rows, ["sale_id"], [*SALE_PRODUCT_FIELDS, "available_qty"], "products", max_items, chosen)
     return sales.join(nested.withColumnRenamed("sale_id", "id"), "id", "left")
 
 
@@ -160,7 +163,7 @@ def _with_items(
     lines = order_items.drop("id").join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     if one_page:
         lines = store(lines)
-    nested = nest(order_lines(lines, products), ["order_id"], fields, "product_id", "items", max_items)
+    nested = nest(order_lines(lines, products), ["order_id"], fields, "items", max_items, lines)
     return chosen.join(nested.withColumnRenamed("order_id", "id"), "id")
 
 
@@ -198,8 +201,8 @@ def _page_of_listed(
         )
         whole = pin(whole)
         if whole.count() >= needed or first.count() < taken:
-            return page(whole, newest_first(), offset, limit)
-    return page(_listed(joined(orders, False), order_items, products), newest_first(), offset, limit)
+            return page(whole, newest_first(), offset, limit, "position")
+    return page(_listed(joined(orders, False), order_items, products), newest_first(), offset, limit, "position")
 
 
 def list_user_orders(
@@ -214,14 +217,16 @@ def list_user_orders(
 ) -> DataFrame:
     """A page of a user's orders, newest first, with sale name and items.
 
-    Without `user_id` the same page of every user is returned.
+    Without `user_id` the same page of every user is returned, in no order of
+    users. `position` is an order's place among its user's.
     """
     _, n, offset = clamp_page(page_no, limit)
     named = sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name"))
     columns = ["id", "user_id", "sale_id", "status", "total_amount", "created_at", "updated_at", "sale_name"]
     if user_id is not None:
         own = orders.filter(F.col("user_id") == user_id)
-        chosen = _page_of_listed(own, order_items, products, [(named, "sale_id")], offset, n).select(*columns)
+        chosen = _page_of_listed(own, order_items, products, [(named, "sale_id")], offset, n)
+        chosen = chosen.select(*columns, "position")
     else:
         header = _listed(orders.join(named, "sale_id"), order_items, products).select(*columns)
         # rank <= literal lets Spark cut each group before it is shuffled
@@ -230,9 +235,10 @@ def list_user_orders(
             header.withColumn("_rank", rank)
             .filter(F.col("_rank") <= offset + n)
             .filter(F.col("_rank") > offset)
+            .withColumn("position", F.col("_rank").cast("bigint"))
             .drop("_rank")
         )
-    return _with_items(
+    pages = _with_items(
         chosen,
         order_items,
         products,
@@ -240,6 +246,7 @@ def list_user_orders(
         max_items,
         user_id is not None,
     )
+    return pages if user_id is None else pages.orderBy("position", "part")
 
 
 def order_detail(
@@ -248,7 +255,7 @@ def order_detail(
     """Orders with sale name, idempotency key and items; filter `orders` by id and owner to choose."""
     named = sales.select(F.col("id").alias("sale_id"), F.col("name").alias("sale_name"))
     fields = ["product_id", "product_name", "quantity", "unit_price"]
-    nested = nest(order_lines(order_items, products), ["order_id"], fields, "product_id", "items", max_items)
+    nested = nest(order_lines(order_items, products), ["order_id"], fields, "items", max_items, order_items)
     return orders.join(named, "sale_id").join(nested.withColumnRenamed("order_id", "id"), "id")
 
 
@@ -277,8 +284,7 @@ def list_admin_orders(
         limit,
     )
     header = chosen.select(
-        "id", "status", "total_amount", "created_at", "updated_at", "user_email", "user_name", "sale_name"
-    )
-    return _with_items(
-        header, order_items, products, ["product_name", "quantity", "unit_price"], max_items, True
+        "id", "status", "total_amount", "created_at", "updated_at", "user_email", "user_name", "sale_name", "position"
     )
+    fields = ["product_name", "quantity", "unit_price"]
+    return _with_items(header, order_items, products, fields, max_items, True).orderBy("position", "part")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockyard.operators.blocks import row_numbers
 from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.session import store
 
@@ -17,34 +18,40 @@ def nest(
     details: DataFrame,
     by: Sequence[str],
     fields: Sequence[str],
-    spread_by: str,
     name: str,
     max_items: int = MAX_ITEMS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with a sorted array of structs, all details kept.
 
-    A group of more than `max_items` details becomes several rows, numbered by
-    `part`, with its details dealt out by a hash of `spread_by`. Large groups
-    are looked up first, from counts, so that the details are shuffled once.
+    The sorted details of a group are cut every `max_items`; each run is a row,
+    numbered by `part` from 0, so the parts in order are the whole list. Only
+    groups that have several parts need ranks, and these are found from counts:
+    of `counted` if given, a table with at least the details of every group that
+    is cheaper to read (the details before their joins).
     """
     large = store(
-        details.groupBy(*by)
+        (details if counted is None else counted)
+        .groupBy(*by)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > max_items)
-        .select(*by, F.ceil(F.col("_n") / max_items).alias("_parts"))
+        .select(*by)
     )
     items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by, "part").agg(items).select(*by, "part", name)
+
+    whole = details.withColumn("part", F.lit(0))
     if large.isEmpty():
-        return details.groupBy(*by).agg(items).select(*by, F.lit(0).alias("part"), name)
-    slot = F.conv(F.substring(F.md5(F.col(spread_by).cast("string")), 1, 8), 16, 10).cast("bigint")
-    part = F.when(F.col("_parts") > 1, slot % F.col("_parts")).otherwise(F.lit(0)).cast("int")
-    return (
-        details.join(broadcast_when(is_small(large), large), list(by), "left")
-        .withColumn("part", part)
-        .repartition(*by, "part")
-        .groupBy(*by, "part")
-        .agg(items)
-    )
+        return listed(whole)
+    marked = broadcast_when(is_small(large), large)
+    small = whole.join(marked, list(by), "left_anti")
+    # The row id keeps equal details apart, so that many of them still spread over the blocks.
+    rows = details.join(marked, list(by), "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    ranked = row_numbers(rows, by, [*fields, "_row"], "_rank")
+    parts = ranked.withColumn("part", F.expr(f"(_rank - 1) div {int(max_items)}").cast("int"))
+    return listed(small).unionByName(listed(parts))
 
 
 def digest(array: str, fields: Sequence[str]) -> Column:

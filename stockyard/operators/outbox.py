@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.schemas import EVENT_BODIES, EVENT_QUEUES, STUCK_PRODUCT_NAME, STUCK_REASON
+from stockyard.session import store
 
 BATCH = 50
 
@@ -63,9 +65,10 @@ def stuck_order_payload() -> Column:
 def append_events(outbox: DataFrame, events: DataFrame, batch_id: str, created_at: Column) -> DataFrame:
     """The log with a batch of events (event_type, payload, event_key) added, unpublished.
 
-    Ids come from the batch, type and event key, so a rerun of the batch makes
-    the same ids; events already in the log are not added again. Only log rows
-    of the same `created_at` can be such events, so no others are compared.
+    Ids come from the batch, type and event key, so the same batch makes the same
+    ids whenever it is tried again; events already in the log keep their first
+    time and are not added. Of the log only the ids are compared: a short batch
+    goes to them as a broadcast, a long one is shuffled.
     """
     fresh = events.select(
         F.md5(F.concat_ws(":", F.lit(batch_id), "event_type", F.col("event_key").cast("string"))).alias("id"),
@@ -74,9 +77,10 @@ def append_events(outbox: DataFrame, events: DataFrame, batch_id: str, created_a
         F.lit(False).alias("published"),
         created_at.alias("created_at"),
     )
+    fresh = store(fresh.dropDuplicates(["id"]), "events")
     log = outbox.withColumn("id", F.col("id").cast("string"))
-    same_time = log.filter(F.col("created_at") == created_at)
-    return log.unionByName(fresh.join(same_time.select("id"), "id", "left_anti"))
+    there = log.select("id").join(broadcast_when(is_small(fresh), fresh.select("id")), "id", "left_semi")
+    return log.unionByName(fresh.join(there, "id", "left_anti"))
 
 
 def routed(outbox: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import millis_between, round_half_up
-from stockyard.operators.listings import order_lines, where_all
+from stockyard.operators.listings import newest_first, order_lines, page, where_all
 from stockyard.operators.nesting import MAX_ITEMS, nest
 from stockyard.operators.sizing import left_join_many
 from stockyard.schemas import LIVE_ORDER_STATUSES, ORDER_STATUSES, SALE_STATUSES
+from stockyard.session import pin
 
 
 def _rename(df: DataFrame, **names: str) -> DataFrame:
@@ -190,12 +191,23 @@ def user_spend(users: DataFrame, orders: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("status") == "CONFIRMED", F.col("total_amount"))).alias("total_spent"),
     )
     return users.join(spent, "id", "left").select(
-        *[c for c in ("id", "email", "full_name", "role", "is_active", "created_at")],
+        *users.columns,
         F.coalesce("order_count", F.lit(0)).alias("order_count"),
         F.coalesce("total_spent", F.lit(0)).cast("decimal(20,2)").alias("total_spent"),
     )
 
 
+def list_users_spend(users: DataFrame, orders: DataFrame, page_no: int = 1, limit: int = 20) -> DataFrame:
+    """A page of users, newest first, with their orders and what they spent; limits are not clamped here.
+
+    The page is cut first, so only its users' orders are read into the sums.
+    """
+    chosen = page(users, newest_first(), (page_no - 1) * limit, limit, "position")
+    chosen = pin(chosen)  # read by the filter of the orders and by the join
+    own = orders.join(F.broadcast(chosen.select(F.col("id").alias("user_id"))), "user_id", "left_semi")
+    return user_spend(chosen, own).orderBy("position")
+
+
 def sale_monitor(sale_products, products, orders, order_items) -> DataFrame:
     """Per sale product: lines by status and confirmed revenue.
 
@@ -266,10 +278,8 @@ def active_order_counts(sale_products, orders, order_items) -> DataFrame:
 
 
 def nested_order_items(orders: DataFrame, order_items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Order headers with their items; orders without items are left out."""
-    nested = nest(
-        order_items, ["order_id"], ["product_id", "quantity", "unit_price"], "product_id", "items", max_items
-    )
+    """Order headers with their items, in rows of at most `max_items`; orders without items are left out."""
+    nested = nest(order_items, ["order_id"], ["product_id", "quantity", "unit_price"], "items", max_items)
     return orders.join(nested.withColumnRenamed("order_id", "id"), "id")
 
 
@@ -279,7 +289,6 @@ def nested_sale_products(sales: DataFrame, sale_products: DataFrame, max_items:
         sale_products.withColumnRenamed("id", "sale_product_id"),
         ["sale_id"],
         ["sale_product_id", "product_id", "sale_price", "total_qty", "reserved_qty"],
-        "sale_product_id",
         "products",
         max_items,
     )

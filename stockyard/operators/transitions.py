@@ -20,17 +20,31 @@ from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.session import store
 
 
+def last_changes(changes: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key: the values of its last change in `order`; equal places go by the values themselves.
+
+    A key that is changed over and over is reduced in the tasks before it is shuffled.
+    """
+    place = F.struct(*order, *values)
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), place).alias("_last")).select(*keys, "_last.*")
+
+
 def upsert(
-    current: DataFrame, incoming: DataFrame, keys: Sequence[str], updates: Sequence[str], inserts: Mapping[str, Column]
+    current: DataFrame,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    updates: Sequence[str],
+    inserts: Mapping[str, Column],
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Insert-or-update on unique `keys`.
 
     `updates` are taken from `incoming`; other columns keep their value, or on a
-    new row take the one given in `inserts`.
+    new row take the one given in `inserts`. Of several incoming rows of one key
+    the last in `order` counts.
     """
-    new = incoming.select(
-        *keys, *[F.col(c).alias(f"_new_{c}") for c in updates], F.lit(True).alias("_in")
-    )
+    last = last_changes(incoming, keys, updates, order)
+    new = last.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in updates], F.lit(True).alias("_in"))
     old = current.withColumn("_old", F.lit(True))
     merged = old.join(new, list(keys), "full")
 
@@ -163,14 +177,20 @@ def cancel_sales(sales: DataFrame, requests: DataFrame) -> DataFrame:
     return _with_status(sales, asked, "ENDED")
 
 
-def upsert_sale_products(sale_products, inventory, changes, as_of: Column, new_id: Column) -> dict[str, DataFrame]:
-    """Price and stock per (sale, product) are replaced, reserved_qty stays, inventory follows the stock."""
+def upsert_sale_products(
+    sale_products, inventory, changes, as_of: Column, new_id: Column, order: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Price and stock per (sale, product) are replaced, reserved_qty stays, inventory follows the stock.
+
+    Several changes of one line apply in `order`, so the last one stands.
+    """
     merged = upsert(
         sale_products,
         changes,
         ["sale_id", "product_id"],
         ["sale_price", "total_qty"],
         {"id": new_id, "reserved_qty": F.lit(0)},
+        order,
     )
     touched = merged.join(changes.select("sale_id", "product_id"), ["sale_id", "product_id"], "left_semi")
     levels = touched.select(
@@ -204,11 +224,12 @@ def remove_sale_products(sales, sale_products, inventory, removals) -> dict[str,
 PATCHABLE = ("name", "description", "base_price", "is_active", "image_key")
 
 
-def patch_products(products: DataFrame, patches: DataFrame) -> dict[str, DataFrame]:
+def patch_products(products: DataFrame, patches: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Partial updates; a field changes only where its `has_<field>` flag is set.
 
     Patches hold text fields. One with a bad price or without any field is
-    rejected as a whole, as is one for an unknown product.
+    rejected as a whole, as is one for an unknown product. Several patches of a
+    product apply in `order`: each field has the value of the last patch that sets it.
     """
     flags = {f: F.coalesce(F.col(f"has_{f}"), F.lit(False)) for f in PATCHABLE}
     price = parse_float(F.col("base_price"))
@@ -228,7 +249,21 @@ def patch_products(products: DataFrame, patches: DataFrame) -> dict[str, DataFra
         "image_key": F.col("image_key"),
     }
     good = checked.filter("error_code IS NULL").select(
-        "id", *[flags[f].alias(f"_has_{f}") for f in PATCHABLE], *[values[f].alias(f"_to_{f}") for f in PATCHABLE]
+        "id",
+        F.struct(*order).alias("_at") if order else F.lit(0).alias("_at"),
+        *[F.when(flags[f], F.struct(values[f].alias("v"))).alias(f"_set_{f}") for f in PATCHABLE],
+    )
+    # max_by skips patches without the field, whose place is then NULL.
+    good = good.groupBy("id").agg(
+        *[
+            F.max_by(f"_set_{f}", F.when(F.col(f"_set_{f}").isNotNull(), F.struct("_at", f"_set_{f}"))).alias(f"_set_{f}")
+            for f in PATCHABLE
+        ]
+    )
+    good = good.select(
+        "id",
+        *[F.col(f"_set_{f}").isNotNull().alias(f"_has_{f}") for f in PATCHABLE],
+        *[F.col(f"_set_{f}.v").alias(f"_to_{f}") for f in PATCHABLE],
     )
     patched = products.join(good, "id", "left").select(
         *[
@@ -298,13 +333,15 @@ def apply_payment_outcomes(
     """Settle PENDING orders; repeated deliveries and other orders are skipped.
 
     `messages`: order_id, user_id, sale_product_id, quantity, total_amount,
-    product_name (one per order). `outcomes`: order_id, delivery_id, success,
+    product_name; a message delivered again counts once. `outcomes`: order_id, delivery_id, success,
     transaction_id, reason; the lowest delivery_id of an order decides.
     """
     first = outcomes.groupBy("order_id").agg(
         F.min_by(F.struct("success", "transaction_id", "reason"), "delivery_id").alias("_o")
     ).select("order_id", "_o.*")
     pending = orders.filter("status = 'PENDING'").select(F.col("id").alias("order_id"))
+    fields = [c for c in messages.columns if c != "order_id"]
+    messages = messages.groupBy("order_id").agg(F.min(F.struct(*fields)).alias("_m")).select("order_id", "_m.*")
     settled = store(messages.join(first, "order_id").join(pending, "order_id", "left_semi"))
     few = is_small(settled)
     result = settled.select(

@@ -10,8 +10,9 @@ from stockyard.operators import transitions as T
 from stockyard.plans.registry import query
 from stockyard.plans.sqlviews import EVENTS_AS_OF as SQL_EVENTS_AS_OF
 from stockyard.plans.sqlviews import SALES_AS_OF as SQL_AS_OF
+from stockyard.schemas import STUCK_PRODUCT_NAME, STUCK_REASON
 from stockyard.session import run_folder
-from stockyard.sources.fixtures import EVENTS_AS_OF, SALES_AS_OF, ts
+from stockyard.sources.fixtures import EVENTS_AS_OF, LINE_IDS, SALES_AS_OF, ts
 
 TICK = "2001-08-01 00:00:00"
 SQL_TICK = f"TIMESTAMP '{TICK}'"
@@ -141,11 +142,15 @@ def cancel_sales(v):
 
 # catalogue changes
 
-_CHANGES = """SELECT sale_id, product_id, CAST(sale_price + 1 AS DECIMAL(10,2)) AS sale_price,
-    CAST(total_qty * 2 AS INTEGER) AS total_qty FROM d_sale_products WHERE product_id % 3 = 0
-    UNION ALL SELECT sale_id + 1000000, product_id, sale_price, total_qty FROM d_sale_products
-    WHERE product_id % 50 = 0"""
-_MERGED = """SELECT coalesce(o.id, n.sale_id * 10000000 + n.product_id) AS id, sale_id, product_id,
+_CHANGES = """SELECT sale_id, product_id, sale_price, total_qty FROM (
+    SELECT *, row_number() OVER (PARTITION BY sale_id, product_id ORDER BY seq DESC) AS back FROM (
+        SELECT sale_id, product_id, CAST(sale_price + 1 AS DECIMAL(10,2)) AS sale_price,
+               CAST(total_qty * 2 AS INTEGER) AS total_qty, 1 AS seq FROM d_sale_products WHERE product_id % 3 = 0
+        UNION ALL SELECT sale_id, product_id, CAST(sale_price + 2 AS DECIMAL(10,2)), CAST(total_qty + 7 AS INTEGER), 2
+        FROM d_sale_products WHERE product_id % 9 = 0
+        UNION ALL SELECT sale_id + 1000000, product_id, sale_price, CAST(total_qty + s AS INTEGER), 2 - s
+        FROM d_sale_products, (SELECT 0 AS s UNION ALL SELECT 1) WHERE product_id % 50 = 0)) WHERE back = 1"""
+_MERGED = """SELECT coalesce(o.id, n.sale_id * 100000000000 + n.product_id) AS id, sale_id, product_id,
     coalesce(n.sale_price, o.sale_price) AS sale_price, coalesce(n.total_qty, o.total_qty) AS total_qty,
     coalesce(o.reserved_qty, 0) AS reserved_qty, n.total_qty AS changed
     FROM d_sale_products o FULL JOIN x_changes n USING (sale_id, product_id)"""
@@ -153,7 +158,7 @@ _CHANGE_VIEWS = {"x_changes": _CHANGES, "x_merged": _MERGED}
 
 
 def _new_id():
-    return F.col("sale_id") * 10_000_000 + F.col("product_id")
+    return F.col("sale_id") * LINE_IDS + F.col("product_id")
 
 
 def _changes(v):
@@ -162,11 +167,21 @@ def _changes(v):
         "product_id",
         (F.col("sale_price") + 1).cast("decimal(10,2)").alias("sale_price"),
         (F.col("total_qty") * 2).alias("total_qty"),
+        F.lit(1).alias("seq"),
+    )
+    again = v.sale_products.filter("product_id % 9 = 0").select(
+        "sale_id",
+        "product_id",
+        (F.col("sale_price") + 2).cast("decimal(10,2)").alias("sale_price"),
+        (F.col("total_qty") + 7).alias("total_qty"),
+        F.lit(2).alias("seq"),
     )
     added = v.sale_products.filter("product_id % 50 = 0").select(
         (F.col("sale_id") + 1_000_000).alias("sale_id"), "product_id", "sale_price", "total_qty"
     )
-    return raised.unionByName(added)
+    added = added.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice = added.withColumn("total_qty", F.col("total_qty") + F.col("_s")).withColumn("seq", 2 - F.col("_s"))
+    return raised.unionByName(again).unionByName(twice.drop("_s"))
 
 
 @query("sink_upsert", "SELECT id, sale_id, product_id, sale_price, total_qty, reserved_qty FROM x_merged", _CHANGE_VIEWS)
@@ -177,6 +192,7 @@ def sink_upsert(v):
         ["sale_id", "product_id"],
         ["sale_price", "total_qty"],
         {"id": _new_id(), "reserved_qty": F.lit(0)},
+        ["seq"],
     )
 
 
@@ -189,7 +205,7 @@ def sink_upsert(v):
     _CHANGE_VIEWS,
 )
 def upsert_sale_products(v):
-    out = T.upsert_sale_products(v.sale_products, v.inventory, _changes(v), _at(), _new_id())
+    out = T.upsert_sale_products(v.sale_products, v.inventory, _changes(v), _at(), _new_id(), ["seq"])
     prices = out["sale_products"].select(
         F.col("id").alias("sale_product_id"), "sale_price", "total_qty", "reserved_qty"
     )
@@ -217,16 +233,18 @@ def remove_sale_products(v):
     return out["sale_products"].select("id", "sale_id").join(levels, "id", "full")
 
 
-_PATCHES = """SELECT CASE WHEN p_partkey % 17 = 0 THEN p_partkey + 1000000000 ELSE p_partkey END AS id,
+_PATCHES = """SELECT 1 AS seq, CASE WHEN p_partkey % 17 = 0 THEN -1 - p_partkey ELSE p_partkey END AS id,
     p_partkey % 2 = 0 AS has_name, '  New ' || p_name || ' ' AS name,
     p_partkey % 3 = 0 AS has_description, ' ' AS description,
     p_partkey % 5 = 0 AS has_base_price, CASE WHEN p_partkey % 25 = 0 THEN 'free' ELSE '12.50' END AS base_price,
     p_partkey % 7 = 0 AS has_is_active, CASE WHEN p_partkey % 14 = 0 THEN 'true' ELSE 'yes' END AS is_active,
-    p_partkey % 11 = 0 AS has_image_key, 'products/new.png' AS image_key FROM part"""
+    p_partkey % 11 = 0 AS has_image_key, 'products/new.png' AS image_key FROM part
+    UNION ALL SELECT 2, p_partkey, false, NULL, p_partkey % 8 = 0, 'later', p_partkey % 10 = 0,
+    CASE WHEN p_partkey % 20 = 0 THEN '-1' ELSE '7.25' END, false, NULL, false, NULL FROM part WHERE p_partkey % 4 = 0"""
 _PATCH_VIEWS = {
     "x_patches": _PATCHES,
-    "x_bad": """SELECT p.id, CASE WHEN d.id IS NULL THEN 'PRODUCT_NOT_FOUND'
-                    WHEN has_base_price AND p.base_price = 'free' THEN 'INVALID_PRICE'
+    "x_bad": """SELECT p.*, CASE WHEN d.id IS NULL THEN 'PRODUCT_NOT_FOUND'
+                    WHEN has_base_price AND p.base_price IN ('free', '-1') THEN 'INVALID_PRICE'
                     WHEN NOT (has_name OR has_description OR has_base_price OR has_is_active OR has_image_key)
                       THEN 'NO_FIELDS' END AS error_code
                 FROM x_patches p LEFT JOIN d_products d ON d.id = p.id""",
@@ -235,7 +253,7 @@ _PATCH_VIEWS = {
 
 def _patched(v):
     patches = v.spark.sql(_PATCHES.replace("FROM part", "FROM {part}"), part=v.raw("part"))
-    return T.patch_products(v.products, patches)
+    return T.patch_products(v.products, patches, ["seq"])
 
 
 @query(
@@ -245,15 +263,20 @@ def _patched(v):
               CASE WHEN p.has_base_price THEN CAST(p.base_price AS DECIMAL(10,2)) ELSE d.base_price END AS base_price,
               CASE WHEN p.has_image_key THEN p.image_key ELSE d.image_key END AS image_key,
               CASE WHEN p.has_is_active THEN p.is_active = 'true' ELSE d.is_active END AS is_active
-       FROM d_products d LEFT JOIN (SELECT p.* FROM x_patches p JOIN x_bad b ON b.id = p.id
-                                    WHERE b.error_code IS NULL) p ON p.id = d.id""",
+       FROM d_products d LEFT JOIN (
+           SELECT id, bool_or(has_name) AS has_name, max_by(name, seq) FILTER (has_name) AS name,
+                  bool_or(has_description) AS has_description, max_by(description, seq) FILTER (has_description) AS description,
+                  bool_or(has_base_price) AS has_base_price, max_by(base_price, seq) FILTER (has_base_price) AS base_price,
+                  bool_or(has_is_active) AS has_is_active, max_by(is_active, seq) FILTER (has_is_active) AS is_active,
+                  bool_or(has_image_key) AS has_image_key, max_by(image_key, seq) FILTER (has_image_key) AS image_key
+           FROM x_bad WHERE error_code IS NULL GROUP BY id) p ON p.id = d.id""",
     _PATCH_VIEWS,
 )
 def patch_products(v):
     return _patched(v)["products"].drop("created_at")
 
 
-@query("patch_products_rejected", "SELECT * FROM x_bad WHERE error_code IS NOT NULL", _PATCH_VIEWS)
+@query("patch_products_rejected", "SELECT id, error_code FROM x_bad WHERE error_code IS NOT NULL", _PATCH_VIEWS)
 def patch_products_rejected(v):
     return _patched(v)["rejected"]
 
@@ -280,11 +303,12 @@ _MESSAGES = """SELECT l.order_id, o.user_id, sp.id AS sale_product_id, CAST(l.qu
 _PAID = """SELECT m.*, m.order_id % 10 <> 0 AS success, 'txn_' || m.order_id AS transaction_id
            FROM x_messages m JOIN d_orders o ON o.id = m.order_id AND o.status = 'PENDING'"""
 _PAY = {"x_messages": _MESSAGES, "x_paid": _PAID}
+# Fixed value: the reason of a declined payment.
 _DECLINED = "Payment declined by gateway."
 
 
-def payment_messages(v):
-    """One ORDER_CREATED message per order, for the product with the lowest id."""
+def payment_messages(v, again=False):
+    """One ORDER_CREATED message per order, for the product with the lowest id; some twice if `again`."""
     first = (
         v.order_items.groupBy("order_id", "product_id")
         .agg(F.sum("quantity").alias("quantity"))
@@ -295,9 +319,11 @@ def payment_messages(v):
     heads = v.orders.select(F.col("id").alias("order_id"), "user_id", "sale_id", "total_amount")
     named = v.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     keys = v.sale_products.select(F.col("id").alias("sale_product_id"), "sale_id", "product_id")
-    return first.join(heads, "order_id").join(named, "product_id").join(keys, ["sale_id", "product_id"]).select(
+    once = first.join(heads, "order_id").join(named, "product_id").join(keys, ["sale_id", "product_id"]).select(
         "order_id", "user_id", "sale_product_id", "quantity", "total_amount", "product_name"
     )
+    copies = F.array_repeat(F.lit(1), F.when(F.col("order_id") % 4 == 0, 2).otherwise(1))
+    return once.withColumn("_copy", F.explode(copies)).drop("_copy") if again else once
 
 
 def payment_outcomes(v):
@@ -313,13 +339,13 @@ def payment_outcomes(v):
     again = first.filter("order_id % 3 = 0").withColumn("delivery_id", F.col("delivery_id") + 1).withColumn(
         "success", ~F.col("success")
     )
-    unknown = first.filter("order_id % 50 = 0").withColumn("order_id", F.col("order_id") + 1_000_000_000)
+    unknown = first.filter("order_id % 50 = 0").withColumn("order_id", -1 - F.col("order_id"))
     return first.unionByName(again).unionByName(unknown)
 
 
 def _paid(v, **options):
     return T.apply_payment_outcomes(
-        v.orders, v.sale_products, v.live_counters, payment_messages(v), payment_outcomes(v), _at(), **options
+        v.orders, v.sale_products, v.live_counters, payment_messages(v, True), payment_outcomes(v), _at(), **options
     )
 
 
@@ -378,7 +404,10 @@ _PAY_LOG = {**_PAY, "x_pay_events": _PAY_EVENTS}
     _PAY_LOG,
 )
 def sink_outbox_append(v):
-    return O.append_events(v.outbox, _paid(v)["outbox"], "run-1", _at())
+    """The batch is tried again five minutes later."""
+    events = _paid(v)["outbox"]
+    log = O.append_events(v.outbox, events, "run-1", _at())
+    return O.append_events(log, events, "run-1", _at() + F.expr("INTERVAL 5 MINUTES"))
 
 
 @query(
@@ -524,10 +553,10 @@ def fail_stuck_orders_stock(v):
 
 @query(
     "fail_stuck_orders_events",
-    """SELECT 'PAYMENT_FAILED' AS event_type, item_id AS event_key,
-              '{"orderId":' || order_id || ',"userId":' || user_id
-              || ',"reason":"Payment processing timed out. Please try again.","amount":"' || total_amount
-              || '","productName":"Your order"}' AS payload FROM x_stuck""",
+    f"""SELECT 'PAYMENT_FAILED' AS event_type, item_id AS event_key,
+              '{{"orderId":' || order_id || ',"userId":' || user_id
+              || ',"reason":"{STUCK_REASON}","amount":"' || total_amount
+              || '","productName":"{STUCK_PRODUCT_NAME}"}}' AS payload FROM x_stuck""",
     _STUCK_VIEWS,
 )
 def fail_stuck_orders_events(v):

@@ -18,33 +18,30 @@ from stockyard.sources.fixtures import SALES_AS_OF, Fixtures, ts
 from stockyard.sources.tables import conform
 
 BASE_URL = "http://images.example.com/sale-products"
-NEST = 250  # small, so that large sales are split in the checked queries too
+# Small, so that large groups are split in the checked queries too.
+NEST, ORDER_NEST = 250, 2
 
-RELATIONS = ("users", "products", "sales", "sale_products", "inventory", "orders", "outbox")
+# Per relation: columns whose values are compared, besides the count: their sums.
+_SUMS = {
+    "users": "id, CAST(is_active AS INTEGER), length(email), length(full_name), year(created_at)",
+    "products": "id, CAST(base_price*100 AS BIGINT), length(name), length(image_key), year(created_at)",
+    "sales": "id, year(start_time), month(end_time), length(status), length(name)",
+    "sale_products": "id%1000007, sale_id, product_id, CAST(sale_price*100 AS BIGINT), total_qty+2*reserved_qty",
+    "inventory": "id%1000007, sale_product_id%1000003, available_qty, year(last_synced_at), month(last_synced_at)",
+    "orders": "id, user_id+3*sale_id, CAST(total_amount*100 AS BIGINT), length(status)+5*length(idempotency_key), month(created_at)",
+    "outbox": "id, length(event_type), length(payload), CAST(published AS INTEGER), hour(created_at)",
+    "order_items": "order_id, product_id, quantity, CAST(unit_price*100 AS BIGINT), length(id)",
+}
 
 
-@query(
-    "src_tables",
-    " UNION ALL ".join(
-        f"SELECT '{r}' AS relation, count(*) AS n_rows, CAST(min(id) AS BIGINT) AS min_id, "
-        f"CAST(max(id) AS BIGINT) AS max_id FROM d_{r}"
-        for r in RELATIONS
-    )
-    + " UNION ALL SELECT 'order_items', count(*), CAST(min(order_id) AS BIGINT), CAST(max(order_id) AS BIGINT) "
-    "FROM d_order_items",
-)
+def _summed(relation: str) -> str:
+    sums = ", ".join(f"CAST(sum({e}) AS BIGINT) AS sum_{k}" for k, e in enumerate(_SUMS[relation].split(", ")))
+    return f"SELECT '{relation}' AS relation, count(*) AS n_rows, {sums} FROM "
+
+
+@query("src_tables", " UNION ALL ".join(f"{_summed(r)} d_{r}" for r in _SUMS))
 def src_tables(v: Fixtures) -> DataFrame:
-    parts = []
-    for name in (*RELATIONS, "order_items"):
-        key = "order_id" if name == "order_items" else "id"
-        parts.append(
-            conform(getattr(v, name), name).agg(
-                F.lit(name).alias("relation"),
-                F.count("*").alias("n_rows"),
-                F.min(key).alias("min_id"),
-                F.max(key).alias("max_id"),
-            )
-        )
+    parts = [v.spark.sql(_summed(r) + "{t}", t=conform(getattr(v, r), r)) for r in _SUMS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -62,6 +59,7 @@ def src_live_counters(v):
 @query(
     "list_active_products",
     f"""SELECT id, name, description, base_price, image_key, is_active, created_at,
+              row_number() OVER (ORDER BY created_at DESC, id) AS position,
               '{BASE_URL}/' || image_key AS image_url
        FROM d_products WHERE is_active ORDER BY created_at DESC, id LIMIT 20 OFFSET 20""",
 )
@@ -75,13 +73,12 @@ _SALE_ITEM = (
 )
 _SALE_DOCS = f"""
     WITH chosen AS ({{chosen}}),
-    lines AS (SELECT c.id, sp.id AS sp_id, {_SALE_ITEM} AS item, count(*) OVER (PARTITION BY c.id) AS n
-              FROM chosen c JOIN d_sale_products sp ON sp.sale_id = c.id JOIN d_products p ON p.id = sp.product_id),
-    docs AS (SELECT id, CAST(CASE WHEN n > {NEST} THEN
-                 CAST('0x' || substr(md5(CAST(sp_id AS VARCHAR)), 1, 8) AS BIGINT) % CAST(ceil(n / {NEST}.0) AS BIGINT)
-                 ELSE 0 END AS INTEGER) AS part, string_agg(item, '|' ORDER BY sp_id) AS products
+    lines AS (SELECT c.id, {_SALE_ITEM} AS item, row_number() OVER (PARTITION BY c.id ORDER BY sp.id) AS n
+              FROM chosen c JOIN d_sale_products sp ON sp.sale_id = c.id JOIN d_products p ON p.id = sp.product_id
+              LEFT JOIN d_live_counters l ON l.sale_product_id = sp.id),
+    docs AS (SELECT id, CAST((n - 1) // {NEST} AS INTEGER) AS part, string_agg(item, '|' ORDER BY n) AS products
              FROM lines GROUP BY 1, 2)
-    SELECT c.id, c.name, c.start_time, c.end_time, c.status, c.created_at, d.part, d.products
+    SELECT {{position}} c.id, c.name, c.start_time, c.end_time, c.status, c.created_at, d.part, d.products
     FROM chosen c LEFT JOIN docs d ON d.id = c.id"""
 
 
@@ -91,7 +88,11 @@ def _flat(df, column, fields):
 
 @query(
     "list_sales_catalog",
-    _SALE_DOCS.format(chosen="SELECT * FROM d_sales WHERE status = 'ENDED' ORDER BY start_time DESC, id LIMIT 10"),
+    _SALE_DOCS.format(
+        chosen="""SELECT *, row_number() OVER (ORDER BY start_time DESC, id) AS position FROM d_sales
+                  WHERE status = 'ENDED' ORDER BY start_time DESC, id LIMIT 10""",
+        position="c.position,",
+    ),
 )
 def list_sales_catalog(v):
     page = L.list_sales_catalog(v.sales, v.sale_products, v.products, status="ended", max_items=NEST)
@@ -112,29 +113,41 @@ def sale_detail_live(v):
     )
 
 
-_ORDER_DOCS = """
+@query(
+    "sale_detail_document",
+    _SALE_DOCS.format(chosen="SELECT * FROM d_sales", position="").replace(
+        _SALE_ITEM,
+        _SALE_ITEM[:-1] + ", CASE WHEN c.status = 'ACTIVE' THEN coalesce(l.live_qty, 0) END)",
+    ),
+)
+def sale_detail_document(v):
+    docs = L.sale_detail_live(v.sales, v.sale_products, v.products, v.live_counters, max_items=NEST)
+    return _flat(docs, "products", [*L.SALE_PRODUCT_FIELDS, "available_qty"])
+
+
+_ORDER_DOCS = f"""
     WITH listed AS (SELECT DISTINCT order_id FROM d_order_items i JOIN d_products p ON p.id = i.product_id),
-    chosen AS ({chosen})
-    SELECT {head}, string_agg(concat_ws(',', {item}), '|' ORDER BY {sort}) AS items
-    FROM chosen o JOIN d_order_items i ON i.order_id = o.id JOIN d_products p ON p.id = i.product_id
-    GROUP BY ALL"""
+    chosen AS ({{chosen}}),
+    lines AS (SELECT o.*, concat_ws(',', {{item}}) AS item, row_number() OVER (PARTITION BY o.id ORDER BY {{item}}) AS n
+              FROM chosen o JOIN d_order_items i ON i.order_id = o.id JOIN d_products p ON p.id = i.product_id)
+    SELECT {{head}}, CAST((n - 1) // {ORDER_NEST} AS INTEGER) AS part, string_agg(item, '|' ORDER BY n) AS items
+    FROM lines o GROUP BY ALL"""
 
 
 @query(
     "list_user_orders",
     _ORDER_DOCS.format(
         chosen="""SELECT * FROM (SELECT o.*, s.name AS sale_name,
-                    row_number() OVER (PARTITION BY user_id ORDER BY o.created_at DESC, o.id) AS rn
+                    row_number() OVER (PARTITION BY user_id ORDER BY o.created_at DESC, o.id) AS position
                   FROM d_orders o JOIN d_sales s ON s.id = o.sale_id
-                  WHERE o.id IN (SELECT order_id FROM listed)) WHERE rn <= 5""",
-        head="o.id, o.user_id, o.sale_id, o.status, o.total_amount, o.created_at, o.updated_at, o.sale_name",
+                  WHERE o.id IN (SELECT order_id FROM listed)) WHERE position <= 5""",
+        head="o.position, o.id, o.user_id, o.sale_id, o.status, o.total_amount, o.created_at, o.updated_at, o.sale_name",
         item="i.product_id, p.name, i.quantity, i.unit_price",
-        sort="i.product_id, p.name, i.quantity, i.unit_price",
     ),
 )
 def list_user_orders(v):
-    pages = L.list_user_orders(v.orders, v.sales, v.order_items, v.products, limit=5)
-    return _flat(pages, "items", ["product_id", "product_name", "quantity", "unit_price"]).drop("part")
+    pages = L.list_user_orders(v.orders, v.sales, v.order_items, v.products, limit=5, max_items=ORDER_NEST)
+    return _flat(pages, "items", ["product_id", "product_name", "quantity", "unit_price"])
 
 
 @query(
@@ -144,31 +157,32 @@ def list_user_orders(v):
         head="o.id, o.user_id, o.sale_id, o.idempotency_key, o.status, o.total_amount, o.created_at, o.updated_at, "
         "o.sale_name",
         item="i.product_id, p.name, i.quantity, i.unit_price",
-        sort="i.product_id, p.name, i.quantity, i.unit_price",
     ),
 )
 def order_detail(v):
-    docs = L.order_detail(v.orders, v.sales, v.order_items, v.products)
-    return _flat(docs, "items", ["product_id", "product_name", "quantity", "unit_price"]).drop("part")
+    docs = L.order_detail(v.orders, v.sales, v.order_items, v.products, max_items=ORDER_NEST)
+    return _flat(docs, "items", ["product_id", "product_name", "quantity", "unit_price"])
 
 
 @query(
     "list_admin_orders",
     _ORDER_DOCS.format(
-        chosen="""SELECT o.*, u.email AS user_email, u.full_name AS user_name, s.name AS sale_name
+        chosen="""SELECT o.*, u.email AS user_email, u.full_name AS user_name, s.name AS sale_name,
+                         row_number() OVER (ORDER BY o.created_at DESC, o.id) AS position
                   FROM d_orders o JOIN d_users u ON u.id = o.user_id JOIN d_sales s ON s.id = o.sale_id
                   WHERE o.status = 'CONFIRMED' AND o.id IN (SELECT order_id FROM listed)
                   ORDER BY o.created_at DESC, o.id LIMIT 20 OFFSET 20""",
-        head="o.id, o.status, o.total_amount, o.created_at, o.updated_at, o.user_email, o.user_name, o.sale_name",
+        head="o.position, o.id, o.status, o.total_amount, o.created_at, o.updated_at, o.user_email, o.user_name, "
+        "o.sale_name",
         item="p.name, i.quantity, i.unit_price",
-        sort="p.name, i.quantity, i.unit_price",
     ),
 )
 def list_admin_orders(v):
     pages = L.list_admin_orders(
-        v.orders, v.users, v.sales, v.order_items, v.products, status="confirmed", page_no=2, limit=20
+        v.orders, v.users, v.sales, v.order_items, v.products, status="confirmed", page_no=2, limit=20,
+        max_items=ORDER_NEST,
     )
-    return _flat(pages, "items", ["product_name", "quantity", "unit_price"]).drop("part")
+    return _flat(pages, "items", ["product_name", "quantity", "unit_price"])
 
 
 _SPEND = """SELECT u.id, u.email, u.full_name, u.role, u.is_active, u.created_at, count(o.id) AS order_count,
@@ -176,11 +190,13 @@ _SPEND = """SELECT u.id, u.email, u.full_name, u.role, u.is_active, u.created_at
    FROM d_users u LEFT JOIN d_orders o ON o.user_id = u.id GROUP BY ALL"""
 
 
-@query("list_users_spend_page", f"SELECT * FROM ({_SPEND}) ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
+@query(
+    "list_users_spend_page",
+    f"""SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS position FROM ({_SPEND})
+        ORDER BY created_at DESC, id LIMIT 20 OFFSET 40""",
+)
 def list_users_spend_page(v):
-    chosen = L.page(v.users, L.newest_first(), 40, 20)
-    own = v.orders.join(chosen.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    return R.user_spend(chosen, own)
+    return R.list_users_spend(v.users, v.orders, page_no=3, limit=20)
 
 
 @query(
@@ -438,20 +454,22 @@ def active_order_counts(v):
 
 @query(
     "nested_order_items",
-    """SELECT o.id, o.status, o.total_amount, string_agg(concat_ws(',', i.product_id, i.quantity, i.unit_price), '|'
-              ORDER BY i.product_id, i.quantity, i.unit_price) AS items
-       FROM d_orders o JOIN d_order_items i ON i.order_id = o.id GROUP BY ALL""",
+    f"""SELECT id, status, total_amount, CAST((n - 1) // {ORDER_NEST} AS INTEGER) AS part,
+              string_agg(item, '|' ORDER BY n) AS items
+       FROM (SELECT o.id, o.status, o.total_amount, concat_ws(',', i.product_id, i.quantity, i.unit_price) AS item,
+                    row_number() OVER (PARTITION BY o.id ORDER BY i.product_id, i.quantity, i.unit_price) AS n
+             FROM d_orders o JOIN d_order_items i ON i.order_id = o.id) GROUP BY ALL""",
 )
 def nested_order_items(v):
-    docs = R.nested_order_items(v.orders, v.order_items)
+    docs = R.nested_order_items(v.orders, v.order_items, max_items=ORDER_NEST)
     return _flat(docs, "items", ["product_id", "quantity", "unit_price"]).select(
-        "id", "status", "total_amount", "items"
+        "id", "status", "total_amount", "part", "items"
     )
 
 
 @query(
     "nested_sale_products",
-    _SALE_DOCS.format(chosen="SELECT * FROM d_sales").replace(
+    _SALE_DOCS.format(chosen="SELECT * FROM d_sales", position="").replace(
         _SALE_ITEM, "concat_ws(',', sp.id, sp.product_id, sp.sale_price, sp.total_qty, sp.reserved_qty)"
     ),
 )

@@ -41,7 +41,7 @@ VIEWS = {
               FROM (SELECT DISTINCT sale_id, make_timestamp(sale_id // 100, sale_id % 100, 1, 0, 0, 0.0) AS start_time
                     FROM d_orders))""",
     "d_allocations": """
-        SELECT a.sale_id * 10000000 + a.product_id AS id, a.sale_id, a.product_id,
+        SELECT a.sale_id * 100000000000 + a.product_id AS id, a.sale_id, a.product_id,
                CAST(p.base_price * 0.8 AS DECIMAL(10,2)) AS sale_price,
                CAST(a.units + a.product_id % 5 AS INTEGER) AS total_qty,
                CAST(a.reserved AS INTEGER) AS reserved_qty, a.live_lines

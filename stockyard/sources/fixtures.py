@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 SALES_AS_OF = "2001-06-15 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
+# A sale product's id is sale_id * LINE_IDS + product_id; more than there are products at any scale.
+LINE_IDS = 100_000_000_000
 
 
 def ts(text: str):
@@ -124,7 +126,7 @@ class Fixtures:
             self.products.select(F.col("id").alias("product_id"), "base_price"), "product_id"
         )
         return priced.select(
-            (F.col("sale_id") * 10_000_000 + F.col("product_id")).alias("id"),
+            (F.col("sale_id") * LINE_IDS + F.col("product_id")).alias("id"),
             "sale_id",
             "product_id",
             (F.col("base_price") * F.expr("0.8BD")).cast("decimal(10,2)").alias("sale_price"),

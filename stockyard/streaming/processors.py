@@ -74,13 +74,16 @@ class SlidingWindow(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get() if self.state.exists() else ([], -(2**62), 0, None)
         times, at, old_expiry = list(held[0]), (held[1], held[2]), held[3]
+        passed = timerValues.getCurrentWatermarkInMs()
         for r in sorted(rows, key=lambda r: (r.ms, r.id)):
-            if (r.ms, r.id) < at:
+            if (r.ms, r.id) < at or r.ms < passed:
                 yield LimitRow(key[0], r.ms, r.id, False, 0, 0, 0, True)
                 continue
             at = (r.ms, r.id)
             verdict = window_step(times, (r.ms, self.limit, self.window_ms))
             yield LimitRow(key[0], r.ms, r.id, *verdict, False)
+        if at[0] < 0 and not times:
+            return  # only late calls, and nothing to remember
         expiry = at[0] + self.window_ms + 10_000
         if expiry != old_expiry:
             if old_expiry is not None:

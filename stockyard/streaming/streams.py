@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import routed
-from stockyard.operators.transitions import advance_sales, apply_payment_outcomes, feed_sale_status
+from stockyard.operators.transitions import (
+    advance_sales,
+    apply_payment_outcomes,
+    feed_sale_status,
+    sales_due_to_end,
+    sales_due_to_start,
+)
 from stockyard.session import store
 from stockyard.streaming.processors import DEADLINE_OUT, LEVEL_OUT, LIMIT_OUT, Deadline, SlidingWindow, StockLevel
 
@@ -67,33 +73,53 @@ def stock_level_stream(events: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with `ms` instead of `ts`; the watermark follows `ts`, but drops nothing.
+
+    Without the column in their input the keyed operators get rows behind the
+    watermark as well, and decide themselves what becomes of them.
+    """
+    use_rocksdb(rows.sparkSession)
+    return rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay).drop("ts")
+
+
 def limit_stream(calls: DataFrame, limit: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
-    """Sliding-window verdicts; `calls`: key STRING, ts TIMESTAMP, id. A key's state goes after window + 10 s."""
-    use_rocksdb(calls.sparkSession)
-    timed = calls.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)
-    return timed.groupBy("key").transformWithState(
-        SlidingWindow(limit, window_ms), LIMIT_OUT, "Append", "EventTime"
-    )
+    """Sliding-window verdicts, one for every call; `calls`: key STRING, ts TIMESTAMP, id.
 
+    Calls behind the watermark, or behind what their key has seen, are refused and
+    marked late. A key's state goes window + 10 s after its last call.
+    """
+    keyed = _timed(calls, delay).groupBy("key")
+    return keyed.transformWithState(SlidingWindow(limit, window_ms), LIMIT_OUT, "Append", "EventTime")
 
-def dedupe_stream(requests: DataFrame, key: str = "idempotency_key", ts: str = "ts", keep: str = "30 days") -> DataFrame:
-    """First request per key; a key is remembered for `keep` of event time (the batch form remembers for ever)."""
-    return requests.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
+def dedupe_stream(requests: DataFrame, key: str = "idempotency_key", keep: str = "30 days") -> DataFrame:
+    """First request per key, and every request without a key.
 
-def deadline_stream(changes: DataFrame, age_ms: int, delay: str = "0 seconds") -> DataFrame:
-    """Keys opened and not closed within `age_ms`; `changes`: key BIGINT, ts TIMESTAMP, kind."""
-    use_rocksdb(changes.sparkSession)
-    timed = changes.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)
-    return timed.groupBy("key").transformWithState(Deadline(age_ms), DEADLINE_OUT, "Append", "EventTime")
+    A key is remembered for `keep` after its arrival (the batch form remembers
+    for ever). Arrival time never lags, so no request is dropped for its age.
+    """
+    keyed = requests.filter(F.col(key).isNotNull()).withColumn("_arrived", F.current_timestamp())
+    first = keyed.withWatermark("_arrived", keep).dropDuplicatesWithinWatermark([key]).drop("_arrived")
+    return first.unionByName(requests.filter(F.col(key).isNull()))
 
 
-def stuck_order_stream(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def deadline_stream(changes: DataFrame, age_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """Keys opened and not closed within `age_ms`; `changes`: key BIGINT, ts TIMESTAMP, kind.
+
+    An alert comes once the watermark, `delay` behind the latest change, has passed
+    the deadline. Changes behind the watermark are judged too: a late opening alerts
+    at once if its deadline has passed, a late closing is remembered as any other.
+    """
+    return _timed(changes, delay).groupBy("key").transformWithState(Deadline(age_ms), DEADLINE_OUT, "Append", "EventTime")
+
+
+def stuck_order_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Orders PENDING for more than 15 minutes: opened when placed, closed by the payment event."""
     return deadline_stream(changes, STUCK_MS, delay)
 
 
-def stale_outbox_stream(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stale_outbox_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events unpublished for more than 10 minutes: opened when logged, closed when published."""
     return deadline_stream(changes, STALE_MS, delay)
 
@@ -117,51 +143,90 @@ def payment_stream(
     outcomes: DataFrame,
     folder: str,
     as_of,
-    keep: str = "1 day",
 ) -> DataFrame:
     """Settle each ORDER_CREATED message once; returns the (order_id, status) results.
 
-    Redelivered messages are dropped in state for `keep` of event time, and the
-    status of the orders table guards beyond that. Each batch writes its results,
-    events and stock moves under its own id, so a retry replaces them.
+    A message counts once in its batch, and not at all if an earlier batch has
+    settled its order, however long ago. Each batch writes its results, events and
+    stock moves under its own id, so a retry replaces them. Of the orders, answers
+    and earlier results only the range of the batch's order ids is read.
     """
-    once = messages.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["order_id"])
+    spark = messages.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = store(batch, "payment-batch")  # read several times below
-        own = batch.select("order_id")
-        mine = orders.join(own.withColumnRenamed("order_id", "id"), "id", "left_semi")
-        answers = outcomes.join(own, "order_id", "left_semi")
+        low, high = batch.agg(F.min("order_id"), F.max("order_id")).first()
+
+        def near(rows: DataFrame, key: str) -> DataFrame:
+            return rows.filter(F.col(key).between(F.lit(low), F.lit(high)))
+
+        if batch_id > 0:
+            earlier = spark.read.parquet(f"{folder}/settled").filter(F.col("batch") < batch_id)
+            done = near(earlier, "order_id").select("order_id")
+            batch = store(batch.join(done, "order_id", "left_anti"), "payment-batch")
+        own = batch.select("order_id").distinct()
+        mine = near(orders, "id").join(own.withColumnRenamed("order_id", "id"), "id", "left_semi")
+        answers = near(outcomes, "order_id").join(own, "order_id", "left_semi")
         out = apply_payment_outcomes(mine, sale_products, counters, batch, answers, as_of)
         for name in ("settled", "outbox", "moves"):
             out[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
 
-    run_batches(once, folder, handle)
-    return messages.sparkSession.read.parquet(f"{folder}/settled/batch=*")
+    run_batches(messages, folder, handle)
+    return spark.read.parquet(f"{folder}/settled/batch=*")
 
 
-STATE = ("sales", "sale_products", "inventory", "counters")
+# Key of each table that a tick of the scheduler changes.
+STATE = {"sales": "id", "sale_products": "id", "inventory": "sale_product_id", "counters": "sale_product_id"}
 
 
 def sale_status_stream(ticks: DataFrame, state: dict[str, DataFrame], folder: str) -> DataFrame:
     """Advance sales to the latest `ts` of each micro-batch of ticks; returns the status feed.
 
-    The tables are kept as one version per batch. A retry of a batch starts
-    again from the version before it.
+    Only sales that start or end at a tick, their lines and the lines' stock and
+    counters are advanced and written, below `changes`; a table is what was given,
+    overlaid with the last change of every key (`sale_state`). A retry of a batch
+    starts from the changes before it.
     """
     spark = ticks.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            before = state
-        else:
-            before = {t: spark.read.parquet(f"{folder}/state/{t}/v={batch_id - 1}") for t in STATE}
+        whole = sale_state(state, folder, batch_id)
         as_of = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+        starting = sales_due_to_start(whole["sales"], whole["sale_products"], as_of)
+        due = store(starting.unionByName(sales_due_to_end(whole["sales"], as_of)), "sale-due")
+        lines = store(whole["sale_products"].join(due.select(F.col("id").alias("sale_id")), "sale_id", "left_semi"), "sale-due")
+        ids = lines.select(F.col("id").alias("sale_product_id"))
+        before = {
+            "sales": due,
+            "sale_products": lines.select(*state["sale_products"].columns),
+            "inventory": store(whole["inventory"].join(ids, "sale_product_id", "left_semi"), "sale-due"),
+            "counters": store(whole["counters"].join(ids, "sale_product_id", "left_semi"), "sale-due"),
+        }
         after = advance_sales(*[before[t] for t in STATE], as_of)
-        for t in STATE:
-            after[t].write.mode("overwrite").parquet(f"{folder}/state/{t}/v={batch_id}")
-        now = spark.read.parquet(f"{folder}/state/sales/v={batch_id}")
-        feed_sale_status(before["sales"], now).write.mode("overwrite").parquet(f"{folder}/feed/batch={batch_id}")
+        for t, key in STATE.items():
+            gone = before[t].join(after[t], key, "left_anti").withColumn("_gone", F.lit(True))
+            changed = after[t].withColumn("_gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+            changed.write.mode("overwrite").parquet(f"{folder}/changes/{t}/batch={batch_id}")
+        moved = spark.read.parquet(f"{folder}/changes/sales/batch={batch_id}")
+        feed_sale_status(due, moved).write.mode("overwrite").parquet(f"{folder}/feed/batch={batch_id}")
 
     run_batches(ticks, folder, handle)
     return spark.read.parquet(f"{folder}/feed/batch=*")
+
+
+def sale_state(state: dict[str, DataFrame], folder: str, until: int | None = None) -> dict[str, DataFrame]:
+    """The four tables after the batches below `until` (all of them by default)."""
+    if until == 0:
+        return state
+    out = {}
+    for t, key in STATE.items():
+        base = state[t]
+        log = base.sparkSession.read.parquet(f"{folder}/changes/{t}")
+        if until is not None:
+            log = log.filter(F.col("batch") < until)
+        rest = [c for c in base.columns if c != key]
+        last = log.groupBy(key).agg(F.max_by(F.struct("_gone", *rest), "batch").alias("_l")).select(key, "_l.*")
+        last = store(last, "sale-changes")  # as short as the changes are, so joins with it are broadcast
+        kept = base.join(last.select(key), key, "left_anti")
+        out[t] = kept.unionByName(last.filter("NOT _gone").select(*base.columns))
+    return out

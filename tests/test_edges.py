@@ -10,7 +10,7 @@ from stockyard.functions import scalars as S
 from stockyard.operators import listings, nesting, outbox, reconcile, reports, rules, transitions
 from stockyard.schemas import TABLES, struct
 from stockyard.sources.events import decode_events, decoded, quarantined
-from stockyard.sources.fixtures import ts
+from stockyard.sources.fixtures import Fixtures, ts
 from stockyard.sources.tables import conform, load
 
 NOW = "2024-05-01 12:00:00"
@@ -86,19 +86,65 @@ def test_deep_page_equals_shallow(spark, monkeypatch):
     )
     order = listings.newest_first()
     want = one(listings.page(df, order, 1490, 25))
+    placed = one(listings.page(df, order, 1490, 25, "place"))
+    assert [r[-1] for r in placed] == list(range(1491, 1516))
     monkeypatch.setattr(listings, "TOP_K_ROWS", 100)
-    assert sorted(one(listings.page(df, order, 1490, 25))) == sorted(want)
+    assert one(listings.page(df, order, 1490, 25)) == want
+    assert one(listings.page(df, order, 1490, 25, "place")) == placed
     assert len(want) == 25
     assert one(listings.page(df, order, 1999, 50)) == one(df.orderBy(*order).offset(1999))
     assert listings.page(df, order, 5000, 10).count() == 0
 
 
-def test_nest_splits_large_groups(spark):
-    df = spark.createDataFrame([(1, i) for i in range(95)] + [(2, 0)], "g INT, i INT")
-    rows = nesting.nest(df, ["g"], ["i"], "i", "items", max_items=20).collect()
-    assert sorted(x.i for r in rows if r.g == 1 for x in r["items"]) == list(range(95))
-    assert len([r for r in rows if r.g == 1]) > 3
-    assert [r.part for r in rows if r.g == 2] == [0]
+def test_nest_cuts_the_sorted_list(spark):
+    df = spark.createDataFrame([(1, (i * 37) % 95) for i in range(95)] + [(2, 0)], "g INT, i INT")
+    rows = sorted(nesting.nest(df, ["g"], ["i"], "items", max_items=20).collect(), key=lambda r: (r.g, r.part))
+    assert [r.part for r in rows] == [0, 1, 2, 3, 4, 0]
+    assert [x.i for r in rows if r.g == 1 for x in r["items"]] == list(range(95))
+    assert max(len(r["items"]) for r in rows) == 20
+
+
+def test_nest_splits_one_repeated_detail(spark):
+    df = spark.range(30_000).selectExpr("1 AS order_id", "7 AS product_id", "IF(id = 5, 2, 1) AS quantity")
+    rows = nesting.nest(df, ["order_id"], ["product_id", "quantity"], "items", max_items=100).collect()
+    assert sorted(r.part for r in rows) == list(range(300)) and {len(r["items"]) for r in rows} == {100}
+    joined = [x.quantity for r in sorted(rows, key=lambda r: r.part) for x in r["items"]]
+    assert joined == sorted(joined) and sum(joined) == 30_001
+
+
+def test_pages_come_in_order(spark):
+    v = Fixtures(spark, "/root/testdata/sf0.001")
+    pages = [
+        listings.list_sales_catalog(v.sales, v.sale_products, v.products, max_items=20),
+        listings.list_admin_orders(v.orders, v.users, v.sales, v.order_items, v.products, max_items=2),
+        listings.list_user_orders(v.orders, v.sales, v.order_items, v.products, user_id=7, max_items=2),
+    ]
+    for rows in (p.select("position", "part").collect() for p in pages):
+        assert rows == sorted(rows) and len(rows) > len({r.position for r in rows})
+    users = reports.list_users_spend(v.users, v.orders, page_no=2, limit=15).collect()
+    assert [u.position for u in users] == list(range(16, 31))
+
+
+def test_repeated_changes_apply_in_order(spark):
+    now = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "k INT, v INT, w STRING")
+    new = spark.createDataFrame([(1, 6, 1), (1, 7, 2), (3, 9, 2), (3, 8, 1)], "k INT, v INT, seq INT")
+    out = transitions.upsert(now, new, ["k"], ["v"], {"w": F.lit("new")}, ["seq"])
+    assert sorted(one(out)) == [(1, 7, "a"), (2, 6, "b"), (3, 9, "new")]
+    start = at("2024-01-01 00:00:00")
+    products = spark.createDataFrame([(1, "p", "d", Decimal("1.00"), None, True, start)], TABLES["products"])
+    flags = {f"has_{f}": False for f in transitions.PATCHABLE}
+    fields = dict.fromkeys(transitions.PATCHABLE)
+    patches = [
+        {"id": 1, "seq": 1, **flags, **fields, "has_name": True, "name": "one", "has_base_price": True, "base_price": "2"},
+        {"id": 1, "seq": 2, **flags, **fields, "has_name": True, "name": "two"},
+        {"id": 1, "seq": 3, **flags, **fields, "has_name": True, "name": "bad", "has_base_price": True, "base_price": "-1"},
+        {"id": 1, "seq": 4, **flags, **fields, "has_description": True, "description": None},
+    ]
+    schema = "id BIGINT, seq INT, " + ", ".join(f"has_{f} BOOLEAN, {f} STRING" for f in transitions.PATCHABLE)
+    out = transitions.patch_products(products, spark.createDataFrame(patches, schema), ["seq"])
+    row = out["products"].collect()
+    assert [(r.name, r.description, r.base_price) for r in row] == [("two", None, Decimal("2.00"))]
+    assert one(out["rejected"]) == [(1, "INVALID_PRICE")]
 
 
 def test_statuses_keep_unlisted(spark):
@@ -209,7 +255,7 @@ def test_payments_replayed_is_once(spark):
 
     def run(s, **kw):
         return transitions.apply_payment_outcomes(
-            s["orders"], s["sale_products"], s["counters"], messages, outcomes, ts(NOW), **kw
+            s["orders"], s["sale_products"], s["counters"], messages.unionByName(messages), outcomes, ts(NOW), **kw
         )
 
     out = run(state)
@@ -222,6 +268,9 @@ def test_payments_replayed_is_once(spark):
     assert dict(one(again["counters"])) == dict(one(out["counters"]))
     log = outbox.append_events(state["outbox"], out["outbox"], "b", ts(NOW))
     assert outbox.append_events(log, out["outbox"], "b", ts(NOW)).count() == log.count() == 3
+    later = outbox.append_events(log, out["outbox"].unionByName(out["outbox"]), "b", ts("2024-05-01 12:05:00"))
+    assert sorted(one(later)) == sorted(one(log))
+    assert outbox.append_events(log, out["outbox"], "c", ts(NOW)).count() == 5
 
 
 def test_lapsed_sale_takes_two_ticks(spark):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stockyard.plans import catalog
 from tools.check import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,9 +25,10 @@ def test_entry(spark):
 
 def test_all_have_sql():
     assert set(SQL) <= set(QUERIES)
+    assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])

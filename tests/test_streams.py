@@ -3,9 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockyard.operators import ledger, limits
+from stockyard.plans.catalog import QUERIES
 from stockyard.sources.events import event_stream
 from stockyard.sources.fixtures import ts
 from stockyard.streaming import streams
@@ -68,11 +70,71 @@ def test_deadlines(spark, tmp_path):
             want.add(k)
     rows.append((-1, end, "tick"))
     df = spark.createDataFrame(rows, "key BIGINT, ts TIMESTAMP, kind STRING")
-    got = streams.run_to_files(streams.stuck_order_stream(staged(spark, tmp_path, df, "ts")), f"{tmp_path}/out")
+    alerts = streams.stuck_order_stream(staged(spark, tmp_path, df, "ts"), "0 seconds")
+    got = streams.run_to_files(alerts, f"{tmp_path}/out")
     keys = [r.key for r in got.collect()]
     assert sorted(keys) == sorted(want)
 
 
+def parts(spark, folder, *rows, schema):
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    return event_stream(spark, folder, spark.createDataFrame([], schema).schema)
+
+
+def test_late_calls_get_a_verdict(spark, tmp_path):
+    def call(hours, key, id_):
+        return (T0 + timedelta(hours=hours), key, id_)
+
+    calls = parts(
+        spark, f"{tmp_path}/in", [call(0, "a", 1), call(2, "a", 2)], [call(1, "a", 3), call(0.1, "b", 4)],
+        [call(3, "b", 5)], [call(1, "c", 6)], schema="ts TIMESTAMP, key STRING, id BIGINT",
+    )
+    got = streams.run_to_files(streams.limit_stream(calls, 3, 5000, "0 seconds"), f"{tmp_path}/out").collect()
+    assert {r.id: (r.allowed, r.late) for r in got} == {
+        1: (True, False), 2: (True, False), 3: (False, True), 4: (False, True), 5: (True, False), 6: (False, True)
+    }
+
+
+def test_late_openings_alert(spark, tmp_path):
+    changes = parts(
+        spark, f"{tmp_path}/in",
+        [(1, T0, "open"), (9, T0 + timedelta(hours=2), "tick")],
+        [(2, T0 + timedelta(minutes=1), "open"), (9, T0 + timedelta(hours=3), "tick")],
+        [(9, T0 + timedelta(hours=4), "tick")],
+        schema="key BIGINT, ts TIMESTAMP, kind STRING",
+    )
+    got = streams.run_to_files(streams.stuck_order_stream(changes), f"{tmp_path}/out")
+    assert sorted(r.key for r in got.collect()) == [1, 2]
+
+
+def test_requests_without_key_and_late_ones_stay(spark, tmp_path):
+    old = T0 - timedelta(days=90)
+    requests = parts(
+        spark, f"{tmp_path}/in", [(None, T0, 1), (None, T0, 2), ("x", T0, 3)], [(None, old, 4), ("x", T0, 5), ("y", old, 6)],
+        schema="idempotency_key STRING, ts TIMESTAMP, id BIGINT",
+    )
+    got = streams.run_to_files(streams.dedupe_stream(requests), f"{tmp_path}/out")
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4, 6]
+
+
+@pytest.mark.parametrize("name", [q for q in QUERIES if q.endswith("_stream")])
+def test_folder_tables_stream_like_files(spark, tmp_path, name):
+    source = "/root/testdata/sf0.001"
+    times = {"events": "ts", "orders": "o_orderdate"}
+    for table in ("customer", "part", "lineitem", "events", "orders"):
+        df = spark.read.parquet(f"{source}/{table}.parquet")
+        if table not in times:
+            df.write.parquet(f"{tmp_path}/{table}.parquet")
+            continue
+        rows = df.orderBy(times[table], df.columns[0]).toArrow()
+        for k in range(3):
+            part = spark.createDataFrame(rows.slice(k * -(-len(rows) // 3), -(-len(rows) // 3)), df.schema)
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{table}.parquet")
+    want, got = QUERIES[name](spark, source), QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_dedupe_and_route(spark, tmp_path):
     rows = [(f"k{i % 40}", T0 + timedelta(minutes=i), i) for i in range(200)]
     df = spark.createDataFrame(rows, "idempotency_key STRING, ts TIMESTAMP, id BIGINT")
@@ -105,10 +167,16 @@ def test_sale_status_over_batches(spark, tmp_path):
     feed = streams.sale_status_stream(staged(spark, tmp_path, ticks, "ts"), state, f"{tmp_path}/out")
     got = sorted((r.sale_id, r.status) for r in feed.collect())
     assert got == sorted([(i, "ACTIVE") for i in range(4)] + [(i, "ENDED") for i in range(2)])
+    now = streams.sale_state(state, f"{tmp_path}/out")
+    assert dict(now["sales"].select("id", "status").collect()) == {0: "ENDED", 1: "ENDED", 2: "ACTIVE", 3: "ACTIVE"}
+    assert sorted(r.sale_product_id for r in now["counters"].collect()) == [20, 30]
+    assert now["inventory"].count() == now["sale_products"].count() == 4
+    written = spark.read.parquet(f"{tmp_path}/out/changes/sales")
+    assert written.count() == 6  # a row for each change, not a table for each tick
 
 
 def test_payments_over_batches(spark, tmp_path):
-    rows = [(i % 30, T0 + timedelta(seconds=i)) for i in range(60)]
+    rows = [(i % 30, T0 + timedelta(seconds=i) + (i // 30) * timedelta(days=40)) for i in range(60)]
     arriving = spark.createDataFrame(rows, "order_id BIGINT, ts TIMESTAMP")
     messages = staged(spark, tmp_path, arriving, "ts").selectExpr(
         "order_id", "ts", "order_id AS user_id", "1L AS sale_product_id", "1L AS quantity",
