@@ -9,11 +9,12 @@ most sets are done after a few.
 1. Documents with equal sets form a class (a digest of 128 bits), by an aggregate that
    runs in the tasks first. Only the least doc_id of a class goes on.
 2. Each class has one key per band; classes that share a key form a bucket.
-3. Buckets are searched by stars: all members are compared with one centre, on their
-   full shingle sets, and linked members are joined into components. Members of one
-   component need no further comparison. When few enough pairs of different components
-   are left, all of those are compared, so no pair of a bucket is left out and no
-   bucket gives all its pairs unless its members really differ.
+3. All members of a bucket are compared with one of them, its centre, on their full
+   shingle sets, and linked ones are joined into components. Members of one component
+   need no further comparison. Nodes of buckets that still hold several components are
+   compared across components by an exact prefix filter: they meet on their rarest
+   shared shingles only. So no link is left out, and neither a large group of copies
+   nor many texts around one passage give all their pairs.
 4. Components of the links; every document takes that of its class.
 
 Two sets of similarity 0.8 meet in no band with probability (1 - 0.8^ROWS)^BANDS,
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.llm.components import components
@@ -44,10 +45,6 @@ from stockyard.shipping import ship_by_value
 ship_by_value(__name__)
 
 BANDS, ROWS = 32, 5
-#: All remaining pairs are compared once there are at most so many per row of a bucket.
-REST = 4
-#: After so many rounds of stars the remaining pairs are compared, however many.
-STAR_ROUNDS = 6
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALT = np.random.default_rng(9).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,15 +180,55 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b")
 
 
-def _open_pairs(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Buckets of three and more with several components, and their pairs of different components.
+def _open_nodes(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Nodes of buckets with three members or more in several components, with size and component.
 
     A bucket of two has had its only pair compared in the first round.
     """
-    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts"))
-    opened = store(sums.where("parts > 1 and n > 2").select("bucket", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs")), "buckets")
-    return opened.select("bucket"), opened.agg(F.sum("pairs")).first()[0] or 0
+    placed = rows.join(known.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
+        "bucket", "node", "n", F.coalesce("component", "node").alias("component")
+    )
+    placed = store(placed, "bucket-rows")
+    mixed = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    opened = mixed.where("m > 2 and least <> most").select("bucket")
+    return store(placed.join(opened, "bucket").select("node", "n", "component").distinct(), "open-nodes")
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that may be similar; no similar pair is left out.
+
+    Shingles are ordered: first those that only one component has, then the others
+    from rare to frequent. Two similar sets have at least `percent` of either in
+    common, so they share one of their first n - percent * n + 1 shingles. At the
+    first one shared, what follows in either bounds the overlap.
+    """
+    each = sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
+    each = each.select(F.col("doc_id").alias("node"), "n", "component", F.explode("shingles").alias("s"))
+    # Counted in the tasks first, however many nodes have a shingle.
+    stats = each.groupBy("s").agg(
+        F.count(F.lit(1)).alias("df"), F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    abroad = each.join(stats.where("least <> most").select("s", "df"), "s")
+    own = Window.partitionBy("node")  # the shingles of one document
+    placed = abroad.withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
+        "place", F.row_number().over(own.orderBy("df", "s"))
+    )
+    needed = F.expr(f"(n * {percent} + 99) div 100")
+    first = placed.where((F.col("shared") >= needed) & (F.col("place") <= F.col("shared") - needed + 1))
+    first = store(first.select("s", "node", "n", "component", (F.col("shared") - F.col("place")).alias("after")), "prefixes")
+    # Nodes of a shingle's largest component meet those of others only, so a component of
+    # a third of all nodes costs no more pairs than it has partners outside.
+    parts = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"))
+    first = first.join(main.where("k > 1").select("s", "main"), "s")
+    x, y = first.where("component <> main").alias("x"), first.alias("y")
+    rest = (F.least("x.after", "y.after") + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    pairs = x.join(y, F.col("x.s") == F.col("y.s")).where(
+        (F.col("x.component") != F.col("y.component")) & _fitting(percent, "x.n", "y.n") & rest
+    )
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,30 +243,11 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     sets = store(texts.mapInArrow(_sets(width), _SETS), "shingle-sets")
 
     found = store(_linked(pairs.where("a <> b").distinct(), sets, percent), "near-links")
-    size = rows.count()
-    rows = rows.select("bucket", "node", "n")
-    for turn in range(STAR_ROUNDS + 1):
-        known = components(found).withColumnRenamed("node", "member")
-        placed = rows.join(known, rows["node"] == known["member"], "left").select(
-            "bucket", "node", "n", F.coalesce("component", "node").alias("component")
-        )
-        opened, left = _open_pairs(placed)
-        if not left:
-            break
-        placed = store(placed.join(opened, "bucket"), "bucket-rows")
-        last = left <= REST * size or turn == STAR_ROUNDS
-        if last:
-            heads = placed
-        else:
-            order = F.xxhash64(F.lit(turn), "node")
-            heads = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "component"), order).alias("h")).select("bucket", "h.*")
-        pairs = placed.alias("x").join(heads.alias("y"), "bucket").where(F.col("x.component") != F.col("y.component"))
-        pairs = pairs.where(_fitting(percent, "x.n", "y.n"))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        found = store(found.unionByName(_linked(pairs, sets, percent)).distinct(), "near-links")
-        if last:
-            break
-    return found
+    opened = _open_nodes(rows.select("bucket", "node", "n"), components(found))
+    if opened.isEmpty():
+        return found
+    more = _linked(_prefix_pairs(opened, sets, percent), sets, percent)
+    return store(found.unionByName(more).distinct(), "near-links")
 
 
 def members(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

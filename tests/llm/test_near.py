@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from stockyard.llm import near
 from stockyard.llm.components import components
@@ -69,10 +68,7 @@ def test_groups_around_the_threshold(spark):
     check(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), width=5)
 
 
-@pytest.mark.parametrize("rest", [0, 4])
-def test_stars_and_rest_lose_no_link(spark, monkeypatch, rest):
-    monkeypatch.setattr(near, "REST", rest)
-    monkeypatch.setattr(near, "STAR_ROUNDS", 2)
+def test_chain_of_copies(spark):
     rng = random.Random(3)
     chain = [[f"c{n}" for n in range(60)]]
     for _ in range(40):
@@ -82,6 +78,13 @@ def test_stars_and_rest_lose_no_link(spark, monkeypatch, rest):
     check(documents(spark, [(i, " ".join(c), "en", "a") for i, c in enumerate(chain)]))
 
 
+def test_many_unlinked_variants_of_one_text(spark):
+    """Buckets full of texts around the threshold: the exact way for the rest finds every link."""
+    texts = [t for seed in (1, 2) for t in variants(120, 60, 9, seed)]
+    texts += [" ".join(t.split()[:50] + [f"z{i}{k}" for k in range(10)]) for i, t in enumerate(texts[:60])]
+    check(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).where("doc_id is not null").distinct()
     check(docs)
