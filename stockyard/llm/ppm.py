@@ -45,7 +45,7 @@ TAG = 56  # a node's key holds its order above its bytes
 MAX_NODES = 1 << 21
 MAX_WORDS = 1 << 18
 #: Distinct windows and words that a task gathers before it hands them on.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Windows whose code length a task remembers, by their hash.
 MEMORY_BITS = 20
 
@@ -77,20 +77,20 @@ class Gathered:
     """Counts of keys that come in chunks."""
 
     def __init__(self):
-        self.keys, self.counts = [], []
+        self.keys, self.counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
     def add(self, keys: np.ndarray) -> None:
         keys, counts = counted(keys)
         self.keys.append(keys)
         self.counts.append(counts)
-        if len(self.keys) >= 8:
+        if sum(map(len, self.keys[1:])) > HELD:
             self.merge()
 
     def merge(self) -> int:
         if len(self.keys) > 1:
             keys, counts = counted(np.concatenate(self.keys), np.concatenate(self.counts))
             self.keys, self.counts = [keys], [counts]
-        return len(self.keys[0]) if self.keys else 0
+        return len(self.keys[0])
 
     def drain(self, kind: int) -> Iterator[pa.RecordBatch]:
         if self.merge():
@@ -104,7 +104,7 @@ class Gathered:
                         "n": counts[lo : lo + 200_000].astype(np.int64),
                     }
                 )
-        self.keys, self.counts = [], []
+        self.__init__()
 
 
 WINDOW, WORD, TEXTS = 0, 1, 2
@@ -120,9 +120,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_windows.add(windows(part, own)[0])
             starts, ends, _ = word_spans(part, own)
             of_words.add(hasher.over(part).spans(starts, ends))
-        for gathered, kind in ((of_windows, WINDOW), (of_words, WORD)):
-            if gathered.merge() > HELD:
-                yield from gathered.drain(kind)
+            for gathered, kind in ((of_windows, WINDOW), (of_words, WORD)):
+                if len(gathered.keys[0]) > HELD:
+                    yield from gathered.drain(kind)
     yield from of_windows.drain(WINDOW)
     yield from of_words.drain(WORD)
     if texts:
@@ -181,7 +181,9 @@ def smooth(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: n
 
 def fit(training: DataFrame, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts (key, n)."""
-    counts = training.select("text").mapInArrow(_count, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # A task's keys are distinct already: they are dealt out first and summed there.
+    per_task = training.select("text").mapInArrow(_count, _COUNTS).repartition("kind", "key")
+    counts = per_task.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = store(counts, "lm-counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     keys = [F.col("key").bitwiseAND(F.lit(mask(k))).bitwiseOR(F.lit(k << TAG)) for k in range(ORDER + 1)]
