@@ -24,6 +24,7 @@ meets a row of its own id. Ties go to the smaller id. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
 
-TABLES, PROBES = 3, 26
+TABLES = 4
+#: Queries that the number of probes is fitted on, and the share of their neighbours to find.
+SAMPLE, RECALL = 64, 0.96
 #: Vectors of a part of a bucket, about.
 PART = 8192
 #: Queries compared with a part at a time.
 QUERIES = 256
 
-_HASHED = "id long, vector binary, codes array<int>, probes array<int>"
+_HASHED = "id long, vector binary, query boolean, codes array<int>"
+_ASKED = "id long, vector binary, bucket int"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -63,15 +67,10 @@ def signs_of(tables: int, width: int, seed: int = 6) -> np.ndarray:
     return np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, width))
 
 
-def axes(x: np.ndarray, signs: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per table the nearest signed axis of each row, and the `probes` nearest ones."""
-    codes, near = [], []
-    for flips in signs:
-        turned = rotate(x, flips)
-        both = np.concatenate([turned, -turned], axis=1)
-        codes.append(both.argmax(1))
-        near.append(np.argsort(-both, axis=1, kind="stable")[:, :probes])
-    return np.stack(codes, 1), np.stack(near, 1)
+def axes(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """Coordinates of all signed axes after a rotation: the axes and then their opposites."""
+    turned = rotate(x, flips)
+    return np.concatenate([turned, -turned], axis=1)
 
 
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,41 +85,115 @@ def _vectors(column: pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), dimension)
 
 
-def _hash(dimension: int, longest: float, level: bool, tables: int, probes: int):
-    width = 1 << (dimension + (not level) - 1).bit_length()
-    signs = signs_of(tables, width)
+@dataclass(frozen=True)
+class Space:
+    """The hashed space: dimension, width after padding, longest vector, and whether all are as long."""
 
+    dimension: int
+    longest: float
+    level: bool
+    tables: int
+
+    @property
+    def width(self) -> int:
+        return 1 << max(0, (self.dimension + (not self.level) - 1)).bit_length()
+
+    @property
+    def axes(self) -> int:
+        return 2 * self.width
+
+    def padded(self, x: np.ndarray, stored: bool) -> np.ndarray:
+        wide = np.zeros((len(x), self.width))
+        wide[:, : self.dimension] = x / self.longest
+        if stored and not self.level:
+            wide[:, self.dimension] = np.sqrt(np.maximum(0, 1 - (wide * wide).sum(1)))
+        return wide
+
+    def signs(self) -> np.ndarray:
+        return signs_of(self.tables, self.width)
+
+
+def _raw(x: np.ndarray) -> pa.Array:
+    raw, size = x.astype("<f8").tobytes(), 8 * x.shape[1]
+    return pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
+
+
+def _from_raw(column: pa.Array, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dimension)
+
+
+def _hash(space: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Space(*space)
+        signs = own.signs()
         for batch in batches:
-            x = _vectors(batch.column("vector"), dimension)
-            query = batch.column("query").to_numpy(zero_copy_only=False)
-            wide = np.zeros((len(x), width))
-            wide[:, :dimension] = x / longest
-            asked = wide / np.maximum(np.linalg.norm(wide, axis=1), 1e-300)[:, None]
-            if not level:
-                wide[:, dimension] = np.sqrt(np.maximum(0, 1 - (wide * wide).sum(1)))
-            codes, _ = axes(wide, signs, 1)
-            near = np.zeros((len(x), tables, min(probes, 2 * width)), np.int64)
-            if query.any():
-                near[query] = axes(asked[query], signs, probes)[1]
-            steps = np.arange(tables) * 2 * width
-            buckets = (near + steps[:, None])[query].reshape(-1).astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum(np.where(query, near[0].size if len(near) else 0, 0))]).astype(np.int32)
-            raw = x.astype("<f8").tobytes()
-            size = 8 * dimension
+            x = _vectors(batch.column("vector"), own.dimension)
+            wide = own.padded(x, stored=True)
+            codes = np.stack([axes(wide, f).argmax(1) + t * own.axes for t, f in enumerate(signs)], 1)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.astype(np.int32).reshape(-1)), own.tables)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array((codes + steps).astype(np.int32).reshape(-1)), tables).cast(pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets)),
-                ],
-                ["id", "vector", "codes", "probes"],
+                [batch.column("id"), _raw(x), batch.column("query"), lists.cast(pa.list_(pa.int32()))],
+                ["id", "vector", "query", "codes"],
             )
 
     return run
 
 
+def _probe(space: tuple, probes: int):
+    """A row for every bucket that a query looks into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Space(*space)
+        signs = own.signs()
+        for batch in batches:
+            wide = own.padded(_from_raw(batch.column("vector"), own.dimension), stored=False)
+            for t, flips in enumerate(signs):
+                near = np.argsort(-axes(wide, flips), axis=1, kind="stable")[:, :probes] + t * own.axes
+                rows = pa.array(np.repeat(np.arange(len(wide)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(rows), batch.column("vector").take(rows), pa.array(near.astype(np.int32).reshape(-1))],
+                    ["id", "vector", "bucket"],
+                )
+
+    return run
+
+
+def _compare_with(ids: np.ndarray, q: np.ndarray, k: int):
+    """The k best of a task's rows for each of a few queries, with their codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, x = batch.column("id").to_numpy(), _from_raw(batch.column("vector"), q.shape[1])
+            for found in _best(ids, q, own, x, k):
+                first = {int(i): n for n, i in reversed(list(enumerate(own.tolist())))}
+                rows = pa.array([first[i] for i in found.column("vec_id").to_pylist()], pa.int64())
+                yield found.append_column("codes", batch.column("codes").take(rows))
+
+    return run
+
+
+def fitted_probes(hashed: DataFrame, space: Space, k: int) -> int:
+    """The least number of probes in every table that finds `RECALL` of the neighbours of `SAMPLE` queries."""
+    sample = hashed.where("query").orderBy(F.xxhash64(F.lit(6), "id"), "id").select("id", "vector").limit(SAMPLE).toArrow()
+    if sample.num_rows == 0:
+        return 1
+    ids, q = sample["id"].to_numpy(), _from_raw(sample["vector"].combine_chunks(), space.dimension)
+    ids, first = np.unique(ids, return_index=True)
+    q = q[first]
+    near = hashed.mapInArrow(_compare_with(ids, q, k), _FOUND + ", codes array<int>")
+    near = near.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "codes")).alias("b")).select("query_id", "vec_id", "b.*")
+    near = _ranked(near, k).toArrow()  # at most SAMPLE * k rows
+    if near.num_rows == 0:
+        return 1
+    which = np.searchsorted(ids, near["query_id"].to_numpy())
+    codes = np.array(near["codes"].to_pylist())
+    place = np.full(len(codes), space.axes)
+    for t, flips in enumerate(space.signs()):
+        order = np.argsort(np.argsort(-axes(space.padded(q, stored=False), flips), axis=1, kind="stable"), axis=1, kind="stable")
+        place = np.minimum(place, order[which, codes[:, t] - t * space.axes])
+    return int(np.sort(place)[int(np.ceil(RECALL * len(place))) - 1]) + 1
+
+
 def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     scores = inner_products(q, x)
     scores[queries[:, None] == ids[None, :]] = -np.inf
@@ -148,7 +221,7 @@ def _compare(dimension: int, k: int):
             buckets, splits = batch.column("bucket").to_numpy(), batch.column("split").to_numpy()
             query = batch.column("query").to_numpy(zero_copy_only=False)
             own = batch.column("id").to_numpy()
-            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<f8").reshape(-1, dimension)
+            x = _from_raw(batch.column("vector"), dimension)
             change = np.ones(len(own), bool)
             change[1:] = (buckets[1:] != buckets[:-1]) | (splits[1:] != splits[:-1]) | (query[1:] != query[:-1])
             cuts = np.append(np.flatnonzero(change), len(own))
@@ -185,8 +258,7 @@ def _search(hashed: DataFrame, asked: DataFrame, parts: DataFrame, dimension: in
 
 
 def nearest(
-    vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding",
-    tables: int = TABLES, probes: int = PROBES,
+    vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", tables: int = TABLES
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` rows of largest inner product found for rows where `queries` holds."""
     vector = F.col(vector_column).cast("array<double>")
@@ -203,23 +275,24 @@ def nearest(
     usual = sizes.orderBy(F.desc("n"), "d").first()
     if usual is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, level = usual["d"], usual["least"] > usual["most"] * (1 - 1e-5)
-    sound = sound.where(F.size("vector") == dimension)
-    hashed = store(sound.mapInArrow(_hash(dimension, usual["most"], level, tables, probes), _HASHED), "ann-hashed")
+    space = Space(usual["d"], usual["most"], usual["least"] > usual["most"] * (1 - 1e-5), tables)
+    plain = tuple(vars(space).values())
+    sound = sound.where(F.size("vector") == space.dimension)
+    hashed = store(sound.mapInArrow(_hash(plain), _HASHED), "ann-hashed")
     buckets = hashed.select(F.explode("codes").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    parts = store(buckets.select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "ann-parts")  # two rows a table and axis at most
-    asked = hashed.where(F.size("probes") > 0).select("id", "vector", F.explode("probes").alias("bucket"))
-    found = _search(hashed, asked, parts, dimension, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    parts = store(buckets.select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "ann-parts")  # a row a table and axis at most
+    asking = hashed.where("query").select("id", "vector")
+    asked = asking.mapInArrow(_probe(plain, fitted_probes(hashed, space, k)), _ASKED)
+    found = _search(hashed, asked, parts, space.dimension, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     found = store(_ranked(found, k), "ann-found")
 
     # Queries with too few candidates look everywhere, which also makes small tables exact.
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    short = store(hashed.where(F.size("probes") > 0).join(full, "id", "left_anti").select("id", "vector"), "ann-short")
+    short = store(asking.join(full, "id", "left_anti"), "ann-short")
     if not short.isEmpty():
-        first = 2 * (1 << (dimension + (not level) - 1).bit_length())
-        everywhere = short.crossJoin(F.broadcast(parts.where(F.col("bucket") < first).select("bucket")))  # one table's axes
         one = hashed.withColumn("codes", F.slice("codes", 1, 1))
-        more = _search(one, everywhere, parts, dimension, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        everywhere = short.mapInArrow(_probe((*plain[:3], 1), space.axes), _ASKED)
+        more = _search(one, everywhere, parts, space.dimension, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         again = _ranked(more, k)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", "rank", "vec_id", "score")
