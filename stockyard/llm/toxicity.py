@@ -5,7 +5,7 @@ hash lowest; more are not needed for the words that mark toxic texts):
 
 * Terms are words and word beginnings of four and five bytes. The vocabulary holds the
   `max_terms` terms that most significantly prefer toxic examples, by the z-score of
-  the two document frequencies.
+  the two document frequencies, among those that are `MIN_LIFT` times as frequent there.
 * Examples are TF-IDF vectors over the vocabulary, of length one. They lie in an
   inverted index whose postings are cut into blocks of `BLOCK` examples, each with the
   greatest weight that it holds.
@@ -43,16 +43,18 @@ from stockyard.shipping import ship_by_value
 ship_by_value(__name__)
 
 #: Bound of the sample of labelled rows, for each class.
-PER_CLASS = 6000
-MAX_TERMS = 4096
-#: A term needs this z-score and so many toxic examples.
-MIN_Z, MIN_TOXIC = 4.0, 3
+PER_CLASS = 2500
+MAX_TERMS = 1024
+#: A term needs this z-score, so many toxic examples, and to be so many times as frequent in them.
+MIN_Z, MIN_TOXIC, MIN_LIFT = 5.0, 3, 10.0
 BLOCK = 64
 NEAREST = 15
+#: Blocks opened before there is a K-th best cosine to compare the others with.
+FIRST_BLOCKS = 8
 #: Distance added so that an equal example has a finite weight.
 SOFTEN = 0.05
 #: Examples that the curve is fitted on, at most.
-CURVE = 4000
+CURVE = 1500
 
 RESULT = "struct<score double, similarity double, neighbours array<bigint>>"
 _PUNCTUATION = np.isin(np.arange(256), list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""))
@@ -142,30 +144,33 @@ class BlockMaxIndex:
         return cls(of, weights, np.searchsorted(slot, edges).astype(np.int32), greatest.reshape(terms_n, blocks), len(vectors))
 
     def nearest(self, index: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine (above 0) and the cosines; ties to the smaller example."""
+        """The k examples of greatest cosine (above 0) and the cosines; ties to the smaller example.
+
+        The most promising blocks are opened first; then all others whose bound
+        reaches the k-th best found. No other block can hold one of the k best.
+        """
         bounds = weights @ self.greatest[index]
         order = np.argsort(-bounds, kind="stable")
-        found, values = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), 8):
-            floor = values[k - 1] if len(values) >= k else 0.0
-            opened = order[at : at + 8]
-            opened = opened[bounds[opened] >= max(floor - 1e-12, 1e-300)]
-            if not len(opened):
-                break
-            sums = np.zeros((len(opened), BLOCK))
-            for n, block in enumerate(opened):
-                for term, weight in zip(index, weights, strict=True):
-                    a, b = self.cuts[term, block], self.cuts[term, block + 1]
-                    if a < b:
-                        sums[n, self.examples[a:b] - block * BLOCK] += weight * self.weights[a:b]
-            n, place = np.nonzero(sums > 0)
-            ids = opened[n] * BLOCK + place
-            keep = ids != without
-            found = np.concatenate([found, ids[keep]])
-            values = np.concatenate([values, sums[n, place][keep]])
-            best = np.lexsort((found, -values))[:k]
-            found, values = found[best], values[best]
-        return found, values
+        cosines = np.zeros(self.size)
+        opened = np.zeros(len(bounds), bool)
+        turn = np.zeros(len(bounds), bool)
+        turn[order[:FIRST_BLOCKS]] = True
+        floor = 0.0
+        while turn.any():
+            for term, weight in zip(index, weights, strict=True):
+                at = slice(self.cuts[term, 0], self.cuts[term, -1])
+                examples = self.examples[at]
+                inside = turn[examples // BLOCK]
+                cosines[examples[inside]] += weight * self.weights[at][inside]
+            opened |= turn
+            if 0 <= without < self.size:
+                cosines[without] = 0.0
+            if len(cosines) >= k:
+                floor = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+            turn = ~opened & (bounds >= max(floor - 1e-12, 1e-300))
+        found = np.flatnonzero((cosines > 0) & (cosines >= floor))
+        best = np.lexsort((found, -cosines[found]))[:k]
+        return found[best], cosines[found[best]]
 
 
 @dataclass
@@ -225,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     p = (F.col("in_toxic") + F.col("in_clean")) / F.lit(total)
     spread = F.sqrt(p * (1 - p) * F.lit(1 / max(1, toxic_n) + 1 / max(1, clean_n)) + F.lit(1e-12))
     z = (F.col("in_toxic") / F.lit(max(1, toxic_n)) - F.col("in_clean") / F.lit(max(1, clean_n))) / spread
-    chosen = sums.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("in_toxic") >= MIN_TOXIC))
+    lift = (F.col("in_toxic") / F.lit(max(1, toxic_n))) / ((F.col("in_clean") + F.lit(0.5)) / F.lit(max(1, clean_n)))
+    chosen = sums.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("in_toxic") >= MIN_TOXIC) & (lift >= MIN_LIFT))
     chosen = chosen.orderBy(F.desc("z"), "term").limit(max_terms).toArrow()
     vocabulary = chosen["term"].to_numpy().view(np.uint64)
     df = chosen["in_toxic"].to_numpy() + chosen["in_clean"].to_numpy()
