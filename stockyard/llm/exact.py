@@ -33,7 +33,7 @@ from stockyard.shipping import ship_by_value
 ship_by_value(__name__)
 
 #: Bytes of text that one trie holds before subtrees leave it.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 16 << 20
 #: Bytes of text in a batch handed on.
 BATCH_BYTES = 4 << 20
 

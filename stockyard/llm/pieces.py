@@ -38,7 +38,7 @@ ship_by_value(__name__)
 
 SPACE = "▁"
 #: Distinct units that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Longer units are not remembered.
 UNIT_CHARS = 40
 #: Bits of a symbol's code: pieces and all characters of Unicode.
