@@ -238,6 +238,8 @@ def admission_funnel(
         "outcome",
         F.coalesce(F.concat(F.lit("RATE_LIMITED_"), F.upper("stopped_by")), F.col("error_code")),
     )
+    # Read three times below; unstored, the last limiter would be folded each time.
+    checked = store(checked, "funnel-checked")
     turned_away = checked.filter("outcome IS NOT NULL").withColumn("items_remaining", none)
 
     passed = checked.filter("outcome IS NULL").withColumn(

@@ -73,12 +73,18 @@ def window_run(limit: int, window_ms: int) -> Run:
         place[starts[1:]] = apart
         t = np.concatenate((held - zero, ms - zero + np.cumsum(place)))
         free_at = np.searchsorted(t, t + window_ms, "left").tolist()
+        # Up to the first call of a key that has `limit` calls within its window, all are admitted.
+        crowded = np.append(np.flatnonzero(t[limit:] - t[:-limit] < window_ms) + limit, c + n)
+        lows = starts + c
+        highs = np.append(lows[1:], c + n)
+        open_to = np.minimum(crowded[np.searchsorted(crowded, lows)], highs)
         admitted = list(range(c))
         first = 0
-        for lo, hi in zip((starts + c).tolist(), [*(starts[1:] + c).tolist(), c + n]):
+        for lo, hi, free in zip(lows.tolist(), highs.tolist(), open_to.tolist(), strict=True):
             if lo > c:
                 first = len(admitted)
-            i = lo
+            admitted.extend(range(lo, free))
+            i = free
             while i < hi:
                 oldest = len(admitted) - limit
                 if oldest >= first and free_at[admitted[oldest]] > i:

@@ -15,6 +15,29 @@ IMAGE_TYPES = ("image/jpeg", "image/png", "image/webp")
 MAX_UPLOAD_BYTES = 5 * 1024 * 1024
 MAX_INT = 2**31 - 1
 
+# Code, status and text of the rejections.
+REJECTIONS = {
+    "products.MISSING_FIELDS": ("MISSING_FIELDS", 400, "name and base_price are required."),
+    "products.INVALID_PRICE": ("INVALID_PRICE", 400, "base_price must be a positive number."),
+    "products.PRICE_OUT_OF_RANGE": ("PRICE_OUT_OF_RANGE", 500, "numeric field overflow"),
+    "sales.START_NOT_FUTURE": ("START_NOT_FUTURE", 400, "start_time must be in the future."),
+    "sales.END_BEFORE_START": ("END_BEFORE_START", 400, "end_time must be after start_time."),
+    "sale_products.INVALID_PRICE": ("INVALID_PRICE", 400, "sale_price must be a positive number."),
+    "sale_products.INVALID_QTY": ("INVALID_QTY", 400, "total_qty must be a positive integer."),
+    "sale_products.SALE_NOT_FOUND": ("SALE_NOT_FOUND", 404, "Sale not found."),
+    "sale_products.PRODUCT_NOT_FOUND": ("PRODUCT_NOT_FOUND", 404, "Product not found or inactive."),
+    "order_requests.INVALID_QUANTITY": ("INVALID_QUANTITY", 400, "quantity must be between 1 and 5."),
+    "registrations.SHORT_PASSWORD": ("SHORT_PASSWORD", 400, "Password must be at least 6 characters."),
+    "uploads.FILE_TOO_LARGE": ("FILE_TOO_LARGE", 400, "File too large. Maximum size is 5MB."),
+    "sales.MISSING_FIELDS": ("MISSING_FIELDS", 400, "name, start_time and end_time are required."),
+    "sales.INVALID_DATE": ("INVALID_DATE", 400, "Invalid date format. Use ISO 8601 (e.g. 2026-03-20T14:00:00Z)."),
+    "sale_products.MISSING_FIELDS": ("MISSING_FIELDS", 400, "product_id, sale_price and total_qty are required."),
+    "sale_products.OUT_OF_RANGE": ("OUT_OF_RANGE", 500, "numeric value out of range"),
+    "order_requests.MISSING_FIELDS": ("MISSING_FIELDS", 400, "sale_id and sale_product_id are required."),
+    "registrations.MISSING_FIELDS": ("MISSING_FIELDS", 400, "email, password and full_name are required."),
+    "uploads.UNSUPPORTED_TYPE": ("UNSUPPORTED_TYPE", 400, "Only JPEG, PNG and WebP images are allowed."),
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -64,9 +87,9 @@ def dq_products(df: DataFrame) -> DataFrame:
     checked = validate(
         df.withColumn("price", price),
         [
-            Rule(_missing("name", "base_price"), "MISSING_FIELDS", 400, "name and base_price are required."),
-            Rule(_bad_price(F.col("price")), "INVALID_PRICE", 400, "base_price must be a positive number."),
-            Rule(_price_overflow(F.col("price")), "PRICE_OUT_OF_RANGE", 500, "numeric field overflow"),
+            Rule(_missing("name", "base_price"), *REJECTIONS["products.MISSING_FIELDS"]),
+            Rule(_bad_price(F.col("price")), *REJECTIONS["products.INVALID_PRICE"]),
+            Rule(_price_overflow(F.col("price")), *REJECTIONS["products.PRICE_OUT_OF_RANGE"]),
         ],
     )
     ok = F.col("error_code").isNull()
@@ -93,18 +116,14 @@ def dq_sales(df: DataFrame, as_of: Column) -> DataFrame:
         [
             Rule(
                 _missing("name", "start_time", "end_time"),
-                "MISSING_FIELDS",
-                400,
-                "name, start_time and end_time are required.",
+                *REJECTIONS["sales.MISSING_FIELDS"],
             ),
             Rule(
                 F.col("start_ts").isNull() | F.col("end_ts").isNull(),
-                "INVALID_DATE",
-                400,
-                "Invalid date format. Use ISO 8601 (e.g. 2026-03-20T14:00:00Z).",
+                *REJECTIONS["sales.INVALID_DATE"],
             ),
-            Rule(F.col("start_ts") <= as_of, "START_NOT_FUTURE", 400, "start_time must be in the future."),
-            Rule(F.col("end_ts") <= F.col("start_ts"), "END_BEFORE_START", 400, "end_time must be after start_time."),
+            Rule(F.col("start_ts") <= as_of, *REJECTIONS["sales.START_NOT_FUTURE"]),
+            Rule(F.col("end_ts") <= F.col("start_ts"), *REJECTIONS["sales.END_BEFORE_START"]),
         ],
     )
 
@@ -127,25 +146,21 @@ def dq_sale_products(df: DataFrame, sales: DataFrame, products: DataFrame) -> Da
         [
             Rule(
                 F.col("product_id").isNull() | _missing("sale_price", "total_qty"),
-                "MISSING_FIELDS",
-                400,
-                "product_id, sale_price and total_qty are required.",
+                *REJECTIONS["sale_products.MISSING_FIELDS"],
             ),
-            Rule(_bad_price(F.col("price")), "INVALID_PRICE", 400, "sale_price must be a positive number."),
-            Rule(_bad_price(F.col("qty")), "INVALID_QTY", 400, "total_qty must be a positive integer."),
-            Rule(status.isNull(), "SALE_NOT_FOUND", 404, "Sale not found."),
+            Rule(_bad_price(F.col("price")), *REJECTIONS["sale_products.INVALID_PRICE"]),
+            Rule(_bad_price(F.col("qty")), *REJECTIONS["sale_products.INVALID_QTY"]),
+            Rule(status.isNull(), *REJECTIONS["sale_products.SALE_NOT_FOUND"]),
             Rule(
                 status != "SCHEDULED",
                 "SALE_NOT_SCHEDULED",
                 400,
                 F.concat(F.lit("Cannot add products to a sale with status: "), status, F.lit(".")),
             ),
-            Rule(F.col("_product").isNull(), "PRODUCT_NOT_FOUND", 404, "Product not found or inactive."),
+            Rule(F.col("_product").isNull(), *REJECTIONS["sale_products.PRODUCT_NOT_FOUND"]),
             Rule(
                 _price_overflow(F.col("price")) | (F.col("qty") > MAX_INT),
-                "OUT_OF_RANGE",
-                500,
-                "numeric value out of range",
+                *REJECTIONS["sale_products.OUT_OF_RANGE"],
             ),
         ],
     )
@@ -161,12 +176,10 @@ def dq_order_requests(df: DataFrame) -> DataFrame:
         [
             Rule(
                 F.col("sale_id").isNull() | F.col("sale_product_id").isNull(),
-                "MISSING_FIELDS",
-                400,
-                "sale_id and sale_product_id are required.",
+                *REJECTIONS["order_requests.MISSING_FIELDS"],
             ),
             Rule(
-                (q < 1) | (q > 5) | (q != F.floor(q)), "INVALID_QUANTITY", 400, "quantity must be between 1 and 5."
+                (q < 1) | (q > 5) | (q != F.floor(q)), *REJECTIONS["order_requests.INVALID_QUANTITY"]
             ),
         ],
     )
@@ -184,12 +197,10 @@ def dq_registrations(df: DataFrame, users: DataFrame) -> DataFrame:
         [
             Rule(
                 _missing("email", "password", "full_name"),
-                "MISSING_FIELDS",
-                400,
-                "email, password and full_name are required.",
+                *REJECTIONS["registrations.MISSING_FIELDS"],
             ),
             Rule(
-                F.length("password") < 6, "SHORT_PASSWORD", 400, "Password must be at least 6 characters."
+                F.length("password") < 6, *REJECTIONS["registrations.SHORT_PASSWORD"]
             ),
         ],
     )
@@ -219,12 +230,10 @@ def dq_uploads(df: DataFrame) -> DataFrame:
         [
             Rule(
                 ~F.col("mime").isin(*IMAGE_TYPES),
-                "UNSUPPORTED_TYPE",
-                400,
-                "Only JPEG, PNG and WebP images are allowed.",
+                *REJECTIONS["uploads.UNSUPPORTED_TYPE"],
             ),
             Rule(
-                F.col("size") > MAX_UPLOAD_BYTES, "FILE_TOO_LARGE", 400, "File too large. Maximum size is 5MB."
+                F.col("size") > MAX_UPLOAD_BYTES, *REJECTIONS["uploads.FILE_TOO_LARGE"]
             ),
         ],
     )

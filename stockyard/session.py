@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder for one run's tables."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder, or below the innermost `scratch`, for one run's tables."""
+    root = _SCRATCH[-1] if _SCRATCH else checkpoint_root(spark).rstrip("/")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that are stored inside are removed at the end; write the results before that.
+
+        with scratch(spark):
+            admission_funnel(...).write.parquet(path)
+    """
+    folder = run_folder(spark, "scratch")
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str = "table") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from stockyard.operators import listings, outbox, reports
 from stockyard.plans.catalog import QUERIES
+from stockyard.session import scratch, store
 from stockyard.sources.fixtures import Fixtures
 from stockyard.sources.layout import load_bucketed, save_bucketed, save_in_folders
 
@@ -65,3 +66,18 @@ def test_bucketed_join_has_no_shuffle(spark, tmp_path, no_broadcast):
     assert "SortMergeJoin" in text and "Exchange" not in text
     for name in ("orders", "order_items"):
         spark.sql(f"DROP TABLE b_{name}")
+
+
+def test_each_limiter_of_the_funnel_is_folded_once(spark):
+    text = plan(QUERIES["admission_funnel"](spark, FOLDER))
+    assert "MapInArrow" not in text and "MapInPandas" not in text  # all read from what was stored
+
+
+def test_scratch_tables_are_removed(spark):
+    with scratch(spark) as folder:
+        inner = store(spark.range(5).toDF("i"))
+        assert inner.count() == 5
+        assert all(folder in f for f in inner.inputFiles())
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert store(spark.range(3).toDF("i")).count() == 3
