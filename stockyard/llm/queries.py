@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm import exact, language, mixing, near, neighbours, pages, pieces, ppm, toxicity
+from stockyard.llm import exact, language, mixing, near, neighbours, pages, pieces, ppm, private, toxicity
 from stockyard.llm.registry import QUERIES, SQL, fold, query, table
 from stockyard.session import store
 
@@ -71,6 +71,17 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.members(table(spark, folder, "documents"), keep="largest")
 
 
+#: The query's key. A deployment passes its own secret.
+EXAMPLE_KEY = b"an example key"
+
+
+@query("op4_pseudonyms")
+def op4_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    hidden = docs.select("doc_id", private.pseudonymise(EXAMPLE_KEY).alias("p"))
+    return hidden.select("doc_id", "p.text", "p.n_private", "p.kinds")
+
+
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages"))
