@@ -211,8 +211,8 @@ class Pieces:
 
     def learn(self, units: list[str]) -> None:
         """Merge units not yet known and hold them against the library, all in one call."""
-        if len(self.known) + len(units) > REMEMBERED:
-            self.known.clear()
+        if not units:
+            return
         short = [u for u in units if len(u) <= UNIT_CHARS]
         joined, spelled = self.merge_all(short)
         for unit in units:
@@ -237,13 +237,15 @@ class Pieces:
     def encode_batch(self, texts: list[str | None], with_ids: bool) -> Iterator[tuple]:
         marked = [(SPACE + t).replace(" ", SPACE) if t else "" for t in texts]
         cut = [self.units(m) if m else [] for m in marked]
-        new = {u for units in cut for u in units if u not in self.known}
-        if new:
-            self.learn([u for u in new if len(u) <= UNIT_CHARS])
+        own = {u for units in cut for u in units if len(u) <= UNIT_CHARS}
+        new = own - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:  # forget all, but learn what this batch needs
+            self.known.clear()
+            new = own
+        self.learn(list(new))
         for mark, units in zip(marked, cut, strict=True):
-            rest = {u for u in units if u not in self.known}
-            if rest:
-                self.learn(list(rest))
+            rest = {u for u in units if u not in self.known}  # the long ones
+            self.learn(list(rest))
             csv = ",".join([self.known[u] for u in units])
             for u in rest:
                 if len(u) > UNIT_CHARS:
