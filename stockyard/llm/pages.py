@@ -4,18 +4,27 @@ Pages of one host are merged: nodes with the same path of tags, classes and ids
 node of the host's style tree. Two things tell how much a node matters:
 
 * Presentation: a node whose children come in many different orders matters; its
-  entropy over the pages, in units of log(pages). Tags, classes, ids and roles whose
-  meaning is a menu, header, footer, sidebar, notice, advert, form or comment section
-  have no importance from the start; `article` and `main` have full importance.
+  entropy over the pages, in units of log(pages).
 * Content: a text that stands on one page has importance 1, one that stands on k of the
   m pages with this node 1 - log k / log m; the node has the mean over its texts.
 
-The importance of a node is a weighted sum of both. Branches below `THRESHOLD` on hosts
-with enough pages are cut from every page, as are nodes of no importance anywhere.
+The importance of a node is a weighted sum of both, and every text is also a node of its
+own below the tags that lead to it, so a repeated text goes without its neighbours and
+whatever its class is called. What matters less than its prior asks for is cut, on hosts
+with at least `MIN_PAGES` different pages with that node:
+
+* Outside `article` and `main`, nodes and texts below `THRESHOLD`.
+* Inside, texts below `SURE`, so only what stands on nearly every page; a heading, term
+  or cell stays as long as what follows it beside it does. A page whose article would be
+  left without any text keeps it.
+
+Tags, classes, ids and roles whose meaning is a menu, header, footer, sidebar, notice,
+advert, form or comment section have no importance from the start.
 
 The tree is never built in one place: tasks count (host, path, feature), the counts are
-shuffled, and only the paths to be cut come back, per host. A host with a third of all
-pages costs as many rows as it has paths and distinct texts.
+shuffled, and only the nodes to be cut come back, per host. A host with a third of all
+pages costs as many rows as it has paths and distinct texts; texts are filtered by their
+count before they meet the pages of their node.
 
 Defined results: null or empty html gives an empty text; markup that never closes is
 closed at the end; a null url is a host of its own. Blocks begin and end at block tags;
@@ -27,7 +36,6 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -43,8 +51,8 @@ ship_by_value(__name__)
 
 #: Share of the content in a node's importance.
 CONTENT = 0.9
-#: Nodes that matter less are cut.
-THRESHOLD = 0.2
+#: Nodes that matter less are cut: in general, and inside article and main.
+THRESHOLD, SURE = 0.2, 0.05
 #: A node must stand on so many different pages of its host to be cut for its contents.
 MIN_PAGES = 8
 
@@ -73,6 +81,7 @@ NAMED_NOISE = frozenset(
     "comment comments disqus replies respond related recommended breadcrumb breadcrumbs pagination pager toolbar widget "
     "widgets skip copyright".split()
 )
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 dt th td caption summary".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S
@@ -82,24 +91,28 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+PLAIN, INSIDE = 0, 1
+
+
 class Block:
-    __slots__ = ("noise", "path", "sure", "text")
+    __slots__ = ("above", "noise", "path", "place", "prior", "tag", "text")
 
-    def __init__(self, path: str, noise: bool, sure: bool, text: str):
-        self.path, self.noise, self.sure, self.text = path, noise, sure, text
+    def __init__(self, top: Open, text: str):
+        self.tag, self.above, self.path, self.place = top.tag, top.above, top.path, top.place
+        self.noise, self.prior, self.text = top.noise, top.prior, text
 
 
 class Open:
-    """An open element: its path, and whether it is noise or surely content by what it is."""
+    """An open element: its path and its parent's, the tags alone of it, whether it is noise by what it is, and its prior."""
 
-    __slots__ = ("children", "noise", "path", "sure", "tag")
+    __slots__ = ("above", "children", "noise", "path", "place", "prior", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, sure: bool):
-        self.tag, self.path, self.noise, self.sure = tag, path, noise, sure
+    def __init__(self, tag: str, above: str, path: str, place: str, noise: bool, prior: int):
+        self.tag, self.above, self.path, self.place, self.noise, self.prior = tag, above, path, place, noise, prior
         self.children: list[str] = []
 
 
-def _named(attributes: str) -> tuple[str, set[str], set[str]]:
+def _named(attributes: str) -> tuple[str, set[str]]:
     """Class and id as they stand in a path, and the words in them and in the role."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     names = f".{found['class']}" if found.get("class") else ""
@@ -107,12 +120,12 @@ def _named(attributes: str) -> tuple[str, set[str], set[str]]:
     words: set[str] = set()
     for value in found.values():
         words.update(w.lower() for w in _WORDS.findall(value))
-    return names, words, {v.lower() for v in found.values()}
+    return names, words
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """Text blocks in page order, and (path, tags of the children) for every element."""
-    root = Open("", "", False, False)
+    root = Open("", "", "", "", False, PLAIN)
     stack, blocks, styles, parts = [root], [], [], []
 
     def flush() -> None:
@@ -120,8 +133,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             text = _SPACE.sub(" ", references.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                top = stack[-1]
-                blocks.append(Block(top.path, top.noise, top.sure, text))
+                blocks.append(Block(stack[-1], text))
 
     def close(to: int) -> None:
         while len(stack) > to:
@@ -162,13 +174,15 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     close(k)
                 elif stack[k].tag in SCOPES:
                     break
-        names, words, whole = _named(found[3])
+        names, words = _named(found[3])
         parent = stack[-1]
         parent.children.append(tag)
-        sure = parent.sure or tag in ("article", "main")
-        noise = parent.noise or tag in NO_CONTENT or (tag == "header" and not parent.sure)
+        prior = parent.prior
+        if tag in ("article", "main"):
+            prior = prior or INSIDE
+        noise = parent.noise or tag in NO_CONTENT or (tag == "header" and parent.prior == PLAIN)
         noise = noise or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(NAMED_NOISE))
-        own = Open(tag, f"{parent.path}/{tag}{names}", noise, sure)
+        own = Open(tag, parent.path, f"{parent.path}/{tag}{names}", f"{parent.place}/{tag}", noise, prior)
         if tag in RAW:
             close_at = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(html, at)
             at = close_at.start() if close_at else end
@@ -184,21 +198,43 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-STANDS, SAYS, LOOKS = 0, 1, 2
-_FEATURES = "host string, path long, kind int, feature long, n long"
+STANDS, SAYS, LOOKS, AT, SAID = range(5)
+_FEATURES = "host string, path long, kind int, feature long, n double"
+
+
+def _node(block: Block) -> int:
+    return _hash(f"{block.prior}{block.path}")
+
+
+def _place(block: Block) -> int:
+    return _hash(f"{block.prior}>{block.place}")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and host: on how many pages a path stands, says a text, has an order of children."""
+    """Per task and host: on how many pages a node stands, says a text, has an order of children; a place stands, has a text.
+
+    Every row of `c` copies counts for 1 / c pages. The feature of a node or place that stands is its prior.
+    """
     for batch in batches:
-        sums: Counter = Counter()
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        sums: dict = {}
+        columns = (batch.column(name).to_pylist() for name in ("host", "html", "c"))
+        for host, html, copies in zip(*columns, strict=True):
             blocks, styles = parse(html or "")
-            own = {(host, _hash(b.path), SAYS, _hash(b.text)) for b in blocks if not b.noise and not b.sure}
-            paths = {key[1] for key in own}
-            own |= {(host, p, STANDS, 0) for p in paths}
-            own |= {(host, p, LOOKS, _hash(children)) for path, children in styles if (p := _hash(path)) in paths}
-            sums.update(own)
+            own, nodes = set(), {}
+            for block in blocks:
+                if block.noise:
+                    continue
+                text, place = _hash(block.text), _place(block)
+                own.add((host, place, AT, block.prior))
+                own.add((host, place, SAID, text))
+                if block.prior != INSIDE:
+                    node = nodes[block.path] = _node(block)
+                    own.add((host, node, STANDS, block.prior))
+                    own.add((host, node, SAYS, text))
+            own |= {(host, nodes[path], LOOKS, _hash(children)) for path, children in styles if path in nodes}
+            weight = 1 / copies
+            for key in own:
+                sums[key] = sums.get(key, 0.0) + weight
         if sums:
             host, path, kind, feature = zip(*sums, strict=True)
             yield pa.record_batch(
@@ -207,7 +243,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "path": pa.array(path, pa.int64()),
                     "kind": pa.array(kind, pa.int32()),
                     "feature": pa.array(feature, pa.int64()),
-                    "n": pa.array(list(sums.values()), pa.int64()),
+                    "n": pa.array(list(sums.values()), pa.float64()),
                 }
             )
 
@@ -217,45 +253,83 @@ def host_of(url: str | Column = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(column, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
+def _least(prior: str) -> Column:
+    return F.when(F.col(prior) == INSIDE, SURE).otherwise(THRESHOLD)
+
+
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path (hashed), pages and importance of the nodes of all style trees that hold text."""
-    distinct = pages.select(host_of().alias("host"), "html").where("html is not null")
+    """host, key, pages, prior and importance of the nodes of all style trees that hold text, and of texts that repeat.
+
+    The key of a node is its hash, that of a text the exclusive or of the hashes of its place and of itself.
+    """
+    given = pages.select(host_of().alias("host"), "html").where("html is not null").withColumn("copy", F.xxhash64("html"))
     # Copies of a page say nothing about the site: the same html counts once per host.
-    first = distinct.groupBy("host", F.xxhash64("html").alias("copy")).agg(F.count(F.lit(1)).alias("c"))
-    repeated = first.where("c > 1").select("host", "copy", "c")
-    counted = distinct.mapInArrow(_features, _FEATURES).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    counted = store(counted, "page-features")
-    stands = counted.where(F.col("kind") == STANDS).select("host", "path", F.col("n").alias("pages"))
-    share = F.least(F.col("n") / F.col("pages"), F.lit(1.0))
-    span = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    parts = counted.where(F.col("kind") != STANDS).join(stands, ["host", "path"])
-    nodes = parts.groupBy("host", "path", "pages").agg(
-        F.avg(F.when(F.col("kind") == SAYS, 1 - F.log(F.least("n", "pages").cast("double")) / span)).alias("content"),
-        F.sum(F.when(F.col("kind") == LOOKS, -share * F.log(share) / span)).alias("presentation"),
+    repeated = given.groupBy("host", "copy").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    repeated = store(repeated, "page-copies")
+    weighed = given.join(F.broadcast(repeated) if is_small(repeated, 100_000) else repeated, ["host", "copy"], "left")
+    weighed = weighed.select("host", "html", F.coalesce("c", F.lit(1)).alias("c"))
+    counted = weighed.mapInArrow(_features, _FEATURES).groupBy("host", "path", "kind", "feature")
+    counted = store(counted.agg(F.round(F.sum("n"), 6).alias("n")), "page-features")
+
+    def over(kind: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value))
+
+    log = F.log("n")
+    nodes = counted.where(F.col("kind") <= LOOKS).groupBy("host", F.col("path").alias("key")).agg(
+        over(STANDS, F.col("n")).alias("pages"),
+        over(STANDS, F.col("feature")).alias("prior"),
+        F.avg(F.when(F.col("kind") == SAYS, log)).alias("said"),
+        over(LOOKS, F.col("n")).alias("looks"),
+        over(LOOKS, F.col("n") * log).alias("looks_log"),
     )
-    weighed = CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce(F.least("presentation", F.lit(1.0)), F.lit(1.0))
-    copies = repeated.groupBy("host").agg(F.sum(F.col("c") - 1).alias("copies"))
-    nodes = nodes.join(copies, "host", "left").withColumn("pages", F.col("pages") - F.coalesce("copies", F.lit(0)))
-    return nodes.select("host", "path", "pages", weighed.alias("importance"))
+    span = F.log(F.greatest("pages", F.lit(2.0)))
+    # The entropy of the orders, each on n of the pages: - sum(n / pages * log(n / pages)).
+    entropy = (F.col("looks") * F.log("pages") - F.col("looks_log")) / F.col("pages") / span
+    content = 1 - F.col("said") / span
+    both = CONTENT * content + (1 - CONTENT) * F.coalesce(F.least(entropy, F.lit(1.0)), F.lit(1.0))
+    nodes = nodes.select("host", "key", "pages", "prior", both.alias("importance"))
+
+    # Of the texts only those that can be cut on the fewest pages and with the weakest prior meet their places.
+    places = counted.where((F.col("kind") == AT) & (F.col("n") >= MIN_PAGES))
+    places = places.select("host", "path", F.col("n").alias("pages"), F.col("feature").alias("prior"))
+    often = (F.col("kind") == SAID) & (F.col("n") >= MIN_PAGES ** (1 - max(THRESHOLD, SURE)))
+    texts = counted.where(often).join(places, ["host", "path"])
+    key = F.col("path").bitwiseXOR(F.col("feature")).alias("key")
+    return nodes.unionByName(texts.select("host", key, "pages", "prior", (1 - log / span).alias("importance")))
+
+
+def _keeps(blocks: list[Block], away: set[int]) -> list[Block]:
+    """The blocks of a page without those whose node or text is cut."""
+    stays = [
+        (b.prior == INSIDE or _node(b) not in away) and _place(b) ^ _hash(b.text) not in away for b in blocks
+    ]
+    for k in range(len(blocks) - 2, -1, -1):
+        # Labels inside an article go with what follows them beside or below.
+        label, after = blocks[k], blocks[k + 1]
+        if not stays[k] and label.prior == INSIDE and stays[k + 1] and after.prior == INSIDE:
+            stays[k] = label.tag in LABELS and after.path.startswith(label.above + "/")
+    inside = [k for k, b in enumerate(blocks) if b.prior != PLAIN]
+    if not any(stays[k] for k in inside):
+        for k in inside:
+            stays[k] = True
+    return [b for b, stay in zip(blocks, stays, strict=True) if stay]
 
 
 def _main_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for html, cut in batches:
         out = []
-        for text, paths in zip(html.to_pylist(), cut.to_pylist(), strict=True):
-            away = set(paths or ())
+        for text, keys in zip(html.to_pylist(), cut.to_pylist(), strict=True):
+            away = set(keys or ())
             blocks = [b for b in parse(text or "")[0] if not b.noise]
-            if away:
-                blocks = [b for b in blocks if b.sure or _hash(b.path) not in away]
-            out.append("\n".join(b.text for b in blocks))
+            out.append("\n".join(b.text for b in (_keeps(blocks, away) if away else blocks)))
         yield pa.array(out, pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    low = importance(pages).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES))
-    # The paths to cut on one host are part of its template.
-    cut = store(low.groupBy("host").agg(F.collect_set("path").alias("cut")), "page-cuts")
+    low = importance(pages).where((F.col("importance") < _least("prior")) & (F.col("pages") >= MIN_PAGES))
+    # The nodes and texts to cut on one host are part of its template.
+    cut = store(low.groupBy("host").agg(F.collect_set("key").alias("cut")), "page-cuts")
     rows = pages.select(F.col("page_id"), F.col("url"), host_of().alias("host"), F.col("html"))
     rows = rows.join(F.broadcast(cut) if is_small(cut, 10_000) else cut, "host", "left")
     main_text = F.arrow_udf(_main_texts, "string")

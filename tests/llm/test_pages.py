@@ -54,6 +54,46 @@ def test_copies_do_not_make_a_template(spark):
     assert set(got.values()) == {("The same page again", 19)}
 
 
+def test_unnamed_boilerplate_inside_article_is_cut(spark):
+    def page(n, around):
+        parts = "".join(f"<p>Story {n} part {k}</p>" for k in range(n % 4 + 1))
+        return around.format(
+            f"<h1>Head {n}</h1><div class='k1'><p>We use your data</p></div>{parts}<h2>Sources</h2><p>Source of {n}</p><p>Read our letter</p>"
+            "<div class='k2'><h4>More</h4><ul><li>First place</li><li>Second place</li></ul></div>"
+        )
+
+    rows = [(n, "http://a.example/p", page(n, f"<article id='post-{n}' class='t{n}'>{{}}</article>")) for n in range(12)]
+    rows += [(100 + n, "http://b.example/p", page(n, "<main><div>{}</div></main>")) for n in range(12)]
+    rows += [(200 + n, "http://few.example/p", page(n, "<article>{}</article>")) for n in range(7)]
+    got = extract(spark, rows)
+    for n in range(24):
+        own = n % 12
+        parts = [f"Story {own} part {k}" for k in range(own % 4 + 1)]
+        # "Sources" is on every page as well, but heads a text that is not.
+        assert got[own + 100 * (n > 11)][0].split("\n") == [f"Head {own}", *parts, "Sources", f"Source of {own}"]
+    assert "Read our letter" in got[200][0]  # too few pages to tell
+
+
+def test_unnamed_boilerplate_without_article_is_cut(spark):
+    rows = [(n, "http://a.example/p", f"<div><p>Welcome</p><p>Story {n}</p><p>All rights</p></div>") for n in range(12)]
+    assert {i: t for i, (t, _) in extract(spark, rows).items()} == {n: f"Story {n}" for n in range(12)}
+
+
+def test_copies_of_one_page_among_others_are_no_template(spark):
+    def page(n):
+        return f"<article><p>Story {n}</p><p>More of {n}</p><p>Read our letter</p></article>"
+
+    rows = [(n, "http://a.example/p", page(n)) for n in range(12)] + [(100 + n, "http://a.example/p", page(5)) for n in range(200)]
+    got = extract(spark, rows)
+    assert all(got[n][0] == f"Story {n}\nMore of {n}" for n in range(12))
+    assert all(got[100 + n][0] == "Story 5\nMore of 5" for n in range(200))
+
+
+def test_article_that_is_the_same_on_every_page_stays(spark):
+    rows = [(n, "http://a.example/p", f"<article><p>The same text</p></article><p>Outside {n}</p>") for n in range(12)]
+    assert all(text == f"The same text\nOutside {n}" for n, (text, _) in extract(spark, rows).items())
+
+
 def test_awkward_rows(spark):
     long = "<article>" + "".join(f"<p>part {n} of many</p>" for n in range(20_000)) + "</article>"
     rows = [(1, None, None), (2, "no host", ""), (3, None, "<p>x</p>"), (4, "http://b.example", long), (None, "http://b.example", "<p>y</p>")]
