@@ -13,14 +13,16 @@ own below the tags that lead to it, so a repeated text goes without its neighbou
 whatever its class is called. What matters less than its prior asks for is cut, on hosts
 with at least `MIN_PAGES` different pages with that node:
 
-* Outside `article` and `main`, nodes and texts below `THRESHOLD`.
+* Outside `article` and `main`, nodes and texts below `THRESHOLD`. Tags, and words in
+  classes, ids and roles, whose meaning is a menu, header, footer, sidebar, notice,
+  advert, form or comment section have no importance there from the start.
 * Inside, texts below `SURE`, so only what stands on nearly every page; a heading, term
-  or cell stays as long as what follows it beside it does. A page whose article would be
+  or cell stays as long as what follows it beside it does. Tags of no content have no
+  importance, nor have whole class names of adverts and reader comments, which are other
+  people's texts and need not repeat. Other whole names of `NAMED_NOISE` only ask for
+  more: such nodes and their texts are cut below `NAMED`. A page whose article would be
   left without any text keeps it.
 
-Tags, classes, ids and roles whose meaning is a menu, header, footer, sidebar, notice,
-advert, form or comment section have no importance from the start.
-
 The tree is never built in one place: tasks count (host, path, feature), the counts are
 shuffled, and only the nodes to be cut come back, per host. A host with a third of all
 pages costs as many rows as it has paths and distinct texts; texts are filtered by their
@@ -51,8 +53,8 @@ ship_by_value(__name__)
 
 #: Share of the content in a node's importance.
 CONTENT = 0.9
-#: Nodes that matter less are cut: in general, and inside article and main.
-THRESHOLD, SURE = 0.2, 0.05
+#: Nodes that matter less are cut: in general, inside article and main, and there below names that mean something else.
+THRESHOLD, SURE, NAMED = 0.2, 0.05, 0.4
 #: A node must stand on so many different pages of its host to be cut for its contents.
 MIN_PAGES = 8
 
@@ -81,6 +83,8 @@ NAMED_NOISE = frozenset(
     "comment comments disqus replies respond related recommended breadcrumb breadcrumbs pagination pager toolbar widget "
     "widgets skip copyright".split()
 )
+# Whole class names of other people's texts, also inside an article.
+NAMED_FOREIGN = frozenset("ad ads advert adverts advertisement advertisements advertising comments disqus replies".split())
 LABELS = frozenset("h1 h2 h3 h4 h5 h6 dt th td caption summary".split())
 
 _TAG = re.compile(
@@ -91,7 +95,9 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-PLAIN, INSIDE = 0, 1
+PLAIN, INSIDE, DOUBTED = 0, 1, 2
+#: Noise by one word of a name, which a main below it outweighs, and by a tag or whole name.
+WORDED, SURELY = 1, 2
 
 
 class Block:
@@ -107,25 +113,27 @@ class Open:
 
     __slots__ = ("above", "children", "noise", "path", "place", "prior", "tag")
 
-    def __init__(self, tag: str, above: str, path: str, place: str, noise: bool, prior: int):
+    def __init__(self, tag: str, above: str, path: str, place: str, noise: int, prior: int):
         self.tag, self.above, self.path, self.place, self.noise, self.prior = tag, above, path, place, noise, prior
         self.children: list[str] = []
 
 
-def _named(attributes: str) -> tuple[str, set[str]]:
-    """Class and id as they stand in a path, and the words in them and in the role."""
+def _named(attributes: str) -> tuple[str, set[str], set[str], set[str]]:
+    """Class and id as they stand in a path, the words in them and in the role, the whole class names, and all whole names."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     names = f".{found['class']}" if found.get("class") else ""
     names += f"#{found['id']}" if found.get("id") else ""
     words: set[str] = set()
+    whole: set[str] = set()
     for value in found.values():
         words.update(w.lower() for w in _WORDS.findall(value))
-    return names, words
+        whole.update(value.lower().split())
+    return names, words, set(found.get("class", "").lower().split()), whole
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """Text blocks in page order, and (path, tags of the children) for every element."""
-    root = Open("", "", "", "", False, PLAIN)
+    root = Open("", "", "", "", 0, PLAIN)
     stack, blocks, styles, parts = [root], [], [], []
 
     def flush() -> None:
@@ -174,14 +182,22 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     close(k)
                 elif stack[k].tag in SCOPES:
                     break
-        names, words = _named(found[3])
+        names, words, classes, whole = _named(found[3])
         parent = stack[-1]
         parent.children.append(tag)
         prior = parent.prior
+        noise = SURELY if tag in NO_CONTENT else parent.noise
         if tag in ("article", "main"):
             prior = prior or INSIDE
-        noise = parent.noise or tag in NO_CONTENT or (tag == "header" and parent.prior == PLAIN)
-        noise = noise or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(NAMED_NOISE))
+            noise = 0 if tag == "main" and noise == WORDED else noise
+        elif prior == PLAIN and tag not in ("html", "body"):
+            if tag == "header" or not whole.isdisjoint(NAMED_NOISE):
+                noise = SURELY
+            elif not words.isdisjoint(NAMED_NOISE):
+                noise = noise or WORDED
+        elif prior != PLAIN:
+            noise = noise if classes.isdisjoint(NAMED_FOREIGN) else SURELY
+            prior = prior if whole.isdisjoint(NAMED_NOISE) else DOUBTED
         own = Open(tag, parent.path, f"{parent.path}/{tag}{names}", f"{parent.place}/{tag}", noise, prior)
         if tag in RAW:
             close_at = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(html, at)
@@ -254,7 +270,7 @@ def host_of(url: str | Column = "url") -> Column:
 
 
 def _least(prior: str) -> Column:
-    return F.when(F.col(prior) == INSIDE, SURE).otherwise(THRESHOLD)
+    return F.when(F.col(prior) == INSIDE, SURE).when(F.col(prior) == DOUBTED, NAMED).otherwise(THRESHOLD)
 
 
 def importance(pages: DataFrame) -> DataFrame:
@@ -292,7 +308,7 @@ def importance(pages: DataFrame) -> DataFrame:
     # Of the texts only those that can be cut on the fewest pages and with the weakest prior meet their places.
     places = counted.where((F.col("kind") == AT) & (F.col("n") >= MIN_PAGES))
     places = places.select("host", "path", F.col("n").alias("pages"), F.col("feature").alias("prior"))
-    often = (F.col("kind") == SAID) & (F.col("n") >= MIN_PAGES ** (1 - max(THRESHOLD, SURE)))
+    often = (F.col("kind") == SAID) & (F.col("n") >= MIN_PAGES ** (1 - max(THRESHOLD, SURE, NAMED)))
     texts = counted.where(often).join(places, ["host", "path"])
     key = F.col("path").bitwiseXOR(F.col("feature")).alias("key")
     return nodes.unionByName(texts.select("host", key, "pages", "prior", (1 - log / span).alias("importance")))

@@ -94,6 +94,22 @@ def test_article_that_is_the_same_on_every_page_stays(spark):
     assert all(text == f"The same text\nOutside {n}" for n, (text, _) in extract(spark, rows).items())
 
 
+def test_names_inside_article_only_lower_the_prior(spark):
+    def page(n):
+        return (
+            f"<div class='with-sidebar'><main><div class='post-header'><h1>Head {n}</h1></div><h2 id='search-for-life'>Search {n}</h2>"
+            f"<section id='related-work'><p>Related work {n}</p></section><p class='notice'>Take care of {n}</p>"
+            f"<h2 id='social-impact'>Impact {n}</h2><p>Text {n}</p>"
+            f"<div class='share'><p>Share this {'page' if n % 2 else 'story'}</p></div><div class='notice'><p>Under {n} notice</p></div></main></div>"
+        )
+
+    own = "Head {0}\nSearch {0}\nRelated work {0}\nTake care of {0}\nImpact {0}\nText {0}\n{1}Under {0} notice"
+    rows = [(n, "http://a.example/p", page(n)) for n in range(12)] + [(100, "http://few.example/p", page(0))]
+    got = extract(spark, rows)
+    assert all(got[n][0] == own.format(n, "") for n in range(12))
+    assert got[100][0] == own.format(0, "Share this story\n")
+
+
 def test_awkward_rows(spark):
     long = "<article>" + "".join(f"<p>part {n} of many</p>" for n in range(20_000)) + "</article>"
     rows = [(1, None, None), (2, "no host", ""), (3, None, "<p>x</p>"), (4, "http://b.example", long), (None, "http://b.example", "<p>y</p>")]
