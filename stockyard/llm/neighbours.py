@@ -10,9 +10,10 @@ Vectors that differ in length get one more coordinate, which brings all to the l
 of the longest one, before they are hashed: the largest inner product then is the
 nearest direction.
 
-Buckets are cut into parts of about `PART` vectors by a hash of the id, and a query
-goes to all parts of a bucket, so a bucket with a third of all vectors is many tasks'
-work. Only the best `k` of a part are handed on. Queries that end with fewer than `k`
+Equal rows are made one before they are hashed. Buckets are cut into parts of about
+`PART` vectors by a hash of id and vector, and a query goes to all parts of a bucket, so
+a bucket or an id with a third of all vectors is many tasks' work. Only the best row of
+an id and the best `k` ids of a part are handed on. Queries that end with fewer than `k`
 are sent to every bucket of one table, which is exact.
 
 Defined results: vectors that are null, zero, hold a null or a component that is not
@@ -158,6 +159,19 @@ def _probe(space: tuple, probes: int):
     return run
 
 
+def _rows_of(found: pa.RecordBatch, queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[int]:
+    """The row of each pair found: of an id with several vectors the one with the best score."""
+    order = np.argsort(ids, kind="stable")
+    wanted = found.column("vec_id").to_numpy()
+    low, high = (np.searchsorted(ids[order], wanted, side) for side in ("left", "right"))
+    which = np.searchsorted(queries, found.column("query_id").to_numpy())
+    rows = []
+    for n, (lo, hi) in enumerate(zip(low, high, strict=True)):
+        own = order[lo:hi]
+        rows.append(int(own[0] if hi - lo == 1 else own[inner_products(q[which[n] : which[n] + 1], x[own])[0].argmax()]))
+    return rows
+
+
 def _compare_with(ids: np.ndarray, q: np.ndarray, k: int):
     """The k best of a task's rows for each of a few queries, with their codes."""
 
@@ -165,8 +179,7 @@ def _compare_with(ids: np.ndarray, q: np.ndarray, k: int):
         for batch in batches:
             own, x = batch.column("id").to_numpy(), _from_raw(batch.column("vector"), q.shape[1])
             for found in _best(ids, q, own, x, k):
-                first = {int(i): n for n, i in reversed(list(enumerate(own.tolist())))}
-                rows = pa.array([first[i] for i in found.column("vec_id").to_pylist()], pa.int64())
+                rows = pa.array(_rows_of(found, ids, q, own, x), pa.int64())
                 yield found.append_column("codes", batch.column("codes").take(rows))
 
     return run
@@ -196,6 +209,11 @@ def fitted_probes(hashed: DataFrame, space: Space, k: int) -> int:
 
 def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     scores = inner_products(q, x)
+    distinct = np.unique(ids)
+    if len(distinct) < len(ids):
+        # An id takes one place, with its best row.
+        order = np.argsort(ids, kind="stable")
+        scores, ids = np.maximum.reduceat(scores[:, order], np.searchsorted(ids[order], distinct), axis=1), distinct
     scores[queries[:, None] == ids[None, :]] = -np.inf
     if len(ids) > k:
         # All that reach the k-th best, then by score and id.
@@ -248,7 +266,7 @@ def _search(hashed: DataFrame, asked: DataFrame, parts: DataFrame, dimension: in
     """`asked`: id, vector, bucket for every probe. The best of every part for every query."""
     points = hashed.select("id", "vector", F.explode("codes").alias("bucket"))
     points = points.join(F.broadcast(parts), "bucket").select(
-        "bucket", F.pmod(F.xxhash64("id"), "parts").alias("split"), F.lit(False).alias("query"), "id", "vector"
+        "bucket", F.pmod(F.xxhash64("id", "vector"), "parts").alias("split"), F.lit(False).alias("query"), "id", "vector"
     )
     probes = asked.join(F.broadcast(parts), "bucket").select(
         "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("split"), F.lit(True).alias("query"), "id", "vector"
@@ -278,6 +296,7 @@ def nearest(
     space = Space(usual["d"], usual["most"], usual["least"] > usual["most"] * (1 - 1e-5), tables)
     plain = tuple(vars(space).values())
     sound = sound.where(F.size("vector") == space.dimension)
+    sound = sound.groupBy("id", "vector").agg(F.max("query").alias("query"))
     hashed = store(sound.mapInArrow(_hash(plain), _HASHED), "ann-hashed")
     buckets = hashed.select(F.explode("codes").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     parts = store(buckets.select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "ann-parts")  # a row a table and axis at most

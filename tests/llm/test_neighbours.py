@@ -86,3 +86,34 @@ def test_awkward_rows(spark):
     assert got == wanted  # fewer than 20 candidates: all of them
     empty = neighbours.nearest(table(spark, rows).where("false"), F.col("vec_id") % 20 == 0)
     assert empty.collect() == [] and empty.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_a_repeated_id_takes_one_place(spark, monkeypatch, equal):
+    monkeypatch.setattr(neighbours, "PART", 100)
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=8)
+    rows = [(i, near + rng.normal(size=8) * 0.3 if i % 10 == 0 else rng.normal(size=8)) for i in range(500)]
+    # The id 10 stands at the queries 30 times, with one vector or with as many.
+    rows += [(10, rows[10][1] if equal else near * (1.5 + n / 100)) for n in range(30)]
+    rows = [(i, np.asarray(v, np.float32).astype(float)) for i, v in rows]
+    wanted = {}
+    for q in range(0, 500, 20):
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -math.inf), float(neighbours.inner_products(rows[q][1][None], v[None])[0, 0]))
+        wanted[q] = sorted(best.items(), key=lambda h: (-h[1], h[0]))[:20]
+    got = found(neighbours.nearest(table(spark, rows), F.col("vec_id") % 20 == 0))
+    assert got.keys() == wanted.keys()
+    for hits in got.values():
+        assert len({i for i, _ in hits}) == len(hits) == 20
+    assert recall(got, wanted) >= 0.9
+    scores = np.array([[s for _, s in hits] for hits in got.values()])
+    assert (scores <= np.array([[s for _, s in wanted[q]] for q in got]) + 1e-12).all()
+
+
+def test_best_of_a_part_counts_ids():
+    ids, x = np.array([1] * 30 + list(range(2, 40))), np.array([[9.0 + n] for n in range(30)] + [[8.0 - n / 10] for n in range(38)])
+    (got,) = neighbours._best(np.array([0]), np.array([[1.0]]), ids, x, 20)
+    assert got.column("vec_id").to_pylist() == list(range(1, 21)) and got.column("score")[0].as_py() == 38.0
