@@ -13,6 +13,14 @@ these stay days after the 12th, so that the notation can still be told.
 Kinds: email (letters and digits before the @), phone, ip (v4), card (Luhn), ssn, iban
 (mod 97), date (any day of 1900 to 2099), secret (32 to 128 hexadecimal digits).
 
+A run of groups may be longer than the value it begins with: a card number with a code
+or an expiry date after it, an IBAN with a BIC. Of a run that starts like a card, the
+longest part up to a group's end that passes the check is the value; of an IBAN, the part
+of its country's length (`IBAN_LENGTHS`; the whole run for other countries or if that
+fails). The search goes on behind it. Card pseudonyms also keep the check sum of the
+number as if one digit followed, so a longer part passes the check just if it did before,
+and the way back finds the same values.
+
 Nothing is looked up or collected: every row is worked on alone, and a task remembers
 at most `REMEMBERED` pseudonyms. The key is a parameter; keep it out of code.
 
@@ -41,6 +49,17 @@ REMEMBERED = 100_000
 KINDS = ("email", "iban", "secret", "ip", "date", "ssn", "phone", "card")
 RESULT = "struct<text string, n_private bigint, kinds array<string>>"
 
+# Lengths of the countries' IBANs.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 _HAS_ANY = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}")
@@ -135,9 +154,14 @@ def _iban(text: str, c: Cipher) -> str | None:
     plain = text.replace(" ", "")
     if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
         return None
-    body = c.characters(plain[4:], f"iban{plain[:2]}")
-    check = 98 - _mod97(plain[:2] + "00" + body)
-    rest = iter(plain[:2] + f"{check:02d}" + body)
+    length, new = IBAN_LENGTHS.get(plain[:2], len(plain)), plain
+    while True:
+        body = c.characters(new[4:], f"iban{plain[:2]}")
+        new = plain[:2] + f"{98 - _mod97(plain[:2] + '00' + body):02d}" + body
+        # A run of another length must not begin with a value of the right one.
+        if length >= len(plain) or _mod97(new[:length]) != 1:
+            break
+    rest = iter(new)
     return "".join(" " if x == " " else next(rest) for x in text)
 
 
@@ -206,8 +230,26 @@ def _card(text: str, c: Cipher) -> str | None:
     plain = re.sub(r"[^0-9]", "", text)
     if luhn(plain):
         return None
-    body = c.digits(plain[:-1], "card")
-    return _refill(text, body + str(-luhn(body + "0") % 10))
+    new, followed = plain, luhn(plain + "0")
+    while True:
+        body = c.digits(new[:-1], "card")
+        new = body + str(-luhn(body + "0") % 10)
+        if luhn(new + "0") == followed:
+            return _refill(text, new)
+
+
+def _parts(kind: str, run: str) -> Iterator[str]:
+    """What may be the value at the beginning of a run, in order of preference."""
+    if kind == "iban":
+        length = IBAN_LENGTHS.get(run[:2], 0)
+        for end in (m.start() for m in re.finditer(" ", run)):
+            if end - run.count(" ", 0, end) == length:
+                yield run[:end]
+    yield run
+    if kind == "card":
+        for end in reversed([m.start() for m in re.finditer(r"[ \-]", run)]):
+            if sum(map(str.isdigit, run[:end])) >= 13:
+                yield run[:end]
 
 
 _HANDLERS = dict(zip(KINDS, (_email, _iban, _secret, _ip, _date, _ssn, _phone, _card), strict=True))
@@ -223,19 +265,31 @@ class Pseudonyms:
         if not _HAS_ANY.search(text):
             return text, kinds
 
-        def one(found: re.Match) -> str:
-            kind, value = found.lastgroup, found[0]
-            new = self.known.get((kind, value), 0)
-            if new == 0:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                new = self.known[kind, value] = _HANDLERS[kind](value, self.cipher)
-            if new is None:
-                return value
-            kinds.append(kind)
-            return new
-
-        return _FIND.sub(one, text), kinds
+        out, at = [], 0
+        while found := _FIND.search(text, at):
+            kind, run = found.lastgroup, found[0]
+            out.append(text[at : found.start()])
+            at = found.end()
+            for value in _parts(kind, run):
+                new = self._pseudonym(kind, value)
+                if new is not None:
+                    kinds.append(kind)
+                    out.append(new)
+                    at = found.start() + len(value)
+                    break
+            else:
+                out.append(run)
+        out.append(text[at:])
+        return "".join(out), kinds
+
+    def _pseudonym(self, kind: str, value: str) -> str | None:
+        """None for what fails its check."""
+        new = self.known.get((kind, value), 0)
+        if new == 0:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            new = self.known[kind, value] = _HANDLERS[kind](value, self.cipher)
+        return new
 
 
 def pseudonymise(key: bytes, text: str | Column = "text", back: bool = False) -> Column:

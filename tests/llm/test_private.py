@@ -68,6 +68,33 @@ def test_others_stay():
         assert HIDE.replace(text) == (text, []), text
 
 
+def test_values_followed_by_digits_or_capitals():
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005", "4222222222222"]
+    ibans = ["BE71 0961 2345 6769", "AT61 1904 3002 3457 3201", "ES9121000418450200051332", "PL61 1090 1014 0000 0712 1981 2874"]
+    cases = [("card", v, after) for v in cards for after in (" 123", " 12/27", "-7", " 1 2 3", " 4", " 999 888 777")]
+    cases += [("iban", v, after) for v in ibans for after in (" 2024", " GEBABEBB", " BIC", " A", " 123")]
+    whole = 0
+    for kind, value, after in cases:
+        out, kinds = HIDE.replace(f"pay {value}{after}!")
+        assert kinds[:1] == [kind] and value not in out, (value, after, out)
+        assert BACK.replace(out)[0] == f"pay {value}{after}!"
+        digits, own = re.sub(r"\D", "", value + after), len(re.sub(r"\D", "", value))
+        if kind == "iban" or all(luhn(digits[:k]) for k in range(own + 1, 20)):  # nothing longer passes by chance
+            whole += 1
+            assert out.startswith("pay " + HIDE.replace(value)[0])  # as in all other documents
+    assert whole > 30
+    out, kinds = HIDE.replace("4111 1111 1111 1111 12 5500 0000 0000 0004")
+    assert kinds == ["card", "card"] and "5500" not in out[20:]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("0123456789", min_size=12, max_size=15), st.text("0123456789 -", max_size=12))
+def test_card_and_what_follows_have_a_way_back(body, after):
+    text = body + str(-luhn(body + "0") % 10) + " " + after
+    out, kinds = HIDE.replace(text)
+    assert BACK.replace(out) == (text, kinds)
+
+
 def test_all_of_a_day_written_first_stays_told():
     for day in range(13, 32):
         out = HIDE.replace(f"{day}/01/1980")[0]
