@@ -10,9 +10,13 @@ does not change while it scores.
 
 1. Every task counts the windows of `ORDER` + 1 bytes and the words of its training
    texts; the sums are shuffled by window and by word.
-2. Counts of shorter contexts are sums of these. The `max_nodes` most frequent nodes
-   (a threshold on the count; the total of a context still counts all) go to
-   every task as one table. That is the size of the model, bounded by a parameter.
+2. Counts of shorter contexts are sums of these. If there are at most `max_nodes` nodes
+   they go to every task as one table. Otherwise probabilities and escapes of all nodes
+   are a stored table: nodes that share all but their first and last byte are dealt to
+   one task, which has all counts they need. The `max_nodes` most frequent windows go to
+   every task, other windows of the texts are shuffled and meet the stored table, first
+   the windows seen in training, then the shorter contexts of the rest. Both ways give
+   the same sums.
 3. Words: the `max_words` most frequent ones go to every task; occurrences of others
    are shuffled by word and meet their counts there. Both ways give the same sums.
 
@@ -48,9 +52,15 @@ MAX_WORDS = 1 << 18
 HELD = 1_000_000
 #: Windows whose code length a task remembers, by their hash.
 MEMORY_BITS = 20
+#: Windows looked up, and rows to be joined handed on, at a time.
+LOOKED_UP = 1 << 17
 
+#: Tells the key of a context from that of a node.
+CONTEXT = 1 << 60
+
+_EXACT = "key long, n long, value float"
 _COUNTS = "kind byte, key long, n long"
-_SCORES = "row long, doc_id long, score double, base double, n_tokens long, n_known long, word long, n long"
+_SCORES = "row long, doc_id long, score double, base double, n_tokens long, n_known long, word long, code long, n long"
 
 
 def mask(order: int) -> int:
@@ -152,6 +162,10 @@ class Model:
     train_tokens: int
     kinds: int
     texts: int
+    # With more nodes than fit: the most frequent windows, and the stored table of all nodes and contexts.
+    top: tuple | None = None
+    top_log_p: np.ndarray | None = None
+    exact: DataFrame | None = None
 
 
 def _contexts_of(keys: np.ndarray) -> np.ndarray:
@@ -179,6 +193,44 @@ def smooth(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: n
     return np.log(p).astype(np.float32), np.log(escape / left).astype(np.float32)
 
 
+def _smooth_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (mid, key, n) ordered by mid: log-probabilities of the nodes and log escape factors of their contexts."""
+
+    def smoothed(mid: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        orders = keys >> np.uint64(TAG)
+        contexts, of = np.unique(_contexts_of(keys), return_inverse=True)
+        p = (n - 0.5) / np.bincount(of, n)[of]
+        # Counts of the nodes one byte shorter, and of their context, are sums within the group.
+        _, lower = np.unique(np.stack([mid, keys & np.uint64(0xFF)]), axis=1, return_inverse=True)
+        _, group = np.unique(mid, return_inverse=True)
+        lower = lower.reshape(-1)
+        below = np.where(orders == 0, UNIFORM, (np.bincount(lower, n)[lower] - 0.5) / np.bincount(group, n)[group])
+        escape = np.maximum(1 - np.bincount(of, p), 1e-12) / np.maximum(1 - np.bincount(of, below), 1e-9)
+        for key, count, value in ((keys, n, np.log(p)), (contexts | np.uint64(CONTEXT), np.zeros(len(contexts)), np.log(escape))):
+            yield pa.record_batch({"key": key.view(np.int64), "n": count.astype(np.int64), "value": value.astype(np.float32)})
+
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    for batch in batches:
+        new = [batch.column("mid").to_numpy().view(np.uint64), batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()]
+        held = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
+        whole = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if whole:
+            yield from smoothed(*(column[:whole] for column in held))
+            held = [column[whole:] for column in held]
+    if len(held[0]):
+        yield from smoothed(*held)
+
+
+def smoothed_nodes(nodes: DataFrame) -> DataFrame:
+    """key, n, value of all nodes (log-probability) and contexts (log escape factor, `CONTEXT` in the key)."""
+    mid = F.lit(0).cast("long")
+    for k in range(1, ORDER + 1):
+        own = F.shiftright(F.col("key").bitwiseAND(F.lit(mask(k - 1))), 8).bitwiseOR(F.lit(k << TAG))
+        mid = F.when(F.shiftright("key", TAG) == k, own).otherwise(mid)
+    dealt = nodes.select(mid.alias("mid"), "key", "n").repartition("mid").sortWithinPartitions("mid")
+    return store(dealt.mapInArrow(_smooth_groups, _EXACT), "lm-exact")
+
+
 def fit(training: DataFrame, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts (key, n)."""
     # A task's keys are distinct already: they are dealt out first and summed there.
@@ -218,6 +270,12 @@ def fit(training: DataFrame, max_nodes: int = MAX_NODES, max_words: int = MAX_WO
         sums[1] + (texts > 0),
         texts,
     )
+    if nodes.where(F.col("n") < least).limit(1).count():
+        model.exact = smoothed_nodes(nodes)
+        longest = model.exact.where(F.shiftright("key", TAG) == ORDER)
+        top = longest.where(F.col("n") >= least_count(longest, max_nodes)).toArrow()  # at most max_nodes rows
+        model.top = HashTable(top["key"].to_numpy().view(np.uint64)).parts()
+        model.top_log_p = top["value"].to_numpy()
     return model, words
 
 
@@ -263,21 +321,58 @@ class Scorer:
         return out
 
 
+class TopScorer:
+    """Log-probabilities of the most frequent windows; nothing is said of others."""
+
+    def __init__(self, model: Model):
+        self.windows, self.log_p = HashTable.of(*model.top), model.top_log_p
+
+    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
+        out = np.full(len(codes), np.nan)
+        for lo in range(0, len(codes), LOOKED_UP):
+            at = self.windows.find(codes[lo : lo + LOOKED_UP] | np.uint64(ORDER << TAG))
+            out[lo : lo + LOOKED_UP][at >= 0] = self.log_p[at[at >= 0]]
+        return out
+
+
+def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs and how often they stand."""
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
+    return rows[heads], keys[heads], np.diff(np.append(heads, len(keys)))
+
+
 def _score(shared):
+    names = ["row", "doc_id", "score", "base", "n_tokens", "n_known", "word", "code", "n"]
+
+    def to_join(ids: pa.Array, rows: np.ndarray, keys: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+        rows, keys, n = _distinct(rows, keys)
+        for lo in range(0, len(rows), LOOKED_UP):
+            part = slice(lo, lo + LOOKED_UP)
+            own = {"row": ids.take(pa.array(rows[part])), name: pa.array(keys[part].view(np.int64)), "n": pa.array(n[part])}
+            nulls, none = pa.nulls(len(own["n"]), pa.int64()), pa.nulls(len(own["n"]), pa.float64())
+            own |= {"score": none, "base": none}
+            yield pa.RecordBatch.from_arrays([own.get(x, nulls) for x in names], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        scorer, hasher, frequent = Scorer(model), SpanHasher(7), HashTable.of(*model.words)
+        scorer = Scorer(model) if model.top is None else TopScorer(model)
+        hasher, frequent = SpanHasher(7), HashTable.of(*model.words)
         scale = np.log10(model.train_tokens + 0.1 * (model.kinds + 1))
         end = np.log10(model.texts + 0.1) - scale
         gain = np.log10(model.word_counts + 0.1) - scale
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids, doc_ids = batch.column("row").to_numpy(), batch.column("doc_id")
+            ids, doc_ids = batch.column("row"), batch.column("doc_id")
             for lo, hi in runs(offsets):
                 n = hi - lo
                 part, own = lower_ascii(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
                 codes, rows = windows(part, own)
-                score = np.bincount(rows, scorer.log_probabilities(codes), n) / np.log(10)
+                logs = scorer.log_probabilities(codes)
+                score = np.bincount(rows, np.nan_to_num(logs), n) / np.log(10)
+                if (rare := np.isnan(logs)).any():
+                    yield from to_join(ids.slice(lo, n), rows[rare], codes[rare], "code")
                 starts, ends, rows = word_spans(part, own)
                 words = hasher.over(part).spans(starts, ends)
                 tokens = np.bincount(rows, minlength=n)
@@ -287,38 +382,49 @@ def _score(shared):
                 known = np.bincount(rows[hit], minlength=n) + (model.texts > 0)
                 nulls = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi]), doc_ids.slice(lo, n), pa.array(score), pa.array(base), pa.array(tokens + 1), pa.array(known), nulls, nulls],
-                    ["row", "doc_id", "score", "base", "n_tokens", "n_known", "word", "n"],
+                    [ids.slice(lo, n), doc_ids.slice(lo, n), pa.array(score), pa.array(base), pa.array(tokens + 1), pa.array(known), nulls, nulls, nulls],
+                    names,
                 )
                 if not hit.all():
-                    rows, words = rows[~hit], words[~hit]
-                    order = np.lexsort((words, rows))
-                    rows, words = rows[order], words[order]
-                    heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (words[1:] != words[:-1])]))
-                    m = len(heads)
-                    none = pa.nulls(m, pa.float64())
-                    nulls = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[lo:hi][rows[heads]]),
-                            nulls,
-                            none,
-                            none,
-                            nulls,
-                            nulls,
-                            pa.array(words[heads].view(np.int64)),
-                            pa.array(np.diff(np.append(heads, len(words)))),
-                        ],
-                        ["row", "doc_id", "score", "base", "n_tokens", "n_known", "word", "n"],
-                    )
+                    yield from to_join(ids.slice(lo, n), rows[~hit], words[~hit], "word")
 
     return run
 
 
+def _sent(model: Model) -> tuple:
+    """What tasks need of a model."""
+    if model.top is None:
+        return tuple(vars(model).values())
+    none = np.zeros(0, np.float32)
+    return tuple((vars(model) | {"nodes": (), "log_p": none, "contexts": (), "log_escape": none, "exact": None}).values())
+
+
+def _joined(codes: DataFrame, exact: DataFrame) -> DataFrame:
+    """code, value: the log-probability of every distinct window by the stored table."""
+    seen = exact.where(F.shiftright("key", TAG) == ORDER)
+    seen = seen.select(F.col("key").bitwiseAND(F.lit((1 << TAG) - 1)).alias("code"), F.col("value").cast("double").alias("value"))
+    found = store(codes.select("code").distinct().join(seen, "code", "left"), "lm-codes")
+    keys = []
+    for k in range(ORDER + 1):
+        own = F.col("code").bitwiseAND(F.lit(mask(k)))
+        keys.append(F.struct(F.lit(k).alias("order"), F.lit(False).alias("node"), F.shiftright(own, 8).bitwiseOR(F.lit(k << TAG | CONTEXT)).alias("key")))
+        if k < ORDER:
+            keys.append(F.struct(F.lit(k).alias("order"), F.lit(True).alias("node"), own.bitwiseOR(F.lit(k << TAG)).alias("key")))
+    asked = found.where("value is null").select("code", F.explode(F.array(*keys)).alias("k")).select("code", "k.*")
+    parts = asked.join(exact.select("key", F.col("value").cast("double").alias("value")), "key").groupBy("code").agg(
+        F.max(F.when(F.col("node"), F.struct("order", "value"))).alias("best"),
+        F.collect_list(F.when(~F.col("node"), F.struct("order", "value"))).alias("escapes"),  # one an order
+    )
+    longest = F.coalesce("best.order", F.lit(-1))
+    passed = F.filter("escapes", lambda e: e["order"] > longest)
+    value = F.aggregate(passed, F.coalesce("best.value", F.lit(float(np.log(UNIFORM)))), lambda total, e: total + e["value"])
+    return found.where("value is not null").unionByName(parts.select("code", value.alias("value")))
+
+
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score and score."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
+    shared = docs.sparkSession.sparkContext.broadcast(_sent(model))
     scored = store(numbered.mapInArrow(_score(shared), _SCORES), "lm-scores")
     scale = float(np.log10(model.train_tokens + 0.1 * (model.kinds + 1)))
     rare = scored.where("word is not null").select("row", "word", "n")
@@ -327,12 +433,18 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(scale))).alias("rare_base"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
     )
-    whole = scored.where("word is null").join(rare, "row", "left")
+    whole = scored.where("word is null and code is null").join(rare, "row", "left")
+    total = F.col("score")
+    if model.exact is not None:
+        pairs = scored.where("code is not null").select("row", "code", "n")
+        more = pairs.join(_joined(pairs, model.exact), "code").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("rare_score"))
+        whole = whole.join(more, "row", "left")
+        total = total + F.coalesce("rare_score", F.lit(0.0)) / F.lit(float(np.log(10)))
     return whole.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(model.train_tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        total.alias("score"),
     )

@@ -84,6 +84,16 @@ def test_rare_words_are_joined(spark):
     check(ppm.score(docs, model, counts).collect(), brute([t for i, t in rows if i % 10], rows))
 
 
+@pytest.mark.parametrize("most", [0, 50, 3000])
+def test_rare_nodes_are_joined(spark, most):
+    rows = [*some(spark), (1001, "qzqz unseen ~~ Ω xjxj"), (1002, ""), (1003, None)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    train = docs.where("doc_id % 10 <> 0 and doc_id < 1000")
+    model, counts = ppm.fit(train, max_nodes=most)
+    assert len(model.top_log_p) <= most
+    check(ppm.score(docs, model, counts).collect(), brute([t for i, t in rows if i % 10 and i < 1000], rows))
+
+
 def test_distribution_sums_to_one_even_when_pruned(spark):
     rows = some(spark, 15)
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
