@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm import exact, language, mixing, near, neighbours, pages, pieces, ppm, private, toxicity
+from stockyard.llm import exact, language, mixing, near, neighbours, pages, periodic, pieces, ppm, private, spelling, tokenfiles, toxicity
 from stockyard.llm.registry import QUERIES, SQL, fold, query, table
-from stockyard.session import store
+from stockyard.session import run_folder, store
 
 __all__ = ["QUERIES", "SQL"]
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_MODEL = "word_bpe_49k.json"
 
 
 def piece_model() -> str:
@@ -20,6 +21,12 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def word_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_MODEL)
+
+
 def trains(folds: int):
     """Rows to learn from: all but fold 0; rows without an id are never held out."""
     return (fold(folds=folds) != 0) | fold(folds=folds).isNull()
@@ -127,3 +134,32 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs.where(trains(5)))
     named = docs.select("doc_id", held_out(5), language.identify(model, spark).alias("l"))
     return named.select("doc_id", "held_out", "l.lang_pred", "l.score", "l.ambiguous", "l.runner_up")
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = run_folder(spark, "token-files")
+    tokenfiles.write(table(spark, folder, "documents"), path, word_model(), end_id=2)
+    return tokenfiles.read(spark, path, with_ids=False)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.count_words(table(spark, folder, "documents"), min_length=6, min_count=5, damaged=199)
+    return spelling.variants(words, ratio=5)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, folder, "documents"), rewrite=periodic.planted)
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
