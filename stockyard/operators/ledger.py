@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators.blocks import range_blocks, running_totals
-from stockyard.operators.replay import replay, row_by_row
-from stockyard.shipping import ship_by_value
-
-ship_by_value(__name__)
+from stockyard.operators.levels import quantity_levels
 
 
 def stock_ledger(
@@ -31,11 +28,12 @@ def stock_ledger(
 
     A key without opening stock has no counter: reserves say SALE_NOT_FOUND and
     releases are ignored, or make a counter when `release_creates`.
-    With units="quantity" whole quantities move and a reserve needs all of them.
+    With units="quantity" whole quantities move and a reserve needs all of them; that
+    is no prefix sum, see `levels.quantity_levels`.
     """
     opening = totals.select(*key, "total_qty")
     if units == "quantity":
-        return _by_quantity(events.join(opening, list(key), "left"), key, release_creates, blocks)
+        return quantity_levels(events, opening, key, release_creates, blocks)
     one = events.select(*key, "ts", "id", "delta", F.signum("delta").cast("int").alias("_unit"))
     summed = running_totals(range_blocks(one, key, ["ts", "id"], blocks), key, "_unit")
     if release_creates:
@@ -62,28 +60,6 @@ def stock_ledger(
     )
 
 
-def _by_quantity(opened, key, release_creates, blocks) -> DataFrame:
-    def step(state: list, row: tuple) -> tuple:
-        total, delta = row
-        if not state:
-            state.append(total)
-        level = state[0]
-        if level is None:
-            if delta > 0 and release_creates:
-                state[0] = delta
-                return delta, True, None
-            return None, False, "SALE_NOT_FOUND" if delta < 0 else None
-        if delta < 0 and level < -delta:
-            return level, False, "OUT_OF_STOCK"
-        state[0] = level + delta
-        return state[0], True, None
-
-    rows = replay(
-        opened, key, ["ts", "id"], ["total_qty", "delta"], row_by_row(step), "level INT, success BOOLEAN, reason STRING", blocks
-    )
-    return rows.select(*key, "ts", "id", "delta", "level", "success", "reason")
-
-
 def feed_inventory_changes(ledger: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per event that changed a counter."""
     return ledger.filter("success").select(*key, "ts", "id", F.col("level").alias("available_qty"))

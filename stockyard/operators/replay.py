@@ -71,7 +71,7 @@ def row_by_row(step: Step) -> Run:
     return run
 
 
-def _key_changes(batch: pa.RecordBatch, key: Sequence[str]) -> np.ndarray:
+def key_changes(batch: pa.RecordBatch, key: Sequence[str]) -> np.ndarray:
     """Whether each row after the first has another key than the row before it."""
     changed = np.zeros(batch.num_rows - 1, dtype=bool)
     for c in key:
@@ -96,7 +96,7 @@ def _walk(batches, key, args, run: Run, begin: Callable, visit: Callable) -> Ite
         entry = batch.column("entry")
         leads = set(np.flatnonzero(entry.is_valid().to_numpy(zero_copy_only=False)).tolist())
         cuts = {0, n, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), *leads, *(i + 1 for i in leads)}
-        changed = _key_changes(batch, key)
+        changed = key_changes(batch, key)
         first_key = tuple(batch.column(c)[0].as_py() for c in key)
         bounds = sorted(cuts)
         for lo, hi in zip(bounds, bounds[1:]):

@@ -367,6 +367,52 @@ def stock_ledger_release_creates(v):
     return _ledger(v, release_creates=True)
 
 
+def quantity_sql(created: str) -> dict[str, str]:
+    return {
+        "x_qev": """SELECT sale_id, product_id, ts, id, CAST(delta * (1 + id % 4) AS INTEGER) AS delta,
+                    CASE WHEN product_id % 7 <> 0 THEN 3 + product_id % 5 END AS total_qty,
+                    row_number() OVER (PARTITION BY sale_id, product_id ORDER BY ts, id) AS rn FROM d_stock_events""",
+        "x_qled": f"""
+            SELECT DISTINCT sale_id, product_id, CAST(0 AS BIGINT) AS rn, CAST(total_qty AS INTEGER) AS level,
+                   CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS INTEGER) AS delta,
+                   true AS success, CAST(NULL AS VARCHAR) AS reason FROM x_qev
+            UNION ALL
+            SELECT e.sale_id, e.product_id, e.rn,
+                   CAST(CASE WHEN p.level IS NULL THEN {created} WHEN p.level + e.delta < 0 THEN p.level
+                        ELSE p.level + e.delta END AS INTEGER),
+                   e.id, e.ts, e.delta,
+                   CASE WHEN p.level IS NULL THEN {created} IS NOT NULL ELSE p.level + e.delta >= 0 END,
+                   CASE WHEN e.delta < 0 THEN CASE WHEN p.level IS NULL THEN 'SALE_NOT_FOUND'
+                        WHEN p.level + e.delta < 0 THEN 'OUT_OF_STOCK' END END
+            FROM x_qled p JOIN x_qev e ON e.sale_id = p.sale_id AND e.product_id = p.product_id AND e.rn = p.rn + 1""",
+    }
+
+
+_QUANTITY_LEDGER = _LEDGER.replace("x_led", "x_qled")
+
+
+def _quantity_ledger(v, **options):
+    quantity = F.col("delta") * (1 + F.col("id") % 4)
+    totals = v.stock_events.select("sale_id", "product_id").distinct().filter("product_id % 7 != 0")
+    totals = totals.withColumn("total_qty", (3 + F.col("product_id") % 5).cast("int"))
+    events = v.stock_events.withColumn("delta", quantity.cast("int"))
+    return G.stock_ledger(events, totals, A.PRODUCT, units="quantity", **options)
+
+
+@query("stock_ledger_by_quantity", _QUANTITY_LEDGER, quantity_sql("CAST(NULL AS INTEGER)"))
+def stock_ledger_by_quantity(v):
+    return _quantity_ledger(v)
+
+
+@query(
+    "stock_ledger_by_quantity_release_creates",
+    _QUANTITY_LEDGER,
+    quantity_sql("CASE WHEN e.delta > 0 THEN e.delta END"),
+)
+def stock_ledger_by_quantity_release_creates(v):
+    return _quantity_ledger(v, release_creates=True)
+
+
 @query(
     "feed_inventory_changes",
     "SELECT sale_id, product_id, ts, id, level AS available_qty FROM x_led WHERE rn > 0 AND success",

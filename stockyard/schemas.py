@@ -25,6 +25,7 @@ _TYPES = {
     "INT": T.IntegerType(),
     "STRING": T.StringType(),
     "BOOLEAN": T.BooleanType(),
+    "BINARY": T.BinaryType(),
     "TIMESTAMP_NTZ": T.TimestampNTZType(),
     "TIMESTAMP": T.TimestampType(),
     "MONEY": MONEY,

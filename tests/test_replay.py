@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from stockyard.operators import admission, ledger, limits, replay
+from stockyard.operators import admission, ledger, levels, limits, replay
 from stockyard.operators.blocks import range_blocks, row_numbers, running_totals
+from stockyard.session import store
 
 
 def limiter_twin(calls, limit, window):
@@ -189,6 +191,48 @@ def test_ledger(spark, units, creates):
     assert all(r.level is None or r.level >= 0 for r in rows)
 
 
+def stepped(level, deltas):
+    for d in deltas:
+        level = level if level + d < 0 else level + d
+        yield level
+
+
+def test_level_tables_equal_steps():
+    rng = random.Random(3)
+    for _ in range(150):
+        starts, entry, deltas, want = [], [], [], []
+        for _ in range(rng.randint(1, 5)):
+            own = [rng.choice([-9, -3, -1, -1, 2, 1, 0, 5]) for _ in range(rng.choice([1, 3, 40, 200]))]
+            starts.append(len(deltas))
+            entry.append(rng.choice([0, 3, 50, 1000]))
+            deltas += own
+            want += stepped(entry[-1], own)
+        delta = np.array(deltas)
+        assert levels.levels_after(delta, np.array(starts), np.array(entry)).tolist() == want
+        made = levels.BlockTable(-int(delta[delta < 0].sum()))
+        cut = rng.randint(1, len(delta))
+        for part in (delta[:cut], delta[cut:]):
+            if len(part):
+                made.add(part)
+        table = made.table()
+        for level in (0, 1, 2, 7, 30, len(table) - 1, len(table) + 5):
+            got = table[level] if level < len(table) else level + made.net
+            assert got == list(stepped(level, deltas))[-1]
+
+
+@pytest.mark.parametrize("blocks", [2, 16])
+def test_quantity_ledger_of_one_hot_key(spark, monkeypatch, blocks):
+    rng = random.Random(blocks)
+    events = [(7 if rng.random() < 0.95 else None, 0, i, rng.choice([-400, -3, -7, -1, 2, 5, 1])) for i in range(3000)]
+    df = spark.createDataFrame(events, "k BIGINT, ts BIGINT, id BIGINT, delta INT")
+    stock = spark.createDataFrame([(7, 500)], "k BIGINT, total_qty INT")
+    stored = []
+    monkeypatch.setattr(levels, "store", lambda d, name: stored.append(name) or store(d, name))
+    rows = ledger.stock_ledger(df, stock, ["k"], "quantity", blocks=blocks).collect()
+    assert {r.id: (r.level, r.success, r.reason) for r in rows} == ledger_twin(events, {7: 500}, False, "quantity")
+    assert stored == ["level-tables"]  # one pass for the tables, however many blocks
+
+
 @pytest.mark.parametrize("ts", ["0", "id % 1000"])
 def test_hot_key_is_cut_into_even_blocks(spark, ts):
     df = spark.range(60_000).selectExpr("IF(id % 10 < 9, 1, id) AS k", f"{ts} AS ts", "id")
