@@ -6,7 +6,10 @@ in Python. A null text is an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,39 @@ ship_by_value(__name__)
 #: Texts are worked on in runs of whole rows of about so many bytes.
 RUN_BYTES = 1 << 20
 
+def worker_memory(owner: str | None) -> dict:
+    """What an operator keeps in a Python worker for the next tasks; what another one kept there is dropped.
+
+    The code of the tasks comes with each of them, so the memory hangs on a module that stays.
+    """
+    kept = sys.modules["pyarrow"].__dict__.setdefault("_kept_in_worker", {})
+    for other in [k for k in kept if k != owner]:
+        del kept[other]
+    return kept.setdefault(owner, {}) if owner else {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the next stage's tasks run beside this worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, owner: str | None = None) -> Callable:
+    """A task function that begins without other operators' memories and gives its own arrays back at the end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        worker_memory(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)

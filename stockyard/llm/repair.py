@@ -2,7 +2,7 @@
 
 Frequent pairs of neighbouring symbols are replaced by new symbols, again and again,
 until no pair has `LEAST` places left. A round counts all pairs, takes those with at
-least an eighth of the highest count, and where chosen pairs overlap the more frequent
+least a sixteenth of the highest count, and where chosen pairs overlap the more frequent
 one goes first; so a round stands for many single replacements.
 
 A shard keeps the rules, the length that each rule expands to, and the remaining
@@ -29,14 +29,9 @@ _HEAD = "<4sBqqqqq"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _chosen(keys: np.ndarray, pairs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the chosen pairs (sorted), in order, and their pairs' ranks."""
-    near = np.zeros(1 << 16, bool)
-    near[(pairs.view(np.uint64) * _SPREAD) >> np.uint64(48)] = True
-    maybe = np.flatnonzero(near[(keys.view(np.uint64) * _SPREAD) >> np.uint64(48)])
-    at = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
-    hit = pairs[at] == keys[maybe]
-    return maybe[hit], rank[at[hit]]
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A place of each pair in a table of 2^18."""
+    return (keys.view(np.uint64) * _SPREAD) >> np.uint64(46)
 
 
 def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -62,21 +57,35 @@ def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (left, right) of the symbols from `base` on, and the symbols that stand for `ids` (all below `base`)."""
+    """Rules (left, right) of the symbols from `base` on, and the symbols that stand for `ids` (all below `base`).
+
+    A pair that has become rare stays rare, since replacements only make pairs of new
+    symbols. So a round looks only at the places of pairs that were frequent, and
+    beside the symbols that the last one made.
+    """
     seq, rules, made = ids.astype(np.int64), [], 0
-    while len(seq) > 1:
-        keys = (seq[:-1] << 32) | seq[1:]
+    open_ = np.arange(max(0, len(seq) - 1))
+    while len(open_):
+        keys = (seq[open_] << 32) | seq[open_ + 1]
         ordered = np.sort(keys)
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(heads, len(ordered)))
-        most = int(counts.max())
-        if most < least:
+        often = counts >= least
+        if not often.any():
             break
-        chosen = counts >= max(least, most // 8)
-        pairs, counts = ordered[heads[chosen]], counts[chosen]
+        pairs, counts = ordered[heads[often]], counts[often]
+        chosen = counts >= max(least, int(counts.max()) // 16)
+        kind, slots = np.zeros(1 << 18, np.uint8), _slots(pairs)
+        kind[slots] = 1
+        kind[slots[chosen]] = 2
+        pairs, counts = pairs[chosen], counts[chosen]
         rank = np.empty(len(pairs), np.int64)
         rank[np.lexsort((pairs, -counts))] = np.arange(len(pairs))
-        places, ranks = _chosen(keys, pairs, rank)
+        of_place = kind[_slots(keys)]
+        maybe = np.flatnonzero(of_place == 2)
+        at = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
+        hit = pairs[at] == keys[maybe]
+        places, ranks = open_[maybe[hit]], rank[at[hit]]
         free = _apart(places, ranks)
         places, ranks = places[free], ranks[free]
         worth = np.bincount(ranks, minlength=len(pairs)) >= least
@@ -90,9 +99,14 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         rules.append(np.stack([new >> 32, new & 0xFFFFFFFF], 1))
         made += len(new)
         seq[places] = number[ranks]
-        keep = np.ones(len(seq), bool)
+        keep, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         keep[places + 1] = False
+        look[open_[of_place > 0]] = True
+        look[places] = True
+        look[places[places > 0] - 1] = True
         seq = seq[keep]
+        open_ = np.flatnonzero(look[keep])
+        open_ = open_[open_ < len(seq) - 1]
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq
 
 
@@ -185,7 +199,11 @@ class Shard:
         return self._stops
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        """All ids: every rule is expanded once, then the symbols take their stretches."""
+        flat = np.concatenate([np.arange(self.base), expand(np.arange(len(self.rules)) + self.base, self.rules, self.base)])
+        heads = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths])[self.symbols]
+        each = np.diff(self.stops, prepend=0)
+        return flat[np.repeat(heads - (self.stops - each), each) + np.arange(self.stops[-1] if len(each) else 0)]
 
     def span(self, lo: int, hi: int) -> np.ndarray:
         """The ids from lo to hi; only the symbols that cover them are expanded."""

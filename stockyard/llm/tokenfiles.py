@@ -11,9 +11,9 @@ Reading: a part of the range partitioning begins where the ids of the parts befo
 end; these sums, one number per part, go to every task. `read` decodes whole shards,
 `fetch` only the symbols that cover the wanted documents.
 
-Encoding: white space ends a token of the vocabularies used here, so the library encodes
-each distinct word once and a text is the ids of its words; `by_words` says for which
-tokenizers that holds, others get whole texts.
+Encoding: the vocabulary used here splits texts into letters, digits and other signs before
+it merges anything, so the library encodes each distinct unit once, and a text is the ids of
+its units. `by_units` says for which tokenizers that holds; others get whole texts.
 
 Defined results: null and empty texts have the end id alone; rows without a doc_id come
 first; rows of one doc_id follow each other in the order of their texts' hashes, repeated
@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,47 +35,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm.kernels import runs, utf8, word_spans
+from stockyard.llm.kernels import lean, runs, utf8, word_spans, worker_memory
 from stockyard.llm.repair import Shard
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
 
 #: Ids of a shard; the last document may exceed it.
-SHARD_IDS = 1 << 20
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+SHARD_IDS = 1 << 16
+#: Distinct units whose ids a worker remembers.
+REMEMBERED = 1_000_000
 
-#: Bytes of text whose distinct words are looked up together.
-RUN_BYTES = 4 << 20
+#: Bytes of text whose distinct units are looked up together.
+RUN_BYTES = 16 << 20
 
 _SHARDS = "part int, place int, first_id long, last_id long, n_docs long, base long, n_ids long, doc_ids binary, shard binary"
 _NO_ID = -(1 << 63)
 
 
-def by_words(tokenizer: str) -> bool:
-    """Whether no token of this tokenizer file reaches over white space, so that texts can be encoded word by word."""
+#: Fixed value: how the tokenizer file must split texts for units to be encoded apart.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_BLANK, _OTHER, _DIGIT, _LETTER, _WIDE = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[128:] = _WIDE
+
+
+#: Fixed value: the character that stands for a byte in such files, for bytes that are no visible character of Latin-1.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def by_units(tokenizer: str) -> bool:
+    """Whether this tokenizer file splits texts as `unit_starts` says, lower-cases them, and takes each part by itself."""
     with open(tokenizer, encoding="utf-8") as f:
         parts = json.load(f)
     steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    split = steps[0] if steps else {}
-    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
-    pattern = split.get("pattern", {}).get("Regex", "")
-    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and " " not in t["content"] for t in parts.get("added_tokens", []))
-    byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
-    # Each branch of the pattern takes letters, numbers, or what is neither those nor white space.
-    blank_free = pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and not any(c.isspace() for c in pattern)
-    return drops and plain and byte_level and blank_free
+    norms = (parts.get("normalizer") or {}).get("normalizers", [])
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or [x["type"] for x in norms] != ["NFC", "Replace", "Lowercase"]:
+        return False
+    split, byte_level = steps
+    return (
+        (split["pattern"].get("Regex"), split["behavior"], split["invert"]) == (_SPLIT, "Removed", True)
+        and not (byte_level["add_prefix_space"] or byte_level["use_regex"])
+        and (norms[1]["pattern"].get("Regex"), norms[1]["content"]) == (r"\s+", " ")
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in parts["added_tokens"])
+        and not parts["model"].get("dropout")
+    )
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the units: words, cut further between ASCII letters, digits and other signs.
+
+    Nothing is cut next to bytes beyond ASCII, since marks there join the letter before,
+    or after an apostrophe, which may take letters along.
+    """
+    starts, _, _ = word_spans(data, offsets)
+    kind = _CLASS[data]
+    p, q = kind[:-1], kind[1:]
+    cut = ((p == _LETTER) & (q == _OTHER)) | ((p == _OTHER) & (q == _LETTER) & (data[:-1] != 39))
+    cut |= ((p == _DIGIT) & (q != _WIDE) & (q != _BLANK)) | ((q == _DIGIT) & (p != _WIDE) & (p != _BLANK))
+    marked = np.zeros(len(data), bool)
+    marked[1:] = cut
+    marked[starts] = True
+    return np.flatnonzero(marked)
 
 
 class Encoder:
     """Texts to their ids, all in one array."""
 
-    def __init__(self, tokenizer: str, words: bool):
+    def __init__(self, tokenizer: str, units: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.words = Tokenizer.from_file(tokenizer), words
+        self.library, self.units = Tokenizer.from_file(tokenizer), units
+        self.model = self.library.model
         self.known: dict[bytes, bytes] = {}
         special = [(k, t.content) for k, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized]
         self.mark = min(special, default=None)
@@ -82,42 +119,79 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word. A special token between words keeps them apart, which costs less than a call for each."""
-        if self.mark is None or any(self.mark[1] in w for w in words):
-            return self._library(words)
-        out, joined = [], [self.mark[1].join(words[k : k + 64]) for k in range(0, len(words), 64)]
+    def _apart(self, units: list[str]) -> list[np.ndarray]:
+        """The ids of each unit. A special token between units keeps them apart, which costs less than a call for each."""
+        if self.mark is None or any(self.mark[1] in u for u in units):
+            return self._library(units)
+        out, joined = [], [self.mark[1].join(units[k : k + 64]) for k in range(0, len(units), 64)]
         for ids in self._library(joined):
             cuts = np.flatnonzero(ids == self.mark[0]).tolist()
             out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return out
 
+    def learned(self, units: list[bytes]) -> list[bytes]:
+        """The ids of units with white space after them, as bytes."""
+        out, rest, tokenize = [b""] * len(units), [], self.model.tokenize
+        # Lower-case Latin letters in composed form go to the model as they are: there is nothing to normalise or to split.
+        for k, unit in enumerate(units):
+            unit = unit.rstrip()
+            if not (unit.isalpha() and unit.islower()):
+                text = unit.decode()
+                if not text.isalpha() or max(text) > "\u024f" or text.lower() != text:
+                    rest.append((k, text))
+                    continue
+            out[k] = array("I", [t.id for t in tokenize(unit.decode("latin-1").translate(_BYTES))]).tobytes()
+        for lo in range(0, len(rest), 8192):
+            places, texts = zip(*rest[lo : lo + 8192], strict=True)
+            for k, ids in zip(places, self._apart(list(texts)), strict=True):
+                out[k] = ids.tobytes()
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and how many each row has."""
-        if not self.words:
+        if not self.units:
             ids = self._library([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-            return np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
-        starts, _, rows = word_spans(data, offsets)
-        # A word with the white space up to the next one; no text is copied to find the distinct ones.
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
+        if b"<|" in data.tobytes():  # there may be special tokens; they count as they are written
+            starts, _, _ = word_spans(data, offsets)
+        else:
+            starts = unit_starts(data, offsets)
+            # A letter is lower-cased here unless something beyond ASCII follows, which may join it.
+            big = np.flatnonzero((data >= 65) & (data <= 90))
+            big = big[data[np.minimum(big + 1, len(data) - 1)] < 128]
+            data = data.copy()
+            data[big] += 32
+            data[(data >= 9) & (data <= 13)] = 32
+        # A unit with the white space up to the next one; no text is copied to find the distinct ones.
         cuts = np.append(starts, len(data)).astype(np.int64)
         spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
         coded = spans.dictionary_encode()
-        words = [w.rstrip() for w in coded.dictionary.to_pylist()]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        for lo in range(0, len(new), 8192):
-            some = new[lo : lo + 8192]
-            known.update((w, ids.tobytes()) for w, ids in zip(some, self._of_words([w.decode() for w in some]), strict=True))
-        ids = [known[w] for w in words]
-        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        units = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, units))
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, found in zip(new, self.learned([units[k] for k in new]), strict=True):
+            ids[k] = found
+        if len(self.known) + len(new) > REMEMBERED:  # forget all but the units of this run
+            self.known = dict(zip(units, ids, strict=True))
+        else:
+            self.known.update((units[k], ids[k]) for k in new)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         which = coded.indices.to_numpy()
         each = sizes[which]
         stops = np.cumsum(each)
         places = np.repeat((np.cumsum(sizes) - sizes)[which] - (stops - each), each) + np.arange(stops[-1] if len(stops) else 0)
-        return flat[places], np.bincount(rows, weights=each, minlength=len(offsets) - 1).astype(np.int64)
+        bounds = np.concatenate([[0], stops])[np.searchsorted(starts, offsets)]
+        return flat[places], np.diff(bounds)
+
+
+def loaded(tokenizer: str, units: bool) -> Encoder:
+    """One tokenizer and its memory per Python worker, kept for the worker's next tasks."""
+    memory = worker_memory("tokenfiles")
+    if (tokenizer, units) not in memory:
+        memory.clear()
+        memory[tokenizer, units] = Encoder(tokenizer, units)
+    return memory[tokenizer, units]
 
 
 class _Packer:
@@ -157,11 +231,11 @@ class _Packer:
         return pa.RecordBatch.from_arrays(values, [f.split()[0] for f in _SHARDS.split(", ")])
 
 
-def _pack(tokenizer: str, words: bool, end_id: int, shard_ids: int):
+def _pack(tokenizer: str, units: bool, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = None, _Packer(TaskContext.get().partitionId(), end_id)
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, words)
+            encoder = encoder or loaded(tokenizer, units)
             data, offsets = utf8(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             for lo, hi in runs(offsets, RUN_BYTES):
@@ -182,7 +256,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text"), "_place"]
     rows = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = rows.select("doc_id", "text").mapInArrow(_pack(tokenizer, by_words(tokenizer), end_id, shard_ids), _SHARDS)
+    packed = rows.select("doc_id", "text").mapInArrow(lean(_pack(tokenizer, by_units(tokenizer), end_id, shard_ids), "tokenfiles"), _SHARDS)
     packed.write.parquet(path)
 
 

@@ -101,7 +101,7 @@ def test_empty_table_and_other_tokenizers(spark):
     tokenfiles.write(documents(spark, []), path, word_model(), end_id=2)
     assert tokenfiles.read(spark, path).collect() == []
     whole = public_tokenizers.path("byte_bpe_50k.json")  # its tokens begin with white space
-    assert not tokenfiles.by_words(whole) and tokenfiles.by_words(word_model())
+    assert not tokenfiles.by_units(whole) and tokenfiles.by_units(word_model())
     path = run_folder(spark, "token-files")
     tokenfiles.write(documents(spark, [(1, "two  words\n", None, None)]), path, whole, end_id=2)
     ids = Tokenizer.from_file(whole).encode("two  words\n", add_special_tokens=False).ids
