@@ -8,8 +8,8 @@ has the least weighted loss; a text whose two nearest codewords lie close
 together is flagged as ambiguous.
 
 Training counts trigrams per language over all labelled rows, summed in the tasks
-before they are shuffled; the driver sees `FEATURES` counts a language for at most
-`max_languages` languages (the most frequent ones).
+before they are shuffled. Every value of the language column is learned; the driver sees
+their names and totals, and a number per trigram and bit.
 
 Defined results: a text that is null or has no letter gives `und`, score 0, not
 ambiguous. Without any labelled row every text gives `und`. Rows without a
@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.kernels import lower_ascii, row_of, runs, utf8
+from stockyard.llm.kernels import lean, lower_ascii, row_of, runs, utf8
+from stockyard.operators.sizing import is_small
+from stockyard.session import store
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -34,6 +36,8 @@ ship_by_value(__name__)
 UNKNOWN = "und"
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
+#: Up to so many languages the distances of their codewords are compared.
+CLOSE = 4096
 #: Pseudo-count of every trigram in every language.
 PRIOR = 0.5
 #: Evidence of a text counts as that of so many trigrams at most, when turned into a score.
@@ -92,9 +96,13 @@ def codewords(languages: int) -> np.ndarray:
         return np.array([[1 if s >> k & 1 else -1 for s in splits] for k in range(languages)], np.int8).reshape(languages, -1)
     bits = 4 * int(np.ceil(np.log2(languages))) + 8
     rng = np.random.default_rng(languages)
-    best, reach = None, -1
-    for _ in range(64):
-        code = rng.choice(np.array([-1, 1], np.int8), (languages, bits))
+    best, reach, draws = None, 0, 0
+    while best is None or draws < 64:  # until all codewords differ
+        code, draws = rng.choice(np.array([-1, 1], np.int8), (languages, bits)), draws + 1
+        if languages > CLOSE:  # the distances of all pairs would be too many
+            if len(np.unique(code, axis=0)) == languages:
+                return code
+            continue
         apart = (bits - code.astype(int) @ code.T) // 2 + bits * np.eye(languages, dtype=int)
         if apart.min() > reach and (np.abs(code.sum(0)) < languages).all():
             best, reach = code, apart.min()
@@ -134,30 +142,44 @@ class LanguageModel:
         return best, share[np.arange(len(n)), best], order[:, 1] if len(self.languages) > 1 else best
 
 
-def fit(labelled: DataFrame, max_languages: int = 256) -> LanguageModel:
-    """Learn from the columns `text` and `lang` of all rows where neither is null."""
+def fit(labelled: DataFrame) -> LanguageModel:
+    """Learn from the columns `text` and `lang` of all rows where neither is null.
+
+    A bit's classifier compares the mean shares of a trigram in the languages of either
+    side. These are sums of Spark's; the driver holds one number per trigram and bit, and
+    the names of the languages.
+    """
+    spark = labelled.sparkSession
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    per_task = rows.mapInArrow(_counts, "lang string, feature int, n long")
-    table = per_task.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    got = table.join(F.broadcast(top), "lang").toArrow()  # at most max_languages * FEATURES rows
-    languages = sorted(set(got.column("lang").to_pylist()))
-    counts = np.zeros((len(languages), FEATURES))
-    where = {name: k for k, name in enumerate(languages)}
-    of = np.array([where[x] for x in got.column("lang").to_pylist()], int)
-    counts[of, got.column("feature").to_numpy()] = got.column("n").to_numpy()
+    per_task = rows.mapInArrow(lean(_counts), "lang string, feature int, n long")
+    table = store(per_task.groupBy("lang", "feature").agg(F.sum("n").alias("n")), "language-counts")
+    totals = sorted(table.groupBy("lang").agg(F.sum("n")).collect())
+    languages = [name for name, _ in totals]
     if not languages:
         return LanguageModel([], np.zeros((0, 1), np.int8), np.zeros((FEATURES, 1), np.float32), np.ones(1))
-    share = (counts + PRIOR) / (counts.sum(1) + PRIOR * FEATURES)[:, None]
+    whole = np.array([n for _, n in totals]) + PRIOR * FEATURES
     code = codewords(len(languages))
-    weights = np.zeros((FEATURES, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        one, rest = share[code[:, b] > 0], share[code[:, b] < 0]
-        if len(one) and len(rest):
-            weights[:, b] = np.log(one.mean(0)) - np.log(rest.mean(0))
-    # A bit counts by how far its classifier tells its two sides apart.
-    apart = np.array([abs(np.average(weights[:, b], weights=share[code[:, b] > 0].mean(0)) if (code[:, b] > 0).any() else 0.0) for b in range(code.shape[1])])
-    loss_weights = apart / apart.sum() * len(apart) if apart.sum() > 0 else np.ones(len(apart))
+    bits = code.shape[1]
+    named = [(name, float(1 / w), [bool(c > 0) for c in word]) for name, w, word in zip(languages, whole, code, strict=True)]
+    coded = store(spark.createDataFrame(named, "lang string, scale double, one array<boolean>"), "language-codes")
+    shares = table.join(F.broadcast(coded) if is_small(coded) else coded, "lang").withColumn("share", F.col("n") * F.col("scale"))
+    sides = [F.sum(F.when(F.col("one")[b], F.col("share")).otherwise(0.0)).alias(f"one{b}") for b in range(bits)]
+    got = shares.groupBy("feature").agg(F.sum("share").alias("all"), *sides).toArrow()  # at most FEATURES rows
+    at = got.column("feature").to_numpy()
+    sums = np.zeros((bits + 1, FEATURES))
+    for k, name in enumerate([*(f"one{b}" for b in range(bits)), "all"]):
+        sums[k, at] = got.column(name).to_numpy()
+    prior, ones = PRIOR / whole, code > 0
+    weights, apart = np.zeros((FEATURES, bits), np.float32), np.zeros(bits)
+    for b in range(bits):
+        on = int(ones[:, b].sum())
+        if 0 < on < len(languages):
+            one = (sums[b] + prior[ones[:, b]].sum()) / on
+            rest = (sums[bits] - sums[b]).clip(0) + prior[~ones[:, b]].sum()
+            weights[:, b] = np.log(one) - np.log(rest / (len(languages) - on))
+            # A bit counts by how far its classifier tells its two sides apart.
+            apart[b] = abs(np.average(weights[:, b], weights=one))
+    loss_weights = apart / apart.sum() * bits if apart.sum() > 0 else np.ones(bits)
     return LanguageModel(languages, code, weights, loss_weights)
 
 
@@ -165,7 +187,6 @@ def identify(model: LanguageModel, spark, text: str | Column = "text") -> Column
     """A struct column of `lang_pred`, `score`, `ambiguous` and `runner_up` for a text column."""
     shared = spark.sparkContext.broadcast((model.languages, model.code, model.weights, model.loss_weights))
 
-    @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = LanguageModel(*shared.value)
         names = pa.array([*model.languages, UNKNOWN], pa.string())
@@ -182,8 +203,9 @@ def identify(model: LanguageModel, spark, text: str | Column = "text") -> Column
                 ["lang_pred", "score", "ambiguous", "runner_up"],
             )
 
+    predicted = F.arrow_udf(lean(predict), RESULT)
     column = F.col(text) if isinstance(text, str) else text
     none = F.struct(
         F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"), F.lit(UNKNOWN).alias("runner_up")
     )
-    return F.when(column.isNotNull() & column.rlike(r"\p{L}"), predict(column)).otherwise(none)
+    return F.when(column.isNotNull() & column.rlike(r"\p{L}"), predicted(column)).otherwise(none)

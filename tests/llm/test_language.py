@@ -61,3 +61,30 @@ def test_ambiguous_is_flagged(spark):
     by = {r.doc_id: r for r in predictions(spark, train, asked)}
     assert by[1].lang_pred == "x" and not by[1].ambiguous
     assert by[2].ambiguous
+
+
+def test_every_language_is_learned(spark):
+    def text(k, n):
+        return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" * 3 for c in "xyz"[:n])
+
+    train = documents(spark, [(k, text(k, 3), f"l{k:03}", None) for k in range(300)])
+    asked = documents(spark, [(k, text(k, 2), None, None) for k in range(300)])
+    got = {r.doc_id: r.lang_pred for r in predictions(spark, train, asked)}
+    assert sum(got[k] == f"l{k:03}" for k in range(300)) >= 295
+
+
+def test_weights_equal_brute_force(spark):
+    rows = [(1, "the cat and the dog", "en", None), (2, "der hund und die katze", "de", None), (3, "le chat et le chien", "fr", None)]
+    rows += [(4, "the house", "en", None), (5, "", "xx", None), (6, None, "yy", None), (7, "ein Haus", "de", None)]
+    model = language.fit(documents(spark, rows))
+    assert model.languages == ["de", "en", "fr"]  # from empty texts there is nothing to learn
+    counts = np.zeros((3, language.FEATURES))
+    for _, text, lang, _ in rows:
+        if text:
+            data = np.frombuffer(text.encode(), np.uint8)
+            grams, _ = language.trigrams(data, np.array([0, len(data)]))
+            np.add.at(counts[model.languages.index(lang)], grams, 1)
+    share = (counts + language.PRIOR) / (counts.sum(1) + language.PRIOR * language.FEATURES)[:, None]
+    for b in range(model.code.shape[1]):
+        one, rest = share[model.code[:, b] > 0], share[model.code[:, b] < 0]
+        assert np.allclose(model.weights[:, b], np.log(one.mean(0)) - np.log(rest.mean(0)), atol=1e-5)
