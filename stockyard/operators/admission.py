@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import to_money
-from stockyard.operators.blocks import row_numbers
+from stockyard.operators.blocks import last_values, range_blocks, row_numbers
 from stockyard.operators.limits import limit_chain
 from stockyard.operators.outbox import order_created_payload
 from stockyard.operators.replay import replay, row_by_row
@@ -78,6 +78,35 @@ def gate_sale_and_product(requests: DataFrame, sales: DataFrame, sale_products:
     )
 
 
+def gate_as_of(
+    requests: DataFrame, changes: DataFrame, sale_products: DataFrame, id_: str = "request_id", blocks: int | None = None
+) -> DataFrame:
+    """The gate against the status that the feed of changes had told by the time of each request.
+
+    `changes` has sale_id, changed_at, seq and status, any number per sale; a change at the
+    request's instant counts, of several at one instant the one of the largest seq. A sale
+    without a change so far is not known. Requests and changes are laid out together by sale
+    and time in blocks, so neither a sale with a third of the requests nor one that changes
+    all the time is one task, and the last status is a scan.
+    """
+    request = F.struct(*requests.columns)
+    told = changes.select(
+        "sale_id", F.col("changed_at").alias("at"), F.lit(0).alias("kind"), F.col("seq").cast("bigint").alias("place"), "status"
+    ).withColumn("request", F.lit(None).cast(requests.select(request.alias("r")).schema["r"].dataType))
+    asked = requests.select(
+        "sale_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col(id_).cast("bigint").alias("place"), F.lit(None).cast("string").alias("status"), request.alias("request")
+    )
+    blocked = range_blocks(told.unionByName(asked), ["sale_id"], ["at", "kind", "place"], blocks)
+    known = last_values(blocked, ["sale_id"], "status", "sale_status").filter("kind = 1").select("request.*", "sale_status")
+    offered = sale_products.select(*PRODUCT, F.lit(True).alias("_offered"))
+    gate = (
+        F.when(F.col("sale_status").isNull(), "SALE_NOT_FOUND")
+        .when(F.col("sale_status") != "ACTIVE", "SALE_NOT_ACTIVE")
+        .when(F.col("_offered").isNull(), "PRODUCT_NOT_IN_SALE")
+    )
+    return known.join(offered, PRODUCT, "left").withColumn("gate", gate).drop("_offered")
+
+
 def admit_requests(
     requests: DataFrame, totals: DataFrame, key: Sequence[str] = PRODUCT, blocks: int | None = None
 ) -> DataFrame:

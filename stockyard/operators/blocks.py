@@ -95,3 +95,33 @@ def row_numbers(df: DataFrame, key: Sequence[str], order: Sequence[str], name: s
     """row_number() per key without one task per key."""
     blocked = range_blocks(df.withColumn("_one", F.lit(1)), key, order, blocks)
     return running_totals(blocked, key, "_one", name, "_low").drop("_one", "_low", "block", "pos")
+
+
+def last_values(blocked: DataFrame, key: Sequence[str], value: str, name: str) -> DataFrame:
+    """Per key, in order: the last `value` so far that is not NULL, the row's own included.
+
+    Scan inside each block; a block that continues a key gets what the blocks before it
+    end with, at most one row per block and hence broadcast.
+    """
+
+    def like(prefix: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in key])
+
+    firsts = blocked.filter("pos = 0").select(*[F.col(c).alias(f"_f_{c}") for c in key]).distinct()
+    known = F.col(value).isNotNull()
+    per_block = (
+        blocked.select("block", "pos", value, *key)
+        .join(F.broadcast(firsts), like("_f_"), "left_semi")
+        .groupBy("block", *key)
+        .agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.col("pos"))).alias("_ends_with"))
+    )
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        per_block.withColumn("_carried", F.last("_ends_with", ignorenulls=True).over(before))
+        .filter(F.col("_carried").isNotNull())
+        .select(F.col("block").alias("_c_block"), *[F.col(c).alias(f"_c_{c}") for c in key], "_carried")
+    )
+    inner = Window.partitionBy("block", *key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = blocked.withColumn("_own", F.last(value, ignorenulls=True).over(inner))
+    joined = scanned.join(F.broadcast(carry), (F.col("block") == F.col("_c_block")) & like("_c_"), "left")
+    return joined.select(*blocked.columns, F.coalesce("_own", "_carried").alias(name))

@@ -454,16 +454,54 @@ _VISITS = """SELECT o.id AS order_id, i.product_id + (CASE WHEN o.id % 9 = 0 THE
     {"x_visits": _VISITS},
 )
 def gate_sale_and_product(v):
+    sales = v.sales.withColumn("cancelled", F.col("id") % 17 == 0)
+    return A.gate_sale_and_product(_visits(v), sales, v.sale_products).select(
+        "order_id", "product_id", "sale_id", "ts", "sale_status", "gate"
+    )
+
+
+def _visits(v):
     heads = v.orders.select(F.col("id").alias("order_id"), "sale_id", F.col("created_at").alias("ts"))
     o = F.col("order_id")
-    visits = v.order_items.select("order_id", "product_id").join(heads, "order_id").select(
+    return v.order_items.select("order_id", "product_id").join(heads, "order_id").select(
         "order_id",
         (F.col("product_id") + F.when(o % 9 == 0, 5000000).otherwise(0)).alias("product_id"),
         F.when(o % 8 == 0, F.col("sale_id") + 100000).otherwise(F.col("sale_id")).alias("sale_id"),
         F.expr("ts + make_dt_interval(cast(order_id % 120 - 10 AS INT))").alias("ts"),
     )
-    sales = v.sales.withColumn("cancelled", F.col("id") % 17 == 0)
-    return A.gate_sale_and_product(visits, sales, v.sale_products).select(
+
+
+_CHANGES = """SELECT id AS sale_id, start_time AS changed_at, CAST(1 AS INTEGER) AS seq, 'ACTIVE' AS status FROM d_sales
+    UNION ALL SELECT id, start_time - to_days(5), 0, 'SCHEDULED' FROM d_sales
+    UNION ALL SELECT id, end_time, 2, 'ENDED' FROM d_sales
+    UNION ALL SELECT id, start_time + to_days(20), 3, 'ENDED' FROM d_sales WHERE id % 5 = 0
+    UNION ALL SELECT id, start_time + to_days(20), 4, 'SCHEDULED' FROM d_sales WHERE id % 10 = 0
+    UNION ALL SELECT id, start_time + to_days(40), 5, 'ACTIVE' FROM d_sales WHERE id % 10 = 0"""
+
+
+@query(
+    "gate_as_of_change",
+    """SELECT v.order_id, v.product_id, v.sale_id, v.ts, c.status AS sale_status,
+              CASE WHEN c.status IS NULL THEN 'SALE_NOT_FOUND' WHEN c.status <> 'ACTIVE' THEN 'SALE_NOT_ACTIVE'
+                   WHEN sp.id IS NULL THEN 'PRODUCT_NOT_IN_SALE' END AS gate
+       FROM x_visits v
+       ASOF LEFT JOIN (SELECT sale_id, changed_at, arg_max(status, seq) AS status FROM x_changes GROUP BY 1, 2) c
+         ON v.sale_id = c.sale_id AND v.ts >= c.changed_at
+       LEFT JOIN d_sale_products sp ON sp.sale_id = v.sale_id AND sp.product_id = v.product_id""",
+    {"x_visits": _VISITS, "x_changes": _CHANGES},
+)
+def gate_as_of_change(v):
+    def change(at, seq, status, which="true"):
+        return v.sales.filter(which).select(
+            F.col("id").alias("sale_id"), F.expr(at).alias("changed_at"), F.lit(seq).alias("seq"), F.lit(status).alias("status")
+        )
+
+    changes = change("start_time", 1, "ACTIVE").unionByName(change("start_time - interval 5 days", 0, "SCHEDULED"))
+    changes = changes.unionByName(change("end_time", 2, "ENDED"))
+    changes = changes.unionByName(change("start_time + interval 20 days", 3, "ENDED", "id % 5 = 0"))
+    changes = changes.unionByName(change("start_time + interval 20 days", 4, "SCHEDULED", "id % 10 = 0"))
+    changes = changes.unionByName(change("start_time + interval 40 days", 5, "ACTIVE", "id % 10 = 0"))
+    return A.gate_as_of(_visits(v), changes, v.sale_products, "order_id").select(
         "order_id", "product_id", "sale_id", "ts", "sale_status", "gate"
     )
 

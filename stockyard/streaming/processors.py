@@ -43,7 +43,7 @@ class StockLevel(StatefulProcessor):
         held = self.state.get() if self.state.exists() else None
         level, at = (held[0], (held[1], held[2])) if held else (ordered[0].total_qty, (-(2**62), 0))
         for r in ordered:
-            if (r.us, r.id) < at:
+            if (r.us, r.id) <= at:  # an event that comes again changes nothing
                 yield LevelRow(key[0], key[1], r.us, r.id, r.delta, level, False, "LATE")
                 continue
             at = (r.us, r.id)

@@ -312,3 +312,24 @@ def test_idempotent_without_key(spark):
     )
     got = {r.id: (r.first_id, r.is_duplicate) for r in admission.idempotent_dedupe(df).collect()}
     assert got == {1: (2, True), 2: (2, False), 3: (3, False), 4: (4, False)}
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_gate_against_the_status_told_so_far(spark, blocks):
+    rng = random.Random(blocks)
+    changes = [(0 if rng.random() < 0.6 else rng.randrange(4), rng.randrange(300), i, rng.choice(["SCHEDULED", "ACTIVE", "ENDED"])) for i in range(200)]
+    asked = [(i, 0 if rng.random() < 0.6 else rng.randrange(6), rng.randrange(3), rng.randrange(300)) for i in range(600)]
+    want = {}
+    for i, sale, product, ts in asked:
+        told = [(at, seq, status) for k, at, seq, status in changes if k == sale and at <= ts]
+        status = max(told)[2] if told else None
+        gate = "SALE_NOT_FOUND" if status is None else "SALE_NOT_ACTIVE" if status != "ACTIVE" else None if product < 2 else "PRODUCT_NOT_IN_SALE"
+        want[i] = (status, gate)
+    offered = spark.createDataFrame([(s, p) for s in range(4) for p in range(2)], "sale_id BIGINT, product_id BIGINT")
+    got = admission.gate_as_of(
+        spark.createDataFrame(asked, "request_id BIGINT, sale_id BIGINT, product_id BIGINT, ts BIGINT"),
+        spark.createDataFrame(changes, "sale_id BIGINT, changed_at BIGINT, seq BIGINT, status STRING"),
+        offered,
+        blocks=blocks,
+    ).collect()
+    assert {r.request_id: (r.sale_status, r.gate) for r in got} == want and len(got) == len(asked)

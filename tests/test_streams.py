@@ -40,6 +40,19 @@ def test_stock_levels(spark, tmp_path):
     assert sorted(map(tuple, got.select(*want[0].__fields__).collect()), key=repr) == sorted(map(tuple, want), key=repr)
 
 
+def test_stock_events_that_come_again_change_nothing(spark, tmp_path):
+    schema = "sale_id BIGINT, product_id BIGINT, ts TIMESTAMP_NTZ, id BIGINT, delta INT"
+    rows = [(1, 0, T0 + timedelta(seconds=i), i, -1) for i in range(6)]
+    for k, part in enumerate([rows[:3], rows[2:4] + rows[3:4], rows[3:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+    whole = spark.read.parquet(*[f"{tmp_path}/part{k}" for k in range(3)])
+    again = whole.withColumn("place", F.monotonically_increasing_id()).orderBy("place").drop("place")
+    totals = spark.createDataFrame([(1, 0, 10)], "sale_id BIGINT, product_id BIGINT, total_qty INT")
+    got = streams.run_to_files(streams.stock_level_stream(staged(spark, tmp_path, again, "ts", 3), totals), f"{tmp_path}/out")
+    done = got.filter("success").collect()
+    assert sorted(r.id for r in done) == list(range(6)) and min(r.level for r in done) == 4
+
+
 def test_limits(spark, tmp_path):
     rng = random.Random(2)
     rows = sorted((T0 + timedelta(milliseconds=rng.randrange(90_000)), str(rng.randrange(4)), i) for i in range(600))
