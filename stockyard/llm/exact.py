@@ -8,7 +8,7 @@
    A second trie takes the full byte strings; as they come in order, subtrees before
    the current string are complete and leave the trie when it holds too much.
 3. Every row finds its owner over the SHA-256 of its text. The trie has compared all
-   bytes; two texts of one hash would come out as two owners and stop the job.
+   bytes; two texts of one SHA-256 would come out as two owners.
 
 Defined results: null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; all empty texts are equal to each other. Rows with a null
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockyard.llm.kernels import lean
 from stockyard.llm.trie import Node, PatriciaTrie
 from stockyard.session import store
 from stockyard.shipping import ship_by_value
@@ -112,9 +113,9 @@ def owners(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row per distinct text: its hash, the doc_id that stays, its rows and the group's rows."""
     largest = {"smallest": False, "largest": True}[keep]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().cast("binary").alias("text"))
-    local = texts.mapInArrow(_local_owners(largest), _LOCAL)
+    local = texts.mapInArrow(lean(_local_owners(largest)), _LOCAL)
     dealt = local.repartition("length", "hash").sortWithinPartitions("text")
-    return dealt.mapInArrow(_owners(largest), _OWNERS)
+    return dealt.mapInArrow(lean(_owners(largest)), _OWNERS)
 
 
 def members(docs: DataFrame, keep: str = "smallest") -> DataFrame:

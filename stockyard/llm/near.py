@@ -13,7 +13,7 @@ most sets are done after a few.
    shingle sets, and linked ones are joined into components. Members of one component
    need no further comparison. Nodes of buckets that still hold several components are
    compared across components by an exact prefix filter: they meet on their rarest
-   shared shingles only. So no link is left out, and neither a large group of copies
+   shared shingles only, and if bitmaps of their sets are near enough. So no link is left out, and neither a large group of copies
    nor many texts around one passage give all their pairs.
 4. Components of the links; every document takes that of its class.
 
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.llm.components import components
-from stockyard.llm.kernels import SpanHasher, lower_ascii, mix, runs, utf8, word_spans
+from stockyard.llm.kernels import SpanHasher, lean, lower_ascii, mix, runs, utf8, word_spans
 from stockyard.operators.sizing import is_small
 from stockyard.session import store
 from stockyard.shipping import ship_by_value
@@ -45,12 +45,14 @@ from stockyard.shipping import ship_by_value
 ship_by_value(__name__)
 
 BANDS, ROWS = 32, 5
+#: 64-bit words of the bitmap that stands for a set: each shingle sets one bit.
+WORDS = 8
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALT = np.random.default_rng(9).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _SIGNATURE = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
-_SETS = "doc_id long, shingles array<long>"
+_SETS = "doc_id long, shingles array<long>, " + ", ".join(f"bits{k} long" for k in range(WORDS))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +121,15 @@ def band_keys(grid: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(sums + np.arange(bands, dtype=np.uint64) * _SALT[77])
 
 
+def bitmaps(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """`WORDS` words for each set. Two sets differ in at least as many shingles as their bitmaps do in bits."""
+    out = np.zeros(len(counts) * WORDS, np.uint64)
+    bit = mix(values ^ _SALT[600]) % np.uint64(WORDS * 64)
+    at = np.repeat(np.arange(len(counts)), counts) * WORDS + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_or.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(-1, WORDS)
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher(width)
@@ -157,9 +168,14 @@ def _sets(width: int):
             for lo, hi in runs(offsets):
                 counts, values = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width, hasher)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                bits = bitmaps(counts, values).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
-                    ["doc_id", "shingles"],
+                    [
+                        batch.column("doc_id").slice(lo, hi - lo),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),
+                        *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)],
+                    ],
+                    ["doc_id", "shingles", *[f"bits{k}" for k in range(WORDS)]],
                 )
 
     return run
@@ -170,6 +186,12 @@ def _fitting(percent: int, a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _alike(percent: int) -> Column:
+    """Bitmaps of x and y that differ in so few bits that the sets can reach the similarity."""
+    apart = [F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(WORDS)]
+    return sum(apart[1:], apart[0]) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar enough."""
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
@@ -202,10 +224,12 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Shingles are ordered: first those that only one component has, then the others
     from rare to frequent. Two similar sets have at least `percent` of either in
     common, so they share one of their first n - percent * n + 1 shingles. At the
-    first one shared, what follows in either bounds the overlap.
+    first one shared, what follows in either bounds the overlap, and so do the bits in
+    which their bitmaps differ: texts that share a passage and little more make no pair.
     """
-    each = sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
-    each = each.select(F.col("doc_id").alias("node"), "n", "component", F.explode("shingles").alias("s"))
+    bits = [f"bits{k}" for k in range(WORDS)]
+    open_sets = sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
+    each = open_sets.select(F.col("doc_id").alias("node"), "n", "component", F.explode("shingles").alias("s"))
     # Counted in the tasks first, however many nodes have a shingle.
     stats = each.groupBy("s").agg(
         F.count(F.lit(1)).alias("df"), F.min("component").alias("least"), F.max("component").alias("most")
@@ -223,10 +247,11 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"))
     first = first.join(main.where("k > 1").select("s", "main"), "s")
+    first = first.join(sets.select(F.col("doc_id").alias("node"), *bits), "node")
     x, y = first.where("component <> main").alias("x"), first.alias("y")
     rest = (F.least("x.after", "y.after") + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     pairs = x.join(y, F.col("x.s") == F.col("y.s")).where(
-        (F.col("x.component") != F.col("y.component")) & _fitting(percent, "x.n", "y.n") & rest
+        (F.col("x.component") != F.col("y.component")) & _fitting(percent, "x.n", "y.n") & rest & _alike(percent)
     )
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -240,7 +265,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     nodes = store(rows.select(F.col("node").alias("doc_id")).distinct(), "bucket-nodes")
     wanted = F.broadcast(nodes) if is_small(nodes) else nodes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    sets = store(texts.mapInArrow(_sets(width), _SETS), "shingle-sets")
+    sets = store(texts.mapInArrow(lean(_sets(width)), _SETS), "shingle-sets")
 
     found = store(_linked(pairs.where("a <> b").distinct(), sets, percent), "near-links")
     opened = _open_nodes(rows.select("bucket", "node", "n"), components(found))
@@ -253,7 +278,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
 def members(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id, kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = store(texts.mapInArrow(_signatures(width), _SIGNATURE), "near-signatures")
+    signed = store(texts.mapInArrow(lean(_signatures(width)), _SIGNATURE), "near-signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = store(classes.withColumnRenamed("n_shingles", "n"), "near-classes")

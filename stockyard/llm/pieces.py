@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stockyard.llm.kernels import HashTable
+from stockyard.llm.kernels import HashTable, lean, worker_memory
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -241,6 +240,8 @@ class Pieces:
         new = own - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:  # forget all, but learn what this batch needs
             self.known.clear()
+            self.odd.clear()
+            self.differing.clear()
             new = own
         self.learn(list(new))
         for mark, units in zip(marked, cut, strict=True):
@@ -267,13 +268,8 @@ class Pieces:
 
 
 def loaded(model_file: str) -> Pieces:
-    """One vocabulary and its memory per Python worker, shared by the tasks that it runs.
-
-    This module's code comes with each task, so the memory hangs on the library's module.
-    """
-    import sentencepiece
-
-    memory = sys.modules[sentencepiece.__name__].__dict__.setdefault("_pieces_of_worker", {})
+    """One vocabulary and its memory per Python worker, shared by the tasks that it runs."""
+    memory = worker_memory("pieces")
     if model_file not in memory:
         memory.clear()
         memory[model_file] = Pieces(model_file)
@@ -286,17 +282,15 @@ def encode(model_file: str, text: str | Column = "text", with_ids: bool = True)
     Without `with_ids` the ids and the decoded text themselves are left out.
     """
 
-    @F.arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = loaded(model_file)
         types = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
         names = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "agreed")
         for texts in batches:
-            parts = []
-            for lo in range(0, len(texts), 256):
+            for lo in range(0, len(texts), 256):  # results go on at once, not as one large batch
                 rows = list(pieces.encode_batch(texts.slice(lo, 256).to_pylist(), with_ids))
                 columns = zip(*rows, strict=True)
-                parts.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names))
-            yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], t) for t in types], names)
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    encoded = F.arrow_udf(lean(run, "pieces"), RESULT)
+    return encoded(F.col(text) if isinstance(text, str) else text)

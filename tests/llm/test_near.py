@@ -126,3 +126,14 @@ def test_components(spark):
 def test_query(spark):
     rows = QUERIES["op9_near_dedup"](spark, FOLDER).collect()
     assert len(rows) == 200 and all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (0, 1, 5, 100, 100, 300, 390)]
+    bits = near.bitmaps(np.array([len(x) for x in sets]), np.concatenate(sets))
+    for a, x in zip(sets, bits, strict=True):
+        assert np.bitwise_count(x).sum() <= len(a)
+        for b, y in zip(sets, bits, strict=True):
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))

@@ -50,5 +50,19 @@ def test_rows_without_letters_and_copies(spark):
         assert stage(spark, docs.where("false"), FOLDER).collect() == [], name
 
 
+def test_other_texts_of_an_id_stay(spark):
+    words = [f"w{k}" for k in range(60)]
+    base, other = " ".join(words), " ".join(words[::-1])
+    docs = documents(spark, [(5, "alpha beta", "en", "a"), (9, "Alpha beta", "en", "a"), (5, "gamma delta", "en", "a"), (9, "Alpha beta", "en", "a")])
+    got = corpus_pipeline.exact_dedup(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(5, "gamma delta"), (9, "Alpha beta")]
+    rows = [(8, base + " end", "en", "a"), (8, other, "en", "a"), (3, base, "en", "a"), (None, other + " x", "en", "a"), (None, "short", "en", "a")]
+    rows += [(4, "", "en", "a"), (4, None, "en", "a"), (7, "very own words are here", "en", "a"), (7, "very own words are here", "en", "a")]
+    got = corpus_pipeline.near_dedup(spark, documents(spark, rows), FOLDER).collect()
+    assert len(got) == 6 and {r.text for r in got if r.doc_id == 3} == {base}
+    assert sorted(r.text or "" for r in got if r.doc_id != 3)[:2] == ["", ""]
+    assert sum(r.text in (other, other + " x") for r in got) == 1 and sum(r.doc_id == 7 for r in got) == 1
+
+
 def test_training_folds(spark):
     assert spark.range(1000).withColumnRenamed("id", "doc_id").where(~trains(5)).count() > 100
