@@ -13,15 +13,20 @@ own below the tags that lead to it, so a repeated text goes without its neighbou
 whatever its class is called. What matters less than its prior asks for is cut, on hosts
 with at least `MIN_PAGES` different pages with that node:
 
-* Outside `article` and `main`, nodes and texts below `THRESHOLD`. Tags, and words in
+* Outside `article` and `main`, nodes and texts below `THRESHOLD`. Tags, and whole
   classes, ids and roles, whose meaning is a menu, header, footer, sidebar, notice,
-  advert, form or comment section have no importance there from the start.
+  advert, form or comment section have no importance there from the start. A name that
+  has such a word among others (`with-sidebar`, `related-work`) only asks for more: what
+  it holds is cut below `NAMED`, and on pages that have an article elsewhere.
+* An `article` or `main` ends what names, headers and forms around it say, unless the
+  page has one outside of them too: then it is a teaser or a reader's comment.
 * Inside, texts below `SURE`, so only what stands on nearly every page; a heading, term
   or cell stays as long as what follows it beside it does. Tags of no content have no
-  importance, nor have whole class names of adverts and reader comments, which are other
-  people's texts and need not repeat. Other whole names of `NAMED_NOISE` only ask for
-  more: such nodes and their texts are cut below `NAMED`. A page whose article would be
-  left without any text keeps it.
+  importance, nor have the names of adverts and reader comments, alone or with words for
+  a container (`ad-slot`, `comment-list`), which are other people's texts and need not
+  repeat. Other whole names of `NAMED_NOISE` only ask for more: such nodes and their
+  texts are cut below `NAMED`, and where they lie in `main` beside an article. A page
+  whose article would be left without any text keeps it.
 
 The tree is never built in one place: tasks count (host, path, feature), the counts are
 shuffled, and only the nodes to be cut come back, per host. A host with a third of all
@@ -83,8 +88,15 @@ NAMED_NOISE = frozenset(
     "comment comments disqus replies respond related recommended breadcrumb breadcrumbs pagination pager toolbar widget "
     "widgets skip copyright".split()
 )
-# Whole class names of other people's texts, also inside an article.
-NAMED_FOREIGN = frozenset("ad ads advert adverts advertisement advertisements advertising comments disqus replies".split())
+# Names of other people's texts, also inside an article, and words for what holds them.
+NAMED_FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising comments commentlist disqus replies sponsored".split()
+)
+HOLDERS = frozenset(
+    "area banner block body box container content frame holder item label list panel section slot space thread unit wrap "
+    "wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LABELS = frozenset("h1 h2 h3 h4 h5 h6 dt th td caption summary".split())
 
 _TAG = re.compile(
@@ -96,44 +108,62 @@ _SPACE = re.compile(r"\s+")
 
 
 PLAIN, INSIDE, DOUBTED = 0, 1, 2
-#: Noise by one word of a name, which a main below it outweighs, and by a tag or whole name.
-WORDED, SURELY = 1, 2
+#: Noise by what an article below it outweighs, such an article until the whole page is known, and noise for good.
+NAMED_SO, HELD, SURELY = 1, 2, 3
+#: How close a node is to the article.
+OUTSIDE, IN_MAIN, IN_ARTICLE = 0, 1, 2
 
 
 class Block:
-    __slots__ = ("above", "noise", "path", "place", "prior", "tag", "text")
+    __slots__ = ("above", "core", "noise", "path", "place", "prior", "tag", "text")
 
     def __init__(self, top: Open, text: str):
         self.tag, self.above, self.path, self.place = top.tag, top.above, top.path, top.place
-        self.noise, self.prior, self.text = top.noise, top.prior, text
+        self.noise, self.prior, self.core, self.text = top.noise, top.prior, top.core, text
 
 
 class Open:
-    """An open element: its path and its parent's, the tags alone of it, whether it is noise by what it is, and its prior."""
+    """An open element: its path and its parent's, the tags alone of it, whether it is noise by what it is, prior and core."""
 
-    __slots__ = ("above", "children", "noise", "path", "place", "prior", "tag")
+    __slots__ = ("above", "children", "core", "noise", "path", "place", "prior", "tag")
 
-    def __init__(self, tag: str, above: str, path: str, place: str, noise: int, prior: int):
-        self.tag, self.above, self.path, self.place, self.noise, self.prior = tag, above, path, place, noise, prior
+    def __init__(self, tag: str, above: str, path: str, place: str, noise: int, prior: int, core: int):
+        self.tag, self.above, self.path, self.place = tag, above, path, place
+        self.noise, self.prior, self.core = noise, prior, core
         self.children: list[str] = []
 
 
-def _named(attributes: str) -> tuple[str, set[str], set[str], set[str]]:
-    """Class and id as they stand in a path, the words in them and in the role, the whole class names, and all whole names."""
+def _named(attributes: str) -> tuple[str, set[str], list[str], set[str]]:
+    """Class and id as they stand in a path, the words in them and in the role, whole classes and roles, and whole ids."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     names = f".{found['class']}" if found.get("class") else ""
     names += f"#{found['id']}" if found.get("id") else ""
-    words: set[str] = set()
-    whole: set[str] = set()
-    for value in found.values():
-        words.update(w.lower() for w in _WORDS.findall(value))
-        whole.update(value.lower().split())
-    return names, words, set(found.get("class", "").lower().split()), whole
+    words = {w.lower() for value in found.values() for w in _WORDS.findall(value)}
+    return names, words, f"{found.get('class', '')} {found.get('role', '')}".split(), set(found.get("id", "").split())
+
+
+def _foreign(name: str) -> bool:
+    """Whether a name says adverts or reader comments, and nothing else but what holds them."""
+    first, *rest = [w.lower() for w in _WORDS.findall(name)] or [""]
+    holds = HOLDERS.issuperset(rest)
+    return holds and (first in NAMED_FOREIGN or (first == "comment" and bool(rest)))
+
+
+def _settle(blocks: list[Block]) -> None:
+    """What only the whole page tells: which articles in named noise count, and whether doubted blocks have an article beside."""
+    free = any(b.core and not b.noise for b in blocks)
+    for b in blocks:
+        if b.noise == HELD:
+            b.noise = NAMED_SO if free else 0
+    core = max((b.core for b in blocks if not b.noise and b.prior != DOUBTED), default=OUTSIDE)
+    for b in blocks:
+        if b.prior == DOUBTED and b.core < core:
+            b.noise = b.noise or NAMED_SO
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """Text blocks in page order, and (path, tags of the children) for every element."""
-    root = Open("", "", "", "", 0, PLAIN)
+    root = Open("", "", "", "", 0, PLAIN, OUTSIDE)
     stack, blocks, styles, parts = [root], [], [], []
 
     def flush() -> None:
@@ -182,23 +212,28 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     close(k)
                 elif stack[k].tag in SCOPES:
                     break
-        names, words, classes, whole = _named(found[3])
+        names, words, classes, ids = _named(found[3])
+        whole = {name.lower() for name in (*classes, *ids)}
         parent = stack[-1]
         parent.children.append(tag)
-        prior = parent.prior
-        noise = SURELY if tag in NO_CONTENT else parent.noise
+        noise, prior, core = parent.noise, parent.prior, parent.core
         if tag in ("article", "main"):
-            prior = prior or INSIDE
-            noise = 0 if tag == "main" and noise == WORDED else noise
-        elif prior == PLAIN and tag not in ("html", "body"):
+            if core == OUTSIDE:
+                prior, noise = INSIDE, HELD if noise == NAMED_SO else noise
+            core = max(core, IN_ARTICLE if tag == "article" else IN_MAIN)
+        elif tag in NO_CONTENT:
+            noise = max(noise, NAMED_SO) if tag == "form" and core == OUTSIDE else SURELY
+        elif core == OUTSIDE and tag not in ("html", "body"):
             if tag == "header" or not whole.isdisjoint(NAMED_NOISE):
-                noise = SURELY
+                noise = noise or NAMED_SO
             elif not words.isdisjoint(NAMED_NOISE):
-                noise = noise or WORDED
-        elif prior != PLAIN:
-            noise = noise if classes.isdisjoint(NAMED_FOREIGN) else SURELY
+                prior = DOUBTED
+        elif core != OUTSIDE:
+            # The ids of headings are made of their texts.
+            if any(map(_foreign, classes if tag in HEADINGS else (*classes, *ids))):
+                noise = SURELY
             prior = prior if whole.isdisjoint(NAMED_NOISE) else DOUBTED
-        own = Open(tag, parent.path, f"{parent.path}/{tag}{names}", f"{parent.place}/{tag}", noise, prior)
+        own = Open(tag, parent.path, f"{parent.path}/{tag}{names}", f"{parent.place}/{tag}", noise, prior, core)
         if tag in RAW:
             close_at = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(html, at)
             at = close_at.start() if close_at else end
@@ -207,6 +242,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             stack.append(own)
     flush()
     close(1)
+    _settle(blocks)
     return blocks, styles
 
 
@@ -324,7 +360,7 @@ def _keeps(blocks: list[Block], away: set[int]) -> list[Block]:
         label, after = blocks[k], blocks[k + 1]
         if not stays[k] and label.prior == INSIDE and stays[k + 1] and after.prior == INSIDE:
             stays[k] = label.tag in LABELS and after.path.startswith(label.above + "/")
-    inside = [k for k, b in enumerate(blocks) if b.prior != PLAIN]
+    inside = [k for k, b in enumerate(blocks) if b.core]
     if not any(stays[k] for k in inside):
         for k in inside:
             stays[k] = True

@@ -135,3 +135,43 @@ def test_query(spark):
             assert block and block == " ".join(block.split())
         wanted = pages.references.unescape(pages.re.sub("<[^>]*>", " ", inner)).split()
         assert r.text.split() == wanted
+
+
+def test_article_ends_what_names_around_it_say(spark):
+    around = [
+        "<div class='layout with-sidebar'>{}</div>", "<div id='content' class='has-comments'>{}</div>", "<div class='share-page'>{}</div>",
+        "<section id='related-work'>{}</section>", "<div class='widget'><div class='header'>{}</div></div>", "<form id='f'><div>{}</div></form>",
+    ]
+    for wrap in around:
+        rows = [
+            (100 * k + n, f"http://{k}.example/p", wrap.format(body.format(n)))
+            for k, body in enumerate(["<article><p>Story {}</p></article>", "<main><p>Story {}</p></main>"])
+            for n in range(12)
+        ]
+        assert {i: t for i, (t, _) in extract(spark, rows).items()} == {i: f"Story {i % 100}" for i, _, _ in rows}
+
+
+def test_words_of_names_without_an_article_are_only_a_prior(spark):
+    def page(n):
+        parts = "<div class='has-comments'><p>Story {0}</p></div><section id='related-work'><p>Work {0}</p></section>".format(n)
+        return f"<div class='site-header'><p>Our site</p></div>{parts}<div class='cookie-bar'><p>Cookies {n % 2}</p></div>"
+
+    rows = [(n, "http://a.example/p", page(n)) for n in range(12)]
+    assert {i: t for i, (t, _) in extract(spark, rows).items()} == {n: f"Story {n}\nWork {n}" for n in range(12)}
+
+
+def test_articles_in_named_noise_beside_one_outside_go(spark):
+    html = "<article><p>Story</p></article><div class='{}'><article><p>Other</p></article></div>"
+    for name in ("related", "comments", "widget"):
+        assert one(spark, html.format(name)) == "Story"
+    assert one(spark, "<aside><article><p>Other</p></article></aside><p>Text</p>") == "Text"
+    assert one(spark, "<main><div class='sidebar'><p>Links</p></div><article><p>Story</p></article></main>") == "Story"
+
+
+def test_other_peoples_texts_inside_article_go_without_repeating(spark):
+    for name in ("id='comments'", "class='commentlist'", "class='comment-list'", "class='ad-slot'", "class='x advert-box'", "id='adSlot3'"):
+        assert one(spark, f"<article><p>Story</p><div {name}><p>Other</p><article><p>Nested</p></article></div></article>") == "Story"
+    own = "class='ad-hoc'", "class='comment'", "id='comments-on-theory'", "class='adverb-list'", "class='has-comments'"
+    for name in own:
+        assert one(spark, f"<article><p>Story</p><div {name}><p>Own</p></div></article>") == "Story\nOwn"
+    assert one(spark, "<article><h2 id='comments'>Comments</h2><p>On the text</p></article>") == "Comments\nOn the text"
