@@ -220,6 +220,11 @@ def sale_monitor(sale_products, products, orders, order_items) -> DataFrame:
         *_line_counts(),
         F.sum(F.when(F.col("status") == "CONFIRMED", F.col("total_amount"))).alias("revenue"),
     )
+    return monitor_of_counts(sale_products, products, counts)
+
+
+def monitor_of_counts(sale_products: DataFrame, products: DataFrame, counts: DataFrame) -> DataFrame:
+    """The monitor's rows for line counts and revenue per sale and product."""
     return (
         sale_products.join(counts, ["sale_id", "product_id"], "left")
         .join(_rename(products, product_id="id", product_name="name"), "product_id")

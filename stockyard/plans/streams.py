@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockyard.plans import lifecycle as P
 from stockyard.plans import processing as B
+from stockyard.plans import reporting as R
 from stockyard.plans.registry import query
 from stockyard.schemas import struct
 from stockyard.session import run_folder
@@ -176,3 +177,21 @@ def sale_status_stream(v):
         "sales": v.sales, "sale_products": v.sale_products, "inventory": v.inventory, "counters": v.live_counters
     }
     return X.sale_status_stream(ticks, state, run_folder(v.spark, "sale-status"))
+
+
+@query("sale_monitor_stream", R._MONITOR)
+def sale_monitor_stream(v):
+    """Every order is placed as PENDING and then gets its status, which is told twice."""
+    lines = v.order_items.groupBy(F.col("order_id").alias("id")).agg(F.collect_list("product_id").alias("product_ids"))
+    placed = _streamed(v, "orders").orders.join(lines, "id")
+
+    def change(seq, status, products):
+        return F.struct(F.lit(seq).cast("bigint").alias("seq"), status.alias("status"), products.alias("product_ids"))
+
+    later = change(1, F.col("status"), F.lit(None).cast("array<bigint>"))
+    first = change(0, F.lit("PENDING"), F.col("product_ids"))
+    changes = placed.select(
+        F.col("id").alias("order_id"), "sale_id", F.col("total_amount").alias("amount"), F.explode(F.array(later, first, later)).alias("c")
+    )
+    changes = changes.select("order_id", "c.seq", "sale_id", "c.product_ids", "c.status", "amount")
+    return X.sale_monitor_stream(changes, v.sale_products, v.products, run_folder(v.spark, "sale-monitor"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,12 +50,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_SCRATCH: list[str] = []
+# Streams handle their batches in threads of their own.
+_SCRATCH = threading.local()
+
+
+def _scratches() -> list[str]:
+    if not hasattr(_SCRATCH, "folders"):
+        _SCRATCH.folders = []
+    return _SCRATCH.folders
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, or below the innermost `scratch`, for one run's tables."""
-    root = _SCRATCH[-1] if _SCRATCH else checkpoint_root(spark).rstrip("/")
+    inner = _scratches()
+    root = inner[-1] if inner else checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -66,11 +75,11 @@ def scratch(spark: SparkSession) -> Iterator[str]:
             admission_funnel(...).write.parquet(path)
     """
     folder = run_folder(spark, "scratch")
-    _SCRATCH.append(folder)
+    _scratches().append(folder)
     try:
         yield folder
     finally:
-        _SCRATCH.remove(folder)
+        _scratches().remove(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -1,4 +1,4 @@
-"""Keyed state for the streams: stock levels, limiter windows and deadlines.
+"""Keyed state for the streams: stock levels, limiter windows, deadlines and order statuses.
 
 A micro-batch hands over a key's rows unsorted, so each processor sorts them by
 (ts, id) first. Their number is bounded by the source's rate limit. Rows that
@@ -23,13 +23,17 @@ LIMIT_OUT = (
     "late BOOLEAN"
 )
 DEADLINE_OUT = "key BIGINT, opened_ms BIGINT, due_ms BIGINT"
+MOVED_OUT = (
+    "order_id BIGINT, sale_id BIGINT, product_ids ARRAY<BIGINT>, old_status STRING, status STRING, "
+    "old_amount DECIMAL(20,2), amount DECIMAL(20,2)"
+)
 
 
 def _row_type(ddl: str) -> Row:
-    return Row(*[field.split()[0] for field in ddl.split(",")])
+    return Row(*[field.split()[0] for field in ddl.split(", ")])
 
 
-LevelRow, LimitRow, DeadlineRow = map(_row_type, (LEVEL_OUT, LIMIT_OUT, DEADLINE_OUT))
+LevelRow, LimitRow, DeadlineRow, MovedRow = map(_row_type, (LEVEL_OUT, LIMIT_OUT, DEADLINE_OUT, MOVED_OUT))
 
 
 class StockLevel(StatefulProcessor):
@@ -146,3 +150,36 @@ class Deadline(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class OrderStatus(StatefulProcessor):
+    """Rows: order_id, seq, sale_id, product_ids, status, amount. Emits where an order stood before a batch and after it.
+
+    State: sale and products of the order, its last status, and the status and amount
+    that were emitted. A status that comes before its order's lines is told with them.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "order",
+            "sale_id BIGINT, product_ids ARRAY<BIGINT>, seq BIGINT, status STRING, amount DECIMAL(20,2), "
+            "told STRING, told_amount DECIMAL(20,2)",
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.state.get() if self.state.exists() else (None, None, None, None, None, None, None)
+        sale, products, seq, status, amount, told, told_amount = held
+        for r in sorted(rows, key=lambda r: r.seq):
+            if products is None and r.product_ids is not None:
+                sale, products = r.sale_id, list(r.product_ids)
+            if amount is None:
+                amount = r.amount
+            if seq is None or r.seq > seq:
+                seq, status, amount = r.seq, r.status, amount if r.amount is None else r.amount
+        if products is not None and (status, amount) != (told, told_amount):
+            yield MovedRow(key[0], sale, products, told, status, told_amount, amount)
+            told, told_amount = status, amount
+        self.state.update((sale, products, seq, status, amount, told, told_amount))
+
+    def close(self) -> None:
+        pass

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import routed
+from stockyard.operators.reports import monitor_of_counts
 from stockyard.operators.transitions import (
     advance_sales,
     apply_payment_outcomes,
@@ -15,8 +16,18 @@ from stockyard.operators.transitions import (
     sales_due_to_end,
     sales_due_to_start,
 )
-from stockyard.session import store
-from stockyard.streaming.processors import DEADLINE_OUT, LEVEL_OUT, LIMIT_OUT, Deadline, SlidingWindow, StockLevel
+from stockyard.session import scratch, store
+from stockyard.streaming.folded import FOLD_EVERY, FoldedLog
+from stockyard.streaming.processors import (
+    DEADLINE_OUT,
+    LEVEL_OUT,
+    LIMIT_OUT,
+    MOVED_OUT,
+    Deadline,
+    OrderStatus,
+    SlidingWindow,
+    StockLevel,
+)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STUCK_MS, STALE_MS = 15 * 60_000, 10 * 60_000
@@ -41,9 +52,17 @@ def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> None:
-    """Hand each available micro-batch and its id to `handle`; a retry repeats the id."""
+    """Hand each available micro-batch and its id to `handle`; a retry repeats the id.
+
+    Tables that `handle` stores are removed when it returns.
+    """
+
+    def handle_and_clean(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            handle(batch, batch_id)
+
     query = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle_and_clean)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
@@ -179,18 +198,32 @@ def payment_stream(
 STATE = {"sales": "id", "sale_products": "id", "inventory": "sale_product_id", "counters": "sale_product_id"}
 
 
-def sale_status_stream(ticks: DataFrame, state: dict[str, DataFrame], folder: str) -> DataFrame:
+def _last_changes(spark: SparkSession, folder: str, table: str, every: int = FOLD_EVERY) -> FoldedLog:
+    """The log of a table's changes; its fold has the last row of every key that changed."""
+    key = STATE[table]
+
+    def last(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != key]
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_l")).select(key, "_l.*")
+
+    return FoldedLog(spark, f"{folder}/changes/{table}", f"{folder}/folded/{table}", last, every)
+
+
+def sale_status_stream(
+    ticks: DataFrame, state: dict[str, DataFrame], folder: str, fold_every: int = FOLD_EVERY
+) -> DataFrame:
     """Advance sales to the latest `ts` of each micro-batch of ticks; returns the status feed.
 
     Only sales that start or end at a tick, their lines and the lines' stock and
     counters are advanced and written, below `changes`; a table is what was given,
     overlaid with the last change of every key (`sale_state`). A retry of a batch
-    starts from the changes before it.
+    starts from the changes before it. The changes are folded every `fold_every`
+    ticks, so a tick reads no more however many have gone by.
     """
     spark = ticks.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        whole = sale_state(state, folder, batch_id)
+        whole = sale_state(state, folder, batch_id, fold_every)
         as_of = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
         starting = sales_due_to_start(whole["sales"], whole["sale_products"], as_of)
         due = store(starting.unionByName(sales_due_to_end(whole["sales"], as_of)), "sale-due")
@@ -206,7 +239,7 @@ def sale_status_stream(ticks: DataFrame, state: dict[str, DataFrame], folder: st
         for t, key in STATE.items():
             gone = before[t].join(after[t], key, "left_anti").withColumn("_gone", F.lit(True))
             changed = after[t].withColumn("_gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
-            changed.write.mode("overwrite").parquet(f"{folder}/changes/{t}/batch={batch_id}")
+            _last_changes(spark, folder, t, fold_every).write(changed, batch_id)
         moved = spark.read.parquet(f"{folder}/changes/sales/batch={batch_id}")
         feed_sale_status(due, moved).write.mode("overwrite").parquet(f"{folder}/feed/batch={batch_id}")
 
@@ -214,19 +247,75 @@ def sale_status_stream(ticks: DataFrame, state: dict[str, DataFrame], folder: st
     return spark.read.parquet(f"{folder}/feed/batch=*")
 
 
-def sale_state(state: dict[str, DataFrame], folder: str, until: int | None = None) -> dict[str, DataFrame]:
+def sale_state(
+    state: dict[str, DataFrame], folder: str, until: int | None = None, fold_every: int = FOLD_EVERY
+) -> dict[str, DataFrame]:
     """The four tables after the batches below `until` (all of them by default)."""
-    if until == 0:
-        return state
     out = {}
     for t, key in STATE.items():
         base = state[t]
-        log = base.sparkSession.read.parquet(f"{folder}/changes/{t}")
-        if until is not None:
-            log = log.filter(F.col("batch") < until)
-        rest = [c for c in base.columns if c != key]
-        last = log.groupBy(key).agg(F.max_by(F.struct("_gone", *rest), "batch").alias("_l")).select(key, "_l.*")
+        last = _last_changes(base.sparkSession, folder, t, fold_every).read(until)
+        if last is None:
+            out[t] = base
+            continue
         last = store(last, "sale-changes")  # as short as the changes are, so joins with it are broadcast
         kept = base.join(last.select(key), key, "left_anti")
         out[t] = kept.unionByName(last.filter("NOT _gone").select(*base.columns))
     return out
+
+
+def _line_sums(spark: SparkSession, folder: str, every: int = FOLD_EVERY) -> FoldedLog:
+    """The log of moved order lines per sale and product; its fold has their sums."""
+
+    def sums(rows: DataFrame) -> DataFrame:
+        added = [F.sum(c).alias(c) for c in MOVED]
+        added.append(F.sum("revenue").cast("decimal(38,2)").alias("revenue"))
+        return rows.groupBy("sale_id", "product_id").agg(*added, F.max("batch").alias("batch"))
+
+    return FoldedLog(spark, f"{folder}/moved", f"{folder}/folded", sums, every)
+
+
+# Line counts of the monitor and the order status that each counts.
+MOVED = {"confirmed_orders": "CONFIRMED", "pending_orders": "PENDING", "failed_orders": "FAILED"}
+
+
+def sale_monitor_stream(
+    changes: DataFrame, sale_products: DataFrame, products: DataFrame, folder: str, fold_every: int = FOLD_EVERY
+) -> DataFrame:
+    """The live monitor, kept from signed changes; `reports.sale_monitor` counts the same from whole tables.
+
+    `changes`: order_id, seq, sale_id, product_ids, status, amount. The first row of
+    an order brings its sale and the product of every line, later ones may leave
+    them null. Rows of one order count in the order of `seq`, whichever comes first;
+    what comes again or behind a later one changes nothing. A batch writes, per sale
+    and product it touches, what the new status adds and the old one takes away, so
+    a busy product is a row per batch and no order is read again.
+    """
+    spark = changes.sparkSession
+    use_rocksdb(spark)
+    moved = changes.groupBy("order_id").transformWithState(OrderStatus(), MOVED_OUT, "Append", "None")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        lines = batch.withColumn("product_id", F.explode("product_ids"))
+
+        def signed(status: str, value=F.lit(1), held=F.lit(1)):
+            now = F.when(F.col("status") == status, F.coalesce(value, F.lit(0))).otherwise(0)
+            return F.sum(now - F.when(F.col("old_status") == status, F.coalesce(held, F.lit(0))).otherwise(0))
+
+        sums = [signed(status).alias(c) for c, status in MOVED.items()]
+        revenue = signed("CONFIRMED", F.col("amount"), F.col("old_amount")).cast("decimal(38,2)").alias("revenue")
+        _line_sums(spark, folder, fold_every).write(lines.groupBy("sale_id", "product_id").agg(*sums, revenue), batch_id)
+
+    run_batches(moved, folder, handle)
+    return monitor_now(spark, sale_products, products, folder, fold_every)
+
+
+def monitor_now(
+    spark: SparkSession, sale_products: DataFrame, products: DataFrame, folder: str, fold_every: int = FOLD_EVERY
+) -> DataFrame:
+    """The monitor after the batches that `sale_monitor_stream` has finished."""
+    counts = _line_sums(spark, folder, fold_every).read()
+    if counts is None:
+        none = ", ".join(f"{c} BIGINT" for c in ("sale_id", "product_id", *MOVED, "batch"))
+        counts = spark.createDataFrame([], f"{none}, revenue DECIMAL(38,2)")
+    return monitor_of_counts(sale_products, products, counts.drop("batch"))

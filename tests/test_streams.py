@@ -2,15 +2,18 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from stockyard.operators import ledger, limits
+from stockyard.operators import ledger, limits, reports
 from stockyard.plans.catalog import QUERIES
 from stockyard.sources.events import event_stream
 from stockyard.sources.fixtures import ts
 from stockyard.streaming import streams
+from stockyard.streaming.folded import FoldedLog
 
 T0 = datetime(2024, 1, 1)
 
@@ -209,3 +212,92 @@ def test_payments_over_batches(spark, tmp_path):
     assert len(rows) == len(want) and dict(map(tuple, rows)) == want
     moves = spark.read.parquet(f"{tmp_path}/out/moves/batch=*")
     assert moves.count() == sum(1 for s in want.values() if s == "FAILED")
+
+
+def test_monitor_is_kept_over_batches_and_restarts(spark, tmp_path):
+    rng = random.Random(7)
+    orders = {i: (i % 3, [rng.randrange(4) for _ in range(rng.randrange(1, 4))], i % 11 * 10 + 0.5) for i in range(60)}
+    told = []
+    for i in orders:
+        told += [(i, seq, rng.choice(["PENDING", "CONFIRMED", "FAILED"])) for seq in range(rng.randrange(1, 5))]
+    # Out of order, some told again, and some lines only after the first status.
+    told = sorted(told, key=lambda r: r[0] + rng.random() * 25)
+    told += rng.sample(told, 20)
+    schema = "order_id BIGINT, seq BIGINT, sale_id BIGINT, product_ids ARRAY<BIGINT>, status STRING, amount DECIMAL(10,2)"
+    sale_products = spark.createDataFrame(
+        [(10 * s + p, s, p, 5, 1, 2) for s in range(3) for p in range(5)],
+        "id BIGINT, sale_id BIGINT, product_id BIGINT, total_qty INT, reserved_qty INT, sale_price INT",
+    )
+    products = spark.createDataFrame([(p, f"p{p}") for p in range(5)], "id BIGINT, name STRING")
+    (tmp_path / "in").mkdir()
+    empty = streams.monitor_now(spark, sale_products, products, f"{tmp_path}/out", 2)
+    assert {(r.confirmed_orders, r.revenue) for r in empty.collect()} == {(0, 0)}
+    seen, size = [], -(-len(told) // 5)
+    for k in range(5):
+        part = told[k * size : (k + 1) * size]
+        seen += part
+        rows = [
+            (i, seq, *((orders[i][0], orders[i][1]) if seq == 0 else (None, None)), status, Decimal(str(orders[i][2])))
+            for i, seq, status in part
+        ]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = event_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        got = streams.sale_monitor_stream(stream, sale_products, products, f"{tmp_path}/out", 2)
+        last = {}
+        for i, seq, status in seen:
+            last[i] = max(last.get(i, (-1, "")), (seq, status))
+        known = {i for i, seq, _ in seen if seq == 0}
+        now = [(i, orders[i][0], last[i][1], Decimal(str(orders[i][2]))) for i in known]
+        placed = spark.createDataFrame(now, "id BIGINT, sale_id BIGINT, status STRING, total_amount DECIMAL(10,2)")
+        items = spark.createDataFrame([(i, p) for i in known for p in orders[i][1]], "order_id BIGINT, product_id BIGINT")
+        want = reports.sale_monitor(sale_products, products, placed, items)
+        assert sorted(got.collect()) == sorted(want.collect())
+    assert sorted(p.name for p in (tmp_path / "out" / "moved").iterdir()) == ["batch=2", "batch=3", "batch=4"]
+    assert sorted(p.name for p in (tmp_path / "out" / "folded").iterdir()) == ["below=2", "below=4"]
+
+
+def test_folded_log_survives_retries_and_gaps_of_a_write(spark, tmp_path):
+    def combine(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"), F.max("batch").alias("batch"))
+
+    log = FoldedLog(spark, f"{tmp_path}/log", f"{tmp_path}/bases", combine, 3)
+    assert log.read() is None and log.batches() == 0
+    for batch in range(8):
+        rows = spark.createDataFrame([(batch % 2, 10**batch)], "k BIGINT, n BIGINT")
+        for again in (rows.selectExpr("k", "n * 5 AS n"), rows, rows):  # a retry replaces its batch, also one that was folded
+            log.write(again, batch)
+        assert sum(r.n for r in log.read().collect()) == sum(10**b for b in range(batch + 1))
+    (tmp_path / "log" / "batch=8").mkdir()  # not complete
+    assert log.batches() == 8 and sum(r.n for r in log.read().collect()) == 11111111
+
+
+def test_sale_changes_are_folded(spark, tmp_path):
+    day = timedelta(days=1)
+    sales = spark.createDataFrame(
+        [(i, f"s{i}", "SCHEDULED", T0 + i * day, T0 + (i + 2) * day) for i in range(5)],
+        "id BIGINT, name STRING, status STRING, start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ",
+    ).withColumn("updated_at", ts("2024-01-01 00:00:00"))
+    lines = spark.createDataFrame([(10 * i, i, i, 5, 0) for i in range(5)], "id BIGINT, sale_id BIGINT, product_id BIGINT, total_qty INT, reserved_qty INT")
+    inventory = lines.select(F.col("id").alias("sale_product_id"), F.col("total_qty").alias("available_qty"), ts("2024-01-01 00:00:00").alias("last_synced_at"))
+    counters = spark.createDataFrame([], "sale_product_id BIGINT, live_qty INT")
+    ticks = spark.createDataFrame([(T0 + i * day, i) for i in range(6)], "ts TIMESTAMP_NTZ, id BIGINT")
+    state = {"sales": sales, "sale_products": lines, "inventory": inventory, "counters": counters}
+    streams.sale_status_stream(staged(spark, tmp_path, ticks, "ts", 6), state, f"{tmp_path}/out", 2)
+    now = streams.sale_state(state, f"{tmp_path}/out", fold_every=2)
+    assert dict(now["sales"].select("id", "status").collect()) == {i: "ENDED" if i < 4 else "ACTIVE" for i in range(5)}
+    assert [r.sale_product_id for r in now["counters"].collect()] == [40]
+    assert sorted(p.name for p in (tmp_path / "out" / "changes" / "sales").iterdir()) == ["batch=4", "batch=5"]
+
+
+def test_batches_leave_no_stored_tables(spark, tmp_path):
+    from stockyard.session import run_folder
+
+    kept = []
+
+    def handle(batch, batch_id):
+        kept.append(run_folder(spark, "x"))
+        batch.write.parquet(kept[-1])
+
+    rows = staged(spark, tmp_path, spark.range(4), "id", 2)
+    streams.run_batches(rows, f"{tmp_path}/out", handle)
+    assert len(kept) == 2 and not any(Path(folder.removeprefix("file:")).exists() for folder in kept)
