@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.operators.blocks import row_numbers
@@ -12,6 +12,8 @@ from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.session import store
 
 MAX_ITEMS = 10_000
+#: Details of one group that one task may rank.
+IN_TASK = 100_000
 
 
 def nest(
@@ -25,33 +27,38 @@ def nest(
     """One row per group with a sorted array of structs, all details kept.
 
     The sorted details of a group are cut every `max_items`; each run is a row,
-    numbered by `part` from 0, so the parts in order are the whole list. Only
-    groups that have several parts need ranks, and these are found from counts:
-    of `counted` if given, a table with at least the details of every group that
-    is cheaper to read (the details before their joins).
+    numbered by `part` from 0, so the parts in order are the whole list. Nothing is
+    ranked if no group has several parts; a group of at most `IN_TASK` details is
+    ranked by the task that nests it, a larger one over blocks. Sizes come from
+    `counted` if given, a table with at least the details of every group that is
+    cheaper to read (the details before their joins).
     """
-    large = store(
-        (details if counted is None else counted)
-        .groupBy(*by)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .select(*by)
-    )
+    counts = (details if counted is None else counted).groupBy(*by).agg(F.count("*").alias("_n"))
+    most = counts.agg(F.max("_n")).first()[0] or 0
     items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
+    part = F.expr(f"(_rank - 1) div {int(max_items)}").cast("int").alias("part")
 
     def listed(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*by, "part").agg(items).select(*by, "part", name)
 
-    whole = details.withColumn("part", F.lit(0))
-    if large.isEmpty():
-        return listed(whole)
+    def parted(ranked: DataFrame) -> DataFrame:
+        return listed(ranked.select(*by, *fields, part))
+
+    if most <= max_items:
+        return listed(details.withColumn("part", F.lit(0)))
+
+    def ranked_in_tasks(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*fields)))
+
+    if most <= IN_TASK:
+        return parted(ranked_in_tasks(details))
+    large = store(counts.filter(F.col("_n") > IN_TASK).select(*by))
     marked = broadcast_when(is_small(large), large)
-    small = whole.join(marked, list(by), "left_anti")
+    small = details.join(marked, list(by), "left_anti")
     # The row id keeps equal details apart, so that many of them still spread over the blocks.
     rows = details.join(marked, list(by), "left_semi").withColumn("_row", F.monotonically_increasing_id())
     ranked = row_numbers(rows, by, [*fields, "_row"], "_rank")
-    parts = ranked.withColumn("part", F.expr(f"(_rank - 1) div {int(max_items)}").cast("int"))
-    return listed(small).unionByName(listed(parts))
+    return parted(ranked_in_tasks(small)).unionByName(parted(ranked))
 
 
 def digest(array: str, fields: Sequence[str]) -> Column:

@@ -112,6 +112,20 @@ def test_nest_splits_one_repeated_detail(spark):
     assert joined == sorted(joined) and sum(joined) == 30_001
 
 
+def test_nest_of_groups_for_one_task_and_for_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nesting, "IN_TASK", 50)
+    sizes = {1: 1, 2: 20, 3: 50, 4: 51, 5: 400, None: 70}
+    df = spark.createDataFrame([(g, (i * 37) % n // 2) for g, n in sizes.items() for i in range(n)], "g INT, i INT")
+    for most, groups in ((20, sizes), (50, [1, 2, 3]), (20, [1, 2])):
+        chosen = df.filter(F.coalesce("g", F.lit(0)).isin([g or 0 for g in groups]))
+        rows = nesting.nest(chosen, ["g"], ["i"], "items", max_items=most).collect()
+        for g in set(groups) - {None}:
+            parts = sorted((r.part, [x.i for x in r["items"]]) for r in rows if r.g == g)
+            assert [k for k, _ in parts] == list(range(-(-sizes[g] // most)))
+            assert [i for _, items in parts for i in items] == sorted(i * 37 % sizes[g] // 2 for i in range(sizes[g]))
+            assert all(len(items) == most for _, items in parts[:-1])
+
+
 def test_pages_come_in_order(spark):
     v = Fixtures(spark, "/root/testdata/sf0.001")
     pages = [
