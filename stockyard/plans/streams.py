@@ -111,6 +111,24 @@ def stuck_order_stream(v):
     return X.run_to_files(alerts, run_folder(v.spark, "stuck"))
 
 
+@query(
+    "unsettled_stream",
+    """SELECT key, epoch_us(opened) // 1000 AS opened_ms, epoch_us(opened) // 1000 + 15 * 60000 AS due_ms FROM x_spans
+       WHERE coalesce(closed > opened + INTERVAL 15 MINUTE, true)
+         AND opened + INTERVAL 15 MINUTE < (SELECT least(max(opened), max(closed)) FROM x_spans)""",
+    {
+        "x_spans": f"""SELECT id AS key, created_at AS opened,
+                       CASE WHEN status <> 'PENDING' THEN {_PAID_AT} END AS closed FROM d_orders"""
+    },
+)
+def unsettled_stream(v):
+    placed = _streamed(v, "orders").orders.select(F.col("id").alias("key"), F.col("created_at").cast("timestamp").alias("opened"))
+    paid_at = F.expr("created_at + make_dt_interval(0, 0, cast(id % 30 AS INT))").cast("timestamp").alias("closed")
+    settled = _streamed(v, "orders").orders.filter("status <> 'PENDING'").select(F.col("id").alias("key"), paid_at)
+    alerts = X.unsettled_stream(placed, settled, delay="0 seconds")
+    return X.run_to_files(alerts, run_folder(v.spark, "unsettled"))
+
+
 @query(
     "stale_outbox_stream",
     _ALERTS.format(age=10),

@@ -138,6 +138,29 @@ def stuck_order_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFra
     return deadline_stream(changes, STUCK_MS, delay)
 
 
+def unsettled_stream(
+    placed: DataFrame, settled: DataFrame, age_ms: int = STUCK_MS, delay: str = "10 minutes"
+) -> DataFrame:
+    """The alerts of `stuck_order_stream` from two streams, as an outer join over an interval of time.
+
+    `placed`: key BIGINT, opened TIMESTAMP; `settled`: key BIGINT, closed TIMESTAMP. An
+    order alerts if no settlement lies within `age_ms` of it, once both streams' watermarks
+    have passed its deadline; a key placed again before that alerts once. No Python, and
+    the state goes with the watermark, which also means that rows behind it are dropped,
+    and that no alert comes while one of the streams is silent; the timers of
+    `deadline_stream` judge late rows and need one stream to go on.
+    """
+    use_rocksdb(placed.sparkSession)
+    age = f"INTERVAL '{age_ms / 1000:.3f}' SECOND"  # a literal, from which the state's bound is derived
+    left = placed.select("key", "opened").filter("key IS NOT NULL").withWatermark("opened", delay)
+    left = left.dropDuplicatesWithinWatermark(["key"])
+    right = settled.select(F.col("key").alias("_key"), "closed").withWatermark("closed", delay)
+    near = F.expr(f"key = _key AND closed >= opened - {age} AND closed <= opened + {age}")
+    joined = left.join(right, near, "left_outer").filter("_key IS NULL")
+    opened = F.unix_millis("opened")
+    return joined.select("key", opened.alias("opened_ms"), (opened + age_ms).alias("due_ms"))
+
+
 def stale_outbox_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events unpublished for more than 10 minutes: opened when logged, closed when published."""
     return deadline_stream(changes, STALE_MS, delay)

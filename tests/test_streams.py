@@ -301,3 +301,25 @@ def test_batches_leave_no_stored_tables(spark, tmp_path):
     rows = staged(spark, tmp_path, spark.range(4), "id", 2)
     streams.run_batches(rows, f"{tmp_path}/out", handle)
     assert len(kept) == 2 and not any(Path(folder.removeprefix("file:")).exists() for folder in kept)
+
+
+def test_unsettled_orders_alert_as_with_timers(spark, tmp_path):
+    rng = random.Random(5)
+    minute = timedelta(minutes=1)
+    placed = [(i, T0 + rng.randrange(600) * minute) for i in range(80)]
+    settled = [(i, at + rng.choice([0, 3, 14, 15, 16, 40]) * minute) for i, at in placed if i % 4]
+    placed += placed[:10]  # told again
+    end = [(-1, T0 + timedelta(days=2))]
+    rows = sorted([(k, at, "open") for k, at in placed] + [(k, at, "close") for k, at in settled], key=lambda r: r[1])
+    size = -(-len(rows) // 3)
+    files = [rows[k : k + size] for k in (0, size, 2 * size)] + [[(*end[0], "close")]]
+
+    def column(folder, kind, name):
+        kept = [[(k, at) for k, at, what in part if kind in (what, None) or k < 0] for part in files]
+        return parts(spark, f"{tmp_path}/{folder}", *kept, schema=f"key BIGINT, {name} TIMESTAMP")
+
+    joined = streams.unsettled_stream(column("placed", "open", "opened"), column("settled", "close", "closed"))
+    got = streams.run_to_files(joined, f"{tmp_path}/out").collect()
+    changes = parts(spark, f"{tmp_path}/in", *files, schema="key BIGINT, ts TIMESTAMP, kind STRING")
+    want = streams.run_to_files(streams.stuck_order_stream(changes), f"{tmp_path}/timers").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 20
