@@ -2,7 +2,7 @@
 
 import pytest
 
-from stockyard.operators import listings, outbox, reports
+from stockyard.operators import listings, outbox, reports, sketches
 from stockyard.plans.catalog import QUERIES
 from stockyard.session import scratch, store
 from stockyard.sources.fixtures import Fixtures
@@ -81,3 +81,28 @@ def test_scratch_tables_are_removed(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert store(spark.range(3).toDF("i")).count() == 3
+
+
+def test_sketched_counts_keep_their_bound_and_repeats_count_once(spark):
+    orders = spark.range(120_000).selectExpr(
+        "id", "id % 1000 AS user_id", "IF(id % 3 = 0, 'FAILED', 'CONFIRMED') AS status",
+        "IF(id = 7, NULL, TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 20 AS INT))) AS created_at",
+    )
+    users = spark.range(900).selectExpr("id")
+    error = 3 * 1.04 / 2 ** (sketches.LG_K / 2)
+    stored = store(sketches.order_sketches(orders.filter("id < 70000"), users))
+    again = sketches.order_sketches(orders.filter("id >= 30000 OR id = 7"), users)
+    merged = store(sketches.merge_sketches(stored, again))
+    assert merged.count() == 20 * 2 + 1
+    for status in ("CONFIRMED", None):
+        chosen = [listings.status_is(status)] if status else []
+        exact = reports.count_distinct_orders(orders, users, *chosen).first().total
+        got = sketches.count_from_sketches(merged, *chosen)
+        assert abs(got.first().total / exact - 1) < error
+    assert sketches.count_from_sketches(merged, listings.status_is("NONE")).first().total == 0
+    assert "Scan" not in plan(got).replace("Scan parquet", "") and plan(got).count("Scan parquet") == 1  # the stored sketches only
+
+
+def test_sketches_of_the_tables(spark):
+    exact = QUERIES["count_distinct_orders"](spark, FOLDER).first().total
+    assert abs(QUERIES["count_sketched_orders"](spark, FOLDER).first().total / exact - 1) < 0.03
