@@ -3,6 +3,9 @@
 A micro-batch hands over a key's rows unsorted, so each processor sorts them by
 (ts, id) first. Their number is bounded by the source's rate limit. Rows that
 arrive in a later batch than their order allows are marked LATE and change nothing.
+
+Deadlines and order statuses have millions of keys with a few rows each, so their
+state is kept by bucket of keys: what costs is a call of the state store from Python.
 """
 
 from __future__ import annotations
@@ -153,33 +156,40 @@ class Deadline(StatefulProcessor):
 
 
 class OrderStatus(StatefulProcessor):
-    """Rows: order_id, seq, sale_id, product_ids, status, amount. Emits where an order stood before a batch and after it.
+    """Rows: bucket, order_id, seq, sale_id, product_ids, status, amount. Emits where an order stood before a batch and after it.
 
-    State: sale and products of the order, its last status, and the status and amount
-    that were emitted. A status that comes before its order's lines is told with them.
+    State: of each order of a bucket its sale and products, its last status, and the status
+    and amount that were emitted; a bucket is read and written once a batch. A status that
+    comes before its order's lines is told with them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
-            "order",
-            "sale_id BIGINT, product_ids ARRAY<BIGINT>, seq BIGINT, status STRING, amount DECIMAL(20,2), "
-            "told STRING, told_amount DECIMAL(20,2)",
+            "orders",
+            "orders ARRAY<STRUCT<order_id: BIGINT, sale_id: BIGINT, product_ids: ARRAY<BIGINT>, seq: BIGINT, "
+            "status: STRING, amount: DECIMAL(20,2), told: STRING, told_amount: DECIMAL(20,2)>>",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else (None, None, None, None, None, None, None)
-        sale, products, seq, status, amount, told, told_amount = held
-        for r in sorted(rows, key=lambda r: r.seq):
-            if products is None and r.product_ids is not None:
-                sale, products = r.sale_id, list(r.product_ids)
-            if amount is None:
-                amount = r.amount
-            if seq is None or r.seq > seq:
-                seq, status, amount = r.seq, r.status, amount if r.amount is None else r.amount
-        if products is not None and (status, amount) != (told, told_amount):
-            yield MovedRow(key[0], sale, products, told, status, told_amount, amount)
-            told, told_amount = status, amount
-        self.state.update((sale, products, seq, status, amount, told, told_amount))
+        changes: dict = {}
+        for r in rows:
+            changes.setdefault(r.order_id, []).append(r)
+        held = self.state.get()
+        orders = {o[0]: tuple(o)[1:] for o in held[0]} if held else {}
+        for order_id, own in changes.items():
+            sale, products, seq, status, amount, told, told_amount = orders.get(order_id, (None,) * 7)
+            for r in sorted(own, key=lambda r: r.seq):
+                if products is None and r.product_ids is not None:
+                    sale, products = r.sale_id, list(r.product_ids)
+                if amount is None:
+                    amount = r.amount
+                if seq is None or r.seq > seq:
+                    seq, status, amount = r.seq, r.status, amount if r.amount is None else r.amount
+            if products is not None and (status, amount) != (told, told_amount):
+                yield MovedRow(order_id, sale, products, told, status, told_amount, amount)
+                told, told_amount = status, amount
+            orders[order_id] = (sale, products, seq, status, amount, told, told_amount)
+        self.state.update(([(order_id, *order) for order_id, order in orders.items()],))
 
     def close(self) -> None:
         pass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import routed
@@ -31,6 +31,8 @@ from stockyard.streaming.processors import (
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STUCK_MS, STALE_MS = 15 * 60_000, 10 * 60_000
+# Buckets of keys. A batch reads and writes the state of those it touches: the keys that are open at a time, and all orders.
+OPEN_BUCKETS, ORDER_BUCKETS = 1 << 13, 1 << 17
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -102,6 +104,10 @@ def _timed(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay).drop("ts")
 
 
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).groupBy("bucket")
+
+
 def limit_stream(calls: DataFrame, limit: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
     """Sliding-window verdicts, one for every call; `calls`: key STRING, ts TIMESTAMP, id.
 
@@ -316,7 +322,8 @@ def sale_monitor_stream(
     """
     spark = changes.sparkSession
     use_rocksdb(spark)
-    moved = changes.groupBy("order_id").transformWithState(OrderStatus(), MOVED_OUT, "Append", "None")
+    keyed = _bucketed(changes, "order_id", ORDER_BUCKETS)
+    moved = keyed.transformWithState(OrderStatus(), MOVED_OUT, "Append", "None")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         lines = batch.withColumn("product_id", F.explode("product_ids"))

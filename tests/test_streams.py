@@ -1,9 +1,11 @@
 """Streams fed several files in order give the batch results."""
 
 import random
+from collections import namedtuple
 from datetime import datetime, timedelta
 from decimal import Decimal
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from stockyard.sources.events import event_stream
 from stockyard.sources.fixtures import ts
 from stockyard.streaming import streams
 from stockyard.streaming.folded import FoldedLog
+from stockyard.streaming.processors import Deadline, OrderStatus
 
 T0 = datetime(2024, 1, 1)
 
@@ -323,3 +326,49 @@ def test_unsettled_orders_alert_as_with_timers(spark, tmp_path):
     changes = parts(spark, f"{tmp_path}/in", *files, schema="key BIGINT, ts TIMESTAMP, kind STRING")
     want = streams.run_to_files(streams.stuck_order_stream(changes), f"{tmp_path}/timers").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 20
+
+
+class _State:
+    """The one value and the timers of a group, with the calls counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _called(self):
+        self.calls += 1
+
+    def get(self):
+        self._called()
+        return self.value
+
+    def update(self, value):
+        self._called()
+        self.value = value
+
+    def clear(self):
+        self._called()
+        self.value = None
+
+    def registerTimer(self, at):
+        self._called()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._called()
+        self.timers.discard(at)
+
+
+def test_orders_of_a_bucket_cost_two_calls_of_the_state_store():
+    row, state = namedtuple("row", "order_id seq sale_id product_ids status amount"), _State()
+    orders = OrderStatus()
+    orders.init(state)
+    placed = [row(k, 0, 1, [k], "PENDING", 5) for k in range(1000)] + [row(-1, 2, None, None, "FAILED", None)]
+    moved = list(orders.handleInputRows((0,), iter(placed), None))
+    assert sorted(r.order_id for r in moved) == list(range(1000)) and state.calls == 2
+    paid = [row(3, 1, None, None, "CONFIRMED", None), *placed[5:9], row(-1, 0, 2, [9], "PENDING", 7)]
+    moved = [tuple(r) for r in orders.handleInputRows((0,), iter(paid), None)]
+    assert sorted(moved) == [(-1, 2, [9], None, "FAILED", None, 7), (3, 1, [3], "PENDING", "CONFIRMED", 5, 5)]
+    assert state.calls == 4 and len(state.value[0]) == 1001
