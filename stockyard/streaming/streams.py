@@ -136,7 +136,8 @@ def deadline_stream(changes: DataFrame, age_ms: int, delay: str = "10 minutes")
     the deadline. Changes behind the watermark are judged too: a late opening alerts
     at once if its deadline has passed, a late closing is remembered as any other.
     """
-    return _timed(changes, delay).groupBy("key").transformWithState(Deadline(age_ms), DEADLINE_OUT, "Append", "EventTime")
+    keyed = _bucketed(_timed(changes, delay), "key", OPEN_BUCKETS)
+    return keyed.transformWithState(Deadline(age_ms), DEADLINE_OUT, "Append", "EventTime")
 
 
 def stuck_order_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -361,6 +361,34 @@ class _State:
         self.timers.discard(at)
 
 
+def test_deadlines_of_a_bucket_cost_few_calls_of_the_state_store():
+    row, state = namedtuple("row", "key ms kind"), _State()
+    timers = SimpleNamespace(getCurrentWatermarkInMs=lambda: 5000)
+    deadlines = Deadline(100)
+    deadlines.init(state)
+    rows = [row(k, k, "open") for k in range(1000)] + [row(k, k + 50, "close") for k in range(0, 1000, 2)]
+    rows += [row(k, k, "close") for k in range(1000, 1010)] + [row(7, 900, "close")]
+    assert [tuple(r) for r in deadlines.handleInputRows((0,), iter(rows), timers)] == [(7, 7, 107)]
+    assert state.timers == {102} and state.calls <= 4
+    fired = [tuple(r) for r in deadlines.handleExpiredTimer((0,), timers, None)]
+    assert fired == [(k, k, k + 100) for k in range(1, 1000, 2) if k != 7]
+    assert state.value is None and state.calls <= 7
+
+
+def test_deadlines_that_are_not_due_wait_for_the_next_timer():
+    row, state = namedtuple("row", "key ms kind"), _State()
+    deadlines = Deadline(100)
+    deadlines.init(state)
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    assert not list(deadlines.handleInputRows((0,), iter([row(1, 0, "open"), row(None, 50, "open")]), at))
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 151)  # a timer fires when the watermark is beyond it
+    state.timers.clear()
+    assert [r.key for r in deadlines.handleExpiredTimer((0,), passed, None)] == [1]
+    assert state.timers == {151}
+    assert not list(deadlines.handleInputRows((0,), iter([row(None, 60, "close")]), passed))
+    assert not state.timers and state.value is None
+
+
 def test_orders_of_a_bucket_cost_two_calls_of_the_state_store():
     row, state = namedtuple("row", "order_id seq sale_id product_ids status amount"), _State()
     orders = OrderStatus()
