@@ -389,6 +389,17 @@ def test_deadlines_that_are_not_due_wait_for_the_next_timer():
     assert not state.timers and state.value is None
 
 
+def test_stale_events_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "OPEN_BUCKETS", 2)
+    minute = timedelta(minutes=1)
+    rows = [(k, T0 + k * minute, "open") for k in range(60)] + [(k, T0 + (k + k % 20) * minute, "close") for k in range(0, 60, 2)]
+    df = spark.createDataFrame([*rows, (-1, T0 + timedelta(days=1), "tick")], "key BIGINT, ts TIMESTAMP, kind STRING")
+    alerts = streams.stale_outbox_stream(staged(spark, tmp_path, df, "ts"), "0 seconds")
+    got = sorted(r.key for r in streams.run_to_files(alerts, f"{tmp_path}/out").collect())
+    assert got == [k for k in range(60) if k % 2 or k % 20 > 10]
+    assert "bucket" in alerts._jdf.queryExecution().toString()
+
+
 def test_orders_of_a_bucket_cost_two_calls_of_the_state_store():
     row, state = namedtuple("row", "order_id seq sale_id product_ids status amount"), _State()
     orders = OrderStatus()
