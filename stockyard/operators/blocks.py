@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockyard.session import pin
+from stockyard.session import pin, store
 
 _ROW_BITS = 33
 
@@ -31,11 +31,14 @@ def range_blocks(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks
     Without `blocks` the number follows spark.sql.shuffle.partitions, and
     adaptive execution merges small neighbours.
     """
+    return pin(_placed(df, key, order, blocks))
+
+
+def _placed(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks: int | None) -> DataFrame:
     cols = [*key, *order]
     ranged = df.repartitionByRange(blocks, *cols) if blocks else df.repartitionByRange(*cols)
-    row = F.monotonically_increasing_id()
-    placed = ranged.sortWithinPartitions(*cols).withColumn("_row", row)
-    return pin(
+    placed = ranged.sortWithinPartitions(*cols).withColumn("_row", F.monotonically_increasing_id())
+    return (
         placed.withColumn("block", F.shiftright("_row", _ROW_BITS).cast("int"))
         .withColumn("pos", F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .drop("_row")
@@ -97,6 +100,29 @@ def row_numbers(df: DataFrame, key: Sequence[str], order: Sequence[str], name: s
     return running_totals(blocked, key, "_one", name, "_low").drop("_one", "_low", "block", "pos")
 
 
+def stored_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """row_number() per key for keys of many rows, whose rows may be equal in `order`.
+
+    The sorted blocks are stored with every row's place, which is columnar and moves the rows once. A
+    rank is the place plus what the block's part of the key begins with: a short
+    table, as a block has few of such keys, and hence broadcast.
+    """
+    # The row id keeps equal rows apart, so that many of them still spread over the blocks.
+    placed = _placed(df.withColumn("_id", F.monotonically_increasing_id()), key, [*order, "_id"], None)
+    laid = store(placed.drop("_id"), "ranked")
+    parts = laid.groupBy("block", *key).agg(F.count("*").alias("_n"), F.min("pos").alias("_first"))
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        F.col("block").alias("_s_block"),
+        *[F.col(c).alias(f"_s_{c}") for c in key],
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start"),
+    )
+    same = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in key], F.col("block") == F.col("_s_block")
+    )
+    return laid.join(F.broadcast(starts), same).select(*df.columns, (F.col("pos") + F.col("_start")).alias(name))
+
+
 def last_values(blocked: DataFrame, key: Sequence[str], value: str, name: str) -> DataFrame:
     """Per key, in order: the last `value` so far that is not NULL, the row's own included.
 

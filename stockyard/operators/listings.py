@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import clamp_page, image_url
 from stockyard.operators.blocks import range_blocks
-from stockyard.operators.nesting import MAX_ITEMS, nest
+from stockyard.operators.nesting import MAX_ITEMS, headed, nest
 from stockyard.operators.sizing import left_join_many
 from stockyard.session import pin, store
 
@@ -128,7 +128,9 @@ def sale_detail_rows(
 
     available_qty is the counter, 0 where it is missing, and NULL unless the sale is ACTIVE.
     """
-    lines = sale_lines(sale_products, products).join(counters, "sale_product_id", "left")
+    counted = sale_products.join(counters.withColumnRenamed("sale_product_id", "id"), "id", "left")  # while rows are narrow
+    lines = sale_lines(counted, products)
+    lines = lines.select("sale_product_id", *[c for c in lines.columns if c != "sale_product_id"])
     joined = left_join_many(sales.withColumnRenamed("id", "sale_id"), lines, ["sale_id"])
     live = F.when(
         (F.col("status") == "ACTIVE") & F.col("sale_product_id").isNotNull(),
@@ -148,7 +150,8 @@ def sale_detail_live(
     chosen = sale_products.join(sales.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
     rows = sale_detail_rows(sales, chosen, products, counters).filter("sale_product_id IS NOT NULL")
     nested = nest(rows, ["sale_id"], [*SALE_PRODUCT_FIELDS, "available_qty"], "products", max_items, chosen)
-    return sales.join(nested.withColumnRenamed("sale_id", "id"), "id", "left")
+    own = chosen.filter("id IS NOT NULL").select(F.col("sale_id").alias("id"))
+    return headed(sales, nested.withColumnRenamed("sale_id", "id"), "id", own)
 
 
 def order_lines(order_items: DataFrame, products: DataFrame) -> DataFrame:

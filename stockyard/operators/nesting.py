@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockyard.operators.blocks import row_numbers
+from stockyard.operators.blocks import stored_ranks
 from stockyard.operators.sizing import broadcast_when, is_small
 from stockyard.session import store
 
@@ -31,10 +31,11 @@ def nest(
     ranked if no group has several parts; a group of at most `IN_TASK` details is
     ranked by the task that nests it, a larger one over blocks. Sizes come from
     `counted` if given, a table with at least the details of every group that is
-    cheaper to read (the details before their joins).
+    cheaper to read (the details before their joins). Where all groups are larger,
+    `details` is derived once.
     """
     counts = (details if counted is None else counted).groupBy(*by).agg(F.count("*").alias("_n"))
-    most = counts.agg(F.max("_n")).first()[0] or 0
+    most, least = counts.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.min("_n"), F.lit(0))).first()
     items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
     part = F.expr(f"(_rank - 1) div {int(max_items)}").cast("int").alias("part")
 
@@ -52,15 +53,30 @@ def nest(
 
     if most <= IN_TASK:
         return parted(ranked_in_tasks(details))
+
+    def ranked_over_blocks(rows: DataFrame) -> DataFrame:
+        return stored_ranks(rows.select(*by, *fields), by, fields, "_rank")
+
+    if least > IN_TASK:
+        return parted(ranked_over_blocks(details))
     large = store(counts.filter(F.col("_n") > IN_TASK).select(*by))
     marked = broadcast_when(is_small(large), large)
     small = details.join(marked, list(by), "left_anti")
-    # The row id keeps equal details apart, so that many of them still spread over the blocks.
-    rows = details.join(marked, list(by), "left_semi").withColumn("_row", F.monotonically_increasing_id())
-    ranked = row_numbers(rows, by, [*fields, "_row"], "_rank")
+    ranked = ranked_over_blocks(details.join(marked, list(by), "left_semi"))
     return parted(ranked_in_tasks(small)).unionByName(parted(ranked))
 
 
+def headed(headers: DataFrame, nested: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """`headers` left-joined to their `nested` rows; `keys` has the key of every detail that was nested.
+
+    A left join can only move the nested rows to their key, a task per header; an
+    inner join broadcasts the headers when they turn out to be few.
+    """
+    matched = headers.join(nested, key)
+    lonely = headers.join(keys.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(lonely, allowMissingColumns=True)
+
+
 def digest(array: str, fields: Sequence[str]) -> Column:
     """An array of structs as text: fields joined by ',', elements by '|'."""
     return F.concat_ws(

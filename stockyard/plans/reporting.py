@@ -123,6 +123,7 @@ def sale_detail_live(v):
     ),
 )
 def sale_detail_document(v):
+    v.store_allocations()
     docs = L.sale_detail_live(v.sales, v.sale_products, v.products, v.live_counters, max_items=NEST)
     return _flat(docs, "products", [*L.SALE_PRODUCT_FIELDS, "available_qty"])
 

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockyard.session import store
+
 SALES_AS_OF = "2001-06-15 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 # A sale product's id is sale_id * LINE_IDS + product_id; more than there are products at any scale.
@@ -135,6 +137,11 @@ class Fixtures:
             "live_lines",
         )
 
+    def store_allocations(self) -> "Fixtures":
+        """Derive the sale products and counters once, for queries that read them several times."""
+        self._allocations = store(self._allocations, "allocations")
+        return self
+
     @cached_property
     def sale_products(self) -> DataFrame:
         return self._allocations.drop("live_lines")

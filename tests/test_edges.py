@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockyard.functions import scalars as S
-from stockyard.operators import listings, nesting, outbox, reconcile, reports, rules, transitions
+from stockyard.operators import blocks, listings, nesting, outbox, reconcile, reports, rules, transitions
+from stockyard.plans.catalog import QUERIES
 from stockyard.schemas import TABLES, struct
 from stockyard.sources.events import decode_events, decoded, quarantined
 from stockyard.sources.fixtures import Fixtures, ts
@@ -397,3 +398,28 @@ def test_admin_page_when_most_orders_have_no_items(spark):
     assert sorted(r.id for r in own.collect()) == list(range(23, 30))
     detail = listings.order_detail(orders.filter("id = 3 AND user_id = 1"), sales, items, products).collect()
     assert [x.product_name for x in detail[0]["items"]] == ["p"]
+
+
+def test_large_groups_alone_derive_their_details_once(spark, monkeypatch):
+    monkeypatch.setattr(nesting, "IN_TASK", 50)
+    df = spark.createDataFrame([(g, i % 40) for g in (1, 2, None) for i in range(120)], "g INT, i INT")
+    nested = nesting.nest(df, ["g"], ["i"], "items", max_items=25)
+    assert "Union" not in nested._jdf.queryExecution().optimizedPlan().toString()
+    for g in (1, 2, None):
+        rows = sorted((r for r in nested.collect() if r.g == g), key=lambda r: r.part)
+        assert [r.part for r in rows] == list(range(5))
+        assert [x.i for r in rows for x in r["items"]] == sorted(i % 40 for i in range(120))
+
+
+def test_ranks_over_stored_blocks_with_equal_rows(spark):
+    rows = [(k, i // 7) for k in range(3) for i in range(100)] + [(9, 1)] * 200
+    ranked = blocks.stored_ranks(spark.createDataFrame(rows, "k INT, i INT"), ["k"], ["i"]).collect()
+    for k, n in ((0, 100), (1, 100), (2, 100), (9, 200)):
+        own = sorted((r.rn, r.i) for r in ranked if r.k == k)
+        assert [rn for rn, _ in own] == list(range(1, n + 1)) and [i for _, i in own] == sorted(i for _, i in own)
+
+
+def test_sale_documents_derive_the_allocations_once(spark):
+    for name in ("sale_detail_document",):
+        docs = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not any("lineitem" in f for f in docs.inputFiles())
