@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.scalars import millis_between, round_half_up
 from stockyard.operators.listings import newest_first, order_lines, page, where_all
-from stockyard.operators.nesting import MAX_ITEMS, nest
+from stockyard.operators.nesting import MAX_ITEMS, headed, nest
 from stockyard.operators.sizing import left_join_many
 from stockyard.schemas import LIVE_ORDER_STATUSES, ORDER_STATUSES, SALE_STATUSES
 from stockyard.session import pin
@@ -297,7 +297,8 @@ def nested_sale_products(sales: DataFrame, sale_products: DataFrame, max_items:
         "products",
         max_items,
     )
-    return sales.join(nested.withColumnRenamed("sale_id", "id"), "id", "left")
+    own = sale_products.select(F.col("sale_id").alias("id"))
+    return headed(sales, nested.withColumnRenamed("sale_id", "id"), "id", own)
 
 
 def count_distinct_orders(

@@ -419,7 +419,27 @@ def test_ranks_over_stored_blocks_with_equal_rows(spark):
         assert [rn for rn, _ in own] == list(range(1, n + 1)) and [i for _, i in own] == sorted(i for _, i in own)
 
 
+def _sale_frames(spark, folder):
+    sales = [(i, f"s{i}", datetime(2024, 1, i + 1), datetime(2024, 1, i + 9), "ENDED", datetime(2024, 1, 1)) for i in range(4)]
+    kinds = "id BIGINT, name STRING, start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ, status STRING, created_at TIMESTAMP_NTZ"
+    spark.createDataFrame(sales, kinds).write.parquet(f"{folder}/sales")
+    lines = [(10 * s + p, s, p, p, 5, 1) for s in (0, 2) for p in range(7)] + [(99, None, 1, 1, 5, 1)]
+    kinds = "id BIGINT, sale_id BIGINT, product_id BIGINT, sale_price INT, total_qty INT, reserved_qty INT"
+    spark.createDataFrame(lines, kinds).write.parquet(f"{folder}/lines")
+    products = spark.createDataFrame([(p, f"p{p}", "d", "k") for p in range(6)], "id BIGINT, name STRING, description STRING, image_key STRING")
+    return spark.read.parquet(f"{folder}/sales"), spark.read.parquet(f"{folder}/lines"), products
+
+
+def test_headers_do_not_move_their_nested_rows(spark, tmp_path):
+    sales, lines, products = _sale_frames(spark, tmp_path)
+    docs = reports.nested_sale_products(sales, lines, max_items=3)
+    assert "LeftOuter" not in docs._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.id, r.part, None if r.products is None else len(r.products)) for r in docs.filter("id % 2 = 0").collect())
+    assert got == [(s, k, n) for s in (0, 2) for k, n in enumerate((3, 3, 1))]
+    assert sorted((r.id, r.part, r.products) for r in docs.filter("id % 2 = 1").collect()) == [(1, None, None), (3, None, None)]
+
+
 def test_sale_documents_derive_the_allocations_once(spark):
-    for name in ("sale_detail_document",):
+    for name in ("sale_detail_document", "nested_sale_products"):
         docs = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert not any("lineitem" in f for f in docs.inputFiles())
