@@ -112,12 +112,13 @@ def list_sales_catalog(
     are then filtered by a broadcast instead of shuffled.
     """
     _, n, offset = clamp_page(page_no, limit)
-    chosen = page(where_all(sales, status_is(status)), newest_first("start_time"), offset, n, "position")
+    chosen = pin(page(where_all(sales, status_is(status)), newest_first("start_time"), offset, n, "position"))
     lines = store(sale_products.join(chosen.select(F.col("id").alias("sale_id")), "sale_id", "left_semi"))
     near = products.join(lines.select(F.col("product_id").alias("id")), "id", "left_semi")
     nested = nest(sale_lines(lines, near), ["sale_id"], SALE_PRODUCT_FIELDS, "products", max_items, lines)
     columns = ["position", "id", "name", "start_time", "end_time", "status", "created_at", "part", "products"]
-    listed = chosen.join(nested.withColumnRenamed("sale_id", "id"), "id", "left").select(*columns)
+    own = lines.withColumn("id", F.col("sale_id"))
+    listed = headed(F.broadcast(chosen), nested.withColumnRenamed("sale_id", "id"), "id", own).select(*columns)
     return listed.orderBy("position", "part")
 
 

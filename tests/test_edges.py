@@ -439,6 +439,14 @@ def test_headers_do_not_move_their_nested_rows(spark, tmp_path):
     assert sorted((r.id, r.part, r.products) for r in docs.filter("id % 2 = 1").collect()) == [(1, None, None), (3, None, None)]
 
 
+def test_page_of_sales_is_cut_once(spark, tmp_path):
+    sales, lines, products = _sale_frames(spark, tmp_path)
+    listed = listings.list_sales_catalog(sales, lines, products, status="ended", limit=3, max_items=5)
+    assert not any(f"{tmp_path}/sales" in f for f in listed.inputFiles())
+    got = [(r.position, r.id, r.part, r.products and len(r.products)) for r in listed.collect()]
+    assert got == [(1, 3, None, None), (2, 2, 0, 5), (2, 2, 1, 2), (3, 1, None, None)]
+
+
 def test_sale_documents_derive_the_allocations_once(spark):
     for name in ("sale_detail_document", "nested_sale_products"):
         docs = QUERIES[name](spark, "/root/testdata/sf0.001")
