@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.operators.blocks import stored_ranks
-from stockyard.operators.sizing import broadcast_when, is_small
+from stockyard.operators.sizing import SMALL_ROWS, broadcast_when, is_small
 from stockyard.session import store
 
 MAX_ITEMS = 10_000
@@ -31,11 +31,11 @@ def nest(
     ranked if no group has several parts; a group of at most `IN_TASK` details is
     ranked by the task that nests it, a larger one over blocks. Sizes come from
     `counted` if given, a table with at least the details of every group that is
-    cheaper to read (the details before their joins). Where all groups are larger,
-    `details` is derived once.
+    cheaper to read (the details before their joins). If one group is larger, all
+    are ranked over blocks unless there are very many, so `details` is derived once.
     """
     counts = (details if counted is None else counted).groupBy(*by).agg(F.count("*").alias("_n"))
-    most, least = counts.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.min("_n"), F.lit(0))).first()
+    most, groups = counts.agg(F.coalesce(F.max("_n"), F.lit(0)), F.count("*")).first()
     items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
     part = F.expr(f"(_rank - 1) div {int(max_items)}").cast("int").alias("part")
 
@@ -57,7 +57,7 @@ def nest(
     def ranked_over_blocks(rows: DataFrame) -> DataFrame:
         return stored_ranks(rows.select(*by, *fields), by, fields, "_rank")
 
-    if least > IN_TASK:
+    if groups <= SMALL_ROWS:  # so few that a row for each may be broadcast
         return parted(ranked_over_blocks(details))
     large = store(counts.filter(F.col("_n") > IN_TASK).select(*by))
     marked = broadcast_when(is_small(large), large)

@@ -400,11 +400,13 @@ def test_admin_page_when_most_orders_have_no_items(spark):
     assert [x.product_name for x in detail[0]["items"]] == ["p"]
 
 
-def test_large_groups_alone_derive_their_details_once(spark, monkeypatch):
+@pytest.mark.parametrize("few", [4, 3])
+def test_few_groups_derive_their_details_once(spark, monkeypatch, few):
     monkeypatch.setattr(nesting, "IN_TASK", 50)
-    df = spark.createDataFrame([(g, i % 40) for g in (1, 2, None) for i in range(120)], "g INT, i INT")
+    monkeypatch.setattr(nesting, "SMALL_ROWS", few)
+    df = spark.createDataFrame([(g, i % 40) for g in (1, 2, None) for i in range(120)] + [(3, 0)], "g INT, i INT")
     nested = nesting.nest(df, ["g"], ["i"], "items", max_items=25)
-    assert "Union" not in nested._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Union" in nested._jdf.queryExecution().optimizedPlan().toString()) == (few < 4)
     for g in (1, 2, None):
         rows = sorted((r for r in nested.collect() if r.g == g), key=lambda r: r.part)
         assert [r.part for r in rows] == list(range(5))
