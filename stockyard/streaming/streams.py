@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.operators.outbox import routed
@@ -19,14 +19,16 @@ from stockyard.operators.transitions import (
 from stockyard.session import scratch, store
 from stockyard.streaming.folded import FOLD_EVERY, FoldedLog
 from stockyard.streaming.processors import (
-    DEADLINE_OUT,
+    ALERTS_OUT,
     LEVEL_OUT,
     LIMIT_OUT,
     MOVED_OUT,
-    Deadline,
+    PACKED,
     OrderStatus,
+    PackedDeadline,
     SlidingWindow,
     StockLevel,
+    pack_changes,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,8 +106,12 @@ def _timed(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay).drop("ts")
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")
+
+
 def _bucketed(rows: DataFrame, key: str, buckets: int) -> GroupedData:
-    return rows.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).groupBy("bucket")
+    return rows.select("*", _bucket(key, buckets)).groupBy("bucket")
 
 
 def limit_stream(calls: DataFrame, limit: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
@@ -136,8 +142,16 @@ def deadline_stream(changes: DataFrame, age_ms: int, delay: str = "10 minutes")
     the deadline. Changes behind the watermark are judged too: a late opening alerts
     at once if its deadline has passed, a late closing is remembered as any other.
     """
-    keyed = _bucketed(_timed(changes, delay), "key", OPEN_BUCKETS)
-    return keyed.transformWithState(Deadline(age_ms), DEADLINE_OUT, "Append", "EventTime")
+    rows = _timed(changes, delay).select(
+        _bucket("key", OPEN_BUCKETS),
+        F.col("key").cast("bigint"),
+        "ms",
+        *[F.col("kind").eqNullSafe(kind).alias(kind) for kind in ("open", "close")],
+    )
+    keyed = rows.mapInArrow(pack_changes, PACKED).groupBy("bucket")
+    alerts = keyed.transformWithState(PackedDeadline(age_ms), ALERTS_OUT, "Append", "EventTime")
+    each = alerts.select(F.inline(F.arrays_zip("key", "opened_ms")))
+    return each.withColumn("due_ms", F.col("opened_ms") + age_ms)
 
 
 def stuck_order_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:

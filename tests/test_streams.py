@@ -7,6 +7,7 @@ from decimal import Decimal
 from pathlib import Path
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from stockyard.operators import ledger, limits, reports
 from stockyard.plans.catalog import QUERIES
 from stockyard.sources.events import event_stream
 from stockyard.sources.fixtures import ts
-from stockyard.streaming import streams
+from stockyard.streaming import processors, streams
 from stockyard.streaming.folded import FoldedLog
 from stockyard.streaming.processors import Deadline, OrderStatus
 
@@ -411,3 +412,68 @@ def test_orders_of_a_bucket_cost_two_calls_of_the_state_store():
     moved = [tuple(r) for r in orders.handleInputRows((0,), iter(paid), None)]
     assert sorted(moved) == [(-1, 2, [9], None, "FAILED", None, 7), (3, 1, [3], "PENDING", "CONFIRMED", 5, 5)]
     assert state.calls == 4 and len(state.value[0]) == 1001
+
+
+def _late(changes, age):
+    """Alerts, and (opened, due) of what stays, of one key's changes: ms, kind."""
+    opened = due = closed = None
+    late = []
+    for ms, kind in sorted(changes, key=lambda c: (c[0], c[1] == "close")):
+        if kind == "open" and opened is None:
+            opened, due = (ms, ms + age + 1) if due is None else (None, None)
+        elif kind != "open" and opened is not None:
+            late += [opened] if ms >= due else []
+            opened, due, closed = None, None, ms
+        elif kind != "open" and closed is None:
+            due = ms + age + 1
+    return late, (opened, due)
+
+
+@pytest.mark.parametrize("crowd", [1, 20, 10_000])
+def test_packed_changes_are_judged_as_one_by_one(monkeypatch, crowd):
+    monkeypatch.setattr(processors, "CROWD", crowd)
+    rng, row, state = random.Random(crowd), namedtuple("row", "bucket changes"), _State()
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 2**60)
+    deadlines = processors.PackedDeadline(100)
+    deadlines.init(state)
+    kinds = ["open", "open", "close", "close", "tick"]
+    times = rng.sample(range(5000), 900)
+    rows = [(rng.choice([None, 0, -5, *range(1, 200)]) if k % 3 else 7, ms, rng.choice(kinds)) for k, ms in enumerate(times)]
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([0 if key is None else key % 3 for key, _, _ in rows], pa.int32()),
+            pa.array([key for key, _, _ in rows], pa.int64()),
+            pa.array([ms for _, ms, _ in rows], pa.int64()),
+            *[pa.array([kind == name for _, _, kind in rows]) for name in ("open", "close")],
+        ],
+        ["bucket", "key", "ms", "open", "close"],
+    )
+    packed = [row(*r.values()) for b in processors.pack_changes([batch.slice(0, 400), batch.slice(400)]) for r in b.to_pylist()]
+    assert sorted(r.bucket for r in packed) == [0, 1, 2]
+    for bucket in range(3):
+        own = [r for r in packed if r.bucket == bucket]
+        late, kept = {}, {}
+        for key in {key for key, _, _ in rows if (0 if key is None else key % 3) == bucket}:
+            late[key], kept[key] = _late([(ms, kind) for k, ms, kind in rows if k == key], 100)
+        got = [pair for r in deadlines.handleInputRows((bucket,), iter(own), None) for pair in zip(*r)]
+        assert sorted(got, key=str) == sorted(((k, at) for k, ats in late.items() for at in ats), key=str)
+        assert state.timers == {min(due for _, due in kept.values() if due is not None)}
+        fired = [pair for r in deadlines.handleExpiredTimer((bucket,), passed, None) for pair in zip(*r)]
+        assert sorted(fired, key=str) == sorted(((k, opened) for k, (opened, _) in kept.items() if opened is not None), key=str)
+        state.timers.clear()
+
+
+def test_the_state_of_a_bucket_goes_on_with_the_next_batch():
+    row, state = namedtuple("row", "key ms kind"), _State()
+    deadlines = Deadline(100)
+    deadlines.init(state)
+    first = [row(k, k, "open") for k in range(100)] + [row(k, 500 + k, "close") for k in range(100, 150)] + [row(None, 3, "open")]
+    assert not list(deadlines.handleInputRows((0,), iter(first), None))
+    then = [row(k, 150, "close") for k in range(0, 100, 2)] + [row(k, 480 + k, "open") for k in range(100, 150)] + [row(None, 4, "close")]
+    late = [tuple(r) for r in deadlines.handleInputRows((0,), iter(then), None)]
+    assert sorted(late) == [(k, k, k + 100) for k in range(0, 50, 2)]
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 151)
+    fired = [tuple(r) for r in deadlines.handleExpiredTimer((0,), passed, None)]
+    assert sorted(fired) == [(k, k, k + 100) for k in range(1, 50, 2)]
+    assert sorted(r.key for r in deadlines.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6), None)) == list(range(51, 100, 2))
+    assert state.value is None
