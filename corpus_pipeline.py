@@ -26,6 +26,8 @@ _OWN_KEYS = 1 << 62
 
 #: Rows of a batch that goes to Python.
 _BATCH_ROWS = 1000
+#: Distinct units that a worker remembers here, beside what the earlier stages have left of an executor's memory.
+_REMEMBERED = 100_000
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -111,7 +113,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, and whether decoding gives the text back."""
     _small_batches(spark)
-    rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), pieces.encode(piece_model()).alias("e"))
+    rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), pieces.encode(piece_model(), remembered=_REMEMBERED).alias("e"))
     return rows.select(
         "doc_id",
         "lang",

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stockyard.llm.kernels import HashTable, lean, worker_memory
+from stockyard.llm.kernels import HashTable, give_back, lean, runs, utf8, worker_memory
 from stockyard.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -38,6 +38,8 @@ ship_by_value(__name__)
 SPACE = "▁"
 #: Distinct units that a worker remembers.
 REMEMBERED = 400_000
+#: Rows and bytes of texts that are encoded together.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
 #: Longer units are not remembered.
 UNIT_CHARS = 40
 #: Bits of a symbol's code: pieces and all characters of Unicode.
@@ -75,6 +77,7 @@ class Pieces:
             self.units = re.compile(f"[{self.apart}]|{SPACE}*[^{SPACE}{self.apart}]+|{SPACE}+").findall
         else:
             self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.remembered = REMEMBERED
         self.known: dict[str, str] = {}  # unit to its ids, joined by commas
         self.odd: dict[str, str] = {}  # units whose ids do not spell them, and what they spell
         self.differing: set[str] = set()
@@ -238,7 +241,7 @@ class Pieces:
         cut = [self.units(m) if m else [] for m in marked]
         own = {u for units in cut for u in units if len(u) <= UNIT_CHARS}
         new = own - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:  # forget all, but learn what this batch needs
+        if len(self.known) + len(new) > self.remembered:  # forget all, but learn what this batch needs
             self.known.clear()
             self.odd.clear()
             self.differing.clear()
@@ -276,21 +279,33 @@ def loaded(model_file: str) -> Pieces:
     return memory[model_file]
 
 
-def encode(model_file: str, text: str | Column = "text", with_ids: bool = True) -> Column:
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in slices of a bounded number of rows and bytes, or of one row."""
+    _, offsets = utf8(texts)
+    for lo, hi in runs(offsets, SLICE_BYTES):
+        for at in range(lo, hi, SLICE_ROWS):
+            yield texts.slice(at, min(SLICE_ROWS, hi - at))
+
+
+def encode(model_file: str, text: str | Column = "text", with_ids: bool = True, remembered: int | None = None) -> Column:
     """A struct column: ids, n_tokens, ids_sha256, decoded, decoded_sha256, agreed.
 
-    Without `with_ids` the ids and the decoded text themselves are left out.
+    Without `with_ids` the ids and the decoded text themselves are left out. `remembered`
+    distinct units (`REMEMBERED` by default) are kept per worker; fewer take less memory
+    and more time. With it given, memory also goes back to the system after every slice.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = loaded(model_file)
+        pieces.remembered = remembered or REMEMBERED
         types = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
         names = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "agreed")
         for texts in batches:
-            for lo in range(0, len(texts), 256):  # results go on at once, not as one large batch
-                rows = list(pieces.encode_batch(texts.slice(lo, 256).to_pylist(), with_ids))
-                columns = zip(*rows, strict=True)
+            for part in slices(texts):  # results go on at once, not as one large batch
+                columns = zip(*pieces.encode_batch(part.to_pylist(), with_ids), strict=True)
                 yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                if remembered:
+                    give_back()
 
     encoded = F.arrow_udf(lean(run, "pieces"), RESULT)
     return encoded(F.col(text) if isinstance(text, str) else text)

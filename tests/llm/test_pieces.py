@@ -1,9 +1,11 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from stockyard.llm import pieces
 from stockyard.llm.queries import QUERIES, piece_model
 
@@ -67,3 +69,26 @@ def test_awkward_rows(spark, vocabulary):
         assert row.e.ids == vocabulary.library.encode(row.text or "") and row.e.agreed
         assert row.e.decoded == vocabulary.library.decode(row.e.ids)
     assert docs.where("false").select(pieces.encode(piece_model()).alias("e")).collect() == []
+
+
+def test_slices_bound_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE_ROWS", 3)
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 10)
+    texts = pa.array(["a" * 4, "b" * 4, "c" * 4, None, "", "", "", "d" * 50, "é" * 6, "e"])
+    parts = [part.to_pylist() for part in pieces.slices(texts)]
+    assert [t for part in parts for t in part] == texts.to_pylist()
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10) for p in parts)
+    assert list(pieces.slices(texts.slice(0, 0))) == []
+
+
+def test_pipeline_remembers_fewer_units_with_the_same_ids(spark, vocabulary, monkeypatch):
+    asked = []
+    encode = pieces.encode
+    monkeypatch.setattr(pieces, "encode", lambda *a, **named: asked.append(named.get("remembered")) or encode(*a, **named))
+    docs = awkward(spark)
+    rows = corpus_pipeline.tokenize(spark, docs, FOLDER).collect()
+    assert 0 < asked[0] <= pieces.REMEMBERED // 4
+    texts = sorted(r.text or "" for r in docs.collect())
+    assert sorted(r.ids for r in rows) == sorted(vocabulary.library.encode(t) for t in texts)
+    few = docs.select("text", encode(piece_model(), remembered=5).alias("e")).collect()
+    assert all(r.e.ids == vocabulary.library.encode(r.text or "") and r.e.agreed for r in few)
