@@ -63,16 +63,22 @@ IBAN_LENGTHS = {
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 _HAS_ANY = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}")
+#: What keeps its form under a pseudonym and may follow a card, so a card's run ends before it both ways.
+_EMAIL = r"(?<![\w.%+\-])[\w.%+\-]{0,63}[\w%+\-]@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}(?![\w\-])"
+_IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"
+_DATE = r"(?<![\w./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\w|[./\-][0-9])"
+_SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
+_PHONE = (
+    r"(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
+    r"|(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4})(?!\w)"
+)
 _FIND = re.compile(
-    r"(?P<email>(?<![\w.%+\-])[\w.%+\-]{0,63}[\w%+\-]@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}(?![\w\-]))"
+    rf"(?P<email>{_EMAIL})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w))"
-    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
-    r"|(?P<date>(?<![\w./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\w|[./\-][0-9]))"
-    r"|(?P<ssn>(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
-    r"|(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4})(?!\w))"
-    r"|(?P<card>(?<![\w.])[0-9](?:[ \-]?[0-9]){12,18}(?!\w))"
+    rf"|(?P<ip>{_IP})|(?P<date>{_DATE})|(?P<ssn>{_SSN})|(?P<phone>{_PHONE})"
+    r"|(?P<card>(?<![\w.])[0-9](?:[ \-]?[0-9]){12}"
+    rf"(?:(?:[ \-](?!{_EMAIL}|{_IP}|{_DATE}|{_SSN}|{_PHONE}))?[0-9]){{0,6}}(?!\w))"
 )
 
 

@@ -95,6 +95,16 @@ def test_card_and_what_follows_have_a_way_back(body, after):
     assert BACK.replace(out) == (text, kinds)
 
 
+def test_what_follows_a_card_is_no_part_of_it():
+    follows = [(f"{a:03d}-01-0020", "ssn") for a in range(1, 120)] + [(f"555-{k}-4567", "phone") for k in range(100, 220)]
+    follows += [(f"2020-01-{k:02d}", "date") for k in range(1, 29)] + [(f"{k:02d}/01/2020", "date") for k in range(1, 13)]
+    follows += [(f"10.0.0.{k}", "ip") for k in range(99)] + [(f"{k}@example.com", "email") for k in range(10, 99)]
+    for card in ("0000000000000", "4111 1111 1111 1111"):
+        for after, kind in follows:
+            out, kinds = HIDE.replace(f"{card} {after}")
+            assert kinds == ["card", kind] and BACK.replace(out) == (f"{card} {after}", kinds), after
+
+
 def test_all_of_a_day_written_first_stays_told():
     for day in range(13, 32):
         out = HIDE.replace(f"{day}/01/1980")[0]
