@@ -44,6 +44,8 @@ SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
 UNIT_CHARS = 40
 #: Bits of a symbol's code: pieces and all characters of Unicode.
 CODE_BITS = 21
+#: The rank of pairs that form no piece; it stands last in the ranks, where a pair that is not found (-1) looks.
+NEVER = 1 << 30
 
 RESULT = "struct<ids: array<int>, n_tokens: bigint, ids_sha256: string, decoded: string, decoded_sha256: string, agreed: boolean>"
 
@@ -81,6 +83,7 @@ class Pieces:
         self.known: dict[str, str] = {}  # unit to its ids, joined by commas
         self.odd: dict[str, str] = {}  # units whose ids do not spell them, and what they spell
         self.differing: set[str] = set()
+        self.odd_codes: list[int] = []  # characters whose ids do not spell them
         self._pairs()
 
     def _pairs(self) -> None:
@@ -101,7 +104,7 @@ class Pieces:
                     merged.append(i)
                     ranks.append(order[self.scores[piece]])
         self.pairs = HashTable(np.array(keys, np.uint64))
-        self.merged, self.ranks = np.array(merged, np.int64), np.array(ranks, np.int64)
+        self.merged, self.ranks = np.array(merged, np.int64), np.array([*ranks, NEVER], np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.code_of_character[ord(piece)] = i
@@ -119,36 +122,50 @@ class Pieces:
             ids = [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
             self.spelled.append(",".join(map(str, ids)))
             self.texts.append(self.spell(ids))
+            if self.texts[-1] != symbol.replace(SPACE, " "):
+                self.odd_codes.append(code)
         return code
 
-    def merge_all(self, units: list[str]) -> tuple[list[str], list[str]]:
-        """The ids of many units, joined by commas, and what these spell: one step merges the first pair of every agenda."""
-        out, spelled = [""] * len(units), [""] * len(units)
+    def merge_all(self, units: list[str]) -> tuple[list[str], dict[str, str]]:
+        """The ids of many units, joined by commas, and what those spell that do not spell the unit: one step merges the first pair of every agenda."""
+        out, odd = [""] * len(units), {}
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         for c in np.unique(points[self.code_of_character[points] < 0]):
             self._code(chr(c))
         codes = self.code_of_character[points]
         rows = np.repeat(np.arange(len(units)), [len(u) for u in units])
-        never = np.int64(1 << 62)
+        # For each symbol the pair that it begins, and the rank of the piece that the pair forms.
+        at, rank = np.full(len(codes), -1, np.int32), np.full(len(codes), NEVER)
+        redo = np.flatnonzero(rows[:-1] == rows[1:])
         while len(codes):
-            first = np.full(len(codes), never)
-            at = self.pairs.find((codes[:-1] << CODE_BITS | codes[1:]).astype(np.uint64))
-            able = np.flatnonzero((at >= 0) & (rows[:-1] == rows[1:]))
-            first[able] = (self.ranks[at[able]] << 32) | able
+            at[redo] = found = self.pairs.find((codes[redo] << CODE_BITS | codes[redo + 1]).astype(np.uint64))
+            rank[redo] = self.ranks[found]
             heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            best = np.minimum.reduceat(first, heads)
-            done = best == never
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(codes)), heads)
+            done = best >= NEVER << 32
             left = (best[~done] & 0xFFFFFFFF).astype(np.int64)
-            ends = np.append(heads[1:], len(codes))
-            ended = codes.tolist() if done.any() else []
-            for row, a, b in zip(rows[heads[done]].tolist(), heads[done].tolist(), ends[done].tolist(), strict=True):
-                out[row] = ",".join([self.spelled[c] for c in ended[a:b]])
-                spelled[row] = "".join([self.texts[c] for c in ended[a:b]])
-            keep = np.repeat(~done, ends - heads)
+            sizes = np.diff(np.append(heads, len(codes)))
+            keep = np.repeat(~done, sizes)
+            if done.any():
+                last, ends = codes[~keep], np.cumsum(sizes[done]).tolist()
+                spelled = [self.spelled[c] for c in last.tolist()]
+                strange = set(rows[~keep][np.isin(last, self.odd_codes)].tolist()) if self.odd_codes else ()
+                for row, a, b in zip(rows[heads[done]].tolist(), [0, *ends[:-1]], ends, strict=True):
+                    out[row] = ",".join(spelled[a:b])
+                    if row in strange:
+                        odd[units[row]] = "".join([self.texts[c] for c in last[a:b]])
             codes[left] = self.merged[at[left]]
             keep[left + 1] = False
-            codes, rows = codes[keep], rows[keep]
-        return out, spelled
+            # Only the pairs on either side of a merged one are new.
+            at[left] = -1
+            rank[left] = NEVER
+            left = np.cumsum(keep)[left] - 1
+            codes, rows, at, rank = codes[keep], rows[keep], at[keep], rank[keep]
+            begun = left[left + 1 < len(codes)]
+            begun = begun[rows[begun] == rows[begun + 1]]
+            before = left[left > 0] - 1
+            redo = np.concatenate([begun, before[rows[before] == rows[before + 1]]])
+        return out, odd
 
     def merge(self, unit: str) -> list[int]:
         """The ids of a unit, by its agenda of adjacent pairs."""
@@ -216,30 +233,33 @@ class Pieces:
         if not units:
             return
         short = [u for u in units if len(u) <= UNIT_CHARS]
-        joined, spelled = self.merge_all(short)
-        for unit in units:
-            if len(unit) > UNIT_CHARS:
-                ids = self.merge(unit)
-                short.append(unit)
-                joined.append(",".join(map(str, ids)))
-                spelled.append(self.spell(ids))
+        joined, odd = self.merge_all(short)
         found = dict(zip(short, joined, strict=True))
+        if len(short) < len(units):
+            for unit in [u for u in units if len(u) > UNIT_CHARS]:
+                ids = self.merge(unit)
+                found[unit] = ",".join(map(str, ids))
+                if (text := self.spell(ids)) != unit.replace(SPACE, " "):
+                    odd[unit] = text
         # The library puts a space mark in front; what it gives for a character apart is dropped again.
         lead = self.apart[:1]
         drop = 1 + len(self.merge(lead)) if lead else 0
         asked = [u for u in units if len(u) > 1 and (u[0] == SPACE or lead)]
         given = self.library.encode([u[1:] if u[0] == SPACE else lead + u for u in asked], num_threads=1)
+        spelled = self.spelled
         for unit, ids in zip(asked, given, strict=True):
             ids = ids if unit[0] == SPACE else ids[drop:]
-            if ",".join(map(str, ids)) != found[unit]:
+            if ",".join([spelled[i] for i in ids]) != found[unit]:
                 self.differing.add(unit)
-        self.odd.update((u, text) for u, text in zip(short, spelled, strict=True) if text != u.replace(SPACE, " "))
+        self.odd.update(odd)
         self.known.update(found)
 
     def encode_batch(self, texts: list[str | None], with_ids: bool) -> Iterator[tuple]:
         marked = [(SPACE + t).replace(" ", SPACE) if t else "" for t in texts]
         cut = [self.units(m) if m else [] for m in marked]
-        own = {u for units in cut for u in units if len(u) <= UNIT_CHARS}
+        own = set().union(*cut)
+        long = {u for u in own if len(u) > UNIT_CHARS}
+        own -= long
         new = own - self.known.keys()
         if len(self.known) + len(new) > self.remembered:  # forget all, but learn what this batch needs
             self.known.clear()
@@ -248,12 +268,12 @@ class Pieces:
             new = own
         self.learn(list(new))
         for mark, units in zip(marked, cut, strict=True):
-            rest = {u for u in units if u not in self.known}  # the long ones
-            self.learn(list(rest))
-            csv = ",".join([self.known[u] for u in units])
+            rest = long.intersection(units) if long else ()
+            if rest:
+                self.learn(list(rest))
+            csv = ",".join(map(self.known.__getitem__, units))
             for u in rest:
-                if len(u) > UNIT_CHARS:
-                    self.known.pop(u, None)
+                self.known.pop(u, None)
             # Every unit's ids spell it again, or it is among the odd ones.
             if self.odd and not self.odd.keys().isdisjoint(units):
                 decoded = "".join([self.odd.get(u, u.replace(SPACE, " ")) for u in units])

@@ -92,3 +92,15 @@ def test_pipeline_remembers_fewer_units_with_the_same_ids(spark, vocabulary, mon
     assert sorted(r.ids for r in rows) == sorted(vocabulary.library.encode(t) for t in texts)
     few = docs.select("text", encode(piece_model(), remembered=5).alias("e")).collect()
     assert all(r.e.ids == vocabulary.library.encode(r.text or "") and r.e.agreed for r in few)
+
+
+def test_a_merge_looks_up_only_the_pairs_beside_it(vocabulary):
+    """All pairs of a unit are looked up once, then two for each merge."""
+    own = pieces.Pieces(piece_model())
+    asked, find = [], own.pairs.find
+    own.pairs.find = lambda keys: asked.append(len(keys)) or find(keys)
+    units = ["▁considerations", "▁zqxj", "straße", "▁" * 9, "日本語", "a", "▁international"]
+    joined, odd = own.merge_all(units)
+    assert joined == [",".join(map(str, vocabulary.merge(u))) for u in units] and odd == {}
+    symbols = sum(map(len, units))
+    assert sum(asked) <= (symbols - len(units)) + 2 * (symbols - sum(j.count(",") + 1 for j in joined if j))
