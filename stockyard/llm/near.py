@@ -13,7 +13,8 @@ most sets are done after a few.
    shingle sets, and linked ones are joined into components. Members of one component
    need no further comparison. Nodes of buckets that still hold several components are
    compared across components by an exact prefix filter: they meet on their rarest
-   shared shingles only, and if bitmaps of their sets are near enough. So no link is left out, and neither a large group of copies
+   shared shingles only, and if bitmaps of their sets are near enough. A node meets a few nodes of a large component first and
+   the rest of it only without a link to those. So no link is left out, and neither a large group of copies
    nor many texts around one passage give all their pairs.
 4. Components of the links; every document takes that of its class.
 
@@ -47,6 +48,8 @@ ship_by_value(__name__)
 BANDS, ROWS = 32, 5
 #: 64-bit words of the bitmap that stands for a set: each shingle sets one bit.
 WORDS = 8
+#: Nodes of a large component that others are held against first, at each shingle, and the growth of this number.
+FEW, MORE = 8, 8
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALT = np.random.default_rng(9).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -218,16 +221,14 @@ def _open_nodes(rows: DataFrame, known: DataFrame) -> DataFrame:
     return store(placed.join(opened, "bucket").select("node", "n", "component").distinct(), "open-nodes")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that may be similar; no similar pair is left out.
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows s, node, n, after: the shingles at which nodes of different components have to meet.
 
     Shingles are ordered: first those that only one component has, then the others
     from rare to frequent. Two similar sets have at least `percent` of either in
-    common, so they share one of their first n - percent * n + 1 shingles. At the
-    first one shared, what follows in either bounds the overlap, and so do the bits in
-    which their bitmaps differ: texts that share a passage and little more make no pair.
+    common, so they share one of their first n - percent * n + 1 shingles. This still
+    holds when components have been joined since.
     """
-    bits = [f"bits{k}" for k in range(WORDS)]
     open_sets = sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     each = open_sets.select(F.col("doc_id").alias("node"), "n", "component", F.explode("shingles").alias("s"))
     # Counted in the tasks first, however many nodes have a shingle.
@@ -241,21 +242,77 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     needed = F.expr(f"(n * {percent} + 99) div 100")
     first = placed.where((F.col("shared") >= needed) & (F.col("place") <= F.col("shared") - needed + 1))
-    first = store(first.select("s", "node", "n", "component", (F.col("shared") - F.col("place")).alias("after")), "prefixes")
-    # Nodes of a shingle's largest component meet those of others only, so a component of
-    # a third of all nodes costs no more pairs than it has partners outside.
+    return store(first.select("s", "node", "n", (F.col("shared") - F.col("place")).alias("after")), "prefixes")
+
+
+def _parts(first: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`first` with components, for shingles that several components have, and the size c of each component's part of a shingle."""
+    first = first.join(nodes.select("node", "component"), "node")
     parts = first.groupBy("s", "component").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"))
-    first = first.join(main.where("k > 1").select("s", "main"), "s")
-    first = first.join(sets.select(F.col("doc_id").alias("node"), *bits), "node")
-    x, y = first.where("component <> main").alias("x"), first.alias("y")
+    main = main.where("k > 1").select("s", "main")
+    return first.join(main, "s"), parts.join(main, "s").select("s", "component", "c")
+
+
+def _prefix_pairs(first: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, few: int | None = None) -> DataFrame:
+    """Pairs of nodes of different components that may be similar; no similar pair is left out.
+
+    At the first prefix shingle shared, what follows in either bounds the overlap, and so do
+    the bits in which their bitmaps differ: texts that share a passage and little more make no
+    pair. With `few`, only about so many nodes of a larger part of a shingle are met.
+    """
+    # Nodes of a shingle's largest component meet those of others only, so a component of
+    # a third of all nodes costs no more pairs than it has partners outside.
+    outer, met = first.where("component <> main"), first
+    if few:
+        wide = parts.where(F.col("c") > few)
+        met = first.join(wide, ["s", "component"]).where(F.pmod(F.xxhash64("node", "s"), F.col("c")) < few).drop("c")
+    bits = sets.select(F.col("doc_id").alias("node"), *[f"bits{k}" for k in range(WORDS)])
+    x, y = outer.join(bits, "node").alias("x"), met.join(bits, "node").alias("y")
     rest = (F.least("x.after", "y.after") + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    once = F.lit(True) if few else (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, F.col("x.s") == F.col("y.s")).where(
-        (F.col("x.component") != F.col("y.component")) & _fitting(percent, "x.n", "y.n") & rest & _alike(percent)
+        (F.col("x.component") != F.col("y.component")) & once & _fitting(percent, "x.n", "y.n") & rest & _alike(percent)
     )
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _joined(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """`nodes` with the components that the links `found` between them join."""
+    ends = [nodes.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")]
+    reached = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    reached = reached.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    placed = nodes.join(reached, "component", "left").select("node", "n", F.coalesce("least", "component").alias("component"))
+    return store(placed, "open-nodes")
+
+
+def _links_across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join all components of `nodes` that similar nodes join.
+
+    A node has links to many nodes of a large component, or to few or none. So it is first
+    held against `FEW` nodes of such a component at each of its shingles, then against
+    `MORE` times as many, while that finds links and there are larger components; who has a
+    link belongs to the component and is not held against the rest of it. Those that are left
+    are held against all.
+    """
+    first = _prefixes(nodes, sets, percent)
+    found, few = [], FEW
+    while True:
+        rows, parts = _parts(first, nodes)
+        rows, parts = store(rows, "prefixes"), store(parts, "parts")
+        if parts.where(F.col("c") > few).isEmpty():
+            break
+        more = store(_linked(_prefix_pairs(rows, parts, sets, percent, few), sets, percent), "near-links")
+        if more.isEmpty():
+            break
+        found.append(more)
+        nodes, few = _joined(nodes, more), few * MORE
+    links = _linked(_prefix_pairs(rows, parts, sets, percent), sets, percent)
+    for more in found:
+        links = links.unionByName(more)
+    return links
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links a, b between classes (columns node, n, bands) that join all similar ones."""
     rows = classes.select(F.explode("bands").alias("bucket"), "node", "n")
@@ -271,8 +328,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     opened = _open_nodes(rows.select("bucket", "node", "n"), components(found))
     if opened.isEmpty():
         return found
-    more = _linked(_prefix_pairs(opened, sets, percent), sets, percent)
-    return store(found.unionByName(more).distinct(), "near-links")
+    return store(found.unionByName(_links_across(opened, sets, percent)).distinct(), "near-links")
 
 
 def members(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

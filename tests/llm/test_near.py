@@ -7,6 +7,7 @@ from stockyard.llm import near
 from stockyard.llm.components import components
 from stockyard.llm.kernels import SpanHasher, utf8
 from stockyard.llm.queries import QUERIES
+from stockyard.session import store
 
 from .helpers import FOLDER, awkward, documents, words
 
@@ -85,6 +86,31 @@ def test_many_unlinked_variants_of_one_text(spark):
     check(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
 
 
+def test_nodes_with_a_link_are_not_held_against_the_rest_of_a_component(spark, monkeypatch):
+    """Nodes beside a large component: the pairs do not grow with the product of their numbers, and no link is lost."""
+    texts = variants(400, 100, 3, 4) + [t for seed in (8, 9) for t in variants(5, 100, 9, seed)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    sets = store(docs.select("doc_id", "text").mapInArrow(near._sets(4), near._SETS))
+    inner = 360
+    nodes = sets.selectExpr("doc_id AS node", "CAST(size(shingles) AS LONG) AS n", f"IF(doc_id < {inner}, 0, doc_id) AS component")
+    held, linked = [], near._linked
+
+    def counting(pairs, *others):
+        held.append(pairs.count())
+        return linked(pairs, *others)
+
+    monkeypatch.setattr(near, "_linked", counting)
+    found = near._links_across(store(nodes), sets, 80).collect()
+    known = spark.createDataFrame([(0, i) for i in range(1, inner)] + [(r.a, r.b) for r in found], "a long, b long")
+    got = {r.node: r.component for r in components(known).collect()}
+    kept = [shingles(t, 4) for t in texts]
+    wanted = {i: [j for j in range(len(texts)) if j != i and 100 * len(kept[i] & kept[j]) >= 80 * len(kept[i] | kept[j])] for i in range(inner, len(texts))}
+    assert all(got.get(i, i) == got.get(j, j) for i, near_i in wanted.items() for j in near_i)
+    assert all(100 * len(kept[r.a] & kept[r.b]) >= 80 * len(kept[r.a] | kept[r.b]) for r in found)
+    links = sum(j < inner for near_i in wanted.values() for j in near_i)
+    assert links > 1000 and sum(held) < links / 4
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).where("doc_id is not null").distinct()
     check(docs)
